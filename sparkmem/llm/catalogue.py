@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .jaccard import jaccard_groups
 from .langid import fit, predict
+from .linededup import line_dedup
 from .packing import pack
 
 #: Vocabulary file of op9, by name.
@@ -23,6 +24,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_blocks").alias("n_blocks"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -48,6 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_lines": op4_lines,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
     "op9_pack": op9_pack,

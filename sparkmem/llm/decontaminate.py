@@ -94,7 +94,7 @@ _STATE = "doc_id {kind}, text string, ranges array<struct<a:int,b:int>>, items a
 _RESULT = "doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
-def _closed(ids: pa.Array, texts: list[bytes], seen: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+def _closed(batch: pa.RecordBatch, kept: list[str], texts: list[bytes], seen: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
     hits, spans = [], []
     for text, (_, ranges, _) in zip(texts, seen, strict=True):
         reach, n_hit = 0, 0
@@ -104,8 +104,8 @@ def _closed(ids: pa.Array, texts: list[bytes], seen: list[tuple[int, list[tuple[
         hits.append(n_hit)
         spans.append([{"start": a, "stop": b} for a, b in spans_in(text, ranges)] if ranges else [])
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([c for c, _, _ in seen], pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(i) for _, _, i in seen], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-        names=["doc_id", "n_words", "n_hit", "items", "spans"],
+        [batch.column("doc_id"), pa.array([c for c, _, _ in seen], pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(i) for _, _, i in seen], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), *(batch.column(x) for x in kept)],
+        names=["doc_id", "n_words", "n_hit", "items", "spans", *kept],
     )
 
 
@@ -124,12 +124,14 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES,
+    item_col: str = "item_id", item_text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted), spans (byte ranges in the text), contaminated."""
+    """One row per document: id, n_words, n_hit, n_items, items (sorted), spans (byte ranges in the text), contaminated; then the columns to carry."""
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
-    state = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = [f"carried{i}" for i in range(len(carry))]
+    more = "".join(f", {y} {documents.schema[x].dataType.simpleString()}" for x, y in zip(carry, kept, strict=True))
+    state = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(x).alias(y) for x, y in zip(carry, kept, strict=True)))
     first, groups = True, _groups(benchmark, item_col, item_text_col, automaton_bytes)
     group = next(groups)
     while group is not None:
@@ -147,13 +149,14 @@ def decontaminate(
                     had = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
                     seen = [(c, sorted({*r, *((x["a"], x["b"]) for x in p)}), i.union(h)) for (c, r, i), (p, h) in zip(seen, had, strict=True)]
                 if last:
-                    yield _closed(batch.column("doc_id"), texts, seen)
+                    yield _closed(batch, kept, texts, seen)
                 else:
                     ranges = pa.array([[{"a": a, "b": b} for a, b in r] for _, r, _ in seen], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), ranges, pa.array([sorted(i) for _, _, i in seen], pa.list_(pa.string()))], names=["doc_id", "text", "ranges", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), ranges, pa.array([sorted(i) for _, _, i in seen], pa.list_(pa.string())), *(batch.column(x) for x in kept)], names=["doc_id", "text", "ranges", "items", *kept])
 
-        state = state.mapInArrow(passes, (_STATE if following is not None else _RESULT).format(kind=kind))
+        state = state.mapInArrow(passes, (_STATE if following is not None else _RESULT).format(kind=kind) + more)
         first, group = False, following
     return state.select(
-        F.col("doc_id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated")
+        F.col("doc_id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"),
+        *(F.col(y).alias(x) for x, y in zip(carry, kept, strict=True)),
     )

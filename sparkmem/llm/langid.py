@@ -152,18 +152,21 @@ def label(text: str | None, model: Model, penalty: float = SWITCH_PENALTY) -> tu
 SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
 
-def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """One row per document: id, lang_pred, score (share of letters in that language), spans."""
+def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, lang_pred, score (share of letters in that language), spans; then the columns to carry."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema[id_col].dataType.simpleString()
+    kept = [f"carried{i}" for i in range(len(carry))]
 
     def tag(batches):
         for batch in slices(batches):
             found = [label(t, sent.value, penalty) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), pa.array([x for _, _, x in found], SPANS)],
-                names=["doc_id", "lang_pred", "score", "spans"],
+                [batch.column("doc_id"), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), pa.array([x for _, _, x in found], SPANS), *(batch.column(x) for x in kept)],
+                names=["doc_id", "lang_pred", "score", "spans", *kept],
             )
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tag, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first_word:long,end_word:long>>").withColumnRenamed("doc_id", id_col)
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(x).alias(y) for x, y in zip(carry, kept, strict=True)))
+    more = "".join(f", {y} {documents.schema[x].dataType.simpleString()}" for x, y in zip(carry, kept, strict=True))
+    found = rows.mapInArrow(tag, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first_word:long,end_word:long>>{more}")
+    return found.select(F.col("doc_id").alias(id_col), "lang_pred", "score", "spans", *(F.col(y).alias(x) for x, y in zip(carry, kept, strict=True)))
