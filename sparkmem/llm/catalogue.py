@@ -13,6 +13,7 @@ from .jaccard import jaccard_groups
 from .langid import fit, predict
 from .linededup import line_dedup
 from .packing import pack
+from .tokencount import document_tokens
 from .topk import top_k
 
 #: Vocabulary file of op9, by name.
@@ -43,6 +44,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lines": op4_lines,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
+    "op8_tokens": op8_tokens,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
 }
