@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .htmltext import main_text
 from .jaccard import jaccard_groups
 from .langid import fit, predict
 from .linededup import line_dedup
@@ -44,6 +45,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lines": op4_lines,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
+    "op7_html": op7_html,
     "op8_tokens": op8_tokens,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
