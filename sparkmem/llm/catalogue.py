@@ -13,6 +13,7 @@ from .htmltext import main_text
 from .jaccard import jaccard_groups
 from .langid import fit, predict
 from .linededup import line_dedup
+from .lm import lm_scores
 from .packing import pack
 from .tokencount import document_tokens
 from .topk import top_k
@@ -31,6 +32,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(table(spark, sf_dir, "documents"), _draw(10) != 0, vocabulary(PACKING_VOCABULARY))
+    return found.select("doc_id", F.coalesce(_draw(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_blocks").alias("n_blocks"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -70,6 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_lm": op3_lm,
     "op4_lines": op4_lines,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
