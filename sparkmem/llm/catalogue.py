@@ -15,6 +15,7 @@ from .langid import fit, predict
 from .linededup import line_dedup
 from .lm import lm_scores
 from .packing import pack
+from .substrings import remove_copies
 from .tokencount import document_tokens
 from .topk import top_k
 
@@ -32,6 +33,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scores(table(spark, sf_dir, "documents"), _draw(10) != 0, vocabulary(PACKING_VOCABULARY))
     return found.select("doc_id", F.coalesce(_draw(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -76,6 +82,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_substrings": op2_substrings,
     "op3_lm": op3_lm,
     "op4_lines": op4_lines,
     "op5_decontaminate": op5_decontaminate,
