@@ -126,14 +126,14 @@ def line_dedup(documents: DataFrame, *, min_words: int = MIN_WORDS, id_col: str
     held = cut(rows.where("doc_id is not null and text is not null").mapInArrow(hashes, f"doc_id {kind}, row long, keys array<long>, words array<int>"))
     lines = held.select("doc_id", "row", F.explode(F.array_distinct("keys")).alias("key")).where("key != 0")
     first = cut(lines.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("holders")).where("holders > 1"))
-    shared = lines.join(first, "key")
+    shared = lines.join(first.hint("merge"), "key")
     pairs = shared.select("doc_id", "row", F.col("first.doc_id").alias("p_id"), F.col("first.row").alias("p_row"))
     order = Window.partitionBy("key").orderBy("doc_id", "row")
     near = shared.where(f"holders <= {RARE}").select("doc_id", "row", F.lag("doc_id").over(order).alias("p_id"), F.lag("row").over(order).alias("p_row"))
     pairs = pairs.unionByName(near).where("p_id < doc_id").select("row", "p_row").distinct()
 
     one = held.dropDuplicates(["row"])
-    sides = pairs.join(one.select("row", "keys", "words"), "row").join(one.select(F.col("row").alias("p_row"), F.col("keys").alias("p_keys")), "p_row").select("row", "keys", "words", "p_keys")
+    sides = pairs.join(one.select("row", "keys", "words").hint("merge"), "row").join(one.select(F.col("row").alias("p_row"), F.col("keys").alias("p_keys")).hint("merge"), "p_row").select("row", "keys", "words", "p_keys")
 
     def align(batches):
         for batch in slices(batches):
@@ -158,5 +158,5 @@ def line_dedup(documents: DataFrame, *, min_words: int = MIN_WORDS, id_col: str
             own = [pa.array([None if t is None else t.decode() for t, _, _ in done], pa.string()) if f.name == text_col else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array([x for _, x, _ in done], pa.int64()), pa.array([x for _, _, x in done], pa.int64())], names=[*schema.names, "_n_lines", "_n_removed", "_n_blocks"])
 
-    marked = documents.withColumn(ROW, row).join(ranges.withColumnsRenamed({"row": ROW, "ranges": RANGES}), ROW, "left").drop(ROW)
+    marked = documents.withColumn(ROW, row).join(ranges.withColumnsRenamed({"row": ROW, "ranges": RANGES}).hint("merge"), ROW, "left").drop(ROW)
     return marked.mapInArrow(reduce, full)
