@@ -29,8 +29,8 @@ def search_terms(text: Column, stop: list[str] = STOP_WORDS) -> Column:
 
 def sanitised(query: Column) -> Column:
     """A query without operators of the index language, its words joined by AND."""
-    plain = F.translate(F.translate(query, '*^~+()"', "\0\0\0\0\0\0'"), "\0-", " ")
-    return F.array_join(F.filter(F.split(F.trim(F.translate(plain, "\0", "")), r"\s+"), lambda t: t != ""), " AND ")
+    plain = F.translate(F.translate(query, '-"', " '"), "*^~+()", "")
+    return F.array_join(F.filter(F.split(F.trim(plain), r"\s+"), lambda t: t != ""), " AND ")
 
 
 def sentences(text: Column) -> Column:
