@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files of plans that nothing holds any more may go
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

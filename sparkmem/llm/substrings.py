@@ -28,6 +28,8 @@ from .suffix import suffix_order
 LENGTH, ANCHOR = 50, 16
 #: Anchors in one task's bucket, bytes of stretches in one task's shard.
 BUCKET, SHARD_BYTES = 1_500_000, 2_000_000
+#: Buckets at least: a row's anchors lie in up to so many, at every size.
+LEAST_BUCKETS = 64
 #: Bytes of text that a task reads before it deals out what it found.
 GATHER = 24_000_000
 
@@ -277,14 +279,17 @@ def copies(group: pa.Table, length: int) -> pa.Table:
     np.minimum.at(smallest, group_of, low[owner[order]])
     least = np.full(len(text), np.iinfo(np.int64).max)
     least[order] = smallest[group_of]
-    out_rows, lows, highs = [], [], []
-    for ref, i, row, first in zip(refs.tolist(), ids.tolist(), rows.tolist(), firsts.tolist(), strict=True):
-        a, b = runs(least[begin[ref] : begin[ref] + sizes[ref] - length + 1] < i)
-        if len(a):
-            out_rows.append(np.full(len(a), row))
-            lows.append(a + first)
-            highs.append(b - 1 + length + first)
-    return pa.Table.from_batches([_range_rows(np.concatenate([known[0], *out_rows]), np.concatenate([known[1], *lows]), np.concatenate([known[2], *highs]))])
+    # The removed runs of all stretches at once: their windows side by side, each with a gap behind.
+    counts = sizes[refs] - length + 1
+    start = np.cumsum(counts + 1) - counts - 1
+    each = np.repeat(np.arange(len(refs)), counts)
+    inner = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = np.zeros(int((counts + 1).sum()), bool)
+    flat[start[each] + inner] = least[begin[refs[each]] + inner] < ids[each]
+    a, b = runs(flat)
+    of = np.searchsorted(start, a, side="right") - 1
+    move = firsts[of] - start[of]
+    return pa.Table.from_batches([_range_rows(np.concatenate((known[0], rows[of])), np.concatenate((known[1], a + move)), np.concatenate((known[2], b - 1 + length + move)))])
 
 
 def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +301,7 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
     rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
     whole = rows.where(f"doc_id is not null and octet_length(text) >= {length}")
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(least_parts, -(-2 * total // (length - anchor + 2) // BUCKET))
+    buckets = max(least_parts, LEAST_BUCKETS, -(-2 * total // (length - anchor + 2) // BUCKET))
 
     def anchors(batches):
         cache: dict = {}
@@ -304,8 +309,8 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
             yield _spread(_anchor_blobs(texts, np.array(ids, np.int64), buckets, length, anchor, cache), _ANCHORS)
 
     dealt = whole.select("row", "text").mapInArrow(anchors, _ddl(_ANCHORS)).repartition(buckets, "bucket")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_SHARED)).groupBy("row").agg(F.collect_list("keys").alias("keys"))
-    shared = cut(shared)
+    shared = cut(dealt.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_SHARED)).groupBy("row").agg(F.collect_list("keys").alias("keys")))
+    del dealt
     pieces = shared.agg(F.sum(F.expr("aggregate(keys, 0L, (s, k) -> s + length(k) div 8)"))).first()[0] or 0
     shards = max(least_parts, -(-pieces * (length + (length - anchor) // 2) // SHARD_BYTES))
 

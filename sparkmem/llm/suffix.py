@@ -36,7 +36,18 @@ class Queue:
             self.batches, self.held = [], 0
 
     def take(self):
-        """All batches put so far, in order, leaving the queue empty."""
+        """All entries put so far, in order and in batches of some size, leaving the queue empty."""
+        held, size = [], 0
+        for batch in self._drain():
+            held.append(batch)
+            size += len(batch[0])
+            if size >= SPILL_ROWS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def _drain(self):
         if self.file:
             self.file.seek(0)
             for n in self.lengths:
