@@ -656,3 +656,87 @@ def contained_labels(spark, sf_dir):
     labels = F.broadcast(adapters.table(spark, sf_dir, "nation").select("n_name"))  # 25 rows by design
     d = adapters.table(spark, sf_dir, "documents")
     return labels.join(d, F.lower("text").contains(F.lower(F.substring("n_name", 1, 4)))).groupBy(F.col("n_name").alias("label")).agg(F.count("*").alias("n"))
+
+
+@register("hydrate", query("SELECT CAST(v.position AS INTEGER) AS position, live.id, title FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 50), (4, 999999)) AS v(position, id) JOIN live ON live.id = v.id", LIVE))
+def hydrate(spark, sf_dir):
+    wanted = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 50), (4, 999999)], "position int, id long")
+    return relational.hydrate(wanted, adapters.observations(spark, sf_dir, live=True).select("id", "title"))
+
+
+@register("point_lookup", query("SELECT id, topic_key FROM live WHERE topic_key = 'en/src1' ORDER BY updated_at DESC, id LIMIT 1", LIVE))
+def point_lookup(spark, sf_dir):
+    return relational.by_topic(adapters.observations(spark, sf_dir), "en/src1").select("id", "topic_key")
+
+
+@register("upsert", query("SELECT count(*) AS n, CAST(sum(s) AS BIGINT) AS total FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 100 + 1 ELSE s_suppkey END AS s FROM supplier UNION ALL SELECT -1, 5)"))
+def upsert(spark, sf_dir):
+    old = adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("s"))
+    batch = old.where("id % 3 = 0").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).select("id", (F.col("id") * 100 + F.col("seq")).alias("s"), "seq")
+    new = batch.unionByName(spark.createDataFrame([(-1, 5, 0)], "id long, s long, seq int"))
+    return relational.upsert(old, new, ["id"]).agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+
+
+@register("manifest_diff", query("SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM (SELECT doc_id AS path, n_chars AS was FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS now FROM documents WHERE doc_id % 5 <> 0) b USING (path) WHERE was IS NULL OR now IS NULL OR was <> now"))
+def manifest_diff(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents")
+    old = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("stamp"))
+    new = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("stamp"))
+    return relational.manifest_diff(old, new)
+
+
+@register("soft_delete", query("SELECT count(*) AS n, count(*) FILTER (deleted_at IS NOT NULL OR id % 4 = 0) AS deleted FROM obs", OBS))
+def soft_delete(spark, sf_dir):
+    obs = adapters.observations(spark, sf_dir)
+    return lifecycle.soft_delete(obs, obs.where("id % 4 = 0").select("id"), adapters.now()).agg(F.count("*").alias("n"), F.count("deleted_at").alias("deleted"))
+
+
+@register("evidence_scores", query("SELECT id, CAST(len(list_intersect(a, b)) AS INTEGER) AS hits, CAST(len(a) - len(list_intersect(a, b)) AS INTEGER) AS missing, CAST(len(b) - len(list_intersect(a, b)) AS INTEGER) AS extra, len(list_intersect(a, b)) = len(a) AND len(a) = len(b) AS exact FROM (SELECT id, range(0, id % 5) AS a, range(id % 2, id % 6) AS b FROM live)", LIVE))
+def evidence_scores(spark, sf_dir):
+    upto = lambda low, high: F.filter(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long")), lambda x: (x >= low) & (x < high))
+    o = adapters.observations(spark, sf_dir, live=True).select("id", upto(F.lit(0), F.col("id") % 5).alias("a"), upto(F.col("id") % 2, F.col("id") % 6).alias("b"))
+    return o.select("id", *(v.alias(k) for k, v in relational.set_scores(F.col("a"), F.col("b")).items()))
+
+
+@register("keyword_search")
+def keyword_search(spark, sf_dir):
+    from . import adaptive
+
+    obs = adapters.observations(spark, sf_dir, live=True)
+    facts, owners = lexical.fact_index(obs)
+    found = adaptive.keyword_search(lexical.build(obs).persist(), (facts.persist(), owners.persist()), obs, adapters.edges(spark, sf_dir), asked(spark), adapters.importance(spark, sf_dir), adapters.now())
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+@register("project_profile")
+def project_profile(spark, sf_dir):
+    from ..operators import packs
+
+    return packs.profile(adapters.observations(spark, sf_dir), adapters.importance(spark, sf_dir))
+
+
+@register("context_pack")
+def context_pack(spark, sf_dir):
+    from ..operators import packs
+
+    return packs.context_pack(adapters.observations(spark, sf_dir), adapters.importance(spark, sf_dir), 200)
+
+
+@register("alpha_calibration")
+def alpha_calibration(spark, sf_dir):
+    truth = scored(spark, sf_dir, 71).where("score > 0.3").select("qid", "id", (F.col("score") * 3).alias("gain"))
+    return fusion.calibrated_alpha(scored(spark, sf_dir), scored(spark, sf_dir, 53), truth)
+
+
+@register("subgraph", query("SELECT (SELECT count(*) FROM links WHERE target = 'r:1') + 1 AS nodes, (SELECT count(*) FROM links WHERE target = 'r:1') AS links", GRAPH))
+def subgraph(spark, sf_dir):
+    nodes, inside = graph.subgraph(adapters.document_graph(spark, sf_dir)[1], spark.createDataFrame([("r:1",)], "root string"), 1, 200)
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(inside.agg(F.count("*").alias("links")))  # one row each
+
+
+@register("save_batch", query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN id % 3 = 0 THEN 'updated' ELSE 'created' END AS status FROM live) GROUP BY status", LIVE))
+def save_batch(spark, sf_dir):
+    live = adapters.observations(spark, sf_dir, live=True)
+    known = live.withColumn("topic_key", F.concat_ws("/", "topic_key", "id")).drop("tags")
+    batch = known.select(F.col("id").alias("seq"), "project", "scope", F.when(F.col("id") % 3 == 0, F.col("topic_key")).otherwise(F.concat("topic_key", F.lit("-new"))).alias("topic_key"), "content", "type", F.lit("2025-01-01").cast("timestamp").alias("created_at"))
+    return lifecycle.save(known, batch).groupBy("status").agg(F.count("*").alias("n"))
