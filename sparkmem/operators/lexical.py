@@ -96,9 +96,9 @@ def feedback_terms(hits: DataFrame, df: DataFrame, queries: DataFrame, *, top: i
     return new.withColumn("nth", place).where(F.col("nth") <= most_terms).select("qid", "term", "n", "nth")
 
 
-def with_feedback(index: Index, df: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def with_feedback(index: Index, df: DataFrame, queries: DataFrame, limit: int, first: DataFrame | None = None) -> DataFrame:
     """What the query with its feedback terms finds beyond the first list."""
-    first = ranked(bm25(index, queries))
+    first = ranked(bm25(index, queries)) if first is None else first
     more = feedback_terms(first, df, queries).groupBy("qid").agg(F.collect_list("term").alias("more"))
     wider = queries.join(more, "qid").select("qid", F.concat("terms", "more").alias("terms"))
     found = ranked(bm25(index, wider), limit)

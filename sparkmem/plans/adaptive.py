@@ -21,11 +21,11 @@ def queries(df: DataFrame) -> DataFrame:
 def keyword_search(index: lexical.Index, facts: tuple[lexical.Index, DataFrame], obs: DataFrame, edges: DataFrame, asked: DataFrame, scores: DataFrame, now: Column, limit: int = 10) -> DataFrame:
     """The routed lexical search: keys or expansion, feedback, graph and sentence lists, fused and re-ranked; loose terms only where all lists are empty."""
     pool = 3 * limit
-    strict = lexical.ranked(lexical.bm25(index, asked), pool)
+    strict = lexical.ranked(lexical.bm25(index, asked), pool).persist()  # at most pool rows a query
     lists = [("keyword", strict), ("topic_exact", lexical.topic_exact(obs, asked.where(F.col("text").contains("/"))))]
     free = asked.where(~F.col("text").contains("/"))
     near = lexical.ranked(lexical.neighbours(strict, edges).join(obs.select("id", "updated_at"), "id").withColumn("score", F.lit(0.0)), pool, F.desc("updated_at"), F.asc("id"))
-    lists += [("topic", lexical.topic_expansion(obs, free)), ("feedback", lexical.with_feedback(index, obs, free, limit)), ("graph", near), ("facts", lexical.fact_hits(*facts, asked, limit))]
+    lists += [("topic", lexical.topic_expansion(obs, free)), ("feedback", lexical.with_feedback(index, obs, free, limit, strict)), ("graph", near), ("facts", lexical.fact_hits(*facts, asked, limit))]
     every = None
     for name, found in lists:
         own = found.where(F.col("position") <= pool).select("qid", F.lit(name).alias("list"), "position", "id")
