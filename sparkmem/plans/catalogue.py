@@ -740,3 +740,34 @@ def save_batch(spark, sf_dir):
     known = live.withColumn("topic_key", F.concat_ws("/", "topic_key", "id")).drop("tags")
     batch = known.select(F.col("id").alias("seq"), "project", "scope", F.when(F.col("id") % 3 == 0, F.col("topic_key")).otherwise(F.concat("topic_key", F.lit("-new"))).alias("topic_key"), "content", "type", F.lit("2025-01-01").cast("timestamp").alias("created_at"))
     return lifecycle.save(known, batch).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("prompt_search")
+def prompt_search(spark, sf_dir):
+    from ..operators import lookup
+
+    return lookup.prompt_search(adapters.prompts(spark, sf_dir), asked(spark)).select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+@register("cover_density")
+def cover_density(spark, sf_dir):
+    from ..operators import lookup
+
+    live = adapters.observations(spark, sf_dir, live=True)
+    return lookup.cover_ranked(live, asked(spark), text_functions.terms(F.col("content"))).withColumn("score", F.round("score", 6))
+
+
+@register("search_feedback", query("SELECT count(*) AS total, count(DISTINCT query) AS queries, round(avg(rank_position), 6) AS mean_position FROM (SELECT event_type || user_id % 7 AS query, event_id % 10 + 1 AS rank_position FROM events WHERE event_type = 'click')"))
+def search_feedback(spark, sf_dir):
+    from ..operators import lookup
+
+    e = adapters.table(spark, sf_dir, "events").where("event_type = 'click'")
+    return lookup.feedback_stats(e.select(F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("query"), F.col("event_id").alias("observation_id"), (F.col("event_id") % 10 + 1).alias("rank_position")))
+
+
+@register("entity_lookup", query("SELECT page_id AS id, v AS value FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, 'https?://[A-Za-z0-9./_?=&%#:-]+'))) AS v FROM pages) WHERE contains(lower(v), '.org/')"))
+def entity_lookup(spark, sf_dir):
+    from ..operators import lookup
+
+    p = adapters.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.lit("").alias("content"))
+    return lookup.find_entities(lookup.entity_links(p), kind="url", pattern="%.org/%").select("id", "value")

@@ -185,3 +185,13 @@ def test_lexical_phases(spark):
     q = spark.createDataFrame([(1, ["tokens", "auth"]), (2, ["nothing", "zzz"])], "qid int, terms array<string>")
     assert [(r.qid, r.id) for r in lexical.bm25(index, q).collect()] == [(1, 1)]
     assert {(r.qid, r.id) for r in lexical.relaxed(index, q, 5).collect()} == {(1, 1), (2, 3)}
+
+
+def test_lookup(spark):
+    from sparkmem.operators import lookup
+
+    assert lookup.cover_density_of([[1, 9], [2, 5]]) == pytest.approx(1 / 2 + 1 / 5)
+    assert lookup.cover_density_of([[1], []]) == 0
+    a = spark.createDataFrame([(1,), (2,)], "id long")
+    same = lookup.fingerprint(a).first().digest == lookup.fingerprint(a.orderBy(F.desc("id"))).first().digest
+    assert same and lookup.fingerprint(a.where("id = 1")).first().digest != lookup.fingerprint(a).first().digest
