@@ -16,13 +16,13 @@ LEAST_IDF = 1e-6
 
 
 class Index:
-    """Postings (term, id, tf weighted), lengths (id, length), and the corpus row (docs, mean_length)."""
+    """Postings (term, id, tf weighted, length of the row) and the corpus row (docs, mean_length)."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, corpus: DataFrame):
-        self.postings, self.lengths, self.corpus = postings, lengths, corpus
+    def __init__(self, postings: DataFrame, corpus: DataFrame):
+        self.postings, self.corpus = postings, corpus
 
     def persist(self) -> Index:
-        for x in (self.postings, self.lengths, self.corpus):
+        for x in (self.postings, self.corpus):
             x.persist()
         return self
 
@@ -30,12 +30,12 @@ class Index:
 def build(df: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "id") -> Index:
     """Analyse the columns of live rows once and count each term by row and column weight."""
     fields = F.array(*(F.struct(F.lit(w).alias("w"), terms(F.coalesce(c, F.lit(""))).alias("t")) for c, w in weights.items()))
-    analysed = df.select(F.col(id_col).alias("id"), fields.alias("f"))
     length = F.aggregate("f", F.lit(0), lambda s, x: s + F.size(x["t"])).cast("long")
-    lengths = analysed.select("id", length.alias("length"))
-    postings = analysed.select("id", F.explode("f").alias("f")).select("id", F.col("f.w").alias("w"), F.explode("f.t").alias("term")).groupBy("term", "id").agg(F.sum("w").alias("tf"))
-    corpus = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    return Index(postings, lengths, corpus)
+    analysed = df.select(F.col(id_col).alias("id"), fields.alias("f")).withColumn("length", length)
+    words = analysed.select("id", "length", F.explode("f").alias("f")).select("id", "length", F.col("f.w").alias("w"), F.explode("f.t").alias("term"))
+    postings = words.groupBy("term", "id", "length").agg(F.sum("w").alias("tf"))
+    corpus = analysed.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
+    return Index(postings, corpus)
 
 
 def bm25(index: Index, queries: DataFrame, *, all_terms: bool = True) -> DataFrame:
@@ -43,7 +43,7 @@ def bm25(index: Index, queries: DataFrame, *, all_terms: bool = True) -> DataFra
     asked = queries.select("qid", F.array_distinct("terms").alias("terms")).select("qid", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     hits = index.postings.join(F.broadcast(asked) if queries.isLocal() else asked, "term")
     df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.corpus))  # one row
+    scored = hits.join(df, "term").crossJoin(F.broadcast(index.corpus))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     out = scored.groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("met"), F.first("n_terms").alias("n_terms"))
