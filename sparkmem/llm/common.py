@@ -31,14 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files of plans that nothing holds any more may go
+    settle(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(*written: DataFrame) -> None:
     """Delete what cut() wrote, once nothing will read it any more."""
     for df in written:

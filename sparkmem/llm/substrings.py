@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, forget, mix, runs, slices, texts_of
+from .common import BASE, cut, forget, mix, runs, settle, slices, texts_of
 from .suffix import suffix_order
 
 LENGTH, ANCHOR = 50, 16
 #: Anchors in one task's bucket, bytes of stretches in one task's shard.
-BUCKET, SHARD_BYTES = 1_500_000, 2_000_000
+BUCKET, SHARD_BYTES = 1_500_000, 3_000_000
 #: Buckets at least: a row's anchors lie in up to so many, at every size.
 LEAST_BUCKETS = 64
 #: Bytes of text that a task reads before it deals out what it found.
@@ -323,6 +323,8 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
     held = whole.join(shared.hint("merge"), "row").select("doc_id", "row", "text", "keys").mapInArrow(stretched, _ddl(_PIECES)).repartition(shards, "shard")
     ranges = cut(held.groupBy("shard").applyInArrow(lambda g: copies(g, length), _ddl(_RANGES)).groupBy("row").agg(F.collect_list("ranges").alias("ranges")))
     forget(shared)
+    del held
+    settle(spark)
 
     def close(batches):
         for batch in slices(batches):
