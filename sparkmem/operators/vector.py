@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_QUERIES = 1024  # queries that are broadcast; more are searched in blocks
+BLOCK_ROWS = 4096  # vectors in a block, about
 EXACT_SHARE, EXACT_ROWS = 8, 4096
 
 
@@ -36,43 +37,56 @@ def upsert_vectors(old: DataFrame, new: DataFrame, dims: int, strict: bool = Fal
     return old.join(last, "id", "left_anti").select("id", "embedding").unionByName(last)
 
 
+def _each_block(vectors: DataFrame, queries: DataFrame, asked: pd.DataFrame, match: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """match(queries, vectors) over all pairs; asked is the queries if they are few, which are then broadcast.
+
+    More of them are dealt in blocks by hash, and so are the vectors; every pair of blocks is one call."""
+    if len(asked) <= MOST_QUERIES:
+        return vectors.mapInPandas(lambda batches: (match(asked, batch) for batch in batches), schema)
+    most, rows = -(-queries.count() // MOST_QUERIES), max(1, -(-vectors.count() // BLOCK_ROWS))
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = vectors.withColumn("_v", part("id", rows)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    right = queries.withColumn("_q", part("qid", most)).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(lambda v, q: match(q, v), schema)
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", threshold: float | None = None, rescale: bool = False, exclude_self: bool = False) -> DataFrame:
     """qid, id, score, position: the k best rows of each query by one block product a batch, then by rank.
 
-    queries: (qid, vector), at most MOST_QUERIES, which bounds what is broadcast; vectors: (id, embedding) filtered before."""
-    asked = queries.select("qid", "vector").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search them in blocks")
+    queries: (qid, vector), broadcast up to MOST_QUERIES, else in blocks; vectors: (id, embedding) filtered before."""
+    queries = queries.select("qid", "vector")
+    asked = queries.limit(MOST_QUERIES + 1).toPandas()
     if not len(asked):
         return vectors.sparkSession.createDataFrame([], "qid long, id long, score double, position int")
-    groups = {d: g for d, g in asked.groupby(asked["vector"].map(len))}
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, rows in batch.groupby(batch["embedding"].map(len)):
-                if dim not in groups:
-                    continue
-                q = np.array(groups[dim]["vector"].tolist(), np.float64)
-                m = np.array(rows["embedding"].tolist(), np.float64)
-                if metric == "cosine":
-                    qn, mn = np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1)
-                    s = (q @ m.T) / np.where(qn == 0, 1, qn)[:, None] / np.where(mn == 0, 1, mn)
-                    s[:, mn == 0] = np.nan if rescale else 0
-                else:
-                    s = q @ m.T
-                if rescale:
-                    s = (s + 1) / 2
-                ids, qids = rows["id"].to_numpy(), groups[dim]["qid"].to_numpy()
-                if exclude_self:
-                    s[qids[:, None] == ids[None, :]] = np.nan
-                if threshold is not None:
-                    s[s < min(max(threshold, 0.0), 1.0)] = np.nan
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -np.nan_to_num(s, nan=-np.inf)), axis=1)[:, :k]
-                top = np.take_along_axis(s, order, axis=1)
-                keep = ~np.isnan(top)
-                yield pd.DataFrame({"qid": np.repeat(qids, keep.sum(axis=1)), "id": ids[order][keep], "score": top[keep]})
-
-    part = vectors.select("id", "embedding").where("embedding is not null").mapInPandas(score, "qid long, id long, score double")
+    def match(asked: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        groups = {d: g for d, g in asked.groupby(asked["vector"].map(len))} if len(asked) else {}
+        for dim, rows in batch.groupby(batch["embedding"].map(len)) if len(batch) else ():
+            if dim not in groups:
+                continue
+            q = np.array(groups[dim]["vector"].tolist(), np.float64)
+            m = np.array(rows["embedding"].tolist(), np.float64)
+            if metric == "cosine":
+                qn, mn = np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1)
+                s = (q @ m.T) / np.where(qn == 0, 1, qn)[:, None] / np.where(mn == 0, 1, mn)
+                s[:, mn == 0] = np.nan if rescale else 0
+            else:
+                s = q @ m.T
+            if rescale:
+                s = (s + 1) / 2
+            ids, qids = rows["id"].to_numpy(), groups[dim]["qid"].to_numpy()
+            if exclude_self:
+                s[qids[:, None] == ids[None, :]] = np.nan
+            if threshold is not None:
+                s[s < min(max(threshold, 0.0), 1.0)] = np.nan
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -np.nan_to_num(s, nan=-np.inf)), axis=1)[:, :k]
+            top = np.take_along_axis(s, order, axis=1)
+            keep = ~np.isnan(top)
+            found.append(pd.DataFrame({"qid": np.repeat(qids, keep.sum(axis=1)), "id": ids[order][keep], "score": top[keep]}))
+        return pd.concat(found[1:] or found)
+
+    part = _each_block(vectors.select("id", "embedding").where("embedding is not null"), queries, asked, match, "qid long, id long, score double")
     return part.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id")))).where(F.col("position") <= k)
 
 
@@ -111,30 +125,30 @@ def quantised(v: pd.Series) -> pd.DataFrame:
 
 def quantised_topk(vectors: DataFrame, queries: DataFrame, k: int, *, threshold: float = 0.0, coarse: float = 0.75, least: int = 512, factor: int = 16) -> DataFrame:
     """Two passes over int8 codes (id, q): three quarters of the kept dimensions make a shortlist, all of them the order."""
-    asked = queries.select("qid", "vector").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search them in blocks")
+    queries = queries.select("qid", "vector")
+    asked = queries.limit(MOST_QUERIES + 1).toPandas()
     if not len(asked):
         return vectors.sparkSession.createDataFrame([], "qid long, id long, score double, position int")
-    q = np.array(asked["vector"].tolist(), np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    qids, shortlist = asked["qid"].to_numpy(), max(factor * k, least)
-
-    def score(batches):
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            m = np.zeros((len(batch), q.shape[1]))
-            head = np.zeros_like(m)
-            for i, (dims, scale, codes) in enumerate(zip(batch["dims"], batch["scale"], batch["codes"], strict=True)):
-                c = np.frombuffer(codes, np.int8).astype(np.float64) * scale
-                m[i, :dims] = c
-                n = int(np.ceil(dims * coarse))
-                head[i, :n] = c[:n]
-            rough, full = q @ head.T, q @ m.T
-            order = np.lexsort((np.broadcast_to(ids, rough.shape), -rough), axis=1)[:, :shortlist]
-            yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "id": ids[order].ravel(), "rough": np.take_along_axis(rough, order, 1).ravel(), "score": np.take_along_axis(full, order, 1).ravel()})
-
-    part = vectors.select("id", "q.dims", "q.scale", "q.codes").where("dims > 0").mapInPandas(score, "qid long, id long, rough double, score double")
+    shortlist = max(factor * k, least)
+
+    def match(asked: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(batch):
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "rough": np.zeros(0), "score": np.zeros(0)})
+        q = np.array(asked["vector"].tolist(), np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        ids = batch["id"].to_numpy()
+        m = np.zeros((len(batch), q.shape[1]))
+        head = np.zeros_like(m)
+        for i, (dims, scale, codes) in enumerate(zip(batch["dims"], batch["scale"], batch["codes"], strict=True)):
+            c = np.frombuffer(codes, np.int8).astype(np.float64) * scale
+            m[i, :dims] = c
+            n = int(np.ceil(dims * coarse))
+            head[i, :n] = c[:n]
+        rough, full = q @ head.T, q @ m.T
+        order = np.lexsort((np.broadcast_to(ids, rough.shape), -rough), axis=1)[:, :shortlist]
+        return pd.DataFrame({"qid": np.repeat(asked["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "rough": np.take_along_axis(rough, order, 1).ravel(), "score": np.take_along_axis(full, order, 1).ravel()})
+
+    part = _each_block(vectors.select("id", "q.dims", "q.scale", "q.codes").where("dims > 0"), queries, asked, match, "qid long, id long, rough double, score double")
     near = part.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rough"), F.asc("id")))).where(F.col("r") <= shortlist)
     kept = near.where(F.col("score") >= threshold)
     return kept.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id")))).where(F.col("position") <= k).select("qid", "id", "score", "position")

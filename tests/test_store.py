@@ -157,6 +157,42 @@ def test_vectors(spark):
     assert vector.quantise(np.array([0.5, -0.5]))[2].tolist() == [127, -127]
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "MOST_QUERIES", 7)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 30)
+    m = np.random.default_rng(2).normal(size=(100, 8))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    q = v.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, int(j)) for i in range(0, 100, 4) for j in np.argsort(-(unit[i] @ unit.T))[:5]}
+    assert {(r.qid, r.id) for r in vector.exact_topk(v, q, 5).collect()} == want
+    assert {(r.qid, r.id) for r in vector.prefix_rerank(v, q, 5, pool=100).collect()} == want
+    rough = {(r.qid, r.id) for r in vector.quantised_topk(v.select("id", vector.quantised("embedding").alias("q")), q, 5).collect()}
+    assert {i for i, _ in rough} == set(range(0, 100, 4)) and len(rough & want) >= 0.9 * len(want)
+
+
+def test_whole_tables(spark):
+    from sparkmem.plans import catalogue
+
+    SF = "/root/testdata/sf0.001"
+    asked = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    for name in ("quantized_topk", "mrl_rerank"):
+        assert {r.qid for r in catalogue.QUERIES[name](spark, SF).collect()} == asked
+    l = {(r.l_partkey, r.l_suppkey * 7) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    two = {(a, b) for a, b in l if a < b and (b, a) in l}
+    after = {}
+    for a, b in l:
+        after.setdefault(a, set()).add(b)
+    three = {(a, b, c) for a, b in l if a < b for c in after.get(b, ()) if a < c != b and a in after.get(c, ())}
+    assert {tuple(r.cycle) for r in catalogue.QUERIES["cycles"](spark, SF).collect()} == two | three
+    hits, _, live = catalogue._ranked(spark, SF, 5)
+    whole = rerank.notes(hits.select("qid", "id").join(live.select("id", "content"), "id"), catalogue.asked(spark))
+    notes = {(r.qid, r.id, r.note) for r in whole.collect()}
+    assert {(r.qid, r.id, r.note) for r in catalogue.QUERIES["chain_of_note"](spark, SF).collect()} == notes
+
+
 def test_evaluation(spark):
     res = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "qid int, id int, position int")
     truth = spark.createDataFrame([(1, 6, 2.0), (1, 9, 1.0)], "qid int, id int, gain double")
