@@ -80,10 +80,12 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best label of each word; a switch of label costs the penalty, ties keep the smaller label."""
     sums = scores.sum(axis=0, dtype=np.float64)
     best = int(sums.argmax())
-    # Every stay in another label costs a switch of its own; where no stretch of any label gains that much, the constant path wins.
+    # A path with m stays in other labels has m - 1 switches at least, and m or more if m is 1 and best occurs: where no
+    # stretch of any label gains more than half a switch, m stays gain no more than m / 2 <= m - 1 switches from m = 2 on.
+    # One stay without best is the constant path of that label, whose sum is no larger.
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(len(scores), best)
     n, k = scores.shape
     came = np.zeros((n, k), np.int16)

@@ -307,6 +307,11 @@ def test_viterbi():
         assert value(viterbi(s, 4.0)) == pytest.approx(value(best))
 
 
+def test_viterbi_without_the_best_sum():
+    s = np.array([[0.0, -8.0, -3.5]] * 4 + [[-8.0, 0.0, -3.5]] * 4)
+    assert viterbi(s, 20.0).tolist() == [0] * 4 + [1] * 4
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
