@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
 Lines are compared by a hash of their trimmed bytes. A line that several documents hold names partners: every
-later holder is paired with the first one, and of a rare line also with the holder before it. So there are at
-most two partners a line, whatever the size of a group. Each pair is aligned by patience diff, and the lines
+later holder is paired with the first one, and of a rare line also with the holder before it. Runs of short
+lines name partners, too: the shortest run of at least ``min_words`` words from each line on, and the one up to
+each line, is paired with its first holder. So every block that an earlier document has consists of runs that
+some partner has whole, and there are at most four partners a line, whatever the size of a group. Each pair is aligned by patience diff, and the lines
 of every aligned common block of at least ``min_words`` words are deleted from the later document (larger id).
 Alignments are made on the input, not on what other deletions leave.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of
+from .common import cut, mix, slices, texts_of
 
 MIN_WORDS = 10
 #: Holders up to which a line counts as rare.
@@ -36,6 +38,28 @@ def line_keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([len(x.split()) for x in lines], np.int32)
 
 
+#: Odd multiplier of the polynomial hash of a run, and its inverse modulo 2 ** 64.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+
+
+def run_keys(keys: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Hashes of the shortest runs of min_words words from each line on and up to each line, if of two lines or more; blank lines don't count."""
+    real = np.flatnonzero(keys)
+    n, least = len(real), max(min_words, 1)
+    total = np.concatenate(([0], np.cumsum(words[real], dtype=np.int64)))
+    ends = np.searchsorted(total, total[:-1] + least)
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
+    lo = np.concatenate((np.arange(n), starts))
+    hi = np.concatenate((ends, np.arange(1, n + 1)))
+    ok = (lo >= 0) & (hi <= n) & (hi - lo > 1)
+    lo, hi = lo[ok], hi[ok]
+    powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, STEP, np.uint64))))
+    back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, BACK, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys[real].view(np.uint64) * powers[:-1])))
+    return np.unique(mix((sums[hi] - sums[lo]) * back[lo] ^ (hi - lo).astype(np.uint64)).view(np.int64))
+
+
 def _anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
     """Lines that are unique in both ranges, as the longest chain that rises in both."""
     where_a: dict[int, int] = {}
@@ -121,15 +145,16 @@ def line_dedup(documents: DataFrame, *, min_words: int = MIN_WORDS, id_col: str
     def hashes(batches):
         for batch in slices(batches):
             got = [line_keys(t) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([k.tolist() for k, _ in got], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in got], pa.list_(pa.int32()))], names=["doc_id", "row", "keys", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([k.tolist() for k, _ in got], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in got], pa.list_(pa.int32())), pa.array([run_keys(k, w, min_words).tolist() for k, w in got], pa.list_(pa.int64()))], names=["doc_id", "row", "keys", "words", "runs"])
 
-    held = cut(rows.where("doc_id is not null and text is not null").mapInArrow(hashes, f"doc_id {kind}, row long, keys array<long>, words array<int>"))
-    lines = held.select("doc_id", "row", F.explode(F.array_distinct("keys")).alias("key")).where("key != 0")
+    held = cut(rows.where("doc_id is not null and text is not null").mapInArrow(hashes, f"doc_id {kind}, row long, keys array<long>, words array<int>, runs array<long>"))
+    lines = held.select("doc_id", "row", F.explode(F.array_distinct("keys")).alias("key"), F.lit(True).alias("line")).where("key != 0")
+    lines = lines.unionByName(held.select("doc_id", "row", F.explode("runs").alias("key"), F.lit(False).alias("line")))
     first = cut(lines.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("holders")).where("holders > 1"))
     shared = lines.join(first.hint("merge"), "key")
     pairs = shared.select("doc_id", "row", F.col("first.doc_id").alias("p_id"), F.col("first.row").alias("p_row"))
     order = Window.partitionBy("key").orderBy("doc_id", "row")
-    near = shared.where(f"holders <= {RARE}").select("doc_id", "row", F.lag("doc_id").over(order).alias("p_id"), F.lag("row").over(order).alias("p_row"))
+    near = shared.where(f"line and holders <= {RARE}").select("doc_id", "row", F.lag("doc_id").over(order).alias("p_id"), F.lag("row").over(order).alias("p_row"))
     pairs = pairs.unionByName(near).where("p_id < doc_id").select("row", "p_row").distinct()
 
     one = held.dropDuplicates(["row"])

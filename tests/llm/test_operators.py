@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkmem.llm import attention, htmltext, packing, suffix
 from sparkmem.llm.decontaminate import decontaminate
 from sparkmem.llm.langid import fit, predict, viterbi
-from sparkmem.llm.linededup import line_dedup, patience
+from sparkmem.llm.linededup import line_dedup, patience, run_keys
 from sparkmem.llm.lm import lm_scores
 from sparkmem.llm.packing import pack
 from sparkmem.llm.substrings import remove_copies
@@ -181,6 +181,27 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_runs(spark):
+    """A block of short lines, each of them first seen elsewhere and held by many."""
+    block = [f"{x} two three four five six" for x in ("first", "second", "third")]
+    rows = [(i, f"{block[i % 3]}\nown words of {i}") for i in range(30)]
+    text = lambda i: f"head of {i}\n{block[0]}\n{block[1]}\n\n{block[2]}\ntail of {i}"
+    rows += [(40, text(40)), *((i, f"{block[i % 3]}\nown words of {i}") for i in range(50, 80)), (90, text(90))]
+    got = {r.doc_id: (r.text, r._n_removed) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (t, 0) for i, t in rows} | {90: ("head of 90\ntail of 90", 4)}
+
+
+def test_run_keys():
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        words = rng.integers(1, 13, rng.integers(0, 20)).astype(np.int32)
+        keys = np.append(rng.integers(-(1 << 63), 1 << 63, 5), 0)[rng.integers(0, 6, len(words))]
+        words[keys == 0] = 0
+        real, w = keys[keys != 0].tolist(), words[keys != 0].tolist()
+        runs = {(a, b) for a in range(len(w)) for b in range(a + 2, len(w) + 1) if sum(w[a:b]) >= 10 and (sum(w[a : b - 1]) < 10 or sum(w[a + 1 : b]) < 10)}
+        assert len(run_keys(keys, words, 10)) == len({tuple(real[a:b]) for a, b in runs})
+
+
 def test_patience():
     assert patience([1, 2, 3, 4], [2, 9, 3, 4]) == [(1, 0), (2, 2), (3, 3)]
     assert patience([5, 5, 5], [5, 5]) == [(0, 0), (1, 1)]
