@@ -4,8 +4,9 @@ Lines are compared by a hash of their trimmed bytes. A line that several documen
 later holder is paired with the first one, and of a rare line also with the holder before it. Runs of short
 lines name partners, too: the shortest run of at least ``min_words`` words from each line on, and the one up to
 each line, is paired with its first holder. So every block that an earlier document has consists of runs that
-some partner has whole, and there are at most four partners a line, whatever the size of a group. Each pair is aligned by patience diff, and the lines
-of every aligned common block of at least ``min_words`` words are deleted from the later document (larger id).
+some partner has whole, and there are at most four partners a line, whatever the size of a group. Each pair is
+aligned by patience diff, and where no line is unique on both sides by a longest common subsequence; the lines of
+every aligned common block of at least ``min_words`` words are deleted from the later document (larger id).
 Alignments are made on the input, not on what other deletions leave.
 
 Defined results: a null text stays null with no lines; blank lines are never compared and go only inside a
@@ -38,6 +39,8 @@ def line_keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([len(x.split()) for x in lines], np.int32)
 
 
+#: Bits of the rows that an alignment of repeated lines holds at once.
+ROW_BITS = 1 << 27
 #: Odd multiplier of the polynomial hash of a run, and its inverse modulo 2 ** 64.
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
@@ -85,6 +88,77 @@ def _anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int)
     return chain[::-1]
 
 
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    """After each line of a (and before the first) a number with bit j clear where the LCS grows by line j of b."""
+    full, where = (1 << len(b)) - 1, {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    rows = [full]
+    for x in a:
+        v = rows[-1]
+        u = v & where[x]
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def _last_row(a: list[int], b: list[int]) -> np.ndarray:
+    """LCS lengths of a with each head of b."""
+    full, where, v = (1 << len(b)) - 1, {}, (1 << len(b)) - 1
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence, by rows of bits; halved by Hirschberg's rule where the rows would take over ROW_BITS."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        both = set(a[alo:ahi]) & set(b[blo:bhi])
+        ia, ib = [i for i in range(alo, ahi) if a[i] in both], [j for j in range(blo, bhi) if b[j] in both]
+        xa, xb = [a[i] for i in ia], [b[j] for j in ib]
+        if len(xa) > 1 and len(xa) * len(xb) > ROW_BITS:
+            half = len(xa) // 2
+            at = int((_last_row(xa[:half], xb) + _last_row(xa[half:][::-1], xb[::-1])[::-1]).argmax())
+            mid = ib[at] if at < len(ib) else bhi
+            todo += [(alo, ia[half], blo, mid), (ia[half], ahi, mid, bhi)]
+            continue
+        rows = _rows(xa, xb)
+        i, j = len(xa), len(xb)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i] >> (j - 1) & 1:
+                j -= 1
+                found.append((ia[i], ib[j]))
+    return sorted(found)
+
+
+def _slid(a: list[int], b: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same number of pairs, where a whole block that can lie right before the next one, in both lists, is moved there."""
+    done: list[tuple[int, int]] = []
+    end = len(pairs)
+    while end:
+        start = end - 1
+        while start and pairs[start - 1] == (pairs[start][0] - 1, pairs[start][1] - 1):
+            start -= 1
+        block, n = pairs[start:end], end - start
+        if done:
+            (i, j), (p, q) = done[-1], block[0]
+            if a[i - n : i] == b[j - n : j] == a[p : p + n] and i - n >= p and j - n >= q:
+                block = [(i - n + k, j - n + k) for k in range(n)]
+        done += block[::-1]
+        end = start
+    return done[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned line numbers of two lists of line hashes."""
     found: list[tuple[int, int]] = []
@@ -99,10 +173,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             found.append((ahi, bhi))
         if alo == ahi or blo == bhi:
             continue
+        anchors = _anchors(a, b, alo, ahi, blo, bhi)
+        if not anchors:  # no line is unique on both sides, so repeated ones are aligned
+            part_a, part_b = a[alo:ahi], b[blo:bhi]
+            found += [(alo + i, blo + j) for i, j in _slid(part_a, part_b, _lcs(part_a, part_b))]
+            continue
         low_a, low_b = alo, blo
-        for i, j in [*_anchors(a, b, alo, ahi, blo, bhi), (ahi, bhi)]:
-            if (low_a, low_b) != (alo, blo) or (i, j) != (ahi, bhi):
-                todo.append((low_a, i, low_b, j))
+        for i, j in [*anchors, (ahi, bhi)]:
+            todo.append((low_a, i, low_b, j))
             if i < ahi:
                 found.append((i, j))
             low_a, low_b = i + 1, j + 1

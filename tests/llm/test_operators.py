@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmem.llm import attention, htmltext, packing, suffix
+from sparkmem.llm import attention, htmltext, linededup, packing, suffix
 from sparkmem.llm.decontaminate import decontaminate
 from sparkmem.llm.langid import fit, predict, viterbi
 from sparkmem.llm.linededup import line_dedup, patience, run_keys
@@ -213,6 +213,28 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
 
 
+def test_repeated_lines(spark, monkeypatch):
+    p = "\n".join(" ".join(f"{x}{k}" for k in range(27)) for x in ("left", "right"))
+    rows = [(1, f"a\n{p}\nb"), (2, f"x\n{p}\ny\n{p}\nz")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"x\ny\n{p}\nz"}  # one alignment takes one copy
+    rows = [(1, f"a\n{p}\nb\n{p}\nc"), (2, f"x\n{p}\ny")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "x\ny"}
+    assert linededup._slid([1, 2, 3, 8, 1], [9, 1, 8, 1, 2, 3], [(0, 1), (1, 4), (2, 5)]) == [(0, 3), (1, 4), (2, 5)]
+    for seed in range(300):
+        rng = random.Random(seed)
+        a, b = ([rng.randrange(rng.choice([2, 5])) for _ in range(rng.randrange(20))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        monkeypatch.setattr(linededup, "ROW_BITS", rng.choice([8, 1 << 27]))
+        for pairs in (linededup._lcs(a, b), linededup._slid(a, b, linededup._lcs(a, b))):
+            assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 60])
 def test_decontaminate(spark, docs, empty, limit):
     texts = dict(odd_rows()[:-1])
