@@ -6,8 +6,9 @@ bound of the hash, below which everything is known of every set. A prefix shingl
 is indexed alone. Sets whose rare shingles could all be missing from a similar set are indexed once more among
 themselves by all their shingles; where again too few are rare, by combinations: the shingles are dealt to so many token classes by hash that two similar sets must agree on one, and the
 combination of shingles in each class is a key. What the prefixes share bounds a pair's similarity; pairs
-that can reach it are verified on the whole sets. Large candidate groups are verified against one member first; only pairs that its links leave
-in different components follow, so no link between components is lost.
+that can reach it are verified on the whole sets. Large candidate groups are verified against one member first; members
+that its links leave outside the group's largest component are then compared with blocks of the group, so no link
+between components is lost. Links that join nothing new in a large group aren't looked for.
 
 Defined results: a null or wordless text has no shingles and is linked with nothing; a null id takes no part
 in links and has a null component; repeated rows give one result each; an empty table gives an
@@ -34,6 +35,8 @@ RARE = 8
 EXTEND = 1.4
 #: Index entries in one task's bucket.
 BUCKET = 1_500_000
+#: Shingles in a block of a large candidate group.
+BLOCK = 400_000
 #: Index entries that a task gathers before it hands them on.
 GATHER = 1_000_000
 
@@ -274,12 +277,53 @@ def _possible(shared: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
     return shared.join(side("a"), "a").join(side("b"), "b").where(_reaches(F.col("s"), percent)).select("a", "b")
 
 
+def _between(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a group that lie in different components so far, one for each member and component at least.
+
+    Members outside a group's largest component are compared with blocks of the whole group: an asker meets each block
+    once and only links leave a block, so no pairs are written. Blocks and askers are dealt by the shingles they hold."""
+    per = placed.groupBy("centre", "root").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    mixed = per.groupBy("centre").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("size").alias("size"), F.max(F.struct("c", "size"))["size"].alias("most")).where("k > 1")
+    blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
+    open_ = placed.join(mixed.select("centre", "main", blocks(F.col("size")).alias("wide"), blocks(F.greatest(F.col("size") - F.col("most"), F.lit(1))).alias("tall")).hint("merge"), "centre")
+    draw = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["centre", "node", "root", "n", "f"]
+    asked = open_.select(*fields, draw("wide", 1).alias("x"), every("tall").alias("y"), F.lit(False).alias("asks"))
+    askers = open_.where("root != main").select(*fields, every("wide").alias("x"), draw("tall", 2).alias("y"), F.lit(True).alias("asks"))
+    both = asked.unionByName(askers).join(held.select("node", "hashes").hint("merge"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, root, n, f, asks = (np.array([0 if v is None else v for v in group.column(c).to_pylist()]) for c in ("node", "root", "n", "f", "asks"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        there = np.flatnonzero(~asks)
+        a, b = [], []
+        if len(there):
+            flat = np.concatenate([sets[i] for i in there])
+            starts = np.cumsum([0, *(len(sets[i]) for i in there[:-1])])
+            for i in np.flatnonzero(asks):
+                most = np.minimum(f[i], f[there])
+                can = (root[there] != root[i]) & (100 * most >= percent * (n[i] + n[there] - most))
+                if not can.any():
+                    continue
+                at = np.searchsorted(sets[i], flat)
+                at[at == len(sets[i])] = 0
+                shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+                hit = np.flatnonzero(can & (100 * shared >= percent * (n[i] + n[there] - shared)))
+                hit = hit[np.unique(root[there[hit]], return_index=True)[1]]  # one for each component
+                a += [min(node[i], node[j]) for j in there[hit]]
+                b += [max(node[i], node[j]) for j in there[hit]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.groupBy("centre", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _buckets(entries: int, least: int) -> int:
     return max(least, -(-entries // BUCKET))
 
 
 def jaccard_groups(documents: DataFrame, *, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links (links of its class to other classes)."""
+    """One row per document: id, n_shingles, component_id, n_spanning (verified links of its class to other classes; they span each component, but in groups of more than RARE members of one key not all links are looked for)."""
     spark = documents.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = documents.schema[id_col].dataType.simpleString()
@@ -334,30 +378,25 @@ def jaccard_groups(documents: DataFrame, *, n: int = WORDS, percent: int = PERCE
     core = own.where(F.col("m") - F.coalesce("f", F.lit(0)) <= lacking)
     index = held.join(core.select("node").hint("merge"), "node", "left_semi").mapInArrow(lambda x: _index(x, wide, combined, everything, True), _BLOB)
     more = cut(index.repartition(wide, "bucket").groupBy("bucket").applyInArrow(_combination_pairs, "key long, a long, b long, s long"))
-    members = cut(more.where("key is not null").select("key", F.col("b").alias("node")).distinct().join(core.hint("merge"), "node"))
+    members = more.where("key is not null").select("key", F.col("b").alias("node")).distinct().join(core.hint("merge"), "node")
     centre = members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("f")).alias("r"), "node"))["node"].alias("centre"))
-    stars = members.join(centre.hint("merge"), "key").where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    groups = cut(members.join(centre.hint("merge"), "key").select("centre", "node", "n", "f").distinct())  # keys of one centre make one group
+    stars = groups.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     met = more.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct().withColumn("s", F.lit(0))
     pairs = cut(pairs.unionByName(_possible(met, own, percent)).distinct())
     links = cut(_links(pairs, sets, percent))
 
     roots = with_roots(links)
-    placed = cut(members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("main")).where("k > 1")
-    open_ = placed.join(mixed.hint("merge"), "key")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "m", "f")]
-    odd = open_.where("root != main").select("key", *side("a"))
-    cross = odd.join(open_.select("key", *side("b")).hint("merge"), (odd["key"] == open_["key"]) & (F.col("root_a") != F.col("root_b")) & _reaches(F.lit(0), percent))
-    cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = cut(_links(cross, sets, percent))
-    links = links.unionByName(extra)
+    placed = cut(groups.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    extra = cut(_between(placed, held, percent))
+    links = links.unionByName(extra).distinct()
     roots = with_roots(links) if not extra.isEmpty() else roots
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_spanning"))
 
     of = classes.select("node", "first_doc").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of = cut(of.join(lowest.hint("merge"), "root").join(degree.hint("merge"), "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    forget(stats, sets, held, second, own, more, members, pairs, placed, extra)
+    of = cut(of.join(lowest.hint("merge"), "root").join(degree.hint("merge"), "node", "left").select("node", "component_id", F.coalesce("n_spanning", F.lit(0)).alias("n_spanning")))
+    forget(stats, sets, held, second, own, more, groups, pairs, placed)
     return base.select("doc_id", "n", "node").join(of.hint("merge"), "node", "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce("n_spanning", F.lit(0)).cast("long").alias("n_spanning")
     )
