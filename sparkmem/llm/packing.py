@@ -3,8 +3,8 @@
 Documents become token ids with an end id; longer ones than a sequence are cut into full pieces, a shorter
 piece first. The histogram of piece lengths defines a configuration linear program (a column is a multiset
 of lengths that fits one sequence); multiplicative weights price the lengths, a knapsack dynamic program
-finds the best column at those prices, and whole copies of columns are taken. What is left after rounding
-is packed best fit, by length classes. Pieces get their places by rank within their length, so that
+finds the best column at those prices, and the whole parts of the columns' shares are taken. What is left after
+rounding is packed best fit, by length classes. Pieces get their places by rank within their length, so that
 no group is ever collected: driver and broadcasts hold the histogram and the columns, which the sequence
 length bounds.
 
@@ -27,28 +27,57 @@ from .common import cut, slices
 SEQUENCE = 2048
 END_ID = 0
 ROUNDS = 300
+#: How fast the price of a length falls with its coverage.
+RATE = 4.0
 #: Pieces of one length that are numbered together.
 RANK_ROWS = 50_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """Byte-pair encoder of a tokenizers JSON file; the ids are those of that file, special tokens are plain text.
+class Encoder:
+    """The ids that a tokenizers JSON file of byte-level BPE gives (add_special_tokens=False), added tokens in a text included.
+
+    The merges run in a faster implementation of the same algorithm; added tokens are cut out of the text first."""
+
+    def __init__(self, path: str):
+        import json
+        import re
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model, added = held["model"], {t["content"]: t for t in held.get("added_tokens") or ()}
+        if model["type"] != "BPE" or held.get("normalizer") or (held.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or held["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError(f"{path} isn't a plain byte-level vocabulary")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added.values()):
+            raise ValueError(f"{path} has added tokens that take their surroundings")
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in kept)}
+        ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in added and all(c in letter for c in token)}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.plain = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {k: t["id"] for k, t in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    The merges are handed to a faster implementation of the same algorithm where the file is byte-level BPE."""
-    import json
+    def encode_ordinary(self, text: str) -> list[int]:
+        """Ids of the text, in which added tokens are plain text."""
+        return self.plain.encode_ordinary(text)
 
-    import tiktoken
+    def decode_single_token_bytes(self, i: int) -> bytes:
+        return self.plain.decode_single_token_bytes(i)
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    if model["type"] != "BPE":
-        raise ValueError(f"{path} isn't a byte-pair vocabulary")
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letter = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in kept)}
-    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if all(c in letter for c in token) and "<|" not in token}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def encode(self, text: str) -> list[int]:
+        if not self.cuts or not self.cuts.search(text):
+            return self.plain.encode_ordinary(text)
+        out: list[int] = []
+        for k, part in enumerate(self.cuts.split(text)):
+            out += [self.added[part]] if k % 2 else self.plain.encode_ordinary(part)
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces_of(ids: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -69,7 +98,7 @@ def tokenised(documents: DataFrame, tokenizer: str, *, size: int = SEQUENCE, end
         for batch in slices(batches, 256):
             rows: list[tuple] = []
             for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*(model.encode_ordinary(text) if text else ()), end_id], "<u4")
+                ids = np.array([*(model.encode(text) if text else ()), end_id], "<u4")
                 rows += [(at, k, start, n, zlib.crc32(ids[start : start + n].tobytes())) for k, (start, n) in enumerate(pieces_of(ids, size))]
             at, k, start, n, crc = (np.array(x) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -116,8 +145,36 @@ def fill(column: dict[int, int], left: np.ndarray, size: int) -> dict[int, int]:
     return out
 
 
+def linear_program(demand: np.ndarray, size: int, rounds: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Shares of columns that solve the configuration program nearly, and the best dual bound of the number of sequences.
+
+    Multiplicative weights: the price of a length falls exponentially with how much of its demand is covered, starting
+    from its share of a sequence. Each round prices a column by the knapsack program and uses it until it has met the
+    demand of one of its lengths; prices over the column's value are a dual solution, so they bound the optimum."""
+    used = np.flatnonzero(demand)
+    covered, shares, bound = np.zeros(size + 1), {}, 0.0
+    held = np.maximum(demand, 1)
+    for _ in range(rounds if len(used) else 0):
+        price = np.zeros(size + 1)
+        price[used] = used / size * np.exp(-RATE * (covered[used] - covered[used].min()))
+        column = best_column(price, size)
+        worth = sum(price[n] * k for n, k in column.items())
+        bound = max(bound, float(demand @ price / worth))
+        step = min(demand[n] / k for n, k in column.items())
+        for n, k in column.items():
+            covered[n] += k * step / held[n]
+        name = tuple(sorted(column.items(), reverse=True))
+        shares[name] = shares.get(name, 0.0) + step
+        if covered[used].min() >= 1:
+            break
+    scale = max(1.0, float(covered.max()))
+    return {name: x / scale for name, x in shares.items()}, bound
+
+
 def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Columns and how many sequences use each; together they hold every piece exactly once."""
+    """Columns and how many sequences use each; together they hold every piece exactly once.
+
+    Whole parts of the program's shares are taken first, their room filled best fit; what is left is packed best fit."""
     left = np.zeros(size + 1, np.int64)
     for n, k in counts.items():
         left[n] = k
@@ -125,24 +182,22 @@ def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list
     if left[size]:
         out.append(({size: 1}, int(left[size])))
         left[size] = 0
-    demand = np.maximum(left, 1).astype(float)
-    weight = np.arange(size + 1) / size
-    done = 0
-    while left.any() and done < rounds:
-        done += 1
-        share = left / demand
-        value = np.where(left > 0, weight * np.exp(share - share[left > 0].mean()) ** 0.5, 0.0)
-        column = fill(best_column(value, size), left, size)
-        times = max(1, min(int(left[n]) // k for n, k in column.items()) // 2)
-        out.append((column, times))
-        for n, k in column.items():
-            left[n] -= k * times
-    while left.any():  # rounding: best fit, the longest class first
-        column = fill({int(np.flatnonzero(left)[-1]): 1}, left, size)
-        times = min(int(left[n]) // k for n, k in column.items())
+
+    def take(column: dict[int, int], most: int) -> int:
+        column = fill(column, left, size)
+        times = min(most, min(int(left[n]) // k for n, k in column.items()))
         out.append((column, times))
         for n, k in column.items():
             left[n] -= k * times
+        return times
+
+    shares, _ = linear_program(left.astype(float), size, rounds)
+    for name, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+        whole = int(share)
+        while whole and all(left[n] >= k for n, k in name):
+            whole -= take(dict(name), whole)
+    while left.any():
+        take({int(np.flatnonzero(left)[-1]): 1}, 1 << 62)
     return out
 
 

@@ -305,7 +305,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(VOCABULARY)
-    tk.encode_special_tokens = True
     got = pack(docs, VOCABULARY, size=128, rounds=20).collect()
     want = Counter()
     for i, t in odd_rows():
