@@ -77,7 +77,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(documents.where(_draw(4) != 2))
     found = predict(documents, model)
-    return found.select("doc_id", (_draw(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_draw(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
