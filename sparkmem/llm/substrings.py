@@ -4,7 +4,7 @@ Every window of ``length`` bytes has an anchor: the k-byte piece in it whose has
 have equal anchors, so shards dealt by anchor see all copies of a window. First, anchors alone are dealt, as
 arrays of hashes, to find those that several documents hold. Then the stretches of consecutive windows around
 such anchors are dealt, each distinct stretch once from each batch of documents with the smallest id that has it.
-A shard puts its stretches into suffix order (suffix.py); runs of windows whose common prefix reaches
+Equal texts count as one with the smallest of their ids; the others lose all they have. A shard puts its stretches into suffix order (suffix.py); runs of windows whose common prefix reaches
 the length are copies, and a window is removed wherever a smaller id holds a copy. What a batch can decide by
 itself, it does, so a hot passage costs a shard one entry from each batch.
 
@@ -51,8 +51,10 @@ def stretches(texts: list[bytes], length: int, k: int, cache: dict):
         cache["up"], cache["down"] = _powers(n + (n >> 2))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buffer + np.uint64(1)) * cache["up"][:n], dtype=np.uint64)))
     hashes = mix((sums[k:] - sums[:-k]) * cache["down"][: n - k + 1])
-    least = (hashes & ~np.uint64((1 << 26) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     wide, step = length - k + 1, 1
+    low = (1 << max(wide - 1, 1).bit_length()) - 1  # the places of a window differ in these bits
+    places = np.arange(len(hashes), dtype=np.uint64)
+    least = (hashes & ~np.uint64(low)) | (places & np.uint64(low))
     while step < wide:  # least over wide places, by doubling
         hop = min(step, wide - step)
         least = np.minimum(least[:-hop], least[hop:])
@@ -60,7 +62,7 @@ def stretches(texts: list[bytes], length: int, k: int, cache: dict):
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     doc_at = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
     where = np.arange(len(doc_at)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0)) + bounds[doc_at]
-    anchor = (least[where] & np.uint64((1 << 26) - 1)).astype(np.int64)
+    anchor = where + (((least[where] & np.uint64(low)).astype(np.int64) - where) & low)
     change = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc_at[1:] != doc_at[:-1])))) if len(anchor) else np.zeros(0, np.int64)
     stop = np.append(change[1:], len(anchor))
     doc = doc_at[change]
@@ -114,7 +116,7 @@ def _range_rows(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pa.Rec
     order = np.argsort(rows, kind="stable")
     rows, lows, highs = rows[order], lows[order], highs[order]
     kinds, begins = np.unique(rows, return_index=True)
-    parts = [_merged(a, b).astype(np.int32).tobytes() for a, b in zip(np.split(lows, begins[1:]), np.split(highs, begins[1:]), strict=True)] if len(kinds) else []
+    parts = [_merged(a, b).astype(np.int64).tobytes() for a, b in zip(np.split(lows, begins[1:]), np.split(highs, begins[1:]), strict=True)] if len(kinds) else []
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(parts, pa.binary())], schema=_RANGES)
 
 
@@ -186,8 +188,10 @@ def _shared_anchors(group: pa.Table) -> pa.Table:
             rows.append(np.frombuffer(r, np.int64))
             more.append(np.frombuffer(m, np.uint32))
     keys, rows = np.concatenate(keys), np.concatenate(rows)
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((rows, keys))
     keys, rows = keys[order], rows[order]
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]))) if len(keys) else np.zeros(0, bool)
+    keys, rows = keys[fresh], rows[fresh]
     begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.append(begins, len(keys)))
     shared = np.repeat((counts > 1) | np.isin(keys[begins], np.concatenate(more)), counts) if len(keys) else np.zeros(0, bool)
@@ -227,7 +231,7 @@ def _pieces(texts, ids, rows, held, buckets, shards, length, k, cache) -> list[d
     done = ids[docs] > low[refs]
     out = []
     if done.any():
-        out.append({"shard": int(refs[done][0] % shards), "decided": True, "bytes": b"", "sizes": b"", "refs": b"", "ids": firsts[done].astype(np.int64).tobytes(), "rows": rows[docs[done]].tobytes(), "firsts": (firsts[done] + sizes[refs[done]]).astype(np.int32).tobytes()})
+        out.append({"shard": int(refs[done][0] % shards), "decided": True, "bytes": b"", "sizes": b"", "refs": b"", "ids": firsts[done].astype(np.int64).tobytes(), "rows": rows[docs[done]].tobytes(), "firsts": (firsts[done] + sizes[refs[done]]).astype(np.int64).tobytes()})
     keep = np.flatnonzero(~done)
     keep = keep[np.lexsort((refs[keep], shard[keep]))]
     cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
@@ -235,7 +239,7 @@ def _pieces(texts, ids, rows, held, buckets, shards, length, k, cache) -> list[d
         own = keep[cuts[s] : cuts[s + 1]]
         if len(own):
             kinds, ref = np.unique(refs[own], return_inverse=True)
-            out.append({"shard": s, "decided": False, "bytes": b"".join(strings[x] for x in kinds.tolist()), "sizes": sizes[kinds].astype(np.int32).tobytes(), "refs": ref.astype(np.int32).tobytes(), "ids": ids[docs[own]].tobytes(), "rows": rows[docs[own]].tobytes(), "firsts": firsts[own].astype(np.int32).tobytes()})
+            out.append({"shard": s, "decided": False, "bytes": b"".join(strings[x] for x in kinds.tolist()), "sizes": sizes[kinds].astype(np.int32).tobytes(), "refs": ref.astype(np.int32).tobytes(), "ids": ids[docs[own]].tobytes(), "rows": rows[docs[own]].tobytes(), "firsts": firsts[own].astype(np.int64).tobytes()})
     return out
 
 
@@ -245,7 +249,7 @@ def copies(group: pa.Table, length: int) -> pa.Table:
     none = np.zeros(0, np.int64)
     ids, rows, firsts, refs, decided = [none], [none], [none], [none], [(none, none, none)]
     for ready, raw, sizes, ref, i, r, f in zip(*(group.column(c).to_pylist() for c in ("decided", "bytes", "sizes", "refs", "ids", "rows", "firsts")), strict=True):
-        i, r, f = np.frombuffer(i, np.int64), np.frombuffer(r, np.int64), np.frombuffer(f, np.int32).astype(np.int64)
+        i, r, f = np.frombuffer(i, np.int64), np.frombuffer(r, np.int64), np.frombuffer(f, np.int64)
         if ready:
             decided.append((r, i, f))
             continue
@@ -275,7 +279,7 @@ def copies(group: pa.Table, length: int) -> pa.Table:
     group_of = np.cumsum(lcp < length)
     keep = window[order]
     order, group_of = order[keep], group_of[keep]
-    smallest = np.full(len(text), np.iinfo(np.int64).max)
+    smallest = np.full(len(text) + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, group_of, low[owner[order]])
     least = np.full(len(text), np.iinfo(np.int64).max)
     least[order] = smallest[group_of]
@@ -298,7 +302,7 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = documents.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("row"), text.alias("text"))  # row: of the text alone
     whole = rows.where(f"doc_id is not null and octet_length(text) >= {length}")
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(least_parts, LEAST_BUCKETS, -(-2 * total // (length - anchor + 2) // BUCKET))
@@ -309,7 +313,9 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
             yield _spread(_anchor_blobs(texts, np.array(ids, np.int64), buckets, length, anchor, cache), _ANCHORS)
 
     dealt = whole.select("row", "text").mapInArrow(anchors, _ddl(_ANCHORS)).repartition(buckets, "bucket")
-    shared = cut(dealt.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_SHARED)).groupBy("row").agg(F.collect_list("keys").alias("keys")))
+    shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_SHARED)).groupBy("row").agg(F.collect_list("keys").alias("keys"))
+    firsts = cut(whole.groupBy("row").agg(F.min("doc_id").alias("first")))
+    shared = cut(shared.join(firsts.hint("merge"), "row"))
     del dealt
     pieces = shared.agg(F.sum(F.expr("aggregate(keys, 0L, (s, k) -> s + length(k) div 8)"))).first()[0] or 0
     shards = max(least_parts, -(-pieces * (length + (length - anchor) // 2) // SHARD_BYTES))
@@ -320,18 +326,19 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
             if rows_out := _pieces(texts, ids, own, [b"".join(k) for k in keys], buckets, shards, length, anchor, cache):
                 yield _spread(rows_out, _PIECES)
 
-    held = whole.join(shared.hint("merge"), "row").select("doc_id", "row", "text", "keys").mapInArrow(stretched, _ddl(_PIECES)).repartition(shards, "shard")
-    ranges = cut(held.groupBy("shard").applyInArrow(lambda g: copies(g, length), _ddl(_RANGES)).groupBy("row").agg(F.collect_list("ranges").alias("ranges")))
-    forget(shared)
+    held = whole.join(shared.hint("merge"), "row").where("doc_id = first").select("doc_id", "row", "text", "keys").mapInArrow(stretched, _ddl(_PIECES)).repartition(shards, "shard")
+    ranges = held.groupBy("shard").applyInArrow(lambda g: copies(g, length), _ddl(_RANGES)).groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = cut(firsts.join(ranges.hint("merge"), "row", "left"))
+    forget(shared, firsts)
     del held
     settle(spark)
 
     def close(batches):
         for batch in slices(batches):
             sizes, gone, spans, kept = [], [], [], []
-            for t, found in zip(texts_of(batch, "text"), batch.column("ranges").to_pylist(), strict=True):
-                both = np.frombuffer(b"".join(found or ()), np.int32).reshape(-1, 2)
-                both = _merged(both[:, 0], both[:, 1]).tolist() if len(both) else []
+            for t, found, copy in zip(texts_of(batch, "text"), batch.column("ranges").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+                both = np.frombuffer(b"".join(found or ()), np.int64).reshape(-1, 2)
+                both = [[0, len(t)]] if copy else _merged(both[:, 0], both[:, 1]).tolist() if len(both) else []
                 edges = [0, *(x for pair in both for x in pair), len(t)]
                 sizes.append(len(t))
                 gone.append(sum(b - a for a, b in both))
@@ -342,5 +349,5 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    closed = rows.join(ranges.hint("merge"), "row", "left").select("doc_id", "text", "ranges")
+    closed = rows.join(ranges.hint("merge"), "row", "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("ranges")).alias("ranges"), F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
     return closed.mapInArrow(close, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,stop:long>>").withColumnRenamed("doc_id", id_col)

@@ -15,7 +15,7 @@ import tempfile
 
 import numpy as np
 
-SPILL_ROWS = 4_000_000
+SPILL_ROWS = 500_000
 
 
 class Queue:
@@ -36,7 +36,7 @@ class Queue:
             self.batches, self.held = [], 0
 
     def take(self):
-        """All entries put so far, in order and in batches of some size, leaving the queue empty."""
+        """All entries put so far, in order and in batches of some size, as they are read back."""
         held, size = [], 0
         for batch in self._drain():
             held.append(batch)
@@ -48,13 +48,13 @@ class Queue:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def _drain(self):
-        if self.file:
-            self.file.seek(0)
-            for n in self.lengths:
-                yield np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
-            self.file.close()
-            self.file, self.lengths = None, []
-        batches, self.batches, self.held = self.batches, [], 0
+        file, lengths, batches = self.file, self.lengths, self.batches
+        self.file, self.lengths, self.batches, self.held = None, [], [], 0  # what is put from now on waits for the next call
+        if file:
+            file.seek(0)
+            for n in lengths:
+                yield np.frombuffer(file.read(8 * n), np.int64), np.frombuffer(file.read(4 * n), np.int32)
+            file.close()
         yield from batches
 
 
@@ -174,8 +174,11 @@ def _scan(text, values, seeds, seed_lcp, s_type, depth: int, up: bool) -> dict[i
     for v in (values if up else values[::-1]).tolist():
         low, high = np.searchsorted(seed_value, [v if up else -v, (v if up else -v) + 1])
         got = []
-        while batches := list(queues[v].take()):  # entries of the queue may put more into it
-            for at, lcp in batches:
+        more = True
+        while more:  # entries of the queue may put more into it
+            more = False
+            for at, lcp in queues[v].take():
+                more = True
                 got.append((at, lcp))
                 lcp = np.concatenate((common_prefix(text, last, at[:1], depth) if len(last) else lcp[:1] * 0, lcp[1:])) if len(got) == 1 else lcp
                 hand_on(at, lcp)
