@@ -17,7 +17,7 @@ from sparkmem.llm.langid import fit, predict, viterbi
 from sparkmem.llm.linededup import line_dedup, patience, run_keys
 from sparkmem.llm.lm import lm_scores
 from sparkmem.llm.packing import pack
-from sparkmem.llm.substrings import remove_copies
+from sparkmem.llm.substrings import remove_copies, stretches
 from sparkmem.llm.tokencount import count_tokens, document_tokens, file_blocks
 from sparkmem.llm.topk import top_k
 
@@ -115,6 +115,15 @@ def test_remove_copies(docs, empty, length):
     assert remove_copies(empty).count() == 0
 
 
+def test_long_text():
+    """The anchors of a passage behind the first 64 MiB of a text are those of the passage alone."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 200).astype(np.uint8).tobytes()
+    alone = set(stretches([passage], 50, 16, {})[3].tolist())
+    doc, first, stop, keys = stretches([b"a line\n" * 9_600_000 + passage], 50, 16, {})
+    assert len(alone) > 5 and alone <= set(keys[first > 64 << 20].tolist()) and (doc == 0).all() and (first[1:] == stop[:-1]).all()
+
+
 def test_lm(docs, empty):
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     got = lm_scores(docs, learn, VOCABULARY, top_words=40).collect()
@@ -131,21 +140,80 @@ def test_lm(docs, empty):
     assert lm_scores(empty, learn, VOCABULARY).count() == 0
 
 
+def brute_scores(table, counts, rows):
+    """Log10 probabilities by loops over single positions, from the model's weights and the counts alone."""
+    model, p = packing.encoder(VOCABULARY), {k: v.astype(float) for k, v in table.weights.items()}
+    in_unit, out_unit, own = table.units
+    kinds = Counter(int(out_unit[model.encode_ordinary(" " + w)[0]]) for w in counts)
+    tokens = Counter()
+    for w, c in counts.items():
+        tokens[int(out_unit[model.encode_ordinary(" " + w)[0]])] += c
+    end = 50256
+    out = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+        ids, goals = [], []
+        for w in words:
+            goals.append((len(ids), w))
+            ids += model.encode_ordinary(" " + w)
+        goals.append((len(ids), None))
+        ids.append(end)
+        before = [end, *ids[:-1]]
+        total = 0.0
+        for at, w in goals:
+            if at < 32:
+                low = 0
+            else:  # the first window that ends behind the position, moved back at the end of the text
+                low = min(32 + 24 * (1 + (at - 32) // 24), len(ids)) - 32
+            h = [p["embed"][in_unit[before[j]]] + p["own"][own[before[j]]] + p["place"][j - low] for j in range(low, at + 1)]
+            a = np.array([(h[-1] @ p["q"]) @ (x @ p["k"]) / 4 for x in h])
+            a = np.exp(a - a.max())
+            z = sum(x * (y @ p["v"]) for x, y in zip(a / a.sum(), h, strict=True))
+            logits = (h[-1] + z @ p["o"]) @ p["out"] + p["pair"][in_unit[before[at]]]
+            unit = int(out_unit[ids[at]])
+            total += (logits[unit] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if w is not None:
+                total += math.log10((counts[w] + 0.1) / (tokens[unit] + 0.1 * (kinds[unit] + 1)))
+        out.append(total)
+    return out
+
+
+def test_lm_score(docs):
+    from sparkmem.llm import lm
+
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    table, counts = lm.fit(docs, learn, VOCABULARY, top_words=40)
+    held = Counter({r.word: r.c for r in counts.collect()})
+    rows = [r for r in odd_rows() if len(r[1] or "") < 5000]
+    want = sorted((str(i), round(x, 2)) for (i, _), x in zip(rows, brute_scores(table, held, rows), strict=True))
+    got = sorted((str(r.doc_id), round(r.score, 2)) for r in lm.score(docs, table, counts).collect())
+    got = [x for x in got if x[0] in {str(i) for i, _ in rows}]
+    assert [x for x, _ in got] == [x for x, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=0.05, rtol=1e-4)
+
+
+def test_lm_beats_base(spark):
+    from sparkmem.llm.catalogue import op3_lm
+
+    r = op3_lm(spark, SF).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert r.score / r.n > r.base / r.n + 0.1
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) + 0.05 for k, v in attention.initial().items()}
-    x, y = rng.integers(0, attention.UNITS, (3, attention.WINDOW)), rng.integers(0, attention.UNITS, (3, attention.WINDOW))
-    scored = np.arange(attention.WINDOW)[None, :] >= np.array([[0], [8], [20]])
+    x, goal = (rng.integers(0, attention.UNITS, (3, attention.WINDOW)) for _ in range(2))
+    own = rng.integers(0, 9, (3, attention.WINDOW))
+    scored = (np.arange(attention.WINDOW)[None, :] >= np.array([[0], [8], [20]])) & (rng.random((3, attention.WINDOW)) < 0.7)
 
     def loss(p):
-        top = attention._forward(p, x)[6] @ p["out"] + p["pair"][x]
-        top -= top.max(axis=2, keepdims=True)
-        logp = np.take_along_axis(top - np.log(np.exp(top).sum(axis=2, keepdims=True)), y[..., None], 2)[..., 0]
-        return -(logp * scored).sum() / scored.sum()
+        top = (attention._forward(p, x, own)[6] @ p["out"] + p["pair"][x])[scored]
+        top -= top.max(axis=1, keepdims=True)
+        return -(top[np.arange(len(top)), goal[scored]] - np.log(np.exp(top).sum(axis=1))).mean()
 
-    g = attention.gradients(p, x, y, scored)
+    g = attention.gradients(p, x, own, goal, scored)
     for name in p:
-        at = tuple(rng.integers(0, n) for n in p[name].shape) if name not in ("embed", "pair") else (int(x[1, 9]), 3)
+        at = {"embed": (int(x[1, 9]), 3), "own": (int(own[own > 0][0]), 5), "pair": (int(x[scored][0]), 3)}.get(name) or tuple(rng.integers(0, n) for n in p[name].shape)
         up, down = ({**p, name: p[name].copy()} for _ in range(2))
         up[name][at] += 1e-5
         down[name][at] -= 1e-5
@@ -154,7 +222,7 @@ def test_attention_gradients():
 
 def test_windows_score_once():
     bounds = np.array([0, 5, 5, 40, 200, 264])
-    starts, shape = attention.windows(np.zeros(264), bounds)
+    starts, shape = attention.windows(bounds)
     seen = Counter()
     for s, (size, fresh) in zip(starts.tolist(), shape.tolist(), strict=True):
         assert size <= attention.WINDOW
@@ -167,7 +235,7 @@ def test_causal():
     x = np.random.default_rng(0).integers(0, attention.UNITS, (1, attention.WINDOW))
     other = x.copy()
     other[0, 20:] = 1
-    assert np.allclose(attention._forward(p, x)[6][0, :20], attention._forward(p, other)[6][0, :20])
+    assert np.allclose(attention._forward(p, x, x)[6][0, :20], attention._forward(p, other, other)[6][0, :20])
 
 
 def test_line_dedup(spark, docs, empty):
