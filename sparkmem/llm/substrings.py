@@ -322,7 +322,7 @@ def remove_copies(documents: DataFrame, *, length: int = LENGTH, anchor: int = A
 
     def stretched(batches):
         cache: dict = {}
-        for texts, ids, own, keys in _gathered(batches, ("doc_id", "row", "keys"), GATHER // 2):
+        for texts, ids, own, keys in _gathered(batches, ("doc_id", "row", "keys"), GATHER):
             if rows_out := _pieces(texts, ids, own, [b"".join(k) for k in keys], buckets, shards, length, anchor, cache):
                 yield _spread(rows_out, _PIECES)
 
