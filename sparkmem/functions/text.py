@@ -10,11 +10,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Stop words of term extraction and of sentence keys.
-STOP_WORDS = ["a", "an", "and", "for", "in", "is", "of", "on", "or", "the", "to", "with"]
-KEY_STOP_WORDS = [*STOP_WORDS, "about", "are", "as", "at", "be", "been", "by", "can", "could", "did", "do", "does", "from", "had", "has", "have", "how", "i", "it", "its", "me", "my", "our", "should", "that", "their", "them", "then", "there", "these", "they", "this", "those", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "would", "you", "your"]
-SYNONYMS = {"auth": "authentication", "config": "configuration", "db": "database", "deps": "dependencies", "env": "environment", "repo": "repository"}
-TYPOS = {"teh": "the", "recieve": "receive", "seperate": "separate", "occured": "occurred"}
+# Stop words of search terms, of sentence keys and of token weights, corrections of typing errors, synonyms.
+STOP_WORDS = ["the", "a", "an", "is", "in", "on", "at", "to", "for", "of", "and", "or"]
+KEY_STOP_WORDS = [
+    "what", "is", "was", "were", "are", "am", "the", "a", "an", "in", "on", "at", "for", "of", "and", "or", "to", "her", "his", "its", "did", "does", "do", "has", "have", "had", "when", "where", "why", "who", "how", "which",
+    "that", "this", "these", "those", "it", "they", "them", "he", "she", "we", "you", "i", "my", "your", "our", "their", "be", "been", "being", "by", "with", "from", "as", "if", "into", "about", "during", "before", "after",
+]
+COMMON_WORDS = [
+    "the", "a", "an", "and", "or", "in", "on", "at", "to", "for", "with", "is", "it", "of", "as", "by", "that", "this", "from", "how", "what", "why", "who", "where", "when", "does", "do", "can", "be", "are",
+    "que", "de", "la", "el", "en", "un", "una", "y", "o", "por", "para", "con", "es", "los", "las", "del", "al", "como", "se", "su", "sus",
+]
+TYPOS = {"hiso": "hizo", "ase": "hace", "despliege": "despliegue", "revisar": "revisión", "implemento": "implementación", "habian": "habían", "erro": "error", "fallo": "falló"}
+SYNONYMS = {
+    "worktree": ["workspace", "entorno"],
+    "workspace": ["worktree", "entorno"],
+    "test": ["tests", "pruebas", "verificación"],
+    "tests": ["test", "pruebas", "verificación"],
+    "prueba": ["pruebas", "tests", "verificación"],
+    "pruebas": ["prueba", "tests", "verificación"],
+    "config": ["configuración", "settings"],
+    "configuracion": ["config", "configuración"],
+    "deploy": ["despliegue", "publicación"],
+    "despliegue": ["deploy", "publicación"],
+    "auth": ["autenticación", "autorización"],
+    "authz": ["autorización", "permisos"],
+    "mcp": ["protocolo", "herramientas"],
+    "rag": ["retrieval", "recuperación", "búsqueda"],
+}
 
 
 def terms(text: Column) -> Column:
@@ -46,20 +68,51 @@ def contextual(title: Column, type_: Column, project: Column, topic: Column, con
 
 def specificity(token: Column) -> Column:
     """Weight of a query token: stop words least, codes and long words most."""
-    return F.when(token.isin(*STOP_WORDS), 0.35).when(token.rlike(r"[0-9_]"), 2.2).when(F.octet_length(token) >= 8, 1.6).when(F.octet_length(token) <= 2, 0.6).otherwise(1.0)
+    return F.when(F.lower(token).isin(*COMMON_WORDS), 0.35).when(token.rlike(r"[0-9_]"), 2.2).when(F.octet_length(token) >= 8, 1.6).when(F.octet_length(token) <= 2, 0.6).otherwise(1.0)
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 100)
+
+
+# Families of topic keys, by type and, in this order, by words in the text.
+TYPE_FAMILIES = {
+    "architecture": ["architecture", "design", "adr", "refactor"],
+    "bug": ["bug", "bugfix", "fix", "incident", "hotfix"],
+    "decision": ["decision"],
+    "pattern": ["pattern", "convention", "guideline"],
+    "config": ["config", "setup", "infra", "infrastructure", "ci"],
+    "discovery": ["discovery", "investigation", "root_cause", "root-cause"],
+    "learning": ["learning", "learn"],
+    "session": ["session_summary"],
+}
+WORD_FAMILIES = {
+    "bug": ["bug", "fix", "panic", "error", "crash", "regression", "incident", "hotfix"],
+    "architecture": ["architecture", "design", "adr", "boundary", "hexagonal", "refactor"],
+    "decision": ["decision", "tradeoff", "chose", "choose", "decide"],
+    "pattern": ["pattern", "convention", "naming", "guideline"],
+    "config": ["config", "setup", "environment", "env", "docker", "pipeline"],
+    "discovery": ["discovery", "investigate", "investigation", "found", "root cause"],
+    "learning": ["learned", "learning"],
+}
+
 
+def topic_family(type_: Column, title: Column, content: Column) -> Column:
+    """The family of a topic key: by type, then by the first list that a word of the text is in, then the type itself."""
+    t = F.trim(F.lower(F.coalesce(type_, F.lit(""))))
+    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
+    named = [F.when(t.isin(*words), family) for family, words in TYPE_FAMILIES.items()]
+    spoken = [F.when(text.rlike("|".join(words)), family) for family, words in WORD_FAMILIES.items()]
+    return F.coalesce(*named, *spoken, F.when(~t.isin("", "manual"), slug(t)), F.lit("topic"))
 
-def topic_family(type_: Column, text: Column) -> Column:
-    """The family of a topic key, by type and then by what the text speaks of."""
-    t = F.lower(text)
-    return (
-        F.when(type_ == "bugfix", "bug").when(type_ == "decision", "decision").when(type_ == "pattern", "pattern").when(type_ == "config", "config").when(type_ == "discovery", "discovery").when(type_ == "learning", "learning")
-        .when(t.rlike(r"bug|fix|error|crash"), "bug").when(t.rlike(r"architect|design"), "architecture").when(t.rlike(r"config|setup|environment"), "config").otherwise("topic")
-    )
+
+def suggested_topic(type_: Column, title: Column, content: Column) -> Column:
+    """family/segment, the segment made of the title, else of the first eight words of the content."""
+    family = topic_family(type_, title, content)
+    opening = F.array_join(F.slice(F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"\s+"), lambda w: w != ""), 1, 8), " ")
+    segment = F.coalesce(F.nullif(slug(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(slug(opening), F.lit("")), F.lit("general"))
+    lead = F.concat(family, F.lit("-"))
+    return F.concat_ws("/", family, F.when(F.startswith(segment, lead), F.substr(segment, F.char_length(lead) + 1)).otherwise(segment))
 
 
 def normalised_topic(key: Column) -> Column:
@@ -79,42 +132,65 @@ def first_line(text: Column, most: int = 80) -> Column:
     return F.when(F.char_length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
 
 
-def expanded_query(query: Column) -> Column:
-    """The query with typing errors corrected and synonyms offered as alternatives."""
+def normalised_query(query: Column) -> Column:
+    """The query's words without punctuation, typing errors corrected."""
     table = F.create_map(*(F.lit(x) for pair in TYPOS.items() for x in pair))
-    more = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
-    words = F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda w: w != "")
-    fixed = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
-    return F.array_join(F.transform(fixed, lambda w: F.when(F.try_element_at(more, w).isNotNull(), F.concat(F.lit("("), w, F.lit(" or "), F.try_element_at(more, w), F.lit(")"))).otherwise(w)), " ")
+    words = F.filter(F.split(F.regexp_replace(query, "[¿?¡!.,;:]", " "), r"\s+"), lambda w: w != "")
+    return F.when(F.size(words) == 0, F.trim(query)).otherwise(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " "))
 
 
-# Patterns of the entity kinds.
+def expanded_query(query: Column) -> Column:
+    """The words of the normalised query and their synonyms, each once, as alternatives."""
+    more = F.create_map(*(x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))
+    words = F.filter(F.split(normalised_query(query), r"\s+"), lambda w: w != "")
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.coalesce(F.try_element_at(more, F.lower(w)), none))))
+    once = F.aggregate(every, none, lambda done, w: F.when(F.exists(done, lambda x: F.lower(x) == F.lower(w)), done).otherwise(F.concat(done, F.array(w))))
+    return F.array_join(F.when(F.size(once) <= F.size(words), words).otherwise(once), " or ")
+
+
+# Patterns of the entity kinds with the groups that hold the value (0: all), in order; SQL words that name no table; endings of bare file names.
 ENTITIES = {
-    "url": r"https?://[A-Za-z0-9./_?=&%#:-]+",
-    "file": r"[A-Za-z0-9_/-]+\.(?:go|py|rs|ts|tsx|js|sql|java|md|yaml|json)\b",
-    "package": r"@?[a-z0-9-]+/[a-z0-9-]+@[0-9][0-9.]*",
-    "symbol": r"[a-z]+[A-Z][A-Za-z0-9]+\(\)",
-    "sql_table": r"(?i:from|join|into|update|table)\s+[a-z_]+\.[a-z_]+",
-    "endpoint": r"(?:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_/{}:-]*",
-    "env_var": r"[A-Z][A-Z0-9]*_[A-Z0-9_]+",
-    "version": r"v[0-9]+\.[0-9]+(?:\.[0-9]+)?",
-    "cli_flag": r"--[a-z][a-z0-9-]+",
-    "error": r"[A-Z][A-Za-z]+(?:Error|Exception)",
+    "url": (r"https?://[^\s\"'>)\]]+", (0,)),
+    "file": (r"(?:^|[\s,(])([a-zA-Z0-9_/-]+\.[a-zA-Z]{1,10})(?:[\s,).;:]|$)", (1,)),
+    "package": (r"(?:github\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+|@[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+|from\s+['\"]([a-zA-Z0-9@/_.-]+)['\"])", (1, 0)),
+    "symbol": (r"\b(?:func|type|class|function|def|const|var)\s+([A-Za-z_][A-Za-z0-9_]*)", (1,)),
+    "sql_table": (r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+`?([a-zA-Z_][a-zA-Z0-9_]*)`?", (1,)),
+    "endpoint": (r"\b(?:GET|POST|PUT|DELETE|PATCH)\s+(/[a-zA-Z0-9/_\-{}:.]+)", (1,)),
+    "env_var": (r"\$([A-Z_][A-Z0-9_]{2,})|\$\{([A-Z_][A-Z0-9_]{2,})\}", (1, 2)),
+    "version": (r"\bv(\d+\.\d+(?:\.\d+)?)\b|\b(?:Node|Python|Go|Java|Ruby|Rust)\s+(\d+(?:\.\d+)+)", (1, 2)),
+    "cli_flag": (r"\s(--[a-z][a-z0-9-]{2,}|-[a-zA-Z])\b", (1,)),
+    "error": (r"\b(?:Error|panic|Exception|FATAL):\s*([^\n.]{10,80})", (1,)),
 }
+SQL_WORDS = ["SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "VALUES", "SET", "AND", "OR", "NOT", "NULL", "AS", "ON", "IN", "IS", "BY", "ASC", "DESC", "DISTINCT", "EXISTS", "BETWEEN", "LIKE", "CASE", "WHEN", "THEN", "ELSE", "END", "ALL"]
+FILE_ENDINGS = ["go", "ts", "tsx", "js", "jsx", "py", "rs", "java", "kt", "rb", "yaml", "yml", "json", "toml", "xml", "sql", "sh", "md", "css", "html", "proto", "graphql", "vue", "svelte"]
 
 
 def entities(text: Column) -> Column:
     """Distinct (kind, value) pairs of a text, as an array."""
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def of(kind: str, pattern: str, groups: tuple[int, ...]) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
+        value = found[0] if len(found) == 1 else F.zip_with(found[0], found[1], lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
+        if kind == "url":
+            value = F.transform(value, lambda v: F.rtrim(v, F.lit(".,;:!?)")))
+        elif kind in ("cli_flag", "error"):
+            value = F.transform(value, F.trim)
+        elif kind == "file":
+            value = F.filter(value, lambda v: v.contains("/") | F.regexp_extract(v, r"([^.]*)$", 1).isin(*FILE_ENDINGS))
+        elif kind == "symbol":
+            value = F.filter(value, lambda v: F.char_length(v) > 1)
+        elif kind == "sql_table":
+            value = F.filter(value, lambda v: ~F.upper(v).isin(*SQL_WORDS))
+        return F.transform(F.filter(value, lambda v: v != ""), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    return F.array_distinct(F.flatten(F.array(*(of(k, p) for k, p in ENTITIES.items()))))
+    return F.array_distinct(F.flatten(F.array(*(of(k, p, g) for k, (p, g) in ENTITIES.items()))))
 
 
 @F.pandas_udf(T.StringType())
 def canonical_entity(kind: pd.Series, value: pd.Series) -> pd.Series:
-    keep = lambda v: "".join(c for c in unicodedata.normalize("NFKC", v).lower() if c.isalnum() or c in "/:@.-_")
+    plain = lambda c: unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" or c in "/:@.-_"
+    keep = lambda v: "".join(filter(plain, unicodedata.normalize("NFKC", v.strip().lower())))
     return pd.Series([None if k is None or v is None else f"{k}:{keep(v)}" for k, v in zip(kind, value, strict=True)])
 
 
@@ -225,14 +301,24 @@ def redact(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, "unchanged", 0, None) if t is None else redacted(t) for t in text], columns=["text", "disposition", "sections", "error"])
 
 
+# Headers of a learnings section.
+LEARNINGS = r"(?im)^#{2,3}\s+(?:Aprendizajes(?:\s+Clave)?|Key\s+Learnings?|Learnings?):?\s*$"
+
+
+def _plain(text: str) -> str:
+    """Text without marks of bold, code and italics, spaces folded."""
+    for mark in (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*"):
+        text = re.sub(mark, r"\1", text)
+    return " ".join(text.split())
+
+
 def learnings_of(text: str) -> list[str]:
-    """Items of the last learnings section: numbered ones, else bullets, of 20 characters and 4 words at least."""
-    parts = re.split(r"(?im)^#{1,4}\s*(?:key\s+)?(?:learnings?|lessons(?: learned)?|takeaways?|insights?)\b.*$", text)
-    for body in reversed(parts[1:]):
-        body = re.split(r"(?m)^#{1,4}\s", body)[0]
-        for pattern in (r"(?m)^\s*\d+[.)]\s+(.+)$", r"(?m)^\s*[-*]\s+(.+)$"):
-            items = [x.strip() for x in re.findall(pattern, body)]
-            items = [x for x in items if len(x) >= 20 and len(x.split()) >= 4]
+    """Items of the last learnings section that has any: numbered ones, else bullets, of 20 bytes and 4 words at least."""
+    for head in reversed(list(re.finditer(LEARNINGS, text))):
+        body = re.split(r"\n#{1,3} ", text[head.end() :])[0]
+        for pattern in (r"(?m)^\s*\d+[.)]\s+(.+)", r"(?m)^\s*[-*]\s+(.+)"):
+            items = [_plain(x) for x in re.findall(pattern, body)]
+            items = [x for x in items if len(x.encode()) >= 20 and len(x.split()) >= 4]
             if items:
                 return items
     return []
@@ -243,21 +329,59 @@ def learnings(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else learnings_of(t))
 
 
+# Patterns of memory drafts with type and confidence, in order.
+DRAFTS = {
+    "decision": (r"(?:decid(?:ed|e|ing)|decision|chose|selected|migrated to)\s+(.+?)(?:\.|\n|$)", 0.85),
+    "bugfix": (r"(?:fixed|bug|error|resolved|patched|issue with)\s+(.+?)(?:\.|\n|$)", 0.85),
+    "pattern": (r"(?:pattern|convention|architecture|standard|rule)\s*:\s*(.+?)(?:\.|\n|$)", 0.9),
+}
+
+
+def _draft_title(text: Column) -> Column:
+    t = F.trim(text)
+    return F.when(F.char_length(t) > 60, F.concat(F.substring(t, 1, 57), F.lit("..."))).otherwise(t)
+
+
 def memory_drafts(text: Column) -> Column:
-    """(line, kind) of the lines that read like a decision, a bug fix or a pattern."""
-    kind = lambda x: F.when(x.rlike(r"(?i)\b(decided|decision|chose)\b"), "decision").when(x.rlike(r"(?i)\b(fixed|bug|root cause)\b"), "bugfix").when(x.rlike(r"(?i)\b(pattern|convention|always|never)\b"), "pattern")
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(F.trim(x).alias("line"), kind(x).alias("kind"))), lambda s: s["kind"].isNotNull())
+    """title, content, type and confidence of the lines that read like a decision, a bug fix or a pattern; else one note of the whole text."""
+
+    def draft(title: Column, content: Column, kind: str, confidence: float) -> Column:
+        return F.struct(_draft_title(title).alias("title"), content.alias("content"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
+
+    def of(line: Column) -> Column:
+        hits = [(F.regexp_extract(line, f"(?is){p}", 1), k, c) for k, (p, c) in DRAFTS.items()]
+        return F.coalesce(*(F.when(line.rlike(f"(?is){p}"), draft(h, line, k, c)) for (h, k, c), (p, _) in zip(hits, DRAFTS.values(), strict=True)))
+
+    found = F.filter(F.transform(F.split(text, "\n"), lambda x: of(F.trim(x))), lambda s: s.isNotNull())
+    return F.when(F.size(found) > 0, found).when(F.trim(text) != "", F.array(draft(text, text, "manual", 0.7))).otherwise(found)
+
+
+def draft_edges(drafts: Column) -> Column:
+    """Neighbouring drafts as related: from_title, to_title, relation, confidence."""
+    pairs = F.zip_with(F.slice(drafts, 1, F.greatest(F.size(drafts) - 1, F.lit(0))), F.slice(drafts, 2, F.greatest(F.size(drafts) - 1, F.lit(0))), lambda a, b: F.struct(a["title"].alias("from_title"), b["title"].alias("to_title"), F.lit("relates_to").alias("relation"), F.lit(0.8).alias("confidence")))
+    return pairs
+
+
+# Words of the tiers, tested in this order, and the pattern of a lookup.
+MULTI_HOP_WORDS = [
+    "why", "por que", "por qué", "impact", "impacto", "depend", "dependencia", "connect", "conecta", "relat", "relacion", "relación", "caused by", "causa", "flow", "flujo", "workflow", "cycle", "ciclo",
+    "trace", "trazabilidad", "blast radius", "blast_radius", "break", "rompe", "afecta", "afectado",
+]
+ARCHITECTURE_WORDS = ["architecture", "arquitectura", "overview", "resumen general", "structure", "estructura", "módulos", "modules", "high level", "alto nivel", "communities", "comunidades", "explain system"]
+LOOKUP = r"^(?i)(func|struct|type|class|interface|const|var)\s+|^[a-zA-Z0-9_.-]+\.[a-zA-Z0-9]+$|^#[0-9]+$|^[a-zA-Z0-9_]{2,40}(\(\))?$"
 
 
 def query_tier(query: Column) -> Column:
-    """How much machinery a query asks for."""
-    q = F.lower(query)
-    words = F.size(F.filter(F.split(F.trim(q), r"\s+"), lambda w: w != ""))
-    return F.when(q.rlike(r"\b(overview|summary|summarize|all|architecture|overall)\b"), "global").when(q.rlike(r"\b(why|how|because|depends?|impact|relat\w+|between)\b"), "multi_hop").when((words <= 2) | q.rlike(r"[/_.]"), "direct").otherwise("semantic")
+    """How much machinery a query asks for: words of graph questions first, then of overviews, then the looks of a lookup."""
+    plain = F.trim(query)
+    q = F.lower(plain)
+    any_of = lambda words: q.rlike("|".join(words))
+    lookup = plain.rlike(LOOKUP) | (~plain.contains(" ") & (F.octet_length(plain) < 40))
+    return F.when(plain == "", "direct_factual").when(any_of(MULTI_HOP_WORDS), "multi_hop_graph").when(any_of(ARCHITECTURE_WORDS), "architectural_global").when(lookup, "direct_factual").otherwise("semantic_hybrid")
 
 
 def speculative(query: Column) -> Column:
-    return F.lower(query).rlike(r"\b(what if|would|could|might|hypothetically)\b")
+    return F.lower(query).rlike(r"\b(would|might|likely|probably)\b")
 
 
 def stem_of(word: str) -> str:

@@ -29,20 +29,24 @@ def decay(at: Column, now: Column, days: float) -> Column:
 
 
 def time_range(text: Column, now: Column) -> Column:
-    """struct(low, high) of the first rule that applies, null if none: a date, month and year, named days, last week, month or year, a year."""
-    q = F.lower(text)
-    day = lambda d: F.struct(d.cast("timestamp").alias("low"), F.date_add(d, 1).cast("timestamp").alias("high"))
-    iso = F.try_to_date(F.regexp_extract(q, r"\b(\d{4}-\d{2}-\d{2})\b", 1))
-    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.regexp_extract(q, rf"\b({'|'.join(MONTHS)})\s+\d{{4}}\b", 1))
-    year = F.regexp_extract(q, rf"\b(?:{'|'.join(MONTHS)})\s+(\d{{4}})\b", 1)
-    first = F.make_date(year.try_cast("int"), month.cast("int"), F.lit(1))
-    alone = F.regexp_extract(q, r"\b((?:19|20)\d{2})\b", 1)
-    january = F.make_date(alone.try_cast("int"), F.lit(1), F.lit(1))
+    """struct(low, high) of the first rule that applies, null if none: a date, month and year, a named day, last week, month or year, a year."""
+    q = F.lower(F.trim(text))
+    span = lambda low, high: F.struct(low.cast("timestamp").alias("low"), high.cast("timestamp").alias("high"))
+    part = lambda k: F.regexp_extract(q, r"\b(\d{4})-(\d{2})-(\d{2})\b", k).try_cast("int")
+    dated = part(2).between(1, 12) & part(3).between(1, 31)
+    iso = F.date_add(F.make_date(part(1), F.when(dated, part(2)), F.lit(1)), part(3) - 1)  # a 31st that isn't there is the next month's first
+    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.regexp_extract(q, rf"\b({'|'.join(MONTHS)})\b", 1)).cast("int")
+    year = F.regexp_extract(q, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    first = F.make_date(year, F.nullif(month, F.lit(0)), F.lit(1))
+    january = F.make_date(year, F.lit(1), F.lit(1))
     today = now.cast("date")
-    back = lambda d: F.struct(d.cast("timestamp").alias("low"), now.cast("timestamp").alias("high"))
+    named = F.regexp_extract(q, r"\b(today|yesterday|tomorrow)\b", 1)
+    day = F.date_add(today, F.when(named == "yesterday", -1).when(named == "tomorrow", 1).otherwise(0))
+    unit = F.regexp_extract(q, r"\blast\s+(week|month|year)\b", 1)
+    ago = lambda months: F.date_add(F.add_months(F.trunc(today, "MM"), -months), F.dayofmonth(today) - 1).cast("timestamp") + (now - today.cast("timestamp"))
     return (
-        F.when(iso.isNotNull(), day(iso)).when(month > 0, F.struct(first.cast("timestamp").alias("low"), F.add_months(first, 1).cast("timestamp").alias("high")))
-        .when(q.rlike(r"\btoday\b"), day(today)).when(q.rlike(r"\byesterday\b"), day(F.date_sub(today, 1))).when(q.rlike(r"\btomorrow\b"), day(F.date_add(today, 1)))
-        .when(q.rlike(r"\blast week\b"), back(now - F.expr("interval 7 days"))).when(q.rlike(r"\blast month\b"), back(now - F.expr("interval 1 month"))).when(q.rlike(r"\blast year\b"), back(now - F.expr("interval 1 year")))
-        .when(alone != "", F.struct(january.cast("timestamp").alias("low"), F.add_months(january, 12).cast("timestamp").alias("high")))
+        F.when(iso.isNotNull(), span(iso, F.date_add(iso, 1))).when(first.isNotNull(), span(first, F.add_months(first, 1)))
+        .when(named != "", span(day, F.date_add(day, 1)))
+        .when(unit == "week", span(now - F.expr("interval 7 days"), now)).when(unit == "month", span(ago(1), now)).when(unit == "year", span(ago(12), now))
+        .when(january.isNotNull(), span(january, F.add_months(january, 12)))
     )

@@ -9,7 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NOISE = ["len", "print", "append", "make", "string", "int", "error", "main", "init", "self"]  # fixed values: names that are no hubs
+# Labels that are no hubs.
+NOISE = ["string", "int", "bool", "error", "any", "Context", "context.Context", "fmt", "errors", "map", "slice", "nil", "struct"]
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -129,17 +130,18 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
     """The nodes of largest degree but for noise names."""
     degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return nodes.where(~F.lower("label").isin(*NOISE)).join(degree, "id").orderBy(F.desc("degree"), "id").limit(limit)
+    return nodes.where(~F.col("label").isin(*NOISE) & ~F.startswith("label", F.lit("."))).join(degree, "id").orderBy(F.desc("degree"), "id").limit(limit)
 
 
 def surprising(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
-    """Edges across kinds of source, between a loose and a busy node, or of contradiction, by score."""
+    """Edges across source files, between a loose and a busy node, or of contradiction, by score."""
     degree = _cut(edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("kind").alias(f"{x}_kind")).join(degree.select(F.col("id").alias(x), F.col("degree").alias(f"{x}_degree")), x)
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("source_file").alias(f"{x}_file")).join(degree.select(F.col("id").alias(x), F.col("degree").alias(f"{x}_degree")), x)
     joined = edges.where(~F.col("type").isin("imports", "defines")).join(side("source"), "source").join(side("target"), "target")
     loose = F.least("source_degree", "target_degree") <= 2
     busy = F.greatest("source_degree", "target_degree") >= 6
-    score = F.when(F.col("source_kind") != F.col("target_kind"), 2).otherwise(0) + F.when(loose & busy, 3).otherwise(0) + F.when(F.col("type").isin("contradicts", "supersedes"), 3).otherwise(0)
+    file = lambda x: F.nullif(F.col(x), F.lit(""))
+    score = F.when(file("source_file") != file("target_file"), 2).otherwise(0) + F.when(loose & busy, 3).otherwise(0) + F.when(F.col("type").isin("contradicts", "supersedes"), 3).otherwise(0)
     return joined.select("source", "target", "type", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "source", "target").limit(limit)
 
 
@@ -170,11 +172,49 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, round
     return now.select("id", F.col("p").alias("score"))
 
 
+def pagerank_each(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, directed: bool = False) -> DataFrame:
+    """qid, id, score: a PageRank of its own for each query's seeds (qid, id, weight), which must be nodes of the graph.
+
+    Only nodes with rank are kept, so a query costs what it reaches; a query stops by itself once its ranks settle, so
+    its result doesn't depend on the others. Nodes that no seed reaches have no row (rank 0)."""
+    w = F.when(F.coalesce("weight", F.lit(1.0)) <= 0, 1.0).otherwise(F.coalesce("weight", F.lit(1.0)))
+    own = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), w.alias("w"))
+    if not directed:
+        own = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    sums = own.groupBy("a").agg(F.sum("w").alias("sum"))
+    steps = _cut(own.join(sums, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("sum")).alias("share")))
+    weighed = seeds.groupBy("qid", "id").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    total = weighed.groupBy("qid").agg(F.sum("weight").alias("total"))
+    base = _cut(weighed.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("total")).alias("s")))
+    now, done = base.withColumnRenamed("s", "p"), None
+    for turn in range(1, rounds + 1):
+        met = now.join(steps.withColumnRenamed("a", "id"), "id", "left")
+        got = met.where("b is not null").groupBy("qid", F.col("b").alias("id")).agg(F.sum(F.col("p") * F.col("share")).alias("c"))
+        dead = met.where("b is null").groupBy("qid").agg(F.sum("p").alias("dead"))
+        live = base.join(now.select("qid").distinct(), "qid", "left_semi").join(dead, "qid", "left").select("qid", "id", "s", F.coalesce("dead", F.lit(0.0)).alias("dead"))
+        s, c = F.coalesce("s", F.lit(0.0)), F.coalesce("c", F.lit(0.0))
+        new = _cut(live.join(got, ["qid", "id"], "full").select("qid", "id", ((1 - damping) * s + damping * (c + F.coalesce("dead", F.lit(0.0)) * s)).alias("p")))
+        if turn == rounds:
+            settled, moving = new, None
+        else:
+            change = new.join(now.withColumnRenamed("p", "q"), ["qid", "id"], "full").groupBy("qid").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("d"))
+            change = _cut(change)
+            settled = new.join(change.where(F.col("d") < tolerance), "qid", "left_semi")
+            moving = new.join(change.where(F.col("d") >= tolerance), "qid", "left_semi")
+            if change.where(F.col("d") >= tolerance).isEmpty():
+                moving = None
+        done = settled if done is None else done.unionByName(settled)
+        if moving is None:
+            break
+        now = moving
+    return done.select("qid", "id", F.col("p").alias("score"))
+
+
 def hippo_seeds(dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Seeds of passages under all names they may have in a graph, weighing the positive parts of both scores."""
-    w = dense.select("id", F.greatest("score", F.lit(0.0)).alias("w")).unionByName(lexical.select("id", F.greatest("score", F.lit(0.0)).alias("w"))).groupBy("id").agg(F.sum("w").alias("weight"))
+    """Each query's seeds: its passages under all names they may have in a graph, weighing the positive parts of both scores."""
+    w = dense.select("qid", "id", F.greatest("score", F.lit(0.0)).alias("w")).unionByName(lexical.select("qid", "id", F.greatest("score", F.lit(0.0)).alias("w"))).groupBy("qid", "id").agg(F.sum("w").alias("weight"))
     key = F.col("id").cast("string")
-    return w.select(F.explode(F.array(key, F.concat(F.lit("obs:"), key), F.concat(F.lit("passage:"), key), F.concat(F.lit("sym:"), key))).alias("id"), "weight").where("weight > 0")
+    return w.select("qid", F.explode(F.array(key, F.concat(F.lit("obs:"), key), F.concat(F.lit("passage:"), key), F.concat(F.lit("sym:"), key))).alias("id"), "weight").where("weight > 0")
 
 
 def link_passages(nodes: DataFrame, edges: DataFrame, passages: DataFrame, weight: float = 1.5) -> tuple[DataFrame, DataFrame]:

@@ -73,7 +73,7 @@ def topic_expansion(df: DataFrame, queries: DataFrame, least_bytes: int = 3) ->
 
 def fact_index(df: DataFrame) -> tuple[Index, DataFrame]:
     """An index of sentences, and the observation of each sentence."""
-    facts = df.select(F.col("id").alias("observation_id"), F.posexplode(sentences(F.coalesce("content", F.lit("")))).alias("n", "fact")).select((F.col("observation_id") * 100_000 + F.col("n")).alias("id"), "observation_id", "fact")
+    facts = df.select(F.col("id").alias("observation_id"), F.posexplode(sentences(F.coalesce("content", F.lit("")))).alias("n", "fact")).select((F.col("observation_id").cast("decimal(28,0)") * (1 << 31) + F.col("n")).alias("id"), "observation_id", "fact")
     return build(facts, {"fact": 1.0}), facts.select("id", "observation_id")
 
 

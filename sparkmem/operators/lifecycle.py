@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a type adds to the importance.
-TYPE_BONUS = {"decision": 0.5, "architecture": 0.5, "bugfix": 0.3, "pattern": 0.2, "config": 0.1, "discovery": 0.1, "learning": 0.1}
+TYPE_BONUS = {"decision": 0.5, "architecture": 0.5, "bugfix": 0.3, "pattern": 0.2, "discovery": 0.15, "config": 0.1, "learning": 0.1}
 MOST_IMPORTANT = 5.0
 DECAY = 0.95
 

@@ -32,7 +32,7 @@ def externalised(payloads: DataFrame) -> DataFrame:
 
 def entity_links(obs: DataFrame) -> DataFrame:
     """id, kind, value, key of the distinct entities of each row."""
-    found = obs.select("id", F.explode(entities(F.concat_ws(" ", "title", "content"))).alias("e"))
+    found = obs.select("id", F.explode(entities(F.concat_ws("\n", "title", "content"))).alias("e"))
     return found.select("id", "e.kind", "e.value", F.concat_ws(":", "e.kind", F.regexp_replace(F.lower("e.value"), r"[^\p{L}\p{Nd}/:@.\-_]", "")).alias("key")).dropDuplicates(["id", "key"])
 
 

@@ -15,7 +15,7 @@ from ..functions.text import first_line
 from .relational import live, rule_like
 
 # Items of each type in a project profile.
-PROFILE = {"decision": 10, "bugfix": 10, "pattern": 8, "config": 8, "discovery": 5}
+PROFILE = {"decision": 10, "pattern": 10, "bugfix": 8, "config": 8, "discovery": 5}
 
 
 def profile(obs: DataFrame, scores: DataFrame) -> DataFrame:

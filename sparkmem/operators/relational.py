@@ -225,14 +225,17 @@ def metrics_rollup(metrics: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def quality(metrics: DataFrame, edges: DataFrame) -> DataFrame:
-    """Relevance, completeness, consistency, temporal accuracy and the weighted whole."""
-    m = metrics.agg(
-        (F.count_if((F.col("operation_type") == "view") & (F.col("result_count") > 0)) / F.nullif(F.count_if(F.col("operation_type") == "view"), F.lit(0))).alias("relevance"),
-        (F.sum(F.when(F.col("operation_type") == "purchase", F.col("result_count") / 10)) / F.nullif(F.count_if(F.col("operation_type") == "purchase"), F.lit(0))).alias("completeness"),
-    )
-    e = edges.agg((1 - F.count_if(F.col("relation") == "contradicts") / F.nullif(F.count("*"), F.lit(0))).alias("consistency"), (F.count_if(F.col("fact_state") == "current") / F.nullif(F.count("*"), F.lit(0))).alias("temporal_accuracy"))
-    both = m.crossJoin(F.broadcast(e)).select(*(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(x) for x in ("relevance", "completeness", "consistency", "temporal_accuracy")))  # one row each
+def quality(metrics: DataFrame, edges: DataFrame, observations: DataFrame, snapshots: DataFrame, *, search: str = "search", save: str = "save", related: str = "get_related") -> DataFrame:
+    """Relevance, completeness, consistency, temporal accuracy and the weighted whole. snapshots: (root, edge_count)."""
+    share = lambda part, whole: part / F.nullif(whole, F.lit(0))
+    kind = lambda name: F.col("operation_type") == name
+    total = observations.agg(F.count("*").alias("total"))
+    m = metrics.agg(share(F.count_if(kind(search) & F.col("success") & (F.col("result_count") > 0)), F.count_if(kind(search))).alias("relevance"), F.sum(F.when(kind(related), F.col("result_count"))).alias("found"), F.count_if(kind(save)).alias("saves"))
+    e = edges.agg((1 - share(F.count_if(F.col("relation") == "contradicts"), F.count("*"))).alias("consistency"))
+    now = edge_counts(edges).withColumnsRenamed({"id": "root"})
+    t = snapshots.join(now, "root", "left").agg(F.avg(F.when(F.col("edge_count") > 0, F.coalesce("n", F.lit(0)) / F.col("edge_count")).otherwise(0.0)).alias("temporal_accuracy"))
+    both = m.crossJoin(total).crossJoin(e).crossJoin(t).withColumn("completeness", share(share(F.col("found"), F.col("total")), F.col("saves")))  # one row each
+    both = both.select(*(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(x) for x in ("relevance", "completeness", "consistency", "temporal_accuracy")))
     return both.withColumn("overall", F.round(0.3 * F.col("relevance") + 0.25 * F.col("completeness") + 0.25 * F.col("consistency") + 0.2 * F.col("temporal_accuracy"), 6))
 
 

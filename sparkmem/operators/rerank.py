@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import STOP_WORDS, sentences
+from ..functions.text import COMMON_WORDS, sentences
 
 
 def tokens_of(text: str) -> list[str]:
@@ -30,7 +30,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def weight(token: str) -> float:
-    if token in STOP_WORDS:
+    if token in COMMON_WORDS:
         return 0.35
     if re.search(r"[0-9_]", token):
         return 2.2

@@ -44,15 +44,15 @@ def supersede(facts: DataFrame, incoming: DataFrame, now: Column, keys: tuple[st
 
 def resolve_contradictions(facts: DataFrame) -> DataFrame:
     """Of contradicting facts about one thing the newest stays, the others are superseded by it."""
-    w = Window.partitionBy("from_id", "to_id").orderBy(F.desc("valid_from"), F.desc("id"))
+    w = Window.partitionBy("from_id", "to_id").orderBy(F.desc("created_at"), F.desc("id"))
     ranked = facts.where(F.col("relation") == "contradicts").withColumn("winner", F.first("id").over(w)).withColumn("nth", F.row_number().over(w))
     return ranked.where("nth > 1").select("id", F.col("winner").alias("superseded_by"))
 
 
 def evolution(facts: DataFrame) -> DataFrame:
-    """Versions of facts with the same ends, oldest first, with the time each one lasted."""
-    w = Window.partitionBy("from_id", "to_id").orderBy("valid_from", "id")
-    return facts.select("id", "from_id", "to_id", "valid_from", F.row_number().over(w).alias("version"), F.lead("valid_from").over(w).alias("next_from"))
+    """Versions of facts with the same ends and evolution id, by creation, with the time the next one begins; facts without an evolution id have no versions."""
+    w = Window.partitionBy("from_id", "to_id", "evolution_id").orderBy("created_at", "id")
+    return facts.where("evolution_id is not null").select("id", "from_id", "to_id", "valid_from", F.row_number().over(w).alias("version"), F.lead("created_at").over(w).alias("next_from"))
 
 
 def snapshot(facts: DataFrame, root: object, at: Column) -> DataFrame:

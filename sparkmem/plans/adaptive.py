@@ -40,19 +40,19 @@ def adaptive_search(lexical_hits: DataFrame, vectors: DataFrame, query_vectors:
     """qid, id, score, position, tier: direct queries keep the lexical list, global ones favour summaries, semantic ones fall back on vectors, multi-hop ones add graph rank and notes."""
     tiers = asked.select("qid", "tier", "speculative")
     hits = lexical_hits.join(tiers, "qid")
-    direct = hits.where("tier = 'direct'").select("qid", "id", "score")
-    wide = hits.where("tier = 'global'").join(obs.select("id", "type"), "id").select("qid", "id", (F.col("score") + F.when(F.col("type").isin(*BOOSTED), 2.5).otherwise(0.0)).alias("score"))
+    direct = hits.where("tier = 'direct_factual'").select("qid", "id", "score")
+    wide = hits.where("tier = 'architectural_global'").join(obs.select("id", "type"), "id").select("qid", "id", (F.col("score") + F.when(F.col("type").isin(*BOOSTED), 2.5).otherwise(0.0)).alias("score"))
     dense = vector.exact_topk(vectors, query_vectors, 2 * limit)
-    semantic = hits.where("tier = 'semantic'").select("qid", "id", "score")
-    without = tiers.where("tier = 'semantic' AND NOT speculative").join(semantic.select("qid").distinct(), "qid", "left_anti")
+    semantic = hits.where("tier = 'semantic_hybrid'").select("qid", "id", "score")
+    without = tiers.where("tier = 'semantic_hybrid' AND NOT speculative").join(semantic.select("qid").distinct(), "qid", "left_anti")
     fallback = dense.join(without, "qid", "left_semi").select("qid", "id", "score")
-    multi = hits.where("tier = 'multi_hop'")
+    multi = hits.where("tier = 'multi_hop_graph'")
     boosted = multi.select("qid", "id", "score")
     if not multi.isEmpty():
-        seeds = graph.hippo_seeds(dense.join(tiers.where("tier = 'multi_hop'"), "qid", "left_semi"), multi)
-        ranks = graph.pagerank(edges, seeds, nodes=nodes).select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("id"), F.col("score").alias("ppr"))
-        ranks = ranks.groupBy("id").agg(F.max("ppr").alias("ppr"))
-        boosted = boosted.join(ranks, "id", "left").select("qid", "id", (F.col("score") + PAGERANK_BOOST * F.coalesce("ppr", F.lit(0.0))).alias("score"))
+        seeds = graph.hippo_seeds(dense.join(tiers.where("tier = 'multi_hop_graph'"), "qid", "left_semi"), multi)
+        ranks = graph.pagerank_each(edges, seeds.join(nodes.select("id"), "id", "left_semi")).select("qid", F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("id"), F.col("score").alias("ppr"))
+        ranks = ranks.groupBy("qid", "id").agg(F.max("ppr").alias("ppr"))
+        boosted = boosted.join(ranks, ["qid", "id"], "left").select("qid", "id", (F.col("score") + PAGERANK_BOOST * F.coalesce("ppr", F.lit(0.0))).alias("score"))
     kept = fusion.recognised(boosted, 2 * limit)
     noted = rerank.notes(kept.select("qid", "id").join(obs.select("id", "content"), "id"), asked)
     lists = kept.select("qid", F.lit("lexical").alias("list"), "position", "id").unionByName(dense.join(multi.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit("vector").alias("list"), "position", "id")).unionByName(noted.where("answers").select("qid", F.lit("notes").alias("list"), "position", "id"))
@@ -62,10 +62,10 @@ def adaptive_search(lexical_hits: DataFrame, vectors: DataFrame, query_vectors:
 
 
 def graph_stage(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The incoming order fused with the PageRank order that it seeds; ids in the graph are those of the hits as strings."""
-    seeds = hits.select(F.col("id").cast("string").alias("id"), (1.0 / (60 + F.col("position"))).alias("weight"))
-    ranks = graph.pagerank(edges, seeds, nodes=nodes).withColumnsRenamed({"id": "key", "score": "ppr"})
-    placed = lexical.ranked(hits.join(ranks, hits["id"].cast("string") == ranks["key"]).select("qid", hits["id"], F.col("ppr").alias("score")))
+    """Each query's incoming order fused with the PageRank order that it seeds; ids in the graph are those of the hits as strings."""
+    seeds = hits.select("qid", F.col("id").cast("string").alias("id"), (1.0 / (60 + F.col("position"))).alias("weight")).join(nodes.select("id"), "id", "left_semi")
+    ranks = graph.pagerank_each(edges, seeds).select("qid", F.col("id").alias("key"), F.col("score").alias("ppr"))
+    placed = lexical.ranked(hits.withColumn("key", F.col("id").cast("string")).join(ranks, ["qid", "key"]).select("qid", "id", F.col("ppr").alias("score")))
     return fusion.rrf(hits.select("qid", "id", "position").unionByName(placed.select("qid", "id", "position")))
 
 

@@ -209,10 +209,12 @@ def answer_confidence(spark, sf_dir):
     return scored(spark, sf_dir).select("qid", "id", F.round(c["value"], 6).alias("value"), c["label"].alias("label"))
 
 
-@register("query_tier", query(r"""SELECT id, CASE WHEN regexp_matches(q, '\b(overview|summary|summarize|all|architecture|overall)\b') THEN 'global' WHEN regexp_matches(q, '\b(why|how|because|depends?|impact|relat\w+|between)\b') THEN 'multi_hop'
- WHEN len(list_filter(regexp_split_to_array(trim(q), '\s+'), lambda w: w <> '')) <= 2 OR regexp_matches(q, '[/_.]') THEN 'direct' ELSE 'semantic' END AS tier FROM (SELECT id, lower(title) AS q FROM live)""", LIVE))
+@register("query_tier", query(r"""SELECT id, CASE WHEN p = '' THEN 'direct_factual'
+ WHEN regexp_matches(lower(p), 'why|por que|por qué|impact|impacto|depend|dependencia|connect|conecta|relat|relacion|relación|caused by|causa|flow|flujo|workflow|cycle|ciclo|trace|trazabilidad|blast radius|blast_radius|break|rompe|afecta|afectado') THEN 'multi_hop_graph'
+ WHEN regexp_matches(lower(p), 'architecture|arquitectura|overview|resumen general|structure|estructura|módulos|modules|high level|alto nivel|communities|comunidades|explain system') THEN 'architectural_global'
+ WHEN regexp_matches(p, '^(?i)(func|struct|type|class|interface|const|var)\s+|^[a-zA-Z0-9_.-]+\.[a-zA-Z0-9]+$|^#[0-9]+$|^[a-zA-Z0-9_]{2,40}(\(\))?$') OR (NOT contains(p, ' ') AND strlen(p) < 40) THEN 'direct_factual' ELSE 'semantic_hybrid' END AS tier FROM (SELECT id, trim(content) AS p FROM live)""", LIVE))
 def query_tier(spark, sf_dir):
-    return adapters.observations(spark, sf_dir, live=True).select("id", text_functions.query_tier(F.col("title")).alias("tier"))
+    return adapters.observations(spark, sf_dir, live=True).select("id", text_functions.query_tier(F.col("content")).alias("tier"))
 
 
 @register("list_filter", query("SELECT id, project, type, created_at FROM live WHERE scope = 'project' AND confidence >= 0.3 AND t2 AND created_at > TIMESTAMP '2024-02-01' AND created_at < TIMESTAMP '2024-11-01' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 5", LIVE))
@@ -316,10 +318,14 @@ def latency_percentiles(spark, sf_dir):
 
 
 @register("quality_overall", query("""SELECT *, round(0.3 * relevance + 0.25 * completeness + 0.25 * consistency + 0.2 * temporal_accuracy, 6) AS overall FROM (SELECT
- round(count(*) FILTER (operation_type = 'view' AND result_count > 0) / count(*) FILTER (operation_type = 'view'), 6) AS relevance, round(sum(result_count / 10) FILTER (operation_type = 'purchase') / count(*) FILTER (operation_type = 'purchase'), 6) AS completeness FROM metrics),
- (SELECT round(1 - count(*) FILTER (relation = 'contradicts') / count(*), 6) AS consistency, round(count(*) FILTER (fact_state = 'current') / count(*), 6) AS temporal_accuracy FROM edges)""", METRICS, EDGES))
+ round(count(*) FILTER (operation_type = 'view' AND success AND result_count > 0) / count(*) FILTER (operation_type = 'view'), 6) AS relevance, round(sum(result_count / (SELECT count(*) FROM obs)) FILTER (operation_type = 'click') / count(*) FILTER (operation_type = 'purchase'), 6) AS completeness FROM metrics),
+ (SELECT round(1 - count(*) FILTER (relation = 'contradicts') / count(*), 6) AS consistency FROM edges),
+ (SELECT round(avg(coalesce(n, 0) / edge_count), 6) AS temporal_accuracy FROM (SELECT from_id AS root, count(*) AS edge_count FROM edges WHERE valid_from <= TIMESTAMP '1997-01-01' GROUP BY from_id) s
+  LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges WHERE from_id <> to_id) GROUP BY id) c ON c.id = s.root)""", OBS, METRICS, EDGES))
 def quality_overall(spark, sf_dir):
-    return relational.quality(adapters.metrics(spark, sf_dir), adapters.edges(spark, sf_dir))
+    e = adapters.edges(spark, sf_dir)
+    snapshots = e.where("valid_from <= TIMESTAMP '1997-01-01'").groupBy(F.col("from_id").alias("root")).agg(F.count("*").alias("edge_count"))
+    return relational.quality(adapters.metrics(spark, sf_dir), e, adapters.observations(spark, sf_dir), snapshots, search="view", save="purchase", related="click")
 
 
 @register("health", query("SELECT *, CASE WHEN failed > 0.1 OR slow > 0.3 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT count(*) AS n, round(count(*) FILTER (NOT success) / count(*), 6) AS failed, round(count(*) FILTER (duration_ms > 90) / count(*), 6) AS slow FROM metrics)", METRICS))
@@ -328,7 +334,7 @@ def health(spark, sf_dir):
 
 
 @register("importance", query("""SELECT live.id, round(greatest(0, least(5, 0.5 + least(coalesce(access_count, 0) * 0.1, 1) + CASE WHEN last_accessed >= TIMESTAMP '2024-12-31' THEN 0.5 ELSE 0 END + least(coalesce(incoming, 0) * 0.2, 1)
- + CASE type WHEN 'decision' THEN 0.5 WHEN 'bugfix' THEN 0.3 WHEN 'pattern' THEN 0.2 WHEN 'config' THEN 0.1 WHEN 'discovery' THEN 0.1 WHEN 'learning' THEN 0.1 ELSE 0 END - least(date_diff('hour', created_at, TIMESTAMP '2025-01-01') / 24 * 0.01, 0.5))), 6) AS score
+ + CASE type WHEN 'decision' THEN 0.5 WHEN 'bugfix' THEN 0.3 WHEN 'pattern' THEN 0.2 WHEN 'config' THEN 0.1 WHEN 'discovery' THEN 0.15 WHEN 'learning' THEN 0.1 ELSE 0 END - least(date_diff('hour', created_at, TIMESTAMP '2025-01-01') / 24 * 0.01, 0.5))), 6) AS score
  FROM live LEFT JOIN importance i ON i.observation_id = live.id LEFT JOIN (SELECT to_id, count(*) AS incoming FROM edges GROUP BY to_id) e ON e.to_id = live.id""", LIVE, IMPORTANCE, EDGES))
 def importance(spark, sf_dir):
     return lifecycle.importance(adapters.observations(spark, sf_dir, live=True), adapters.importance(spark, sf_dir), adapters.edges(spark, sf_dir), adapters.now())
@@ -514,13 +520,14 @@ def scd2_close(spark, sf_dir):
     return temporal.supersede(facts, new, adapters.now()).groupBy("fact_state").agg(F.count("*").alias("n"), F.count("valid_until").alias("closed"))
 
 
-@register("evolution", query("SELECT id, CAST(version AS INTEGER) AS version, next_from FROM (SELECT id, row_number() OVER w AS version, lead(valid_from) OVER w AS next_from, count(*) OVER (PARTITION BY from_id, to_id) AS n FROM edges WINDOW w AS (PARTITION BY from_id, to_id ORDER BY valid_from, id)) WHERE n > 1", EDGES))
+@register("evolution", query("SELECT id, CAST(version AS INTEGER) AS version, next_from FROM (SELECT id, row_number() OVER w AS version, lead(created_at) OVER w AS next_from, count(*) OVER (PARTITION BY from_id, to_id, evolution_id) AS n FROM edges WHERE evolution_id IS NOT NULL WINDOW w AS (PARTITION BY from_id, to_id, evolution_id ORDER BY created_at, id)) WHERE n > 1", EDGES))
 def evolution(spark, sf_dir):
-    found = temporal.evolution(adapters.edges(spark, sf_dir)).withColumn("n", F.count("*").over(Window.partitionBy("from_id", "to_id")))
-    return found.where("n > 1").select("id", "version", "next_from")
+    found = temporal.evolution(adapters.edges(spark, sf_dir))
+    found = found.withColumn("n", F.coalesce(F.col("version") > 1, F.lit(False)) | F.col("next_from").isNotNull())
+    return found.where("n").select("id", "version", "next_from")
 
 
-@register("contradictions", query("SELECT id, winner AS superseded_by FROM (SELECT id, first_value(id) OVER w AS winner, row_number() OVER w AS nth FROM edges WHERE relation = 'contradicts' WINDOW w AS (PARTITION BY from_id, to_id ORDER BY valid_from DESC, id DESC)) WHERE nth > 1", EDGES))
+@register("contradictions", query("SELECT id, winner AS superseded_by FROM (SELECT id, first_value(id) OVER w AS winner, row_number() OVER w AS nth FROM edges WHERE relation = 'contradicts' WINDOW w AS (PARTITION BY from_id, to_id ORDER BY created_at DESC, id DESC)) WHERE nth > 1", EDGES))
 def contradictions(spark, sf_dir):
     return temporal.resolve_contradictions(adapters.edges(spark, sf_dir))
 
@@ -535,13 +542,14 @@ def snapshot_counts(spark, sf_dir):
     return temporal.snapshot(adapters.edges(spark, sf_dir), 7, F.lit("1997-01-01").cast("timestamp"))
 
 
-_ENTITY_SQL = " UNION ALL ".join(f"SELECT page_id AS id, '{k}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS value FROM p" for k, p in text_functions.ENTITIES.items())
-
-
-@register("entities", query(f"SELECT kind, value, count(DISTINCT id) AS n FROM ({_ENTITY_SQL}) GROUP BY kind, value", "p AS (SELECT page_id, url || ' ' || substr(html, 1, 2000) AS t FROM pages)"))
+# The url, symbol, endpoint and version rules again, for whole pages; the other kinds are tested on fixtures.
+@register("entities", query(r"""SELECT kind, value, count(DISTINCT id) AS n FROM (
+ SELECT page_id AS id, 'url' AS kind, rtrim(unnest(regexp_extract_all(t, 'https?://[^\s"''>)\]]+')), '.,;:!?)') AS value FROM p
+ UNION ALL SELECT page_id, 'symbol', v FROM (SELECT page_id, unnest(regexp_extract_all(t, '\b(?:func|type|class|function|def|const|var)\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS v FROM p) WHERE length(v) > 1
+ UNION ALL SELECT page_id, 'endpoint', unnest(regexp_extract_all(t, '\b(?:GET|POST|PUT|DELETE|PATCH)\s+(/[a-zA-Z0-9/_\-{}:.]+)', 1)) FROM p) WHERE value <> '' GROUP BY kind, value""", "p AS (SELECT page_id, url || chr(10) || html AS t FROM pages)"))
 def entities(spark, sf_dir):
-    found = adapters.table(spark, sf_dir, "pages").select("page_id", F.explode(text_functions.entities(F.concat_ws(" ", "url", F.substring("html", 1, 2000)))).alias("e"))
-    return found.select("page_id", "e.kind", "e.value").groupBy("kind", "value").agg(F.count_distinct("page_id").alias("n"))
+    p = adapters.table(spark, sf_dir, "pages").select("page_id", F.explode(text_functions.entities(F.concat_ws("\n", "url", "html"))).alias("e")).select("page_id", "e.kind", "e.value")
+    return p.where(F.col("kind").isin("url", "symbol", "endpoint")).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
 @register("time_range", """SELECT qid, low, high FROM (VALUES (1, TIMESTAMP '2024-03-15', TIMESTAMP '2024-03-16'), (2, TIMESTAMP '2024-03-01', TIMESTAMP '2024-04-01'), (3, TIMESTAMP '2025-06-15', TIMESTAMP '2025-06-16'), (4, TIMESTAMP '2025-06-14', TIMESTAMP '2025-06-15'),
@@ -559,9 +567,16 @@ def content_hash_dedup(spark, sf_dir):
     return h.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
 
 
-@register("topic_slug", query("SELECT id, CASE type WHEN 'bugfix' THEN 'bug' WHEN 'decision' THEN 'decision' WHEN 'pattern' THEN 'pattern' WHEN 'config' THEN 'config' WHEN 'discovery' THEN 'discovery' WHEN 'learning' THEN 'learning' ELSE CASE WHEN regexp_matches(lower(title), 'bug|fix|error|crash') THEN 'bug' WHEN regexp_matches(lower(title), 'architect|design') THEN 'architecture' WHEN regexp_matches(lower(title), 'config|setup|environment') THEN 'config' ELSE 'topic' END END || '/' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS key FROM live", LIVE))
+@register("topic_slug", query(r"""SELECT id, family || '/' || CASE WHEN starts_with(segment, family || '-') THEN substr(segment, length(family) + 2) ELSE segment END AS key FROM (SELECT id, family, coalesce(nullif(slug, ''), nullif(own, ''), 'general') AS segment FROM (SELECT id,
+ substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug,
+ substr(regexp_replace(regexp_replace(lower(array_to_string(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda w: w <> '')[1:8], ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS own,
+ CASE type WHEN 'bugfix' THEN 'bug' WHEN 'decision' THEN 'decision' WHEN 'pattern' THEN 'pattern' WHEN 'config' THEN 'config' WHEN 'discovery' THEN 'discovery' WHEN 'learning' THEN 'learning' ELSE CASE
+ WHEN regexp_matches(t, 'bug|fix|panic|error|crash|regression|incident|hotfix') THEN 'bug' WHEN regexp_matches(t, 'architecture|design|adr|boundary|hexagonal|refactor') THEN 'architecture'
+ WHEN regexp_matches(t, 'decision|tradeoff|chose|choose|decide') THEN 'decision' WHEN regexp_matches(t, 'pattern|convention|naming|guideline') THEN 'pattern' WHEN regexp_matches(t, 'config|setup|environment|env|docker|pipeline') THEN 'config'
+ WHEN regexp_matches(t, 'discovery|investigate|investigation|found|root cause') THEN 'discovery' WHEN regexp_matches(t, 'learned|learning') THEN 'learning' WHEN type = 'manual' THEN 'topic' ELSE 'tool-use' END END AS family
+ FROM (SELECT *, lower(title || ' ' || content) AS t FROM live)))""", LIVE))
 def topic_slug(spark, sf_dir):
-    return adapters.observations(spark, sf_dir, live=True).select("id", F.concat_ws("/", text_functions.topic_family(F.col("type"), F.col("title")), text_functions.slug(F.col("title"))).alias("key"))
+    return adapters.observations(spark, sf_dir, live=True).select("id", text_functions.suggested_topic(F.col("type"), F.col("title"), F.col("content")).alias("key"))
 
 
 @register("token_estimates", query("SELECT id, CAST(greatest(floor(strlen(content) / 4), 1) AS BIGINT) AS tokens, strlen(content) >= 102400 AS external FROM live", LIVE))
@@ -771,7 +786,7 @@ def search_feedback(spark, sf_dir):
     return lookup.feedback_stats(e.select(F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("query"), F.col("event_id").alias("observation_id"), (F.col("event_id") % 10 + 1).alias("rank_position")))
 
 
-@register("entity_lookup", query("SELECT page_id AS id, v AS value FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, 'https?://[A-Za-z0-9./_?=&%#:-]+'))) AS v FROM pages) WHERE contains(lower(v), '.org/')"))
+@register("entity_lookup", query(r"""SELECT page_id AS id, v AS value FROM (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(url, 'https?://[^\s"''>)\]]+'), lambda x: rtrim(x, '.,;:!?)')))) AS v FROM pages) WHERE contains(lower(v), '.org/')"""))
 def entity_lookup(spark, sf_dir):
     from ..operators import lookup
 

@@ -14,12 +14,13 @@ IMPORTANCE = """importance AS (SELECT l_partkey AS observation_id, access_count
  FROM (SELECT l_partkey, count(*) AS access_count, max(l_shipdate) AS last_accessed FROM lineitem GROUP BY l_partkey))"""
 EDGES = """edges AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS from_id, l_partkey AS to_id,
  list_extract(['references','relates_to','follows','supersedes','contradicts'], CAST(l_linenumber % 5 + 1 AS INTEGER)) AS relation, least(greatest(l_quantity / 5, 0.0), 10.0) AS weight,
+ CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(l_linenumber * 7 % 5 AS INTEGER)) AS created_at, CASE WHEN l_linenumber < 6 THEN l_linenumber % 2 END AS evolution_id,
  o_orderdate AS valid_from, CASE WHEN l_shipdate > o_orderdate THEN l_shipdate END AS invalid_at, CASE WHEN l_returnflag = 'R' AND l_shipdate > o_orderdate THEN l_shipdate END AS valid_until,
  CASE l_returnflag WHEN 'R' THEN 'superseded' WHEN 'A' THEN 'deprecated' ELSE 'current' END AS fact_state FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 GRAPH = """nodes AS (SELECT 'r:' || r_regionkey AS id, r_name AS label, 'region' AS kind FROM region UNION ALL SELECT 'n:' || n_nationkey, n_name, 'nation' FROM nation
- UNION ALL SELECT 's:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'c:' || c_custkey, c_name, 'customer' FROM customer WHERE c_custkey % 3 = 0),
+ UNION ALL SELECT 's:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'c:' || c_custkey, c_name, 'customer' FROM customer),
 links AS (SELECT 'n:' || n_nationkey AS source, 'r:' || n_regionkey AS target, 'belongs' AS type, 1.0 AS weight FROM nation UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'uses', 2.0 FROM supplier
- UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'calls', 1.0 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0)"""
+ UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'calls', 1.0 FROM customer)"""
 
 
 def query(body: str, *parts: str) -> str:

@@ -70,6 +70,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = F.when(F.col("l_shipdate") > F.col("o_orderdate"), F.col("l_shipdate").cast("timestamp"))
     return l.join(o, l.l_orderkey == o.o_orderkey).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("o_custkey").alias("from_id"), F.col("l_partkey").alias("to_id"), relation.alias("relation"), F.least(F.greatest(F.col("l_quantity") / 5, F.lit(0.0)), F.lit(10.0)).alias("weight"),
+        F.date_add(F.col("o_orderdate").cast("date"), (F.col("l_linenumber") * 7 % 5).cast("int")).cast("timestamp").alias("created_at"), F.when(F.col("l_linenumber") < 6, F.col("l_linenumber") % 2).cast("long").alias("evolution_id"),
         F.col("o_orderdate").cast("timestamp").alias("valid_from"), ended.alias("invalid_at"), F.when(F.col("l_returnflag") == "R", ended).alias("valid_until"), F.when(F.col("l_returnflag") == "R", "superseded").when(F.col("l_returnflag") == "A", "deprecated").otherwise("current").alias("fact_state"),
     )
 
@@ -81,7 +82,7 @@ RELATIONS = ["references", "relates_to", "follows", "supersedes", "contradicts"]
 def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a sparse graph: nation of each supplier and region of each nation, and neighbours by number."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    c = table(spark, sf_dir, "customer")
     key = lambda p, x: F.concat(F.lit(p + ":"), F.col(x).cast("string"))
     nodes = (
         r.select(key("r", "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("region").alias("kind"))
@@ -92,6 +93,6 @@ def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     links = (
         n.select(key("n", "n_nationkey").alias("source"), key("r", "n_regionkey").alias("target"), F.lit("belongs").alias("type"), F.lit(1.0).alias("weight"))
         .unionByName(s.select(key("s", "s_suppkey").alias("source"), key("n", "s_nationkey").alias("target"), F.lit("uses").alias("type"), F.lit(2.0).alias("weight")))
-        .unionByName(c.where("c_custkey % 2 = 0").select(key("c", "c_custkey").alias("source"), key("n", "c_nationkey").alias("target"), F.lit("calls").alias("type"), F.lit(1.0).alias("weight")))
+        .unionByName(c.select(key("c", "c_custkey").alias("source"), key("n", "c_nationkey").alias("target"), F.lit("calls").alias("type"), F.lit(1.0).alias("weight")))
     )
-    return nodes, links
+    return nodes.withColumn("source_file", F.concat("kind", F.lit(".tbl"))), links

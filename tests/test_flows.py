@@ -99,7 +99,7 @@ def test_facade(store):
 
 def test_adaptive(spark, store):
     asked = adaptive.queries(spark.createDataFrame([(0, "the"), (1, "overview of the thing"), (2, "how that relates"), (3, "qqzz wwxx yyvv")], "qid long, text string"))
-    assert {r.qid: r.tier for r in asked.collect()} == {1: "global", 2: "multi_hop", 3: "semantic"}
+    assert {r.qid: r.tier for r in asked.collect()} == {1: "architectural_global", 2: "multi_hop_graph", 3: "semantic_hybrid"}
     hits = spark.createDataFrame([(1, 1, 0.5, 1), (2, 3, 0.9, 1), (2, 4, 0.4, 2)], "qid long, id long, score double, position int")
     nodes = spark.createDataFrame([("obs:3", "x", "k"), ("obs:4", "y", "k")], "id string, label string, kind string")
     edges = spark.createDataFrame([("obs:3", "obs:4", "uses", 1.0)], "source string, target string, type string, weight double")

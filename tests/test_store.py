@@ -19,7 +19,7 @@ def test_rrf(spark):
     assert got == [(10, round(1 / 61 + 1 / 62, 9)), (20, round(1 / 61 + 1 / 62, 9)), (30, round(1 / 63, 9))]
 
 
-@pytest.mark.parametrize(("kind", "days", "accesses", "hours", "edges", "want"), [("decision", 2, 5, 1, 3, 2.58), ("bugfix", 30, 0, 48, 0, 0.5), ("manual", 1, 15, 0.5, 0, 1.99), ("pattern", 0, 0, 0, 10, 2.2), ("config", 365, 0, 8760, 0, 0.1)])
+@pytest.mark.parametrize(("kind", "days", "accesses", "hours", "edges", "want"), [("decision", 2, 5, 1, 3, 2.58), ("bugfix", 30, 0, 48, 0, 0.5), ("manual", 1, 15, 0.5, 0, 1.99), ("pattern", 0, 0, 0, 10, 2.2), ("config", 365, 0, 8760, 0, 0.1), ("discovery", 0, 0, 48, 0, 0.65)])
 def test_importance(spark, kind, days, accesses, hours, edges, want):
     now = ts("2025-06-15 12:00:00")
     past = lambda h: F.timestamp_micros(F.unix_micros(now) - F.lit(int(h * 3_600_000_000)))
@@ -28,9 +28,9 @@ def test_importance(spark, kind, days, accesses, hours, edges, want):
 
 
 def test_time_ranges(spark):
-    rows = spark.createDataFrame([("notes from March 2024",), ("plan for tomorrow",), ("nothing",)], "t string")
+    rows = spark.createDataFrame([("notes from March 2024",), ("plan for tomorrow",), ("nothing",), ("March of 2024",), ("in 2024-13-01, year 2024",), ("tomorrow, not today",)], "t string")
     got = [(str(r.r.low), str(r.r.high)) if r.r else None for r in rows.select(timerange.time_range(F.col("t"), ts("2025-06-15 12:30:00")).alias("r")).collect()]
-    assert got == [("2024-03-01 00:00:00", "2024-04-01 00:00:00"), ("2025-06-16 00:00:00", "2025-06-17 00:00:00"), None]
+    assert got == [("2024-03-01 00:00:00", "2024-04-01 00:00:00"), ("2025-06-16 00:00:00", "2025-06-17 00:00:00"), None, ("2024-03-01 00:00:00", "2024-04-01 00:00:00"), ("2024-01-01 00:00:00", "2025-01-01 00:00:00"), ("2025-06-16 00:00:00", "2025-06-17 00:00:00")]
 
 
 @pytest.mark.parametrize(("total", "matching", "plan"), [(800, 100, "exact"), (799, 100, "constrained"), (8, 1, "exact"), (7, 1, "constrained"), (32768, 4096, "exact"), (40000, 4097, "constrained"), (100, 0, "none")])
@@ -110,10 +110,10 @@ def test_text():
 
 
 def test_text_columns(spark):
-    row = spark.createDataFrame([("Fix the DB config: see https://x.example/a v1.2.3 --dry-run", "teh db repo")], "t string, q string")
+    row = spark.createDataFrame([("Fix the DB config: see https://x.example/a v1.2.3 --dry-run", "¿ase deploy, config?")], "t string, q string")
     got = row.select(text.entities(F.col("t")).alias("e"), text.expanded_query(F.col("q")).alias("x"), text.sanitised(F.lit('a-b "c" (d)*')).alias("s"), text.slug(F.col("t")).alias("k"), text.redact(F.lit("a<private>b</private>")).alias("r"), text.canonical_entity(F.lit("url"), F.lit("Ａ B/c")).alias("c")).first()
-    assert {(e.kind, e.value) for e in got.e} == {("url", "https://x.example/a"), ("version", "v1.2.3"), ("cli_flag", "--dry-run")}
-    assert got.x == "the (db or database) (repo or repository)"
+    assert {(e.kind, e.value) for e in got.e} == {("url", "https://x.example/a"), ("version", "1.2.3"), ("cli_flag", "--dry-run")}
+    assert got.x == "hace or deploy or despliegue or publicación or config or configuración or settings"
     assert got.s == "a AND b AND 'c' AND d"
     assert got.r.text == "a[REDACTED]" and got.c == "url:ab/c"
 
