@@ -27,12 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark's own setting by which a query's shuffle files go as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation.
+
+    Once it is written, nothing needs the shuffle files of the plan, so they are removed with the query."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     settle(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
