@@ -348,6 +348,52 @@ def test_html(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_marks():
+    """An element that holds the article stays whatever its marks, and so do an article's own parts."""
+    text = "A long enough sentence that stands for the article of this page and says nothing else."
+    cases = [
+        (f'<body class="nav"><div class="has-sidebar"><article><p>{text}</article></div></body>', text),
+        (f'<div class="sidebar"><article><p>{text}</article></div><div class="sidebar">links</div>', text),
+        (f'<div class="post widget"><div class="comments"><p>{text}</div></div><div class="comments">nice</div>', text),
+        (f'<article><p>{text}<div class="search-history"><p>History of search</div><p class="notice">Mind the gap</article>', f"{text}\n\nHistory of search\n\nMind the gap"),
+        (f'<article><p>{text}<p class="ad">Buy</p><div class="cookie-notice">ok?</div><div class="share-buttons">x</div></article>', text),
+    ]
+    for page, want in cases:
+        assert htmltext.extract([htmltext.Page(page)]) == [want]
+
+
+def test_html_nested_classes():
+    """Rows of a menu and labels of repeated blocks go, without any marks, by the classes that nest in the template."""
+    def page(k):
+        menu = "".join(f"<li><a href=/{k}{j}>Link{k}x{j}</a></li>" for j in range(k + 2))
+        blocks = "".join(f"<section><h4>Step</h4><p>Part {j} of page {k} tells its own story at some length, with words enough to be no label at all.</p></section>" for j in range(k % 3 + 1))
+        return f"<html><body><div id=b><ul>{menu}</ul><h1>Title {k}</h1>{blocks}</div></body></html>"
+
+    pages = [htmltext.Page(page(k)) for k in range(6)]
+    template = htmltext.Template(pages)
+    assert template.menus and {"<section>", "<h4>"} <= set(template.nested)
+    for k, text in enumerate(htmltext.extract(pages)):
+        assert text == "\n\n".join([f"Title {k}", *(f"Part {j} of page {k} tells its own story at some length, with words enough to be no label at all." for j in range(k % 3 + 1))])
+
+
+def test_html_groups(spark):
+    """Texts don't depend on the partitions; a host's last pages join the group before, and hosts with many pages are dealt in parts."""
+    rows = [(k, f"http://{host}/{k}", f"<body><div><p>Some banner of {host}</p><p>Page {k} of {host} has a text of its own and no two are the same.</p></div></body>") for host, n in (("a", 65), ("b", 33), ("c", 300), ("d", 2)) for k in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    old, htmltext.PART_PAGES = htmltext.PART_PAGES, 100
+    try:
+        got = []
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, htmltext.main_text(pages.repartition(n)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        htmltext.PART_PAGES = old
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert all(("banner" in text) == ("//d/" in url) for _, url, text, _ in got[0])
+
+
 def test_template_classes():
     pages = [htmltext.Page(PAGE.format(body=f"<main><p>text {k}</p></main>" + "<i>x</i>" * k)) for k in range(1, 6)]
     found = htmltext.classes(pages)
