@@ -10,9 +10,9 @@ root and, within it, in the nested classes around it. Text that says the same in
 occurrence of a nested class, is template too; a nested class whose slots hold links only is a menu. The main element
 is the innermost element of the root template that holds most of the remaining text; what is left in its slots, without
 menus, notices and the like, is the text. Names of elements and their marks (class, id, role) decide only where
-structure can't: comments and adverts vary from page to page as the article does. An element that holds the article or
-most of the page's text never goes by its marks, and paragraphs, headings and list items of an article go by marks of
-adverts only. Pages without two fellows fall back on their own elements.
+structure can't: comments and adverts vary from page to page as the article does. An element that holds the article or,
+on pages without an article element, most of the text never goes by its marks, and paragraphs, headings and list items
+of an article go by marks of adverts only. Pages without two fellows fall back on their own elements.
 
 Defined results: a null or empty page gives an empty text; unclosed and stray tags are tolerated; line breaks count
 as white space; repeated rows give one result each; an empty table gives an empty result; further columns are ignored.
@@ -293,9 +293,10 @@ def _beside(page: Page) -> list[bool]:
     for e in range(len(names) - 1, -1, -1):  # what holds an article counts as one
         if article[e] and page.elements[e][2] >= 0 and not hidden[e]:
             article[page.elements[e][2]] = True
+    most = 0 if any(a and not h for a, h in zip(article, hidden, strict=True)) else 2
     out = [False] * len(names)
     for e, (name, _, up) in enumerate(page.elements):
-        kept = name not in ASIDE and (article[e] or 2 * size[e] > total)
+        kept = name not in ASIDE and (article[e] or most * size[e] > total)
         out[e] = up >= 0 and out[up] or not kept and page.aside(e, inside[e])
     return out
 

@@ -356,6 +356,7 @@ def test_html_marks():
         (f'<div class="sidebar"><article><p>{text}</article></div><div class="sidebar">links</div>', text),
         (f'<div class="post widget"><div class="comments"><p>{text}</div></div><div class="comments">nice</div>', text),
         (f'<article><p>{text}<div class="search-history"><p>History of search</div><p class="notice">Mind the gap</article>', f"{text}\n\nHistory of search\n\nMind the gap"),
+        (f'<div class="ad">{text} {text}</div><article><p>{text}</article>', text),
         (f'<article><p>{text}<p class="ad">Buy</p><div class="cookie-notice">ok?</div><div class="share-buttons">x</div></article>', text),
     ]
     for page, want in cases:
