@@ -33,7 +33,7 @@ from .common import slices
 
 GROUP_PAGES = 32
 #: A host with more pages than PART_PAGES, and than one in HOT_HOSTS of all, is dealt in parts of about that size.
-PART_PAGES, HOT_HOSTS = 1024, 1 << 16
+PART_PAGES, HOT_HOSTS = 256, 1 << 16
 LEAST_PAGES = 3
 #: Share of the text that the main element must hold.
 MAIN_SHARE = 0.6
