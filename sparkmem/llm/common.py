@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, behind as many underscores as it takes not to clash with those taken (case doesn't count)."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     sc = spark.sparkContext

@@ -11,7 +11,8 @@ Alignments are made on the input, not on what other deletions leave.
 
 Defined results: a null text stays null with no lines; blank lines are never compared and go only inside a
 deleted block; rows with a null id are neither changed nor used; rows with equal ids don't reduce each other;
-repeated rows give one result each; an empty table gives an empty result; further columns are ignored.
+repeated rows give one result each; an empty table gives an empty result; further columns are kept, and where one
+bears the name of an added column, the added one takes an underscore more.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, mix, slices, texts_of
+from .common import cut, free, mix, slices, texts_of
 
 MIN_WORDS = 10
 #: Holders up to which a line counts as rare.
 RARE = 8
-ROW, RANGES = "__line_row", "__line_ranges"
+#: Columns that are added: lines, lines removed, runs of removed lines.
+ADDED = ("_n_lines", "_n_removed", "_n_blocks")
 
 
 def line_keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -251,15 +254,17 @@ def line_dedup(documents: DataFrame, *, min_words: int = MIN_WORDS, id_col: str
     ranges = cut(sides.mapInArrow(align, "row long, lo int, hi int").groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
 
     schema = documents.schema
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _n_lines long, _n_removed long, _n_blocks long"
+    added = [free(x, schema.names) for x in ADDED]
+    own_row, own_ranges = free("line_row", schema.names), free("line_ranges", schema.names)
+    full = StructType([*schema.fields, *(StructField(x, LongType()) for x in added)])
 
     def reduce(batches):
         for batch in slices(batches):
-            texts, found = batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(RANGES).to_pylist()
+            texts, found = batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(own_ranges).to_pylist()
             done = [(None, 0, 0) if t is None else (t, 0, 0) if not r else remove(t, [(x["lo"], x["hi"]) for x in r]) for t, r in zip(texts, found, strict=True)]
             n = [0 if t is None else t.count(b"\n") + 1 for t in texts]
             own = [pa.array([None if t is None else t.decode() for t, _, _ in done], pa.string()) if f.name == text_col else batch.column(f.name) for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array([x for _, x, _ in done], pa.int64()), pa.array([x for _, _, x in done], pa.int64())], names=[*schema.names, "_n_lines", "_n_removed", "_n_blocks"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array([x for _, x, _ in done], pa.int64()), pa.array([x for _, _, x in done], pa.int64())], names=[*schema.names, *added])
 
-    marked = documents.withColumn(ROW, row).join(ranges.withColumnsRenamed({"row": ROW, "ranges": RANGES}).hint("merge"), ROW, "left").drop(ROW)
+    marked = documents.withColumn(own_row, row).join(ranges.withColumnsRenamed({"row": own_row, "ranges": own_ranges}).hint("merge"), own_row, "left").drop(own_row)
     return marked.mapInArrow(reduce, full)
