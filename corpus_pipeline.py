@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmem.llm.catalogue import PACKING_VOCABULARY, vocabulary
-from sparkmem.llm.common import cut, table
+from sparkmem.llm.common import cut, free, table
 from sparkmem.llm.decontaminate import decontaminate
 from sparkmem.llm.jaccard import jaccard_groups
 from sparkmem.llm.langid import fit, predict
@@ -19,19 +19,25 @@ LANGUAGE_SHARE = 0.4
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
+def _held(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns that pass an operator, so that none clashes with what it adds."""
+    return {x: f"held_{i}" for i, x in enumerate(docs.columns) if x not in ("doc_id", "text")}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that are mostly in one language, their lang set to it; the others go."""
-    found = predict(docs, fit(docs), carry=tuple(x for x in docs.columns if x != "doc_id"))
+    held = _held(docs)
+    found = predict(docs.withColumnsRenamed(held), fit(docs), carry=("text", *held.values()))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(*(F.col("lang_pred" if x == "lang" else held.get(x, x)).alias(x) for x in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; those with nothing left go."""
-    found = line_dedup(docs)
+    found, removed = line_dedup(docs), free("_n_removed", docs.columns)
     left = F.trim(F.regexp_replace("text", r"\s+", " ")) != ""
-    reduced = found.where((F.col("_n_removed") == 0) | left)
-    size = F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    reduced = found.where((F.col(removed) == 0) | left)
+    size = F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return (reduced if size is None else reduced.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
@@ -45,8 +51,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=tuple(x for x in docs.columns if x != "doc_id"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    held = _held(docs)
+    found = decontaminate(docs.withColumnsRenamed(held), table(spark, sf_dir, "benchmark"), carry=("text", *held.values()))
+    return found.where(~F.col("contaminated")).select(*(F.col(held.get(x, x)).alias(x) for x in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
