@@ -478,8 +478,10 @@ def test_pipeline(spark, docs):
         kept = stage(spark, kept, SF)
         assert kept.columns == real.columns, name
     assert before * 0.8 <= kept.count() < before
-    few = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    few = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "score", "row", F.lit("a").alias("_N_removed"), F.lit("b").alias("line_row"), F.lit("c").alias("contaminated"), F.lit("d").alias("key"), F.lit("e").alias("component_id"))
     for frame in (few, few.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = frame
             frame = stage(spark, frame, SF)
+            assert frame.schema.names == before.schema.names and frame.where("_N_removed <> 'a' or line_row <> 'b' or contaminated <> 'c' or key <> 'd' or component_id <> 'e'").isEmpty()
         corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
