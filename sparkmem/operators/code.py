@@ -174,8 +174,12 @@ def search_symbols(syms: DataFrame, text: str, *, regex: bool = False, kind: str
     return out.orderBy(F.desc("score"), "name", "file").limit(limit)
 
 
+# Endings of test files by language, of names in lower case.
+TEST_FILES = [r"_test\.go$", r"(^|/)test_[^/]*\.py$", r"_test\.py$", r"\.(test|spec)\.[jt]sx?$", r"tests?\.(java|kt|cs)$", r"/tests/.*\.rs$"]
+
+
 def is_test_file(path: Column) -> Column:
-    return path.rlike(r"(_test\.(go|py|rb)|(^|/)test_[^/]+\.py|\.(test|spec)\.[jt]sx?|Tests?\.(java|kt|cs|swift)|(^|/)tests?/[^/]+\.(rs|php|rb))$")
+    return F.lower(F.translate(path, "\\", "/")).rlike("|".join(TEST_FILES))
 
 
 def hubs(syms: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
@@ -194,11 +198,18 @@ def package_cohesion(syms: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def targets(syms: DataFrame, wanted: DataFrame) -> DataFrame:
-    """root for each wanted name (target): symbols of the file, path ending, id, name, or name without case; the first rule that meets any."""
-    rules = [F.col("file") == F.col("target"), F.endswith("file", F.concat(F.lit("/"), F.col("target"))), F.col("id") == F.col("target"), F.col("name") == F.col("target"), F.lower("name") == F.lower("target")]
-    rule = F.coalesce(*(F.when(r, i) for i, r in enumerate(rules)))
-    met = syms.join(wanted, F.coalesce(rule, F.lit(-1)) >= 0).withColumn("rule", rule)
-    return met.withColumn("best", F.min("rule").over(Window.partitionBy("target"))).where("rule = best").select("target", F.col("id").alias("root"))
+    """target, rule, root for each wanted name: symbols of the file (0), path ending (1), id (2), name (3), or id or name without case (4); the first rule that meets any."""
+    want = wanted.select("target").distinct().withColumn("path", F.translate(F.trim("target"), "\\", "/"))
+    parts = F.split("file", "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.when(i == 1, 0).otherwise(1).alias("rule"), F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("path")))
+    files = syms.select("file").where("file != ''").distinct().select("file", F.explode(endings).alias("e")).select("file", "e.*")
+    by_file = files.join(want, "path").join(syms.select("file", F.col("id").alias("root")), "file").select("target", "rule", "root")
+    keys = lambda a, b, c, d: F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), x.alias("key")) for r, x in ((2, a), (3, b), (4, c), (4, d)))))
+    i, n, t = F.col("id"), F.col("name"), F.trim("target")
+    own = syms.select(i.alias("root"), keys(i, n, F.lower(i), F.lower(n)).alias("k")).select("root", "k.*").distinct()
+    asked = want.select("target", keys(t, t, F.lower(t), F.lower(t)).alias("k")).select("target", "k.*").distinct()
+    met = by_file.unionByName(own.join(asked, ["rule", "key"]).select("target", "rule", "root"))
+    return met.join(met.groupBy("target").agg(F.min("rule").alias("rule")), ["target", "rule"]).select("target", "rule", "root").distinct()
 
 
 def blast_radius(syms: DataFrame, edges: DataFrame, wanted: DataFrame, hops: int = 3) -> DataFrame:
@@ -225,3 +236,38 @@ def repo_map(syms: DataFrame, edges: DataFrame, budget_tokens: int = 2000) -> Da
     text = F.concat_ws("\n", "file", "s")
     size = F.sum(F.octet_length(text) / 4).over(Window.orderBy(F.desc("w"), "file").rowsBetween(Window.unboundedPreceding, 0))  # one row a file
     return per.withColumn("text", text).withColumn("used", size).where(F.col("used") <= budget_tokens).select("file", "text")
+
+
+def cross_file_cycles(syms: DataFrame, edges: DataFrame, limit: int = 10, longest: int = 8) -> DataFrame:
+    """name, files, path of cycles of symbols in more than one file, the shortest first; the path ends where it begins."""
+    found = graph.cycles(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), longest)
+    nodes = found.select("cycle", "length", F.posexplode("cycle").alias("n", "id")).join(syms.select("id", "name", "file"), "id", "left")
+    shown = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("id"))
+    per = nodes.groupBy("cycle", "length").agg(F.sort_array(F.collect_set(F.nullif(F.col("file"), F.lit("")))).alias("files"), F.transform(F.sort_array(F.collect_list(F.struct("n", shown.alias("name")))), lambda x: x["name"]).alias("names"))  # as many rows as a cycle has nodes
+    path = F.concat("names", F.slice("names", 1, 1))
+    return per.where(F.size("files") > 1).orderBy("length", "cycle").limit(limit).select(F.array_join(path, " -> ").alias("name"), "files", path.alias("path"))
+
+
+def blast_report(syms: DataFrame, edges: DataFrame, wanted: DataFrame, hops: int = 3) -> DataFrame:
+    """target, kind (file, symbol, unknown), direct, impacted, files, pct of all symbols, and the number of cross-file cycles that touch it."""
+    roots = targets(syms, wanted)
+    near = blast_radius(syms, edges, wanted, hops).join(syms.select("id", "file"), "id", "left")
+    file = F.nullif(F.col("file"), F.lit(""))
+    counts = near.groupBy("target").agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("impacted"), F.count_distinct(file).alias("files"))
+    touched = near.select("target", "file").unionByName(roots.join(syms.select(F.col("id").alias("root"), "file"), "root").select("target", "file")).distinct()
+    met = cross_file_cycles(syms, edges).select("name", F.explode("files").alias("file")).join(touched, "file").groupBy("target").agg(F.count_distinct("name").alias("cycles"))
+    kind = roots.groupBy("target").agg(F.when(F.min("rule") <= 1, "file").otherwise("symbol").alias("kind"))
+    out = wanted.select("target").distinct().join(kind, "target", "left").join(counts, "target", "left").join(met, "target", "left").crossJoin(F.broadcast(syms.agg(F.count("*").alias("all"))))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    pct = F.when(F.col("all") > 0, F.round(F.coalesce("impacted", F.lit(0)) / F.col("all") * 100, 2)).otherwise(0.0)
+    return out.select("target", F.coalesce("kind", F.lit("unknown")).alias("kind"), zero("direct"), zero("impacted"), zero("files"), pct.alias("pct"), zero("cycles"))
+
+
+def list_symbols(syms: DataFrame, *, kind: str | None = None, file: str | None = None, name: str | None = None, limit: int = 50) -> DataFrame:
+    for column, value in (("kind", kind), ("file", file), ("name", name)):
+        syms = syms if value is None else syms.where(F.col(column) == value)
+    return syms.orderBy("file", "line", "id").limit(limit)
+
+
+def symbol_counts(syms: DataFrame) -> DataFrame:
+    return syms.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))

@@ -4,10 +4,13 @@ Queries are a DataFrame (qid, terms array); all of them run as one job. Ids are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, sentences, terms
+from .temporal import valid_at
 
 # Weight of each indexed column.
 WEIGHTS = {"title": 1.0, "content": 2.0, "type": 0.5, "project": 0.5, "scope": 0.5, "topic_key": 0.5}
@@ -27,9 +30,9 @@ class Index:
         return self
 
 
-def build(df: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "id") -> Index:
-    """Analyse the columns of live rows once and count each term by row and column weight."""
-    fields = F.array(*(F.struct(F.lit(w).alias("w"), terms(F.coalesce(c, F.lit(""))).alias("t")) for c, w in weights.items()))
+def build(df: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "id", analyser: Callable[[Column], Column] = terms) -> Index:
+    """Analyse the columns of live rows once and count each term by row and column weight; queries need the same analyser."""
+    fields = F.array(*(F.struct(F.lit(w).alias("w"), analyser(F.coalesce(c, F.lit(""))).alias("t")) for c, w in weights.items()))
     length = F.aggregate("f", F.lit(0), lambda s, x: s + F.size(x["t"])).cast("long")
     analysed = df.select(F.col(id_col).alias("id"), fields.alias("f")).withColumn("length", length)
     words = analysed.select("id", "length", F.explode("f").alias("f")).select("id", "length", F.col("f.w").alias("w"), F.explode("f.t").alias("term"))
@@ -116,7 +119,13 @@ def relaxed(index: Index, queries: DataFrame, limit: int) -> DataFrame:
 
 def neighbours(hits: DataFrame, edges: DataFrame, *, top: int = 5, dead: tuple[str, ...] = ("deprecated", "superseded")) -> DataFrame:
     """qid, id: neighbours of the first hits over live edges, both ways, without the hits themselves."""
-    live = edges.where(~F.col("fact_state").isin(*dead)).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    live = (edges.where(~F.col("fact_state").isin(*dead)) if dead else edges).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = hits.where(F.col("position") <= top).join(both, hits["id"] == both["a"]).select("qid", F.col("b").alias("id")).distinct()
     return near.join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+
+
+def temporal_neighbours(hits: DataFrame, facts: DataFrame, obs: DataFrame, at: Column, *, top: int = 5) -> DataFrame:
+    """qid, id: live neighbours of the first hits over facts valid at a time, created by then."""
+    near = neighbours(hits, valid_at(facts, at), top=top, dead=())
+    return near.join(obs.where(F.col("deleted_at").isNull() & (F.col("created_at") <= at)).select("id"), "id", "left_semi").select("qid", "id")

@@ -14,19 +14,29 @@ from pyspark.sql import types as T
 from ..functions.text import first_line
 from .relational import live, rule_like
 
-# Items of each type in a project profile.
-PROFILE = {"decision": 10, "pattern": 10, "bugfix": 8, "config": 8, "discovery": 5}
+# Sections of a project profile in their order, as type, heading, most items, whether they show a score and a first line.
+PROFILE = [("decision", "Key Decisions", 10, True, True), ("pattern", "Patterns & Conventions", 10, False, True), ("config", "Configuration & Stack", 8, False, False), ("bugfix", "Known Gotchas", 8, True, True), ("discovery", "Discoveries", 5, False, False)]
+BASE_SCORE, PROFILED = 0.5, 500
 
 
 def profile(obs: DataFrame, scores: DataFrame) -> DataFrame:
-    """project, profile: Markdown of the best rows of each type (score, then creation, then id, all falling)."""
-    joined = live(obs).join(scores.select(F.col("observation_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """project, profile: Markdown of the best rows of each type (score, then creation, then id, all falling) among a project's newest 500."""
+    newest = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id")))
+    own = live(obs).select("project", "type", "id", "created_at").withColumn("nth", newest).where(F.col("nth") <= PROFILED).drop("nth")
+    own = own.join(scores.select(F.col("observation_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(BASE_SCORE)))
     place = F.row_number().over(Window.partitionBy("project", "type").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id")))
-    most = F.coalesce(*(F.when(F.col("type") == k, n) for k, n in PROFILE.items()), F.lit(0))
-    kept = joined.withColumn("nth", place).where(F.col("nth") <= most)
-    sections = kept.groupBy("project", "type").agg(F.sort_array(F.collect_list(F.struct("nth", F.concat(F.lit("- "), first_line(F.col("title"))).alias("line")))).alias("items"))
-    text = F.concat_ws("\n", F.concat(F.lit("## "), "type"), F.array_join(F.transform("items", lambda x: x["line"]), "\n"))
-    return sections.groupBy("project").agg(F.array_join(F.sort_array(F.collect_list(text)), "\n\n").alias("profile"))
+    pick = lambda k: F.coalesce(*(F.when(F.col("type") == row[0], row[k]) for row in PROFILE))
+    kept = own.withColumn("place", place).where(F.col("place") <= pick(2)).join(obs.select("id", "title", "content"), "id")
+    first = first_line(F.coalesce("content", F.lit("")))
+    head = F.when(pick(4), F.concat(F.lit("- **"), F.coalesce("title", F.lit("")), F.lit("**"))).otherwise(F.concat(F.lit("- "), F.coalesce("title", F.lit(""))))
+    line = F.concat(head, F.when(pick(3), F.format_string(" (score: %.1f)", "score")).otherwise(""), F.when(pick(4) & (first != ""), F.concat(F.lit("\n  "), first)).otherwise(""))
+    items = kept.withColumn("line", line).groupBy("project", "type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))  # ten rows at most
+    order = F.coalesce(*(F.when(F.col("type") == row[0], i) for i, row in enumerate(PROFILE)))
+    sections = items.groupBy("project").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("at"), F.concat(F.lit("## "), pick(1), F.lit("\n\n"), "lines", F.lit("\n\n")).alias("text")))), lambda x: x["text"]), "").alias("sections"))
+    counts = own.groupBy("project", "type").agg(F.count("*").alias("n")).groupBy("project").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat("type", F.lit(": "), F.col("n").cast("string")))), ", ").alias("types"))
+    n = F.col("n").cast("string")
+    text = F.concat(F.lit("# Project DNA: "), "project", F.lit("\n\nAuto-generated from "), n, F.lit(" observations.\n\n"), F.coalesce("sections", F.lit("")), F.lit("---\n\n**Stats:** "), n, F.lit(" observations ("), "types", F.lit(")\n"))
+    return counts.join(sections, "project", "left").select("project", text.alias("profile"))
 
 
 def context_pack(obs: DataFrame, scores: DataFrame, budget_tokens: int = 2000) -> DataFrame:
@@ -77,5 +87,3 @@ def canonical_json(raw: pd.Series) -> pd.DataFrame:
         except (ValueError, TypeError) as fault:
             rows.append((None, None, str(fault)))
     return pd.DataFrame(rows, columns=["text", "digest", "error"])
-
-

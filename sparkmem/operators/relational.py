@@ -215,8 +215,31 @@ def within(df: DataFrame, low: object, high: object, stamp: str = "created_at")
 
 
 def merge_projects(df: DataFrame, sources: list[str], canonical: str) -> DataFrame:
-    """Rows of the named projects (in any case) under one name."""
-    return df.withColumn("project", F.when(F.lower("project").isin(*(s.lower() for s in sources)), canonical).otherwise(F.col("project")))
+    """Rows of the named projects (in any case) under one name, which is written in lower case."""
+    name, named = _merged(sources, canonical)
+    return df.withColumn("project", F.when(F.lower("project").isin(*named), name).otherwise(F.col("project"))) if named else df
+
+
+def _merged(sources: list[str], canonical: str) -> tuple[str, dict[str, str]]:
+    """The name to merge under, and the sources by their name in lower case, each once."""
+    name = canonical.strip().lower()
+    if not name:
+        raise ValueError("the canonical project must have a name")
+    named: dict[str, str] = {}
+    for s in (s.strip() for s in sources):
+        if s and s != name:
+            named.setdefault(s.lower(), s)
+    return name, named
+
+
+def merge_report(obs: DataFrame, sessions: DataFrame, sources: list[str], canonical: str) -> DataFrame:
+    """source, observations, sessions, matched: what merging each source would rename; sources without a row don't match."""
+    name, named = _merged(sources, canonical)
+    asked = obs.sparkSession.createDataFrame(list(named.items()), "folded string, source string")
+    rows = lambda df, n: df.where(F.col("project") != name).groupBy(F.lower("project").alias("folded")).agg(F.count("*").alias(n))
+    out = asked.join(rows(obs, "observations"), "folded", "left").join(rows(sessions, "sessions"), "folded", "left")
+    o, s = F.coalesce("observations", F.lit(0)), F.coalesce("sessions", F.lit(0))
+    return out.select("source", o.alias("observations"), s.alias("sessions"), (o + s > 0).alias("matched"))
 
 
 def metrics_rollup(metrics: DataFrame, *groups: str) -> DataFrame:
@@ -248,3 +271,42 @@ def health(metrics: DataFrame, slow_ms: float = 5000, failed_share: float = 0.1,
 def set_scores(a: Column, b: Column) -> dict[str, Column]:
     """Set equality and counts of an expected and a returned id list."""
     return {"hits": F.size(F.array_intersect(a, b)), "missing": F.size(F.array_except(a, b)), "extra": F.size(F.array_except(b, a)), "exact": (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)}
+
+
+def tags_of(json_text: Column) -> Column:
+    """The tags of a JSON array; none if it is empty or no such array."""
+    return F.coalesce(F.from_json(json_text, "array<string>"), F.array().cast("array<string>"))
+
+
+def tags_json(tags: Column) -> Column:
+    """Tags as a JSON array; an empty text without tags."""
+    return F.when(F.coalesce(F.size(tags), F.lit(0)) > 0, F.to_json(tags)).otherwise("")
+
+
+def type_counts(obs: DataFrame) -> DataFrame:
+    return live(obs).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def store_counts(obs: DataFrame, sessions: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: live observations, sessions, active and ended ones (ended_at), edges, distinct projects."""
+    o = live(obs).agg(F.count("*").alias("observations"), F.count_distinct("project").alias("projects"))
+    s = sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("ended_at").isNull()).alias("active"), F.count("ended_at").alias("ended"))
+    return o.crossJoin(s).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+def index_coverage(obs: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: live observations, indexed, pending, failed ones, and the indexed per cent. states: (id, state); without one, pending."""
+    state = F.coalesce("state", F.lit("pending"))
+    n = live(obs).select("id").join(states, "id", "left").agg(F.count("*").alias("total"), F.count_if(state == "indexed").alias("indexed"), F.count_if(state == "failed").alias("failed"))
+    pct = F.when(F.col("total") > 0, F.round(100 * F.col("indexed") / F.col("total"), 6)).otherwise(0.0)
+    return n.select("total", "indexed", (F.col("total") - F.col("indexed") - F.col("failed")).alias("pending"), "failed", pct.alias("pct"))
+
+
+def system_metrics(metrics: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """One row a session: operations, succeeded and failed ones, mean duration, over a time range with both ends."""
+    for end, rule in ((low, lambda t: t >= low), (high, lambda t: t <= high)):
+        metrics = metrics if end is None else metrics.where(rule(F.col("timestamp")))
+    total = [F.sum(c).alias(f"total_{c}") for c in ("memory_usage", "observation_count", "edge_count") if c in metrics.columns]
+    mean = [F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(f"avg_{c}") for c in ("query_complexity", "confidence_score") if c in metrics.columns]
+    good = F.coalesce("success", F.lit(False))
+    return metrics.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"), *total, *mean)

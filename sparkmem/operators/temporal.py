@@ -85,3 +85,51 @@ def revisions(snapshots: DataFrame, limit: int = 20) -> DataFrame:
 def one_current(facts: DataFrame, keys: tuple[str, ...] = ("to_id", "relation")) -> DataFrame:
     """Keys with more than one current fact."""
     return current(facts).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def usable(facts: DataFrame, at: Column | None = None) -> DataFrame:
+    """Edges that a traversal may take: the open, live ones, or those that were valid and known at a time."""
+    end = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("timestamp")
+    if at is None:
+        return facts.where(end("valid_until").isNull() & end("invalid_at").isNull() & ~F.col("fact_state").isin(*DEAD))
+    known = (end("tx_from").isNull() | (end("tx_from") <= at)) & (end("tx_until").isNull() | (at < end("tx_until")))
+    return valid_at(facts, at).where(known)
+
+
+def scoped_related(facts: DataFrame, obs: DataFrame, roots: DataFrame, depth: int = 1, *, at: Column | None = None, tenant: str = "", workspace: str = "", project: str = "", most: int = 1000) -> DataFrame:
+    """root, id, hop of live observations within 1 to 10 steps, both ways, nearest first and then newest, at most so many a root.
+
+    Both ends of each edge taken, and the edge itself where it has the column, are of the tenant, workspace and project; empty names don't restrict."""
+    from .graph import adjacency, khop
+
+    inside = obs
+    for column, value in (("tenant", tenant), ("workspace", workspace), ("project", project)):
+        if value:
+            inside = inside.where(F.col(column) == value)
+            if column != "project" and column in facts.columns:
+                facts = facts.where(F.col(column) == value)
+    own = usable(facts, at)
+    for end in ("from_id", "to_id"):
+        own = own.join(inside.select(F.col("id").alias(end)), end, "left_semi")
+    near = khop(adjacency(own, "from_id", "to_id"), roots, max(1, min(depth, 10))).where("hop > 0")
+    found = near.join(inside.where("deleted_at is null").select("id", "created_at"), "id")
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("hop", F.desc("created_at"), "id"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= max(1, min(most, 10_000))).select("root", "id", "hop")
+
+
+def snapshots(df: DataFrame, *, low: Column | None = None, high: Column | None = None, key: str | None = None, root: object = None) -> DataFrame:
+    """Snapshots in a time range (both ends included), of a key, or of a root, newest first."""
+    if low is not None:
+        df = df.where(F.col("timestamp") >= low)
+    if high is not None:
+        df = df.where(F.col("timestamp") <= high)
+    if key is not None:
+        df = df.where(F.col("snapshot_key") == key)
+    if root is not None:
+        df = df.where(F.col("root_observation_id") == root)
+    return df.orderBy(F.desc("timestamp"), F.desc("id"))
+
+
+def contradictions_between(facts: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Contradicting facts created in a time range, both ends included, newest first."""
+    return facts.where((F.col("relation") == "contradicts") & F.col("created_at").between(low, high)).orderBy(F.desc("created_at"), F.desc("id"))

@@ -200,3 +200,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = 10
 
 def best_per_id(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "id").agg(F.max("score").alias("score"))
+
+
+def first_of(hits: DataFrame, limit: int) -> DataFrame:
+    """The best hits of each query, their positions counted anew."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("position", place).where(F.col("position") <= limit)

@@ -791,3 +791,82 @@ def entity_lookup(spark, sf_dir):
 
     p = adapters.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.lit("").alias("content"))
     return lookup.find_entities(lookup.entity_links(p), kind="url", pattern="%.org/%").select("id", "value")
+
+
+@register("scoped_related", "WITH RECURSIVE " + query("""SELECT root, w.id, hop FROM (SELECT root, id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY root, id) w JOIN live ON live.id = w.id WHERE hop > 0""", LIVE, EDGES,
+ "held AS (SELECT from_id, to_id FROM edges WHERE valid_from <= TIMESTAMP '1996-06-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1996-06-01') AND from_id IN (SELECT id FROM obs) AND to_id IN (SELECT id FROM obs))",
+ "sides AS (SELECT from_id AS a, to_id AS b FROM held UNION SELECT to_id, from_id FROM held)", "walk AS (SELECT id AS root, id, 0 AS hop FROM obs UNION SELECT root, b, hop + 1 FROM walk JOIN sides ON a = walk.id WHERE hop < 2)")[5:])
+def scoped_related(spark, sf_dir):
+    obs = adapters.observations(spark, sf_dir)
+    return temporal.scoped_related(adapters.edges(spark, sf_dir), obs, obs.select(F.col("id").alias("root")), 2, at=F.lit("1996-06-01").cast("timestamp"), most=10_000)
+
+
+@register("temporal_neighbors", query("""SELECT DISTINCT h.qid, n.b AS id FROM ranked h JOIN (SELECT from_id AS a, to_id AS b FROM held UNION ALL SELECT to_id, from_id FROM held) n ON n.a = h.id
+ JOIN live ON live.id = n.b WHERE h.position <= 5 AND live.created_at - INTERVAL 28 YEAR <= TIMESTAMP '1996-09-01' AND NOT EXISTS (SELECT 1 FROM ranked k WHERE k.qid = h.qid AND k.id = n.b)""", LIVE, ASKED, BM25, EDGES,
+ "held AS (SELECT * FROM edges WHERE valid_from <= TIMESTAMP '1996-09-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1996-09-01'))"))
+def temporal_neighbors(spark, sf_dir):
+    hits, _, live = _ranked(spark, sf_dir)
+    then = live.withColumn("created_at", F.col("created_at") - F.expr("interval 28 years"))
+    return lexical.temporal_neighbours(hits, adapters.edges(spark, sf_dir), then, F.lit("1996-09-01").cast("timestamp"))
+
+
+@register("snapshots_in_range", query("SELECT o_orderkey AS id, o_custkey AS root_observation_id, CAST(o_orderdate AS TIMESTAMP) AS timestamp FROM orders WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'"))
+def snapshots_in_range(spark, sf_dir):
+    taken = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("root_observation_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
+    return temporal.snapshots(taken, low=F.lit("1996-01-01").cast("timestamp"), high=F.lit("1996-06-30").cast("timestamp"))
+
+
+@register("contradictions_in_range", query("SELECT id, from_id, to_id, created_at FROM edges WHERE relation = 'contradicts' AND created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'", EDGES))
+def contradictions_in_range(spark, sf_dir):
+    found = temporal.contradictions_between(adapters.edges(spark, sf_dir), F.lit("1996-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp"))
+    return found.select("id", "from_id", "to_id", "created_at")
+
+
+SESSIONS = "sessions AS (SELECT conv_id AS id, CASE WHEN count(*) > 3 THEN TIMESTAMP '2024-02-01' END AS ended_at, any_value('src' || conv_id % 12) AS project FROM conversations GROUP BY conv_id)"
+
+
+def sessions(spark, sf_dir):
+    """Conversations as sessions; those of more than three turns have ended."""
+    c = adapters.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("n"))
+    return c.select("id", F.when(F.col("n") > 3, F.lit("2024-02-01").cast("timestamp")).alias("ended_at"), F.concat(F.lit("src"), (F.col("id") % 12).cast("string")).alias("project"))
+
+
+@register("store_counts", query("SELECT (SELECT count(*) FROM live) AS observations, (SELECT count(DISTINCT project) FROM live) AS projects, count(*) AS sessions, count(*) FILTER (ended_at IS NULL) AS active, count(ended_at) AS ended, (SELECT count(*) FROM edges) AS edges FROM sessions", LIVE, EDGES, SESSIONS))
+def store_counts(spark, sf_dir):
+    return relational.store_counts(adapters.observations(spark, sf_dir), sessions(spark, sf_dir), adapters.edges(spark, sf_dir))
+
+
+@register("type_counts", query("SELECT type, count(*) AS n FROM live GROUP BY type", LIVE))
+def type_counts(spark, sf_dir):
+    return relational.type_counts(adapters.observations(spark, sf_dir))
+
+
+@register("index_coverage", query("SELECT count(*) AS total, count(*) FILTER (label > 0) AS indexed, count(*) FILTER (label IS NULL) AS pending, count(*) FILTER (label <= 0) AS failed, round(100 * count(*) FILTER (label > 0) / count(*), 6) AS pct FROM live LEFT JOIN embeddings ON vec_id = live.id", LIVE))
+def index_coverage(spark, sf_dir):
+    states = adapters.vectors(spark, sf_dir).select("id", F.when(F.col("label") > 0, "indexed").when(F.col("label") <= 0, "failed").alias("state"))
+    return relational.index_coverage(adapters.observations(spark, sf_dir), states)
+
+
+@register("system_metrics", query("SELECT session_id, count(*) AS n, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, round(avg(duration_ms), 6) AS avg_ms FROM metrics GROUP BY session_id", METRICS))
+def system_metrics(spark, sf_dir):
+    return relational.system_metrics(adapters.metrics(spark, sf_dir))
+
+
+@register("merge_report", query("""SELECT v.source, coalesce(o.n, 0) AS observations, coalesce(s.n, 0) AS sessions, coalesce(o.n, 0) + coalesce(s.n, 0) > 0 AS matched FROM (VALUES ('SRC1'), ('src2'), ('nowhere')) AS v(source)
+ LEFT JOIN (SELECT lower(project) AS p, count(*) AS n FROM obs GROUP BY 1) o ON o.p = lower(v.source) LEFT JOIN (SELECT lower(project) AS p, count(*) AS n FROM sessions GROUP BY 1) s ON s.p = lower(v.source)""", OBS, SESSIONS))
+def merge_report(spark, sf_dir):
+    return relational.merge_report(adapters.observations(spark, sf_dir), sessions(spark, sf_dir), ["SRC1", " src2", "Src1", "", "nowhere"], "Merged")
+
+
+@register("tags_round", query("SELECT id, CASE WHEN t2 OR t3 OR t7 THEN to_json(list_filter([CASE WHEN t2 THEN 'even' END, CASE WHEN t3 THEN 'third' END, CASE WHEN t7 THEN 'seventh' END], lambda x: x IS NOT NULL))::VARCHAR ELSE '' END AS tags, CAST(t2::INT + t3::INT + t7::INT AS INTEGER) AS n FROM live", LIVE))
+def tags_round(spark, sf_dir):
+    o = adapters.observations(spark, sf_dir, live=True).select("id", relational.tags_json(F.col("tags")).alias("tags"))
+    return o.select("id", "tags", F.size(relational.tags_of(F.col("tags"))).alias("n"))
+
+
+@register("stemmed_search")
+def stemmed_search(spark, sf_dir):
+    stem = lambda x: text_functions.stemmed(text_functions.terms(x))
+    index = lexical.build(adapters.observations(spark, sf_dir, live=True), analyser=stem)
+    asked_ = asked(spark).withColumn("terms", text_functions.stemmed(F.col("terms")))
+    return lexical.ranked(lexical.bm25(index, asked_), 10, F.round("score", 9).desc(), F.asc("id")).select("qid", "id", F.round("score", 6).alias("score"), "position")

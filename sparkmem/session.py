@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import code, graph, lexical, lifecycle, relational, temporal, vector
+from .operators import code, graph, lexical, lifecycle, lookup, packs, relational, temporal, vector
 from .plans import adaptive
 
 
@@ -77,3 +77,71 @@ class MemoryStore:
         syms = code.symbols(files)
         edges = code.resolve(syms, code.relations(files))
         return {"symbols": syms, "relations": edges, "hubs": code.hubs(syms, edges), "cohesion": code.package_cohesion(syms, edges), "map": code.repo_map(syms, edges)}
+
+    def search_temporal(self, texts: list[str], at: Column, limit: int = 10, **filters) -> DataFrame:
+        """qid, id, rank of the hits for each text, then of their neighbours over facts valid at a time."""
+        hits = self.search(texts, limit, **filters).select("qid", "id", "position")
+        near = lexical.temporal_neighbours(hits, self.edges, self._live(filters), at).withColumn("position", F.lit(None).cast("int"))
+        return lexical.ranked(hits.unionByName(near), relational.clamp_limit(limit) * 2, F.col("position").asc_nulls_last(), F.asc("id")).select("qid", "id", F.col("position").alias("rank"))
+
+    def adaptive(self, texts: list[str], query_vectors: DataFrame, nodes: DataFrame, links: DataFrame, limit: int = 10, **filters) -> DataFrame:
+        asked = adaptive.queries(self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string"))
+        return adaptive.adaptive_search(self.search(texts, limit, **filters), self.vectors, query_vectors, self.observations, nodes, links, asked, limit)
+
+    def search_payload(self, payloads: DataFrame, texts: list[str], payload_id: object | None = None, limit: int = 10) -> DataFrame:
+        asked = adaptive.queries(self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string"))
+        return lookup.payload_search(payloads, asked, payload_id, limit)
+
+    def delete(self, ids: list[int]) -> DataFrame:
+        """The observations with these marked as deleted."""
+        return lifecycle.soft_delete(self.observations, self.spark.createDataFrame([(i,) for i in ids], "id long"), self.now)
+
+    def restore(self, ids: list[int]) -> DataFrame:
+        return lifecycle.restore(self.observations, self.spark.createDataFrame([(i,) for i in ids], "id long"))
+
+    def merge_projects(self, sources: list[str], canonical: str, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The observations with the sources renamed, and what matched."""
+        return relational.merge_projects(self.observations, sources, canonical), relational.merge_report(self.observations, sessions, sources, canonical)
+
+    def rules(self, **filters) -> DataFrame:
+        return relational.rule_like(self._live(filters))
+
+    def profile(self, **filters) -> DataFrame:
+        return packs.profile(self._live(filters), self.scores)
+
+    def context_pack(self, budget_tokens: int = 2000, **filters) -> DataFrame:
+        return packs.context_pack(self._live(filters), self.scores, budget_tokens)
+
+    def fact_state(self) -> DataFrame:
+        return temporal.state_map(self.edges)
+
+    def evolution(self) -> DataFrame:
+        return temporal.evolution(self.edges)
+
+    def snapshot(self, root: int, at: Column) -> DataFrame:
+        return temporal.snapshot(self.edges, root, at)
+
+    def revisions(self, snapshots: DataFrame, limit: int = 20) -> DataFrame:
+        return temporal.revisions(snapshots, limit)
+
+    def related_scoped(self, root: int, depth: int = 1, **scope) -> DataFrame:
+        return temporal.scoped_related(self.edges, self.observations, self.spark.createDataFrame([(root,)], "root long"), depth, **scope)
+
+    def quality(self, metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
+        return relational.quality(metrics, self.edges, self.observations, snapshots)
+
+    def system_metrics(self, metrics: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+        return relational.system_metrics(metrics, low, high)
+
+    def health(self, metrics: DataFrame) -> DataFrame:
+        return relational.health(metrics)
+
+    def stats(self, sessions: DataFrame) -> DataFrame:
+        return relational.store_counts(self.observations, sessions, self.edges)
+
+    def code(self, files: DataFrame, targets: list[str], hops: int = 3) -> dict[str, DataFrame]:
+        """What a change of files or symbols reaches: report, rows, test files; and the cycles across files."""
+        syms = code.symbols(files)
+        edges = code.resolve(syms, code.relations(files))
+        wanted = self.spark.createDataFrame([(t,) for t in targets], "target string")
+        return {"report": code.blast_report(syms, edges, wanted, hops), "impact": code.blast_radius(syms, edges, wanted, hops), "tests": code.impacted_tests(syms, edges, wanted, hops), "cycles": code.cross_file_cycles(syms, edges)}
