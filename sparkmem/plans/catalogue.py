@@ -132,7 +132,7 @@ RRF = "rrf AS (SELECT qid, id, sum(1.0 / (60 + position)) AS score FROM lists GR
 
 def _placed(df: DataFrame, tie) -> DataFrame:
     """Positions by scores rounded alike in both engines."""
-    return df.withColumn("score", F.round("score", 9)).withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), tie)))
+    return df.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), tie)))
 
 
 @register("rrf_fuse", query("SELECT qid, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS position FROM rrf", LIVE, LISTS, RRF))

@@ -60,6 +60,29 @@ def saturated(pending: DataFrame, most: int = MOST_BACKLOG) -> bool:
     return pending.limit(most + 1).count() > most
 
 
+def leased(intents: DataFrame, now: Column, limit: int = 1) -> DataFrame:
+    """The queue (id, status, attempts, max_attempts, next_retry_at, leased_at) with the first due intents taken; each lease counts as a try."""
+    due = intents.where((F.col("status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))).orderBy("id").limit(max(1, limit)).select("id", F.lit(True).alias("due"))
+    taken = F.coalesce("due", F.lit(False))
+    out = intents.join(due, "id", "left").withColumns({"status": F.when(taken, "leased").otherwise(F.col("status")), "leased_at": F.when(taken, now).otherwise(F.col("leased_at")), "attempts": F.col("attempts") + taken.cast("int")})
+    return out.select(*intents.columns)
+
+
+def finished(intents: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The queue after leased intents ended (outcomes: id, ok): complete, pending again behind a delay, or dead after the last try."""
+    ended = intents.join(outcomes.select("id", "ok"), "id", "left")
+    mine = F.col("ok").isNotNull() & (F.col("status") == "leased")
+    last = F.col("attempts") >= F.col("max_attempts")
+    status = F.when(mine & F.col("ok"), "complete").when(mine & last, "dead_letter").when(mine, "pending").otherwise(F.col("status"))
+    again = F.when(mine & ~F.col("ok") & ~last, F.timestamp_micros((F.unix_micros(now) + backoff(F.col("attempts")) * 1_000_000).cast("long"))).otherwise(F.col("next_retry_at"))
+    return ended.withColumns({"status": status, "next_retry_at": again}).select(*intents.columns)
+
+
+def recovered(intents: DataFrame) -> DataFrame:
+    """The queue with leases of workers that died given back."""
+    return intents.withColumn("status", F.when(F.col("status") == "leased", "pending").otherwise(F.col("status")))
+
+
 def postings_of(batch: DataFrame) -> DataFrame:
     return batch.select("id", F.explode(terms(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
@@ -69,11 +92,14 @@ def facts_of(batch: DataFrame) -> DataFrame:
 
 
 def reconcile(path: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps derived rows of changed ids: each batch has its own folder (a retry overwrites it), readers take an id's last batch."""
+    """A foreachBatch sink that keeps derived rows of changed ids: each batch has its own folder (a retry overwrites it), readers take an id's last batch.
+
+    Rows with a deleted_at leave none."""
 
     def sink(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("id").agg(F.max_by(F.struct("*"), "updated_at").alias("r")).select("r.*")
-        make(latest).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        held = latest.where("deleted_at is null") if "deleted_at" in latest.columns else latest
+        make(held).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
         latest.select("id").write.mode("overwrite").parquet(f"{path}/ids/batch={number}")
 
     return sink

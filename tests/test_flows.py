@@ -30,13 +30,29 @@ def test_rolling_metrics(spark, tmp_path):
 
 
 def test_reconcile(spark, tmp_path):
-    schema = "id long, content string, updated_at timestamp"
     path = f"{tmp_path}/store"
     sink = pipelines.reconcile(path, pipelines.facts_of)
     sink(spark.sql("SELECT 1L id, 'One. Two.' content, timestamp'2025-01-01' updated_at UNION ALL SELECT 2L, 'Three.', timestamp'2025-01-01'"), 0)
     sink(spark.sql("SELECT 1L id, 'Changed.' content, timestamp'2025-01-02' updated_at"), 1)
     assert {(r.id, r.fact) for r in pipelines.reconciled(spark, path).collect()} == {(1, "Changed."), (2, "Three.")}
-    assert schema
+    gone = spark.sql("SELECT 2L id, 'Three.' content, timestamp'2025-01-03' updated_at, timestamp'2025-01-03' deleted_at")
+    sink(gone, 2)
+    assert {(r.id, r.fact) for r in pipelines.reconciled(spark, path).collect()} == {(1, "Changed.")}
+
+
+def test_leases(spark):
+    rows = [(i, "pending", 0, 2, None, None) for i in range(3)] + [(3, "pending", 1, 2, "2025-01-02", None)]
+    queue = spark.createDataFrame(rows, "id long, status string, attempts int, max_attempts int, retry string, lease string").select("id", "status", "attempts", "max_attempts", F.col("retry").cast("timestamp").alias("next_retry_at"), F.col("lease").cast("timestamp").alias("leased_at"))
+    at = lambda x: F.lit(x).cast("timestamp")
+    seen = lambda df: {r.id: (r.status, r.attempts) for r in df.collect()}
+    one = pipelines.leased(queue, at("2025-01-01"), 10)
+    assert seen(one) == {0: ("leased", 1), 1: ("leased", 1), 2: ("leased", 1), 3: ("pending", 1)}
+    two = pipelines.finished(one, spark.createDataFrame([(0, True), (1, False), (3, False)], "id long, ok boolean"), at("2025-01-01"))
+    assert seen(two) == {0: ("complete", 1), 1: ("pending", 1), 2: ("leased", 1), 3: ("pending", 1)}
+    assert two.where("id = 1 AND next_retry_at > timestamp'2025-01-01'").count() == 1
+    three = pipelines.leased(pipelines.recovered(two), at("2025-01-01"))
+    assert seen(three) == {0: ("complete", 1), 1: ("pending", 1), 2: ("leased", 2), 3: ("pending", 1)}
+    assert seen(pipelines.finished(three, spark.createDataFrame([(2, False)], "id long, ok boolean"), at("2025-01-01")))[2] == ("dead_letter", 2)
 
 
 def test_deliveries(spark, tmp_path):
@@ -95,6 +111,15 @@ def test_facade(store):
     assert [r.id for r in store.get([3, 1, 3, 99999]).collect()] == [3, 1, 3]
     assert store.related(1, 1).count() > 0
     assert store.path(1, 1) == ("found", [1])
+    assert store.delete([3]).where("deleted_at is not null AND id = 3").count() == 1
+    merged, report = store.merge_projects(["src1", "nowhere"], "one", store.observations.limit(0))
+    assert merged.where("project = 'src1'").count() == 0 and {r.source: r.matched for r in report.collect()} == {"src1": True, "nowhere": False}
+    assert store.context_pack(100).count() > 0 and store.rules(project="src1").where("project != 'src1'").count() == 0
+    temporal = store.search_temporal(["the thing of that"], F.lit("2024-12-31").cast("timestamp"), limit=5).collect()
+    assert [r.rank for r in temporal][:5] == [1, 2, 3, 4, 5]
+    files = store.spark.createDataFrame([("a.py", "python", "def f():\n    g()\n"), ("b.py", "python", "def g():\n    f()\n")], "path string, language string, content string")
+    found = store.code(files, ["a.py"])
+    assert found["report"].first().kind == "file" and found["cycles"].first().files == ["a.py", "b.py"]
 
 
 def test_adaptive(spark, store):
