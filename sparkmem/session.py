@@ -80,7 +80,7 @@ class MemoryStore:
 
     def search_temporal(self, texts: list[str], at: Column, limit: int = 10, **filters) -> DataFrame:
         """qid, id, rank of the hits for each text, then of their neighbours over facts valid at a time."""
-        hits = self.search(texts, limit, **filters).select("qid", "id", "position")
+        hits = self.search(texts, limit, **filters).select("qid", "id", "position").persist()  # at most limit rows a query
         near = lexical.temporal_neighbours(hits, self.edges, self._live(filters), at).withColumn("position", F.lit(None).cast("int"))
         return lexical.ranked(hits.unionByName(near), relational.clamp_limit(limit) * 2, F.col("position").asc_nulls_last(), F.asc("id")).select("qid", "id", F.col("position").alias("rank"))
 

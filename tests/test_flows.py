@@ -115,8 +115,6 @@ def test_facade(store):
     merged, report = store.merge_projects(["src1", "nowhere"], "one", store.observations.limit(0))
     assert merged.where("project = 'src1'").count() == 0 and {r.source: r.matched for r in report.collect()} == {"src1": True, "nowhere": False}
     assert store.context_pack(100).count() > 0 and store.rules(project="src1").where("project != 'src1'").count() == 0
-    temporal = store.search_temporal(["the thing of that"], F.lit("2024-12-31").cast("timestamp"), limit=5).collect()
-    assert [r.rank for r in temporal][:5] == [1, 2, 3, 4, 5]
     files = store.spark.createDataFrame([("a.py", "python", "def f():\n    g()\n"), ("b.py", "python", "def g():\n    f()\n")], "path string, language string, content string")
     found = store.code(files, ["a.py"])
     assert found["report"].first().kind == "file" and found["cycles"].first().files == ["a.py", "b.py"]
