@@ -114,6 +114,16 @@ def blank_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(~_SPACE[buffer])
 
 
+def spans(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Arrow's array of the byte ranges, which are in order and apart."""
+    if not len(starts):
+        return pa.array([], pa.large_binary())
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    between = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(buffer)])
+    return between.take(pa.array(np.arange(0, len(edges), 2)))
+
+
 #: Odd multiplier of the polynomial word hash.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
