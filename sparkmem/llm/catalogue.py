@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitsliced import ranked_search
 from .common import table
 from .decontaminate import decontaminate
 from .htmltext import main_text
@@ -14,13 +15,15 @@ from .jaccard import jaccard_groups
 from .langid import fit, predict
 from .linededup import line_dedup
 from .lm import lm_scores
+from .neighbourpack import neighbour_pack
 from .packing import pack
+from .spelling import spelling_groups
 from .substrings import remove_copies
 from .tokencount import document_tokens
 from .topk import top_k
 
-#: Vocabulary file of op9, by name.
-PACKING_VOCABULARY = "byte_bpe_50k.json"
+#: Vocabulary files of op9 and op11, by name.
+PACKING_VOCABULARY, NEIGHBOUR_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +83,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_draw(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pack(table(spark, sf_dir, "documents"), vocabulary(NEIGHBOUR_VOCABULARY))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
+    "op11_neighbours": op11_neighbours,
+    "op12_ranked": op12_ranked,
+    "op13_spelling": op13_spelling,
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,4 +159,33 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op12_ranked": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS nn, sum(len(w)) AS l FROM d),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY row, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t, c GROUP BY term, nn),
+m AS (SELECT row, doc_id, 100 - 25 + CAST(25 * len(w) * nn AS BIGINT) // CAST(l AS BIGINT) AS m FROM d, c WHERE len(w) > 0),
+a AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM q) GROUP BY item, item_id, term),
+s AS (SELECT item, item_id, m.row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM a JOIN t ON a.term = t.term JOIN f ON f.term = t.term JOIN m ON m.row = t.row GROUP BY item, item_id, m.row, doc_id)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 20""",
+    "op13_spelling": rf"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+g AS (SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS k FROM o GROUP BY ALL),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(str_split(bits, ''), lambda x: CAST(x AS BIGINT))),
+      lambda c, x: xor(c >> 1, 3988292384 * (xor(c, x) & 1)))) AS h
+      FROM (SELECT run, k, array_to_string(list_transform(range(0, octet_length(b)), lambda i: reverse(CAST(substr(CAST(CAST(b AS BIT) AS VARCHAR), 8 * i + 1, 8) AS VARCHAR))), '') AS bits
+            FROM (SELECT run, k, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM g))),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+p AS (SELECT word, left(word, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT x.word AS word, y.word AS near FROM p AS x JOIN p AS y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+      UNION SELECT p.word, w.word FROM p JOIN w ON w.word = p.a || p.z
+      UNION SELECT w.word, p.word FROM p JOIN w ON w.word = p.a || p.z),
+b AS (SELECT e.word, count(*) AS n_near, first(near ORDER BY w.n DESC, encode(near)) AS near, max(w.n) AS most FROM e JOIN w ON w.word = e.near GROUP BY e.word),
+f AS (SELECT w.word, CASE WHEN most >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+r AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY word) AS l ON l.word = f.word""",
 }
