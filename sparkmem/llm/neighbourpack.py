@@ -16,6 +16,7 @@ an empty result; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,60 +36,82 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: Signs in a signature.
 SIGNS = 16
-#: Bytes of text that are encoded at once, and words whose ids a worker keeps (twice, while a new set grows).
-TEXT_BYTES, KEPT_WORDS = 4 << 20, 300_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 8 << 20
+
+
+# How the vocabulary's file says that text is normalised and split, and the same split for plain characters in lower case.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Anything but plain characters: those whose class, lower case and composition no version of Unicode changes.
+_odd = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
 
 
 class Words:
     """Ids of texts by a tokenizers JSON file of a lower-casing word vocabulary that drops white space.
 
-    Such a vocabulary encodes what stands between blanks independently, so every distinct word is encoded once. The words of
-    a batch go in one call, with a mark between them that has one id, wherever it stands."""
-
-    MARK = "\x00"
+    What stands between blanks is encoded independently, so each distinct word of a batch is encoded once: plain ones by a
+    faster implementation of the same merges, a mark with an id of its own between them, others by tokenizers itself. A word's
+    end is a blank there, as no blank is left in a word. That implementation merges whatever two pieces make a known one;
+    proven() checks that for no piece of the vocabulary this takes another pair than the file's, so it never does."""
 
     def __init__(self, path: str):
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model, splits = held["model"], (held["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if (held["normalizer"] or {}).get("normalizers") != _NORMALISER or splits[0].get("pattern") != {"Regex": _SPLIT} or model["end_of_word_suffix"] != "</w>" or model["continuing_subword_prefix"]:
+            raise ValueError(f"{path} isn't a vocabulary of lower-cased words")
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.size = self.model.get_vocab_size()
-        mark = self.model.encode(f"a {self.MARK} b", add_special_tokens=False).ids
-        around = [self.model.encode(x, add_special_tokens=False).ids for x in "ab"]
-        if len(mark) != 3 or mark[::2] != around[0] + around[1]:
-            raise ValueError(f"{path} doesn't encode words between blanks independently")
-        self.mark = mark[1]
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def _many(self, words: list[bytes]) -> list[bytes]:
-        ids = self.encode(f" {self.MARK} ".join(w.decode() for w in words))
-        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-        if len(ends) != len(words):  # a word holds the mark
-            return [self.encode(w.decode()).tobytes() for w in words]
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        raw, wide = ids.tobytes(), self.dtype.itemsize
-        return [raw[a * wide : b * wide] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes."""
-        new, old = self.new, self.old
-        out = [new.get(w) or old.get(w) for w in words]
-        missing = [k for k, x in enumerate(out) if x is None]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for k, x in zip(some, self._many([words[k] for k in some]), strict=True):
-                out[k] = x
-        for w, x in zip(words, out, strict=True):
-            if len(w) <= 40:
-                new[w] = x
-        if len(new) > KEPT_WORDS:
-            self.old, self.new = new, {}
-        return out
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in kept)}
+        raw = lambda t: bytes(letter[c] for c in t.removesuffix("</w>")) + (b" " if t.endswith("</w>") else b"")
+        self.ranks = {raw(t): i for t, i in model["vocab"].items()}
+        self.pairs = {raw(a + b): (raw(a), raw(b)) for a, b in (x if isinstance(x, list) else x.split(" ") for x in model["merges"])}
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=self.ranks, special_tokens={})
+        self.mark = self.ranks[b"\x00 "]
+
+    def proven(self) -> bool:
+        """Whether joining the two neighbours whose join ranks first makes every piece of the vocabulary by the file's own merges."""
+        for piece in self.ranks:
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            if len(piece) > 1 and piece.endswith(b" "):
+                parts[-2:] = [piece[-2:]]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], self.size), i) for i in range(len(parts) - 1))
+                if rank == self.size or self.pairs[parts[at] + parts[at + 1]] != (parts[at], parts[at + 1]):
+                    return False
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return True
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, and how many each has."""
+        runs = _runs.findall(b" \x00 ".join(words).decode().lower())
+        ids = np.array(self.fast._core_bpe.encode_ordinary(" ".join(runs) + " "), self.dtype)
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the distinct words where its ids begin and how many they are."""
+        if not _odd.search(b" ".join(words).decode()):
+            ids, size = self._plain(words)
+            return ids, np.cumsum(size) - size, size
+        odd = np.array([bool(_odd.search(w.decode())) for w in words])
+        plain, n = self._plain([w for w, x in zip(words, odd, strict=True) if not x]) if not odd.all() else (np.zeros(0, self.dtype), np.zeros(0, int))
+        rest = [x.ids for x in self.model.encode_batch_fast([w.decode() for w, x in zip(words, odd, strict=True) if x], add_special_tokens=False)]
+        size = np.zeros(len(words), np.int64)
+        size[~odd], size[odd] = n, [len(x) for x in rest]
+        first = np.zeros(len(words), np.int64)
+        first[~odd], first[odd] = np.cumsum(n) - n, len(plain) + np.cumsum(size[odd]) - size[odd]
+        return np.concatenate((plain, np.array([i for x in rest for i in x], self.dtype))), first, size
 
     def of_texts(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text, the end id behind them."""
@@ -98,9 +121,8 @@ class Words:
         if not len(starts):
             return [last] * len(texts)
         coded = spans(joined, starts, ends).dictionary_encode()
-        held = self.of_words(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in held], np.int64) // self.dtype.itemsize
-        first, flat, code = np.cumsum(size) - size, np.frombuffer(b"".join(held), self.dtype), coded.indices.to_numpy()
+        flat, first, size = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = coded.indices.to_numpy()
         n = size[code]
         upto = np.cumsum(n)
         ids = flat[np.repeat(first[code] - (upto - n), n) + np.arange(int(upto[-1]))]
@@ -195,11 +217,16 @@ class Shard:
         unit, term, n = unit_terms(ids, len(weight))
         value = weight[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * self.lengths[unit] / mean))
         order = np.argsort(term, kind="stable")
-        self.term, self.unit, self.value = term[order], unit[order], value[order]
+        self.term, self.unit, self.value = term[order].astype(np.int32), unit[order].astype(np.int32), value[order]
+
+    def keep(self, left: np.ndarray) -> None:
+        """Let go of the postings of units that are used."""
+        some = left[self.unit]
+        self.term, self.unit, self.value = self.term[some], self.unit[some], self.value[some]
 
     def scores(self, seed: np.ndarray) -> np.ndarray:
-        asked = np.unique(seed)
-        a, b = np.searchsorted(self.term, asked), np.searchsorted(self.term, asked, side="right")
+        asked = np.unique(seed).astype(np.int32)
+        a, b = np.searchsorted(self.term, asked), np.searchsorted(self.term, asked + 1)
         n = b - a
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.bincount(self.unit[at], self.value[at], minlength=len(self.ids))
@@ -228,7 +255,11 @@ class Windows:
     def fill(self, shard: Shard, number: int) -> None:
         """All units of the shard, numbered from number on."""
         left = np.ones(len(shard.ids), bool)
-        while left.any():
+        indexed = len(left)
+        while n_left := int(left.sum()):
+            if n_left < indexed * 7 // 8:
+                shard.keep(left)
+                indexed = n_left
             if not self.open or self.seed is None:
                 at = int(np.argmax(left))
                 left[at] = False
@@ -267,6 +298,8 @@ def neighbour_pack(documents: DataFrame, tokenizer: str, *, size: int = SEQUENCE
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     model = words_of(tokenizer)
+    if not model.proven():
+        raise ValueError(f"merges of {tokenizer} depend on more than the order of its pieces")
     dtype, terms = model.dtype, model.size
     made = cut(tokenised(documents, tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col))
     units = made.where("ids is not null")
