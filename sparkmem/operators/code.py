@@ -1,6 +1,7 @@
-"""Code intelligence: symbols and relations of source files, their resolution, and what the graph says.
+"""Code intelligence: symbols, relations and imports of source files, their resolution, and what the graph says.
 
-Extractors read whole files in Arrow batches. Python has a real parser; the other languages go by line patterns."""
+Extractors read whole files in Arrow batches: Python by its own parser, languages with braces by their blocks, the rest by line patterns.
+Everything across files is joins by equal keys."""
 
 from __future__ import annotations
 
@@ -11,34 +12,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from . import graph
 
 SYMBOLS = "file string, kind string, name string, parent string, line int, signature string, doc string, complexity int"
 RELATIONS = "file string, source string, target string, relation string, line int"
 
-# Declarations by language, as (pattern, kind); the name is the first group.
+IMPORTED = "file string, module string, near boolean, imported string, local string, line int, source string"
+
+# Declarations by line in languages without braces, as (pattern, kind); the name is the first group.
 DECLARATIONS = {
-    "go": [(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[\[(]", "function"), (r"^type\s+([A-Za-z_]\w*)\s+struct\b", "struct"), (r"^type\s+([A-Za-z_]\w*)\s+interface\b", "interface"), (r"^type\s+([A-Za-z_]\w*)\b", "type")],
-    "typescript": [(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"), (r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"), (r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*[=<]", "type"), (r"^\s*(?:export\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)", "enum"), (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", "function"), (r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>", "function")],
-    "rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)", "enum"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)", "trait"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)", "module")],
-    "java": [(r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(class|interface|enum|record)\s+([A-Za-z_]\w*)", "")],
-    "kotlin": [(r"^\s*(?:(?:public|private|internal|open|data|sealed|abstract)\s+)*(class|interface|object)\s+([A-Za-z_]\w*)", ""), (r"^\s*(?:(?:public|private|internal|suspend|override|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\(", "function")],
-    "csharp": [(r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(class|interface|struct|enum|record)\s+([A-Za-z_]\w*)", "")],
     "fsharp": [(r"^\s*(?:let|and)\s+(?:rec\s+|inline\s+)?([A-Za-z_]\w*)", "function"), (r"^\s*type\s+([A-Za-z_]\w*)", "type"), (r"^\s*module\s+([\w.]+)", "module")],
     "vbnet": [(r"(?i)^\s*(?:(?:public|private|friend|shared)\s+)*(class|module|structure|interface)\s+([A-Za-z_]\w*)", ""), (r"(?i)^\s*(?:(?:public|private|friend|shared)\s+)*(?:sub|function)\s+([A-Za-z_]\w*)", "function")],
-    "cpp": [(r"^\s*(class|struct|enum|namespace)\s+([A-Za-z_]\w*)\s*[:{]?", ""), (r"^[A-Za-z_][\w:<>*&\s]*\s[*&]?([A-Za-z_][\w:]*)\s*\([^;]*\)\s*(?:const\s*)?\{", "function")],
-    "php": [(r"^\s*(?:abstract\s+|final\s+)?(class|interface|trait)\s+([A-Za-z_]\w*)", ""), (r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+([A-Za-z_]\w*)", "function")],
     "ruby": [(r"^\s*(class|module)\s+([A-Z]\w*)", ""), (r"^\s*def\s+(?:self\.)?([a-z_]\w*[?!]?)", "function")],
-    "swift": [(r"^\s*(?:(?:public|private|open|final)\s+)*(class|struct|enum|protocol|extension)\s+([A-Za-z_]\w*)", ""), (r"^\s*(?:(?:public|private|static|override)\s+)*func\s+([A-Za-z_]\w*)", "function")],
-}
-DECLARATIONS |= {"javascript": DECLARATIONS["typescript"], "c": DECLARATIONS["cpp"]}
-IMPORTS = {
-    "go": r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$', "typescript": r"""(?:import\b[^'"]*|require\()\s*['"]([^'"]+)['"]""", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)", "csharp": r"^\s*using\s+([\w.]+)\s*;", "fsharp": r"^\s*open\s+([\w.]+)", "vbnet": r"(?i)^\s*imports\s+([\w.]+)",
-    "cpp": r'^\s*#\s*include\s*[<"]([^>"]+)', "php": r"^\s*use\s+([\w\\]+)", "ruby": r"""^\s*require(?:_relative)?\s+['"]([^'"]+)""", "swift": r"^\s*import\s+(\w+)",
 }
-IMPORTS |= {"javascript": IMPORTS["typescript"], "c": IMPORTS["cpp"]}
 _branch = re.compile(r"\b(?:if|for|while|case|catch|elif|except|when)\b|&&|\|\|")
-_extends = re.compile(r"\b(?:extends|implements)\s+([A-Za-z_$][\w$.]*)|^\s*impl(?:<[^>]*>)?\s+([A-Za-z_]\w*)\s+for\s+([A-Za-z_]\w*)")
 
 
 def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
@@ -99,20 +87,17 @@ def facts_of(path: str, language: str, text: str) -> tuple[list[tuple], list[tup
         return _python(path, text)
     if language == "sql":
         return _sql(path, text)
+    if language in blocks.MASKS:
+        return blocks.facts(path, language, text)
     symbols, relations = [], []
     lines = text.split("\n")
     for n, line in enumerate(lines, 1):
-        if m := re.search(IMPORTS[language], line) if language in IMPORTS else None:
-            relations.append((path, path, m[1], "imports", n))
         for pattern, kind in DECLARATIONS.get(language, ()):
             if m := re.search(pattern, line):
                 name, kind = (m[1], kind) if kind else (m[2], m[1].lower())
                 symbols.append([path, kind, name, None, n, line.strip()[:200], "", 1])
                 relations.append((path, path, name, "defines", n))
                 break
-        if m := _extends.search(line):
-            source = m[3] or (symbols[-1][2] if symbols else path)
-            relations.append((path, source, m[1] or m[2], "implements" if m[2] or "implements" in line else "extends", n))
     bounds = [s[4] for s in symbols] + [len(lines) + 1]
     names = {s[2] for s in symbols}
     for k, s in enumerate(symbols):
@@ -123,41 +108,102 @@ def facts_of(path: str, language: str, text: str) -> tuple[list[tuple], list[tup
     return [tuple(s) for s in symbols], relations
 
 
-def _extract(which: int, schema: str):
+def _extract(rows_of, schema: str):
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([row for p, l, t in zip(batch["path"], batch["language"], batch["content"], strict=True) for row in facts_of(p, l, t or "")[which]], columns=columns)
+            yield pd.DataFrame([row for p, l, t in zip(batch["path"], batch["language"], batch["content"], strict=True) for row in rows_of(p, l, t or "")], columns=columns)
 
     return run
 
 
 def symbols(files: DataFrame, project: str = "") -> DataFrame:
     """Symbols with ids (digest of project, kind, name, file and line) and the package they are in."""
-    found = files.select("path", "language", "content").mapInPandas(_extract(0, SYMBOLS), SYMBOLS)
+    found = files.select("path", "language", "content").mapInPandas(_extract(lambda *x: facts_of(*x)[0], SYMBOLS), SYMBOLS)
     package = F.coalesce(F.nullif(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), F.lit("")), F.lit("root"))
     return found.withColumn("id", symbol_id(F.lit(project), F.col("kind"), F.col("name"), F.col("file"), F.col("line"))).withColumn("package", package)
 
 
 def relations(files: DataFrame) -> DataFrame:
-    return files.select("path", "language", "content").mapInPandas(_extract(1, RELATIONS), RELATIONS)
+    return files.select("path", "language", "content").mapInPandas(_extract(lambda *x: facts_of(*x)[1], RELATIONS), RELATIONS)
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """file, module (path without ending), near (from the file's own place), imported name or *, local name, line, source (as written)."""
+    return files.select("path", "language", "content").mapInPandas(_extract(blocks.imports, IMPORTED), IMPORTED)
+
+
+def _endings(path: Column) -> Column:
+    """Every ending of a path, with its number of segments."""
+    parts = F.split(path, "/")
+    return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("key"), (F.size(parts) - i + 1).alias("parts"))))
+
+
+def import_targets(imps: DataFrame, syms: DataFrame) -> DataFrame:
+    """file, local, imported, target_file of imports that lead to known files, by equal keys only.
+
+    A module is a file without its ending, a folder, or the folder of an index file. Far modules meet the longest ending
+    that either side has of the other: packages below a source root, import paths above a repository."""
+    files = syms.select("file").distinct()
+    bare = F.regexp_replace("file", r"\.[^./]+$", "")
+    folder = F.regexp_extract("file", r"^(.*)/[^/]+$", 1)
+    whole = files.select("file", F.explode(F.array_distinct(F.array(bare, folder))).alias("key")).where("key != ''")
+    asked = imps.withColumn("n", F.xxhash64("file", "module", "imported", "local")).select("n", "file", "local", "imported", "module", "near").distinct()
+    names = F.array_compact(F.array("module", F.when(~F.col("imported").isin("*", "default"), F.concat_ws("/", F.nullif("module", F.lit("")), "imported"))))
+    asked = asked.select("n", "file", "local", "imported", "near", F.explode(names).alias("module")).where("module != ''")
+    held = whole.select(F.col("file").alias("target_file"), "key")
+    near = asked.where("near").join(held, F.col("module") == F.col("key")).withColumn("parts", F.size(F.split("module", "/")))
+    ends = held.select("target_file", _endings(F.col("key")).alias("e")).select("target_file", F.col("e.key").alias("key"), F.col("e.parts").alias("parts"))
+    below = asked.where("not near").join(ends, F.col("module") == F.col("key"))
+    above = asked.where("not near").select("n", "file", "local", "imported", "near", _endings(F.col("module")).alias("e")).select("n", "file", "local", "imported", "near", F.col("e.key").alias("module"), F.col("e.parts").alias("parts"))
+    above = above.where("parts > 1").join(held, F.col("module") == F.col("key"))
+    columns = ["n", "file", "local", "imported", "target_file", "parts"]
+    met = near.select(*columns).unionByName(below.select(*columns)).unionByName(above.select(*columns)).where("file != target_file").distinct()
+    best = met.groupBy("n").agg(F.max("parts").alias("parts"))
+    return met.join(best, ["n", "parts"]).select("file", "local", "imported", "target_file").distinct()
 
 
 def symbol_id(project: Column, kind: Column, name: Column, file: Column, line: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit("sym"), project, kind, name, file, line.cast("string")), 256), 1, 32)
 
 
-def resolve(syms: DataFrame, rels: DataFrame) -> DataFrame:
-    """source_id, target_id, relation, confidence: targets by exact id, same file, same package, unique name (0.8), else the first of the name (0.5)."""
-    s = syms.select("id", "name", "file", "package")
-    ends = rels.where("relation != 'imports'").join(s.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "file", F.col("package").alias("own_package")), ["source", "file"])
-    named = s.withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    met = ends.join(named.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file").alias("target_file"), F.col("package").alias("target_package"), "n"), "target")
-    rule = F.when(F.col("target_file") == F.col("file"), 1).when(F.col("target_package") == F.col("own_package"), 2).when(F.col("n") == 1, 3).otherwise(4)
-    best = met.withColumn("rule", rule).groupBy("source_id", "target", "relation").agg(F.min(F.struct("rule", "target_file", "target_id")).alias("b"))
-    confidence = F.when(F.col("b.rule") <= 2, 1.0).when(F.col("b.rule") == 3, 0.8).otherwise(0.5)
-    return best.select("source_id", F.col("b.target_id").alias("target_id"), "relation", confidence.alias("confidence")).where("source_id != target_id").dropDuplicates(["source_id", "target_id", "relation"])
+def resolve(syms: DataFrame, rels: DataFrame, imps: DataFrame | None = None) -> DataFrame:
+    """source_id, target_id, relation, confidence. A target is, in this order, a symbol's id, a name that the file imports (1), a name in the
+    same file, in the same package, or of one symbol alone (0.8), or the first of several of that name (0.5).
+
+    Each step joins a table with one row a key, so a name that thousands of symbols have costs no more than another. Of a
+    qualified target (a.b), the last part is the name and the first one what the import calls it."""
+    first = F.min(F.struct("line", "id"))["id"]
+    s = syms.select("id", "name", "file", "package", "line")
+    one = F.min(F.struct("file", "line", "id"))["id"]
+    in_file = s.groupBy("file", "name").agg(first.alias("in_file"))
+    in_package = s.where("package is not null").groupBy("package", "name").agg(one.alias("in_package"))
+    anywhere = s.groupBy("name").agg(one.alias("anywhere"), F.count("*").alias("n"))
+    own = s.groupBy(F.col("file"), F.col("name").alias("source")).agg(F.min(F.struct("line", "id", "package")).alias("o")).select("file", "source", F.col("o.id").alias("source_id"), F.col("o.package").alias("package"))
+    ends = rels.where("relation != 'imports'").join(own, ["file", "source"]).select("file", "package", "source_id", "target", "relation").distinct()
+    parts = F.split("target", r"\.")
+    ends = ends.withColumns({"name": F.element_at(parts, -1), "called": F.element_at(parts, 1)})
+    ends = ends.join(s.select(F.col("id").alias("target"), F.col("id").alias("exact")), "target", "left")
+    for table, on in ((in_file, ["file", "name"]), (in_package, ["package", "name"]), (anywhere, ["name"])):
+        ends = ends.join(table, on, "left")
+    if imps is not None:
+        led = import_targets(imps, syms)
+        mine = ends.select("file", "name", "called").distinct()
+        by_name = mine.join(led.where("local != '*'").withColumnRenamed("local", "called"), ["file", "called"]).withColumn("wanted", F.when((F.col("name") == F.col("called")) & ~F.col("imported").isin("*", "default"), F.col("imported")).otherwise(F.col("name")))
+        by_all = mine.join(led.where("local = '*'").drop("local"), "file").withColumn("wanted", F.col("name"))
+        found = by_name.select("file", "name", "called", "target_file", "wanted").unionByName(by_all.select("file", "name", "called", "target_file", "wanted"))
+        held = in_file.select(F.col("file").alias("target_file"), F.col("name").alias("wanted"), F.col("in_file").alias("at"))
+        found = found.join(held, ["target_file", "wanted"]).groupBy("file", "name", "called").agg(F.min(F.struct("target_file", "at"))["at"].alias("imported"))
+        ends = ends.join(found, ["file", "name", "called"], "left")
+    else:
+        ends = ends.withColumn("imported", F.lit(None).cast("string"))
+    target = F.coalesce("exact", "imported", "in_file", "in_package", "anywhere")
+    sure = F.coalesce("exact", "imported").isNotNull()
+    guess = F.coalesce("in_file", "in_package").isNull() & (F.col("n") > 1)
+    confidence = F.when(sure, 1.0).when(guess, 0.5).otherwise(0.8)
+    out = ends.select("source_id", target.alias("target_id"), "relation", confidence.alias("confidence")).where("target_id is not null and source_id != target_id")
+    return out.groupBy("source_id", "target_id", "relation").agg(F.max("confidence").alias("confidence"))
 
 
 def search_symbols(syms: DataFrame, text: str, *, regex: bool = False, kind: str | None = None, path: str | None = None, limit: int = 50) -> DataFrame:
@@ -174,6 +220,8 @@ def search_symbols(syms: DataFrame, text: str, *, regex: bool = False, kind: str
     return out.orderBy(F.desc("score"), "name", "file").limit(limit)
 
 
+# Names that are no hubs.
+NOISE = ["str", "int", "float", "bool", "string", "byte", "error", "nil", "true", "false", "object", "any", "context", "fmt", "time", "os", "io", "log", "sync", "math", "test", "mock", "json", "http"]
 # Endings of test files by language, of names in lower case.
 TEST_FILES = [r"_test\.go$", r"(^|/)test_[^/]*\.py$", r"_test\.py$", r"\.(test|spec)\.[jt]sx?$", r"tests?\.(java|kt|cs)$", r"/tests/.*\.rs$"]
 
@@ -183,7 +231,8 @@ def is_test_file(path: Column) -> Column:
 
 
 def hubs(syms: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
-    """Symbols by 1.5 x incoming + outgoing relations, of two at least."""
+    """Symbols by 1.5 x incoming + outgoing relations, of two at least, without names that every project has."""
+    syms = syms.where(~F.lower("name").isin(*NOISE))
     ends = edges.select(F.col("target_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("source_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
     per = ends.groupBy("id").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing")).where("incoming + outgoing >= 2")
     return per.withColumn("score", 1.5 * F.col("incoming") + F.col("outgoing")).join(syms.select("id", "name", "file"), "id").orderBy(F.desc("score"), "name", "id").limit(limit)

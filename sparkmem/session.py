@@ -75,7 +75,7 @@ class MemoryStore:
 
     def architecture(self, files: DataFrame) -> dict[str, DataFrame]:
         syms = code.symbols(files)
-        edges = code.resolve(syms, code.relations(files))
+        edges = code.resolve(syms, code.relations(files), code.imports(files))
         return {"symbols": syms, "relations": edges, "hubs": code.hubs(syms, edges), "cohesion": code.package_cohesion(syms, edges), "map": code.repo_map(syms, edges)}
 
     def search_temporal(self, texts: list[str], at: Column, limit: int = 10, **filters) -> DataFrame:
@@ -142,6 +142,6 @@ class MemoryStore:
     def code(self, files: DataFrame, targets: list[str], hops: int = 3) -> dict[str, DataFrame]:
         """What a change of files or symbols reaches: report, rows, test files; and the cycles across files."""
         syms = code.symbols(files)
-        edges = code.resolve(syms, code.relations(files))
+        edges = code.resolve(syms, code.relations(files), code.imports(files))
         wanted = self.spark.createDataFrame([(t,) for t in targets], "target string")
         return {"report": code.blast_report(syms, edges, wanted, hops), "impact": code.blast_radius(syms, edges, wanted, hops), "tests": code.impacted_tests(syms, edges, wanted, hops), "cycles": code.cross_file_cycles(syms, edges)}
