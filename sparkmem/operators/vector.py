@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import cut
+
 MOST_QUERIES = 1024  # queries that are broadcast; more are searched in blocks
 BLOCK_ROWS = 4096  # vectors in a block, about
 EXACT_SHARE, EXACT_ROWS = 8, 4096
@@ -166,36 +168,106 @@ def prefix_rerank(vectors: DataFrame, queries: DataFrame, k: int, *, share: floa
     return joined.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id")))).where(F.col("position") <= k)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = 1024) -> DataFrame:
-    """id, duplicate_of, confidence: the nearest earlier vector of each one, where it is near enough.
+#: Near duplicates: vectors of a block, centres at most, widths of a ring within the threshold's angle.
+BLOCK, MOST_CENTRES, RINGS = 1024, 512, 4
+
+
+def _units(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows (float64), and which rows have one."""
+    m = np.array(rows, np.float64).reshape(len(rows), -1)
+    size = np.linalg.norm(m, axis=1)
+    ok = np.isfinite(m).all(axis=1) & (size > 0)
+    return m / np.where(ok, size, 1.0)[:, None], ok
+
 
-    Rows are packed in blocks of a bounded number of vectors; each pair of blocks is one matrix product."""
+def near_pairs(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """id, near, score of distinct vectors (id, embedding) of one size within the threshold, both ways, and the pairs of blocks that were compared.
+
+    Each vector belongs to its nearest centre. By the triangle inequality of angles, a vector can only be near members of
+    centres whose angle to it exceeds that of its own centre by no more than twice the threshold's, and among these only
+    members whose angle to the centre differs by no more than the threshold's. Members lie in rings of that angle, and
+    rings in blocks by a hash, so that a crowded centre is dealt out; so are those that come to compare."""
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-9
+    width = max(reach / RINGS, 1e-3)
     n = vectors.count()
-    parts = max(1, -(-n // block))
+    centres = [r[0] for r in vectors.orderBy(F.xxhash64("id")).limit(max(1, min(MOST_CENTRES, round((n / 4) ** 0.5)))).select("embedding").collect()]  # a bounded sample
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast(_units(centres)[0] if centres else np.zeros((0, 1)))
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("id")
-        m = np.array(g["embedding"].tolist(), np.float32)
-        m /= np.maximum(np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True), 1e-300)
-        return pd.DataFrame({"part": [int(g["part"].iloc[0])], "ids": [g["id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "dims": [m.shape[1]]})
+    def angles(batch: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        m, ok = _units(batch["embedding"].tolist())
+        return batch[ok], np.arccos(np.clip(m[ok] @ sent.value.T, -1.0, 1.0))
 
-    blocks = vectors.where("embedding is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(pack, "part int, ids binary, m binary, dims int")
-    left = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = blocks.select(F.col("part").alias("other"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    def own(batches):
+        for batch in batches:
+            held, at = angles(batch)
+            home = at.argmin(axis=1)
+            yield pd.DataFrame({"id": held["id"].to_numpy(), "centre": home, "ring": (at[np.arange(len(home)), home] / width).astype(np.int64)})
+
+    homes = cut(vectors.mapInPandas(own, "id long, centre int, ring int"))
+    rings = cut(homes.groupBy("centre", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    rings_sent = spark.sparkContext.broadcast({(r["centre"], r["ring"]): r["parts"] for r in rings.collect()})  # centres x rings at most
+
+    def visits(batches):
+        by_centre: dict[int, list] = {}
+        for (c, ring), parts in rings_sent.value.items():
+            by_centre.setdefault(c, []).append((ring, parts))
+        for batch in batches:
+            held, at = angles(batch)
+            ids, rows = held["id"].to_numpy(), []
+            can = at <= at.min(axis=1, keepdims=True) + 2 * reach
+            for k, c in zip(*np.nonzero(can), strict=True):
+                for ring, parts in by_centre.get(int(c), ()):
+                    if ring * width <= at[k, c] + reach and (ring + 1) * width >= at[k, c] - reach:
+                        rows += [(ids[k], c, ring, part) for part in range(parts)]
+            yield pd.DataFrame(rows, columns=["id", "centre", "ring", "part"])
+
+    part = lambda name, of: F.pmod(F.xxhash64(name), of).cast("int")
+    members = homes.join(rings, ["centre", "ring"]).withColumn("part", part("id", F.col("parts"))).drop("parts")
+    come = cut(vectors.mapInPandas(visits, "id long, centre int, ring int, part int"))
+    key = ["centre", "ring", "part"]
+    crowds = come.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
+
+    def packed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            m, _ = _units(group["embedding"].tolist())
+            return group[by].head(1).assign(**{f"{name}_ids": [group["id"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
+
+        return rows.join(vectors, "id").select(*by, "id", "embedding").groupBy(*by).applyInPandas(pack, ", ".join([*(f"{x} int" for x in by), f"{name}_ids binary", f"{name}_m binary"]))
+
+    left = packed(members, key, "a")
+    right = packed(come.join(crowds, key).withColumn("crowd", part("id", F.col("crowds"))), [*key, "crowd"], "b")
+    pairs = left.join(right, key)
 
     def match(batches):
         for batch in batches:
             for r in batch.itertuples():
-                a, b = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids2, np.int64)
-                s = np.frombuffer(r.m, np.float32).reshape(len(a), -1).astype(np.float64) @ np.frombuffer(r.m2, np.float32).reshape(len(b), -1).astype(np.float64).T
-                s[b[None, :] >= a[:, None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, 0]
-                top = s[np.arange(len(a)), order]
-                ok = top >= threshold
-                yield pd.DataFrame({"id": a[ok], "duplicate_of": b[order[ok]], "confidence": np.minimum(top[ok], 1.0)})
-
-    part = left.join(right, "other").mapInPandas(match, "id long, duplicate_of long, confidence double")
-    return part.groupBy("id").agg(F.max(F.struct("confidence", -F.col("duplicate_of"))).alias("b")).select("id", (-F.col("b")["col2"]).alias("duplicate_of"), F.col("b.confidence").alias("confidence"))
+                a, b = np.frombuffer(r.a_ids, np.int64), np.frombuffer(r.b_ids, np.int64)
+                score = np.frombuffer(r.b_m).reshape(len(b), -1) @ np.frombuffer(r.a_m).reshape(len(a), -1).T
+                at, near = np.nonzero((score >= threshold) & (b[:, None] != a[None, :]))
+                yield pd.DataFrame({"id": b[at], "near": a[near], "score": np.minimum(score[at, near], 1.0)})
+
+    return pairs.mapInPandas(match, "id long, near long, score double"), pairs.select(*key, "crowd", (F.octet_length("a_ids") / 8).alias("a"), (F.octet_length("b_ids") / 8).alias("b"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """id, duplicate_of, confidence: the nearest other vector of each one, where it is near enough; smaller ids on ties.
+
+    Copies of a vector are compared as one. Vectors of other sizes, null or of no length are near to none."""
+    held = vectors.where("embedding is not null and id is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    held = held.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    size = held.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    held = held.where(F.size("embedding") == (size["size"] if size else 0))
+    classes = cut(held.groupBy("embedding").agg(F.min("id").alias("low"), F.count_distinct("id").alias("n")))
+    pairs, _ = near_pairs(classes.select(F.col("low").alias("id"), "embedding"), threshold, block)
+    found = pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("near")).alias("less"))).alias("b")).select(F.col("id").alias("low"), "b.score", (-F.col("b.less")).alias("near"))
+    ids = held.select("id", "embedding").distinct().join(classes, "embedding").select("id", "low", "n")
+    second = ids.where("n > 1 and id != low").groupBy("low").agg(F.min("id").alias("second"))
+    each = ids.join(second, "low", "left").join(found, "low", "left")
+    copy = F.when(F.col("n") > 1, F.struct(F.lit(1.0).alias("score"), (-F.when(F.col("id") == F.col("low"), F.col("second")).otherwise(F.col("low"))).alias("less")))
+    near = F.when(F.col("near").isNotNull(), F.struct("score", (-F.col("near")).alias("less")))
+    best = each.select("id", F.when(copy.isNull() | (near > copy), F.coalesce(near, copy)).otherwise(copy).alias("b"))
+    return best.where("b is not null").select("id", (-F.col("b.less")).alias("duplicate_of"), F.col("b.score").alias("confidence"))
 
 
 def best_per_id(hits: DataFrame) -> DataFrame:
