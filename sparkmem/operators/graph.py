@@ -6,17 +6,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Labels that are no hubs.
 NOISE = ["string", "int", "bool", "error", "any", "Context", "context.Context", "fmt", "errors", "map", "slice", "nil", "struct"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may do without one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkmem-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="sparkmem-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -28,11 +38,11 @@ def adjacency(edges: DataFrame, a: str = "source", b: str = "target", directed:
 
 def khop(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """root, id, hop of everything within depth steps, roots themselves at 0. edges as from adjacency(); roots: (root)."""
-    steps = _cut(edges)
-    seen = _cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop")).distinct())
+    steps = cut(edges)
+    seen = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in range(1, depth + 1):
-        front = _cut(front.join(steps, front["id"] == steps["a"]).select("root", F.col("b").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        front = cut(front.join(steps, front["id"] == steps["a"]).select("root", F.col("b").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -42,18 +52,18 @@ def khop(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def bounded_traversal(edges: DataFrame, root: object, depth: int = 5, most_visited: int = 1000, most_results: int = 100) -> tuple[DataFrame, DataFrame]:
     """(id, hop, parent) in order of hop and id within the budgets, and a row of reasons for leaving something out."""
     spark = edges.sparkSession
-    steps = _cut(edges)
+    steps = cut(edges)
     kind = steps.schema["a"].dataType.simpleString()
-    seen = _cut(spark.createDataFrame([(root, 0, None)], f"id {kind}, hop int, parent {kind}"))
+    seen = cut(spark.createDataFrame([(root, 0, None)], f"id {kind}, hop int, parent {kind}"))
     front, visited, reasons = seen, 1, []
     for hop in range(1, depth + 1):
         near = front.join(steps, front["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.min(front["id"]).alias("parent")).join(seen.select("id"), "id", "left_anti")
         room = most_visited - visited
-        near = _cut(near.orderBy("parent", "id").limit(room + 1))
+        near = cut(near.orderBy("parent", "id").limit(room + 1))
         n = near.count()
         if n > room:
             reasons.append("visited")
-            near = _cut(near.orderBy("parent", "id").limit(room))
+            near = cut(near.orderBy("parent", "id").limit(room))
             n = room
         front = near.select("id", F.lit(hop).alias("hop"), "parent")
         seen, visited = seen.unionByName(front), visited + n
@@ -72,12 +82,12 @@ def shortest_path(edges: DataFrame, source: object, target: object, depth: int =
     """("found", ids) with the smallest ids among the shortest paths, ("none", []), or ("truncated", []) if the budget ends first."""
     if source == target:
         return "found", [source]
-    steps = _cut(edges)
+    steps = cut(edges)
     spark, kind = edges.sparkSession, edges.schema["a"].dataType.simpleString()
-    levels = [_cut(spark.createDataFrame([(source,)], f"id {kind}"))]
+    levels = [cut(spark.createDataFrame([(source,)], f"id {kind}"))]
     seen, visited = levels[0], 1
     for _ in range(depth):
-        near = _cut(levels[-1].join(steps, levels[-1]["id"] == steps["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        near = cut(levels[-1].join(steps, levels[-1]["id"] == steps["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
         n = near.count()
         if not n:
             return "none", []
@@ -90,10 +100,10 @@ def shortest_path(edges: DataFrame, source: object, target: object, depth: int =
         seen = seen.unionByName(near)
     else:
         return "none", []
-    marked = [_cut(levels[-1].where(F.col("id") == F.lit(target)))]
+    marked = [cut(levels[-1].where(F.col("id") == F.lit(target)))]
     for level in levels[-2::-1]:
         back = steps.join(marked[-1].withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        marked.append(_cut(level.join(back, "id", "left_semi")))
+        marked.append(cut(level.join(back, "id", "left_semi")))
     path = [source]
     for level in marked[-2::-1]:
         path.append(level.join(steps.where(F.col("a") == F.lit(path[-1])), level["id"] == steps["b"]).agg(F.min("id")).first()[0])  # one id a hop
@@ -102,7 +112,7 @@ def shortest_path(edges: DataFrame, source: object, target: object, depth: int =
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that steps lead to. Alternating stars; no part of the graph is collected."""
-    now = _cut(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).where("u != v").distinct())
+    now = cut(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).where("u != v").distinct())
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -110,7 +120,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = _cut(small.where("u != v").distinct())
+        now = cut(small.where("u != v").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return nodes.select("id").join(now.withColumnsRenamed({"u": "id", "v": "component"}), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -135,7 +145,7 @@ def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
 
 def surprising(nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """Edges across source files, between a loose and a busy node, or of contradiction, by score."""
-    degree = _cut(edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
+    degree = cut(edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")))
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("source_file").alias(f"{x}_file")).join(degree.select(F.col("id").alias(x), F.col("degree").alias(f"{x}_degree")), x)
     joined = edges.where(~F.col("type").isin("imports", "defines")).join(side("source"), "source").join(side("target"), "target")
     loose = F.least("source_degree", "target_degree") <= 2
@@ -152,20 +162,20 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, round
     if not directed:
         own = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     sums = own.groupBy("a").agg(F.sum("w").alias("sum"))
-    steps = _cut(own.join(sums, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("sum")).alias("share")))
+    steps = cut(own.join(sums, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("sum")).alias("share")))
     every = own.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     every = every if nodes is None else every.unionByName(nodes.select("id")).distinct()
     known = seeds.join(every, "id", "left_semi")
     total = known.agg(F.sum("weight")).first()[0]
     start = every.join(known.groupBy("id").agg(F.sum("weight").alias("weight")), "id", "left").select("id", (F.coalesce("weight", F.lit(0.0)) / F.lit(total)).alias("s")) if total else every.withColumn("s", F.lit(1.0) / F.lit(max(1, every.count())))
-    base = _cut(start.join(sums.select(F.col("a").alias("id"), F.lit(True).alias("out")), "id", "left").select("id", "s", F.coalesce("out", F.lit(False)).alias("out")))
+    base = cut(start.join(sums.select(F.col("a").alias("id"), F.lit(True).alias("out")), "id", "left").select("id", "s", F.coalesce("out", F.lit(False)).alias("out")))
     now = base.select("id", "s", "out", F.col("s").alias("p"))
     for turn in range(1, rounds + 1):
         got = now.join(steps, now["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("p") * F.col("share")).alias("c"))
         dead = now.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("p"))), F.lit(0.0)).alias("dead"))
         new = base.join(got, "id", "left").crossJoin(F.broadcast(dead)).select("id", "s", "out", ((1 - damping) * F.col("s") + damping * (F.coalesce("c", F.lit(0.0)) + F.col("dead") * F.col("s"))).alias("p"))  # dead: one row
         if turn % 5 == 0 or turn == rounds:
-            new = _cut(new)
+            new = cut(new)
             if tolerance and new.join(now.select("id", F.col("p").alias("q")), "id").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0] < tolerance:
                 return new.select("id", F.col("p").alias("score"))
         now = new
@@ -182,10 +192,10 @@ def pagerank_each(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85,
     if not directed:
         own = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     sums = own.groupBy("a").agg(F.sum("w").alias("sum"))
-    steps = _cut(own.join(sums, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("sum")).alias("share")))
+    steps = cut(own.join(sums, "a").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("sum")).alias("share")))
     weighed = seeds.groupBy("qid", "id").agg(F.sum("weight").alias("weight")).where("weight > 0")
     total = weighed.groupBy("qid").agg(F.sum("weight").alias("total"))
-    base = _cut(weighed.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("total")).alias("s")))
+    base = cut(weighed.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("total")).alias("s")))
     now, done = base.withColumnRenamed("s", "p"), None
     for turn in range(1, rounds + 1):
         met = now.join(steps.withColumnRenamed("a", "id"), "id", "left")
@@ -193,12 +203,12 @@ def pagerank_each(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85,
         dead = met.where("b is null").groupBy("qid").agg(F.sum("p").alias("dead"))
         live = base.join(now.select("qid").distinct(), "qid", "left_semi").join(dead, "qid", "left").select("qid", "id", "s", F.coalesce("dead", F.lit(0.0)).alias("dead"))
         s, c = F.coalesce("s", F.lit(0.0)), F.coalesce("c", F.lit(0.0))
-        new = _cut(live.join(got, ["qid", "id"], "full").select("qid", "id", ((1 - damping) * s + damping * (c + F.coalesce("dead", F.lit(0.0)) * s)).alias("p")))
+        new = cut(live.join(got, ["qid", "id"], "full").select("qid", "id", ((1 - damping) * s + damping * (c + F.coalesce("dead", F.lit(0.0)) * s)).alias("p")))
         if turn == rounds:
             settled, moving = new, None
         else:
             change = new.join(now.withColumnRenamed("p", "q"), ["qid", "id"], "full").groupBy("qid").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("d"))
-            change = _cut(change)
+            change = cut(change)
             settled = new.join(change.where(F.col("d") < tolerance), "qid", "left_semi")
             moving = new.join(change.where(F.col("d") >= tolerance), "qid", "left_semi")
             if change.where(F.col("d") >= tolerance).isEmpty():
@@ -240,18 +250,18 @@ def cycles(edges: DataFrame, longest: int = 8, types: tuple[str, ...] = ("import
 
     Nodes without a way in or out are peeled off first; paths grow only within what is left."""
     steps = edges.where(F.col("type").isin(*types)) if "type" in edges.columns else edges
-    steps = _cut(steps.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a != b").distinct())
+    steps = cut(steps.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a != b").distinct())
     size = None
     while size != (n := steps.count()) and n:
         size = n
-        steps = _cut(steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        steps = cut(steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
     paths = steps.where("a < b").select(F.array("a", "b").alias("path"))
     found = None
     for _ in range(2, longest + 1):
         end = F.element_at("path", -1)
         closed = paths.join(steps, (end == F.col("a")) & (F.element_at("path", 1) == F.col("b"))).select("path")
         found = closed if found is None else found.unionByName(closed)
-        paths = _cut(paths.join(steps, (end == F.col("a")) & (F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path")))
+        paths = cut(paths.join(steps, (end == F.col("a")) & (F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path")))
         if paths.isEmpty():
             break
     return found.select(F.col("path").alias("cycle"), F.size("path").alias("length"))
@@ -259,7 +269,7 @@ def cycles(edges: DataFrame, longest: int = 8, types: tuple[str, ...] = ("import
 
 def community_summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """component, summary: its size, the first ten labels and the first eight nodes outside that it points to."""
-    of = _cut(components(nodes, edges))
+    of = cut(components(nodes, edges))
     labels = nodes.join(of, "id").groupBy("component").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("label")), 1, 10).alias("labels"))
     ends = edges.join(of.withColumnsRenamed({"id": "source", "component": "c"}), "source").join(of.withColumnsRenamed({"id": "target", "component": "d"}), "target").where("c != d")
     out = ends.groupBy(F.col("c").alias("component")).agg(F.slice(F.sort_array(F.collect_set("target")), 1, 8).alias("outside"))
@@ -292,7 +302,7 @@ def conflicts(edges: DataFrame) -> DataFrame:
 def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, most_nodes: int = 200) -> tuple[DataFrame, DataFrame]:
     """Nodes around some roots within a budget, hop by hop in order of id, and the edges between them."""
     near = khop(adjacency(edges), roots, depth).groupBy("id").agg(F.min("hop").alias("hop"))
-    kept = _cut(near.orderBy("hop", "id").limit(most_nodes))
+    kept = cut(near.orderBy("hop", "id").limit(most_nodes))
     inside = edges.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
     return kept, inside
 

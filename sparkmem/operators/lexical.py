@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, sentences, terms
+from .graph import cut
 from .temporal import valid_at
 
-# Weight of each indexed column.
-WEIGHTS = {"title": 1.0, "content": 2.0, "type": 0.5, "project": 0.5, "scope": 0.5, "topic_key": 0.5}
+# Weight of each indexed column, and the columns whose values stand before the content.
+WEIGHTS = {"title": 1.0, "content": 2.0, "tool_name": 0.5, "type": 0.5, "project": 0.5, "scope": 0.5, "topic_key": 0.5}
+BEFORE_CONTENT = ["type", "topic_key", "project"]
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Asked terms up to which rows are reduced to them by a literal list.
+MOST_LITERALS = 10_000
 
 
 class Index:
@@ -30,25 +34,58 @@ class Index:
         return self
 
 
-def build(df: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "id", analyser: Callable[[Column], Column] = terms) -> Index:
-    """Analyse the columns of live rows once and count each term by row and column weight; queries need the same analyser."""
+def indexed(df: DataFrame) -> DataFrame:
+    """The seven columns as they are indexed: absent ones empty, the content behind type, topic key and project."""
+    held = df if "tool_name" in df.columns else df.withColumn("tool_name", F.lit(None).cast("string"))
+    before = [F.coalesce(c, F.lit("")) for c in BEFORE_CONTENT]
+    return held.withColumn("content", F.concat_ws(" ", *before, F.coalesce("content", F.lit(""))))
+
+
+def analysed(df: DataFrame, weights: dict[str, float], id_col: str = "id", analyser: Callable[[Column], Column] = terms, only: list[str] | None = None) -> DataFrame:
+    """id, length, words (term, w) of each row; only: the terms to keep, which don't change the length."""
     fields = F.array(*(F.struct(F.lit(w).alias("w"), analyser(F.coalesce(c, F.lit(""))).alias("t")) for c, w in weights.items()))
+    kept = (lambda t: t) if only is None else lambda t: F.filter(t, lambda x: x.isin(*only))
     length = F.aggregate("f", F.lit(0), lambda s, x: s + F.size(x["t"])).cast("long")
-    analysed = df.select(F.col(id_col).alias("id"), fields.alias("f")).withColumn("length", length)
-    words = analysed.select("id", "length", F.explode("f").alias("f")).select("id", "length", F.col("f.w").alias("w"), F.explode("f.t").alias("term"))
+    words = F.flatten(F.transform("f", lambda f: F.transform(kept(f["t"]), lambda t: F.struct(t.alias("term"), f["w"].alias("w")))))
+    return df.select(F.col(id_col).alias("id"), fields.alias("f")).select("id", length.alias("length"), words.alias("words"))
+
+
+def asked_terms(queries: DataFrame, most: int = MOST_LITERALS) -> list[str] | None:
+    """The distinct terms of the queries, or None if they are too many for a list."""
+    found = [r["t"] for r in queries.select(F.explode("terms").alias("t")).distinct().limit(most + 1).collect()]
+    return None if len(found) > most else found
+
+
+def build(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "id", analyser: Callable[[Column], Column] = terms, queries: DataFrame | None = None) -> Index:
+    """Analyse the columns of live rows once and count each term by row and column weight; queries need the same analyser.
+
+    weights: by default the seven columns as they are indexed. queries: an index for these alone, made in one scan that
+    lets go of all other terms before rows are spread out."""
+    only = asked_terms(queries) if queries is not None else None
+    rows = analysed(indexed(df) if weights is None else df, weights or WEIGHTS, id_col, analyser, only)
+    if only is not None:
+        rows = cut(rows)
+    words = rows.select("id", "length", F.explode("words").alias("x")).select("id", "length", "x.*")
     postings = words.groupBy("term", "id", "length").agg(F.sum("w").alias("tf"))
-    corpus = analysed.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    return Index(postings, corpus)
+    return Index(postings, rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")))
+
+
+def idf(docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
+def saturated(tf: Column, length: Column, mean_length: Column) -> Column:
+    """The part of a term's score that its row decides."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
 def bm25(index: Index, queries: DataFrame, *, all_terms: bool = True) -> DataFrame:
     """qid, id, score (larger is better): rows that hold all distinct terms of the query, or any of them."""
     asked = queries.select("qid", F.array_distinct("terms").alias("terms")).select("qid", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = index.postings.join(F.broadcast(asked) if queries.isLocal() else asked, "term")
+    hits = index.postings.join(asked, "term")
     df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(index.corpus))  # one row
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    part = idf(F.col("docs"), F.col("df")) * saturated(F.col("tf"), F.col("length"), F.col("mean_length"))
     out = scored.groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("met"), F.first("n_terms").alias("n_terms"))
     return out.where(F.col("met") == F.col("n_terms") if all_terms else F.col("met") >= 1).select("qid", "id", "score")
 

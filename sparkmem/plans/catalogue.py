@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..functions import timerange
-from ..operators import evaluation, fusion, graph, lexical, lifecycle, relational, rerank, temporal, vector
+from ..operators import code, evaluation, fusion, graph, lexical, lifecycle, relational, rerank, stored, temporal, vector
 from ..sources import adapters
-from .sql import EDGES, GRAPH, IMPORTANCE, LIVE, METRICS, OBS, query
+from .sql import CODE, EDGES, GRAPH, IMPORTANCE, LIVE, METRICS, OBS, query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +38,9 @@ STOP = ", ".join(f"'{w}'" for w in text_functions.STOP_WORDS)
 TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{Nd}}_]+')"
 ASKED = f"""asked AS (SELECT qid, text, list_distinct(list_filter({TERMS.format('text')}, lambda t: length(t) > 1 AND t NOT IN ({STOP}))) AS terms
  FROM (VALUES (1, 'the thing of that'), (2, 'die und der'), (3, 'les de la'), (4, 'en src1 ion'), (5, 'de/src9'), (6, 'the qqzz')) AS v(qid, text))"""
-FIELDS = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest({TERMS.format(f'coalesce({c}, {chr(39)}{chr(39)})')}) AS term FROM live" for c, w in lexical.WEIGHTS.items())
+_EMPTY = lambda c: f"coalesce({c}, '')"
+INDEXED = {c: _EMPTY(c) for c in lexical.WEIGHTS} | {"content": " || ' ' || ".join(map(_EMPTY, [*lexical.BEFORE_CONTENT, "content"]))}
+FIELDS = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest({TERMS.format(INDEXED[c])}) AS term FROM live" for c, w in lexical.WEIGHTS.items())
 BM25 = f"""words AS ({FIELDS}), lengths AS (SELECT live.id, coalesce(n, 0) AS length FROM live LEFT JOIN (SELECT id, count(*) AS n FROM words GROUP BY id) AS l ON l.id = live.id),
 corpus AS (SELECT count(*) AS docs, avg(length) AS mean_length FROM lengths), postings AS (SELECT term, id, sum(w) AS tf FROM words GROUP BY term, id),
 frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY term), each AS (SELECT qid, len(terms) AS n_terms, unnest(terms) AS term FROM asked),
@@ -49,7 +52,7 @@ ranked AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY r
 
 def _ranked(spark: SparkSession, sf_dir: str, limit: int | None = None) -> tuple[DataFrame, lexical.Index, DataFrame]:
     live = adapters.observations(spark, sf_dir, live=True)
-    index = lexical.build(live)
+    index = lexical.build(live, queries=asked(spark))
     return lexical.ranked(lexical.bm25(index, asked(spark)), limit, F.round("score", 9).desc(), F.asc("id")), index, live
 
 
@@ -81,7 +84,7 @@ def prf_terms(spark, sf_dir):
  UNION ALL SELECT qid, id, score, 1 FROM hits WHERE qid NOT IN (SELECT qid FROM ranked))) WHERE position <= 10""", LIVE, ASKED, BM25))
 def relaxed_rescue(spark, sf_dir):
     live = adapters.observations(spark, sf_dir, live=True)
-    found = lexical.relaxed(lexical.build(live), asked(spark), 1_000_000).drop("position")
+    found = lexical.relaxed(lexical.build(live, queries=asked(spark)), asked(spark), 1_000_000).drop("position")
     return lexical.ranked(found, 10, F.round("score", 9).desc(), F.asc("id")).select("qid", "id", F.round("score", 6).alias("score"), "tier")
 
 
@@ -373,9 +376,18 @@ def inner_product_topk(spark, sf_dir):
     return vector.exact_topk(adapters.vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10, metric="ip").withColumn("score", F.round("score", 4))
 
 
-@register("near_duplicates", query(f"SELECT id, duplicate_of, round(s, 5) AS confidence FROM (SELECT v.id, q.id AS duplicate_of, least({COS}, 1) AS s, row_number() OVER (PARTITION BY v.id ORDER BY {COS} DESC, q.id) AS n FROM v q, v WHERE q.id < v.id) WHERE n = 1 AND s >= 0.8", VECS))
+NEAREST = "SELECT id, duplicate_of, round(s, 5) AS confidence FROM (SELECT v.id, q.id AS duplicate_of, least({cos}, 1) AS s, row_number() OVER (PARTITION BY v.id ORDER BY round({cos}, 12) DESC, q.id) AS n FROM v q, v WHERE q.id <> v.id AND {cos} >= 0.95) WHERE n = 1"
+
+
+@register("near_duplicates", query(NEAREST.format(cos=COS), VECS))
 def near_duplicates(spark, sf_dir):
-    return vector.near_duplicates(adapters.vectors(spark, sf_dir), 0.8).withColumn("confidence", F.round("confidence", 5))
+    return vector.near_duplicates(adapters.vectors(spark, sf_dir)).withColumn("confidence", F.round("confidence", 5))
+
+
+@register("near_prefixes", query(NEAREST.format(cos=COS), VECS.replace("embedding", "embedding[1:6]", 1)))
+def near_prefixes(spark, sf_dir):
+    short = adapters.vectors(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 6))
+    return vector.near_duplicates(short).withColumn("confidence", F.round("confidence", 5))
 
 
 @register("filter_probe", query("SELECT *, CASE WHEN matching = 0 THEN 'none' WHEN matching * 8 <= total AND matching <= 4096 THEN 'exact' ELSE 'constrained' END AS plan FROM (SELECT count(*) AS total, count(*) FILTER (label = 3) AS matching FROM v)", VECS))
@@ -870,3 +882,49 @@ def stemmed_search(spark, sf_dir):
     index = lexical.build(adapters.observations(spark, sf_dir, live=True), analyser=stem)
     asked_ = asked(spark).withColumn("terms", text_functions.stemmed(F.col("terms")))
     return lexical.ranked(lexical.bm25(index, asked_), 10, F.round("score", 9).desc(), F.asc("id")).select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+TOP = "SELECT qid, id, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM ranked WHERE position <= 10"
+
+
+def stored_index(spark: SparkSession, **options) -> stored.StoredIndex:
+    return stored.StoredIndex(spark, f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}", **options)
+
+
+@register("stored_topk", query(TOP, LIVE, ASKED, BM25))
+def stored_topk(spark, sf_dir):
+    """The list of bm25_topk from a stored index."""
+    index = stored_index(spark)
+    index.apply(adapters.observations(spark, sf_dir, live=True), 0)
+    return index.search(asked(spark), 10).select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+@register("incremental_topk", query(TOP, LIVE, ASKED, BM25))
+def incremental_topk(spark, sf_dir):
+    """The same after three batches: part of the rows with older texts, deleted ones among them; deletions and replacements; the rest."""
+    obs, index = adapters.observations(spark, sf_dir), stored_index(spark, fan=3)
+    i = F.col("id")
+    older = obs.where(i % 3 != 0).withColumn("content", F.when(i % 4 == 0, F.col("title")).otherwise(F.col("content"))).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    for number, batch in enumerate((older, obs.where((i % 3 != 0) & ((i % 4 == 0) | F.col("deleted_at").isNotNull())), obs.where(i % 3 == 0))):
+        index.apply(batch, number)
+    return index.search(asked(spark), 10).select("qid", "id", F.round("score", 6).alias("score"), "position")
+
+
+@register("code_symbols", query("""SELECT file, 'module' AS kind, 's' || k || '.go' AS name, NULL AS parent, 1 AS line, 1 AS complexity FROM tree UNION ALL SELECT file, 'struct', 'T' || k, NULL, 8, 1 FROM tree
+ UNION ALL SELECT file, 'method', 'Get' || k, 'T' || k, 10, 3 FROM tree UNION ALL SELECT file, 'function', 'Do' || k, NULL, 12, 2 FROM tree UNION ALL SELECT file, 'function', 'Shared', NULL, 20, 1 FROM shared""", CODE))
+def code_symbols(spark, sf_dir):
+    return code.symbols(adapters.code_tree(spark, sf_dir)).select("file", "kind", "name", "parent", "line", "complexity")
+
+
+@register("code_calls", query("""SELECT 'Get' || k AS source, 'Do' || k AS target, file AS target_file, 0.8 AS confidence FROM tree
+ UNION ALL SELECT 'Do' || a.k, 'Do' || b.k, b.file, 0.8 FROM tree a JOIN tree b ON b.k = a.k + 1
+ UNION ALL SELECT 'Do' || k, 'Shared', coalesce(led, own, near, far), CASE WHEN led IS NOT NULL THEN 1.0 WHEN coalesce(own, near) IS NOT NULL OR (SELECT count(*) FROM shared) = 1 THEN 0.8 ELSE 0.5 END
+ FROM (SELECT t.k, (SELECT min(s.file) FROM shared s WHERE s.n = t.next) AS led, CASE WHEN t.k % 7 = 0 THEN t.file END AS own, (SELECT min(s.file) FROM shared s WHERE s.n = t.n) AS near, (SELECT min(file) FROM shared) AS far FROM tree t)
+ WHERE coalesce(led, own, near, far) IS NOT NULL""", CODE))
+def code_calls(spark, sf_dir):
+    files = adapters.code_tree(spark, sf_dir)
+    syms = code.symbols(files)
+    edges = code.resolve(syms, code.relations(files), code.imports(files)).where("relation = 'calls'")
+    named = syms.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    led = syms.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file").alias("target_file"))
+    return edges.join(named, "source_id").join(led, "target_id").select("source", "target", "target_file", "confidence")

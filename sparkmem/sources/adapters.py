@@ -36,7 +36,7 @@ def observations(spark: SparkSession, sf_dir: str, *, live: bool = False) -> Dat
     out = d.select(
         i.alias("id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"), kind.alias("type"), F.col("source").alias("project"), F.when(i % 5 == 0, "personal").otherwise("project").alias("scope"),
         F.concat_ws("/", "lang", "source").alias("topic_key"), (i % 100).alias("session_id"), ((i % 10 + 1) / 10).alias("confidence"), created.alias("created_at"), F.date_add(created.cast("date"), (i % 30).cast("int")).cast("timestamp").alias("updated_at"),
-        F.when(i % 50 == 0, days_after("2024-12-31", F.lit(0))).alias("deleted_at"), F.array_compact(F.array(F.when(i % 2 == 0, "even"), F.when(i % 3 == 0, "third"), F.when(i % 7 == 0, "seventh"))).alias("tags"),
+        F.when(i % 50 == 0, days_after("2024-12-31", F.lit(0))).alias("deleted_at"), F.when(kind == "tool_use", F.col("lang")).alias("tool_name"), F.array_compact(F.array(F.when(i % 2 == 0, "even"), F.when(i % 3 == 0, "third"), F.when(i % 7 == 0, "seventh"))).alias("tags"),
     )
     return out.where(F.col("deleted_at").isNull()) if live else out
 
@@ -96,3 +96,18 @@ def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         .unionByName(c.select(key("c", "c_custkey").alias("source"), key("n", "c_nationkey").alias("target"), F.lit("calls").alias("type"), F.lit(1.0).alias("weight")))
     )
     return nodes.withColumn("source_file", F.concat("kind", F.lit(".tbl"))), links
+
+
+def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of Go sources: a file for each supplier, a package for each nation, a folder for each region."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    regions = n.select(F.col("n_nationkey").alias("next"), F.col("n_regionkey").alias("next_region"))
+    own = s.join(n, s.s_nationkey == n.n_nationkey).withColumn("next", ((F.col("s_nationkey") + 1) % 25).cast("int")).join(regions, "next")
+    path = F.format_string("r%d/n%d/s%d.go", "n_regionkey", "s_nationkey", "s_suppkey")
+    text = F.format_string(
+        'package n%d // func hidden%d() {\n\nimport (\n\t"fmt"\n\tother "example.com/tree/r%d/n%d"\n)\n\ntype T%d struct { id int }\n\n'
+        "func (t *T%d) Get%d(a int) int { if a > 0 && a < 9 { fmt.Println(\"if {\"); return Do%d(a) }; return 0 }\n\nfunc Do%d(a int) int {\n\tfor a > 0 {\n\t\ta--\n\t}\n\tother.Shared(a)\n\treturn Do%d(a)\n}\n",
+        "s_nationkey", "s_suppkey", "next_region", "next", "s_suppkey", "s_suppkey", "s_suppkey", "s_suppkey", "s_suppkey", F.col("s_suppkey") + 1,
+    )
+    shared = F.when(F.col("s_suppkey") % 7 == 0, F.lit("\nfunc Shared(a int) int { return a }\n")).otherwise("")
+    return own.select(path.alias("path"), F.lit("go").alias("language"), F.concat(text, shared).alias("content"))
