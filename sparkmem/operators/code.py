@@ -289,7 +289,8 @@ def repo_map(syms: DataFrame, edges: DataFrame, budget_tokens: int = 2000) -> Da
 
 def cross_file_cycles(syms: DataFrame, edges: DataFrame, limit: int = 10, longest: int = 8) -> DataFrame:
     """name, files, path of cycles of symbols in more than one file, the shortest first; the path ends where it begins."""
-    found = graph.cycles(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), longest)
+    across = lambda found: found.select("cycle", F.explode("cycle").alias("id")).join(syms.select("id", "file").where("file != ''"), "id").groupBy("cycle").agg(F.count_distinct("file").alias("n")).where("n > 1").limit(limit).count() >= limit
+    found = graph.cycles(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), longest, enough=across)
     nodes = found.select("cycle", "length", F.posexplode("cycle").alias("n", "id")).join(syms.select("id", "name", "file"), "id", "left")
     shown = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("id"))
     per = nodes.groupBy("cycle", "length").agg(F.sort_array(F.collect_set(F.nullif(F.col("file"), F.lit("")))).alias("files"), F.transform(F.sort_array(F.collect_list(F.struct("n", shown.alias("name")))), lambda x: x["name"]).alias("names"))  # as many rows as a cycle has nodes

@@ -5,6 +5,7 @@ Loops run on the driver, one join a round; state stays distributed and lineage i
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -245,22 +246,66 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, targets: DataFrame, hops: i
     return khop(adjacency(edges, "target", "source", directed=True), targets, hops).where("hop > 0")
 
 
-def cycles(edges: DataFrame, longest: int = 8, types: tuple[str, ...] = ("imports", "calls", "uses")) -> DataFrame:
-    """Simple directed cycles of at most so many edges, each from its smallest id on, as arrays.
-
-    Nodes without a way in or out are peeled off first; paths grow only within what is left."""
-    steps = edges.where(F.col("type").isin(*types)) if "type" in edges.columns else edges
-    steps = cut(steps.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a != b").distinct())
+def _trimmed(steps: DataFrame) -> DataFrame:
+    """Steps (a, b) between nodes that have both a way in and a way out, until no node lacks one."""
     size = None
     while size != (n := steps.count()) and n:
         size = n
         steps = cut(steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    return steps
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component of nodes on a directed cycle (edges: source, target): the smallest id that they reach and that reaches them.
+
+    Each round trims nodes without a way in or out, hands the largest id forward until it stays, and walks back from its
+    owners among nodes that got the same: what they meet is a component each. The rest goes on, by steps within one colour."""
+    steps = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a != b").distinct())
+    done = None
+    while True:
+        steps = _trimmed(steps)
+        if steps.isEmpty():
+            break
+        colour = cut(steps.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct())  # after trimming, every node has a way out
+        while True:
+            got = steps.join(colour.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max("c").alias("got"))
+            new = cut(colour.join(got, "id", "left").select("id", F.greatest("c", "got").alias("c"), (F.col("got") > F.col("c")).alias("moved")))
+            colour = new.select("id", "c")
+            if new.where("moved").isEmpty():
+                break
+        ends = lambda x: colour.withColumnsRenamed({"id": x, "c": f"c{x}"})
+        steps = cut(steps.join(ends("a"), "a").join(ends("b"), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")))
+        met = front = cut(colour.where("id = c"))
+        while not front.isEmpty():
+            front = cut(steps.join(front.select(F.col("id").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("id"), "c").distinct().join(met, ["id", "c"], "left_anti"))
+            met = cut(met.unionByName(front))
+        done = met if done is None else done.unionByName(met)
+        steps = steps.join(met.select(F.col("id").alias("a")), "a", "left_anti").join(met.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+        steps = cut(steps)
+    if done is None:
+        return edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
+    groups = done.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return done.join(groups, "c").select("id", "component")
+
+
+def cycles(edges: DataFrame, longest: int = 8, types: tuple[str, ...] = ("imports", "calls", "uses"), enough: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+    """Simple directed cycles of at most so many edges, each from its smallest id on, as arrays.
+
+    Paths grow only within strongly connected components, a length at a time; enough(cycles found so far) ends it early,
+    so that a report of the shortest few doesn't walk through all of them."""
+    steps = edges.where(F.col("type").isin(*types)) if "type" in edges.columns else edges
+    steps = steps.select("source", "target").where("source != target").distinct()
+    of = cut(strong_components(steps))
+    ends = lambda x: of.withColumnsRenamed({"id": x, "component": f"of_{x}"})
+    steps = cut(steps.join(ends("source"), "source").join(ends("target"), "target").where("of_source = of_target").select(F.col("source").alias("a"), F.col("target").alias("b")))
     paths = steps.where("a < b").select(F.array("a", "b").alias("path"))
     found = None
     for _ in range(2, longest + 1):
         end = F.element_at("path", -1)
-        closed = paths.join(steps, (end == F.col("a")) & (F.element_at("path", 1) == F.col("b"))).select("path")
+        closed = cut(paths.join(steps, (end == F.col("a")) & (F.element_at("path", 1) == F.col("b"))).select("path"))
         found = closed if found is None else found.unionByName(closed)
+        if enough is not None and enough(found.select(F.col("path").alias("cycle"), F.size("path").alias("length"))):
+            break
         paths = cut(paths.join(steps, (end == F.col("a")) & (F.col("b") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path")))
         if paths.isEmpty():
             break

@@ -17,6 +17,26 @@ def as_of(facts: DataFrame, valid: Column, system: Column) -> DataFrame:
     return facts.where(_covers("valid_from", "valid_until", valid) & _covers("tx_from", "tx_until", system))
 
 
+def as_of_many(facts: DataFrame, asks: DataFrame) -> DataFrame:
+    """qid and the facts of as_of() for each of many times (qid, valid, system), as one join by equal keys.
+
+    Valid time is cut into buckets of every power of two. A fact lies in the one or two buckets of the width of its own
+    interval; an asked time lies in one bucket of each width. Facts outside all asked times don't take part."""
+    low, high = asks.agg(F.min(F.unix_micros("valid")), F.max(F.unix_micros("valid"))).first()
+    if low is None:
+        low, high = 0, 0
+    start = F.greatest(F.coalesce(F.unix_micros("valid_from"), F.lit(low)), F.lit(low)) - low
+    stop = F.least(F.coalesce(F.unix_micros("valid_until"), F.lit(high + 1)), F.lit(high + 1)) - low
+    widest = (high - low + 1).bit_length()
+    cut_off = facts.withColumns({"__a": start, "__b": stop}).where("__a < __b").withColumn("__level", F.least(F.ceil(F.log2(F.col("__b") - F.col("__a"))), F.lit(widest)).cast("int"))
+    bucket = lambda x: F.call_function("shiftright", x, F.col("__level"))
+    held = cut_off.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("__a")), bucket(F.col("__b") - 1)))))
+    at = asks.where("valid is not null and system is not null").withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(widest))))
+    at = at.withColumn("__bucket", bucket(F.unix_micros("valid") - low)).select("qid", F.col("valid").alias("__valid"), F.col("system").alias("__system"), "__level", "__bucket")
+    met = held.join(at, ["__level", "__bucket"]).where(_covers("valid_from", "valid_until", F.col("__valid")) & _covers("tx_from", "tx_until", F.col("__system")))
+    return met.select("qid", *facts.columns)
+
+
 def valid_at(facts: DataFrame, at: Column, *, end_included: bool = False) -> DataFrame:
     end = F.col("invalid_at") >= at if end_included else F.col("invalid_at") > at
     return facts.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("invalid_at").isNull() | end))

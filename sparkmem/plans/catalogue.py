@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from ..functions import timerange
-from ..operators import code, evaluation, fusion, graph, lexical, lifecycle, relational, rerank, stored, temporal, vector
+from ..operators import code, containment, evaluation, fusion, graph, lexical, lifecycle, relational, rerank, stored, temporal, vector
 from ..sources import adapters
 from .sql import CODE, EDGES, GRAPH, IMPORTANCE, LIVE, METRICS, OBS, query
 
@@ -928,3 +928,37 @@ def code_calls(spark, sf_dir):
     named = syms.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     led = syms.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("file").alias("target_file"))
     return edges.join(named, "source_id").join(led, "target_id").select("source", "target", "target_file", "confidence")
+
+
+LABELS = r"labels AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{4,8}')) AS label FROM benchmark)"
+
+
+@register("label_join", query("SELECT label, count(*) AS n FROM labels JOIN documents ON contains(lower(text), label) GROUP BY label", LABELS))
+def label_join(spark, sf_dir):
+    """Every word of four to eight letters of the benchmark as a label, in all texts."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,8}"), F.lit(0))
+    labels = adapters.table(spark, sf_dir, "benchmark").select(F.explode(words).alias("label")).distinct().select(F.col("label").alias("label_id"), "label")
+    found = containment.contained(adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), labels)
+    return found.groupBy(F.col("label_id").alias("label")).agg(F.count("*").alias("n"))
+
+
+ASKS = "asks AS (SELECT o_orderkey AS qid, CAST(o_orderdate AS TIMESTAMP) AS valid, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY AS system FROM orders WHERE o_orderkey % 20 = 0)"
+
+
+@register("asof_many", query("SELECT qid, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM asks JOIN facts ON valid_from <= valid AND (valid_until IS NULL OR valid_until > valid) AND tx_from <= system AND (tx_until IS NULL OR tx_until > system) AND relation = 'contradicts' GROUP BY qid", EDGES, TX, ASKS))
+def asof_many(spark, sf_dir):
+    """The contradictions that held at, and were known a month after, the date of every twentieth order."""
+    facts = adapters.edges(spark, sf_dir).withColumn("tx_from", F.col("valid_from") + F.expr("interval 1 day")).withColumn("tx_until", F.col("valid_until"))
+    day = F.col("o_orderdate").cast("timestamp")
+    asks = adapters.table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("qid"), day.alias("valid"), (day + F.expr("interval 30 days")).alias("system"))
+    return temporal.as_of_many(facts.where("relation = 'contradicts'"), asks).groupBy("qid").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+@register("strong_components", query("""SELECT id, min(root) AS component FROM (SELECT f.a AS id, f.b AS root FROM reach f JOIN reach g ON f.a = g.b AND f.b = g.a) GROUP BY id""",
+ "RECURSIVE steps AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation WHERE n_nationkey % 5 <> 4 UNION SELECT DISTINCT c_nationkey, CAST(c_custkey % 25 AS INTEGER) FROM customer WHERE c_custkey % 40 = 0), reach AS (SELECT a, b FROM steps WHERE a <> b UNION SELECT reach.a, steps.b FROM reach JOIN steps ON reach.b = steps.a AND steps.a <> steps.b)"))
+def strong_components(spark, sf_dir):
+    """Strongly connected nations by two kinds of links."""
+    n, c = adapters.table(spark, sf_dir, "nation"), adapters.table(spark, sf_dir, "customer")
+    links = n.where("n_nationkey % 5 <> 4").select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("int").alias("target"))
+    links = links.unionByName(c.where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 25).cast("int").alias("target")))
+    return graph.strong_components(links)
