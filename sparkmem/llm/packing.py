@@ -15,6 +15,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import cut, slices
 
 SEQUENCE = 2048
 END_ID = 0
-ROUNDS = 300
+#: Rounds at most (with few lengths, as many more as they are quicker), the share of a length's demand that a round may meet,
+#: and the gap between bounds at which rounds end. What the rounds don't cover is packed without them.
+ROUNDS, STEP, GAP = 600, 0.2, 0.005
 #: How fast the price of a length falls with its coverage.
 RATE = 4.0
 #: Pieces of one length that are numbered together.
@@ -110,15 +113,26 @@ def tokenised(documents: DataFrame, tokenizer: str, *, size: int = SEQUENCE, end
 
 
 def best_column(value: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths within size of the largest total value (unbounded knapsack by dynamic programming)."""
+    """The multiset of lengths within size of the largest total value (unbounded knapsack by dynamic programming).
+
+    Few lengths are taken one after the other, each over all rooms in strides of its own; many, a room after the other."""
     best, took = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for room in range(1, size + 1):
-        total = value[1 : room + 1] + best[room - 1 :: -1][:room]
-        k = int(total.argmax())
-        if total[k] > best[room - 1]:
-            best[room], took[room] = total[k], k + 1
-        else:
-            best[room] = best[room - 1]
+    lengths = np.flatnonzero(value)
+    if strides(lengths, size) < size:
+        for n in lengths.tolist():
+            for at in range(n, size + 1, n):
+                stop = min(at + n, size + 1)
+                total = best[at - n : stop - n] + value[n]
+                more = total > best[at:stop]
+                best[at:stop][more], took[at:stop][more] = total[more], n
+    else:
+        for room in range(1, size + 1):
+            total = value[1 : room + 1] + best[room - 1 :: -1][:room]
+            k = int(total.argmax())
+            if total[k] > best[room - 1]:
+                best[room], took[room] = total[k], k + 1
+            else:
+                best[room] = best[room - 1]
     column: dict[int, int] = {}
     room = size
     while room > 0:
@@ -130,51 +144,123 @@ def best_column(value: np.ndarray, size: int) -> dict[int, int]:
     return column
 
 
-def fill(column: dict[int, int], left: np.ndarray, size: int) -> dict[int, int]:
-    """The column within what is left of each length, its free room filled best fit."""
-    out = {n: min(k, int(left[n])) for n, k in column.items() if left[n]}
-    room = size - sum(n * k for n, k in out.items())
-    while room > 0:
-        fits = np.flatnonzero(left[1 : room + 1] - np.array([out.get(n, 0) for n in range(1, room + 1)]) > 0)
-        if not len(fits):
-            break
-        n = int(fits[-1]) + 1
-        k = min(room // n, int(left[n]) - out.get(n, 0))
-        out[n] = out.get(n, 0) + k
-        room -= n * k
-    return out
+def strides(lengths: np.ndarray, size: int) -> int:
+    return int((size // lengths).sum())
 
 
 def linear_program(demand: np.ndarray, size: int, rounds: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """Shares of columns that solve the configuration program nearly, and the best dual bound of the number of sequences.
+    """Shares of columns that solve the configuration program, and the best dual bound of the number of sequences.
 
     Multiplicative weights: the price of a length falls exponentially with how much of its demand is covered, starting
-    from its share of a sequence. Each round prices a column by the knapsack program and uses it until it has met the
-    demand of one of its lengths; prices over the column's value are a dual solution, so they bound the optimum."""
+    from its share of a sequence. Each round prices a column by the knapsack program and uses it until it has met STEP of the
+    demand of one of its lengths. Prices over the column's value are a dual solution, so they bound the optimum; the shares
+    over the least coverage are a primal one. The rounds end when the two are within GAP of each other."""
     used = np.flatnonzero(demand)
-    covered, shares, bound = np.zeros(size + 1), {}, 0.0
+    rounds = rounds * max(1, size // max(strides(used, size), 1))
+    covered, shares, bound, total, mean = np.zeros(size + 1), {}, 0.0, 0.0, np.zeros(size + 1)
     held = np.maximum(demand, 1)
-    for _ in range(rounds if len(used) else 0):
+    for turn in range(1, rounds + 1 if len(used) else 1):
         price = np.zeros(size + 1)
         price[used] = used / size * np.exp(-RATE * (covered[used] - covered[used].min()))
         column = best_column(price, size)
         worth = sum(price[n] * k for n, k in column.items())
         bound = max(bound, float(demand @ price / worth))
-        step = min(demand[n] / k for n, k in column.items())
+        step = STEP * min(demand[n] / k for n, k in column.items())
         for n, k in column.items():
             covered[n] += k * step / held[n]
+        mean += price / worth * step
+        if not turn & (turn - 1) or not turn % 256:  # the mean of all prices, too, is a dual solution over its best column's value
+            worth = sum(mean[n] * k for n, k in best_column(mean, size).items())
+            bound = max(bound, float(demand @ mean / worth))
         name = tuple(sorted(column.items(), reverse=True))
         shares[name] = shares.get(name, 0.0) + step
-        if covered[used].min() >= 1:
+        total += step
+        if total <= (1 + GAP) * bound * covered[used].min():
             break
-    scale = max(1.0, float(covered.max()))
+    least = covered[used].min() if len(used) else 1.0
+    scale = least if least > 0 else max(1.0, float(covered.max()))
     return {name: x / scale for name, x in shares.items()}, bound
 
 
+def best_fit(left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, of so many pieces of each length: columns and how many sequences use each.
+
+    A piece goes where least room is left that takes it. While a sequence takes more of the same length, its room is the
+    least, so sequences alike are filled at once."""
+    rooms: dict[int, list[tuple[dict[int, int], int]]] = {}
+    open_rooms: list[int] = []
+
+    def put(column: dict[int, int], times: int, room: int) -> None:
+        if room not in rooms:
+            rooms[room] = []
+            insort(open_rooms, room)
+        rooms[room].append((column, times))
+
+    for n in np.flatnonzero(left)[::-1].tolist():
+        count = int(left[n])
+        while count:
+            at = bisect_left(open_rooms, n)
+            if at == len(open_rooms):
+                put({}, -(-count // (size // n)), size)
+                continue
+            room = open_rooms[at]
+            column, times = rooms[room].pop()
+            if not rooms[room]:
+                del rooms[room], open_rooms[at]
+            each = min(room // n, count)
+            full = min(times, count // each)
+            if full < times:
+                put(column, times - full, room)
+            put({**column, n: each}, full, room - each * n)
+            count -= each * full
+    return [(column, times) for held in rooms.values() for column, times in held if column]
+
+
+def fullest(left: np.ndarray, room: int) -> dict[int, int]:
+    """The pieces, of so many of each length, that fill most of the room: a knapsack program over sums as bits, long pieces preferred."""
+    lengths = np.flatnonzero(left[: room + 1]).tolist()
+    within, reach = (1 << (room + 1)) - 1, [1]
+    for n in lengths:
+        sums, k, part = reach[-1], min(int(left[n]), room // n), 1
+        while k:
+            part = min(part, k)
+            sums |= sums << n * part & within
+            k, part = k - part, 2 * part
+        reach.append(sums)
+    target, column = reach[-1].bit_length() - 1, {}
+    for i in range(len(lengths) - 1, -1, -1):
+        n = lengths[i]
+        k = min(int(left[n]), target // n)
+        while not reach[i] >> (target - k * n) & 1:
+            k -= 1
+        if k:
+            column[n] = k
+            target -= k * n
+    return column
+
+
+def fill_up(left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
+    """Columns that hold every piece: the longest piece that is left, and those that fill most of its room; each use ends a length."""
+    left, out = left.copy(), []
+    while left.any():
+        n = int(np.flatnonzero(left)[-1])
+        left[n] -= 1
+        column = fullest(left, size - n)
+        left[n] += 1
+        column[n] = column.get(n, 0) + 1
+        times = min(int(left[x]) // k for x, k in column.items())
+        out.append((column, times))
+        for x, k in column.items():
+            left[x] -= k * times
+    return out
+
+
 def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Columns and how many sequences use each; together they hold every piece exactly once.
 
-    Whole parts of the program's shares are taken first, their room filled best fit; what is left is packed best fit."""
+    Whole parts of the program's shares are taken first; what is left is packed by columns of what is left, the longest piece
+    first. Many lengths of few pieces leave the shares few whole parts, so the same without the program and best fit are
+    tried too, and the fewest sequences taken."""
     left = np.zeros(size + 1, np.int64)
     for n, k in counts.items():
         left[n] = k
@@ -182,23 +268,22 @@ def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list
     if left[size]:
         out.append(({size: 1}, int(left[size])))
         left[size] = 0
-
-    def take(column: dict[int, int], most: int) -> int:
-        column = fill(column, left, size)
-        times = min(most, min(int(left[n]) // k for n, k in column.items()))
-        out.append((column, times))
-        for n, k in column.items():
-            left[n] -= k * times
-        return times
-
-    shares, _ = linear_program(left.astype(float), size, rounds)
-    for name, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-        whole = int(share)
-        while whole and all(left[n] >= k for n, k in name):
-            whole -= take(dict(name), whole)
-    while left.any():
-        take({int(np.flatnonzero(left)[-1]): 1}, 1 << 62)
-    return out
+    used = lambda columns: sum(times for _, times in columns)
+    volume = -(-int(left @ np.arange(size + 1)) // size)
+    found = [best_fit(left, size)]
+    if used(found[0]) > volume:
+        found.append(fill_up(left, size))
+    if min(map(used, found)) > volume:
+        solved: list[tuple[dict[int, int], int]] = []
+        shares, _ = linear_program(left.astype(float), size, rounds)
+        for name, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+            times = min(int(share + 1e-9), min(int(left[n]) // k for n, k in name))
+            if times:
+                solved.append((dict(name), times))
+                for n, k in name:
+                    left[n] -= k * times
+        found.append(solved + fill_up(left, size))
+    return out + min(found, key=used)
 
 
 def places(columns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
