@@ -44,9 +44,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}_]+)"), 1)
 
 
-def search_terms(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Distinct terms of more than one character that aren't stop words."""
-    return F.array_distinct(F.filter(terms(text), lambda t: (F.char_length(t) > 1) & ~t.isin(*stop)))
+def search_terms(text: Column, stop: list[str] = STOP_WORDS, least: int = 2) -> Column:
+    """Distinct terms of so many characters that aren't stop words."""
+    return F.array_distinct(F.filter(terms(text), lambda t: (F.char_length(t) >= least) & ~t.isin(*stop)))
+
+
+def key_terms(text: Column) -> Column:
+    """Distinct terms of a question to sentence keys: all but interrogatives and auxiliaries."""
+    return search_terms(text, KEY_STOP_WORDS, least=1)
 
 
 def sanitised(query: Column) -> Column:
@@ -57,7 +62,22 @@ def sanitised(query: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their closing . ! ? ; or line break, trimmed, blank ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?;\n])"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    return tidy(pieces(text))
+
+
+def pieces(text: Column) -> Column:
+    """The text cut behind each . ! ? ; and line break."""
+    return F.split(text, r"(?<=[.!?;\n])")
+
+
+def tidy(cut: Column) -> Column:
+    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def units(text: pd.Series) -> pd.Series:
+    """Pieces of at most 1,200 bytes that make up the text."""
+    return text.map(lambda t: None if t is None else units_of(t))
 
 
 def contextual(title: Column, type_: Column, project: Column, topic: Column, content: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexical import MOST_LITERALS
-
+#: Keys up to which texts are reduced to them by a literal list.
+MOST_LITERALS = 10_000
 #: One text in so many, by a hash of its id, tells how common trigrams are. This decides which trigram is a key, and nothing else.
 SAMPLE = 16
 

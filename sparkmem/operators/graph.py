@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .containment import contained
+
 # Labels that are no hubs.
 NOISE = ["string", "int", "bool", "error", "any", "Context", "context.Context", "fmt", "errors", "map", "slice", "nil", "struct"]
 
@@ -236,6 +238,14 @@ def link_passages(nodes: DataFrame, edges: DataFrame, passages: DataFrame, weigh
     return nodes.select("id", "label", "kind").unionByName(new), edges.select("source", "target", "type", "weight").unionByName(named)
 
 
+def concepts_named(queries: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
+    """qid, id, weight 1 of the nodes whose label or id a query (qid, text) holds."""
+    names = nodes.select("id", F.explode(F.array("label", "id")).alias("label")).where(F.char_length("label") >= least)
+    labels = names.select(F.struct("id", "label").alias("label_id"), "label")
+    met = contained(queries.select(F.col("qid").alias("id"), "text"), labels)
+    return met.select(F.col("id").alias("qid"), F.col("label_id.id").alias("id")).distinct().withColumn("weight", F.lit(1.0))
+
+
 def concept_seeds(query: str, nodes: DataFrame, least: int = 3) -> DataFrame:
     """Nodes whose label the query holds."""
     return nodes.where((F.char_length("label") >= least) & F.contains(F.lit(query.lower()), F.lower("label")))
@@ -350,8 +360,3 @@ def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, most_nodes: int
     kept = cut(near.orderBy("hop", "id").limit(most_nodes))
     inside = edges.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
     return kept, inside
-
-
-def evolution(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Edges of one fact in order, with their version."""
-    return edges.withColumn("version", F.row_number().over(Window.partitionBy(*by).orderBy("valid_from", "id")))

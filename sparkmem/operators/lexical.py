@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_terms, sentences, terms
+from ..functions.text import expanded_query, key_terms, pieces, search_terms, terms, tidy, units
 from .graph import cut
 from .temporal import valid_at
 
@@ -111,15 +111,34 @@ def topic_expansion(df: DataFrame, queries: DataFrame, least_bytes: int = 3) ->
     return ranked(hits, None, F.desc("updated_at"), F.asc("id")).drop("updated_at")
 
 
+#: Bytes of a unit, of which sentence keys are made.
+UNIT_BYTES = 1200
+
+
+def facts_of(df: DataFrame) -> DataFrame:
+    """observation_id, n, fact: the sentences of each row's units.
+
+    A unit ends behind a sentence if it holds the end of one, so units matter only to rows with a sentence longer than a
+    unit; only these are cut by a program."""
+    rows = df.select(F.col("id").alias("observation_id"), F.coalesce("content", F.lit("")).alias("text"))
+    rows = rows.withColumn("cut", pieces(F.col("text")))
+    long = F.exists("cut", lambda s: F.octet_length(s) > UNIT_BYTES)
+    short = rows.where(~long).select("observation_id", tidy(F.col("cut")).alias("facts"))
+    cut_up = rows.where(long).select("observation_id", units("text").alias("units")).select("observation_id", tidy(F.flatten(F.transform("units", pieces))).alias("facts"))
+    return short.unionByName(cut_up).select("observation_id", F.posexplode("facts").alias("n", "fact"))
+
+
 def fact_index(df: DataFrame) -> tuple[Index, DataFrame]:
     """An index of sentences, and the observation of each sentence."""
-    facts = df.select(F.col("id").alias("observation_id"), F.posexplode(sentences(F.coalesce("content", F.lit("")))).alias("n", "fact")).select((F.col("observation_id").cast("decimal(28,0)") * (1 << 31) + F.col("n")).alias("id"), "observation_id", "fact")
+    facts = facts_of(df).select((F.col("observation_id").cast("decimal(28,0)") * (1 << 31) + F.col("n")).alias("id"), "observation_id", "fact")
     return build(facts, {"fact": 1.0}), facts.select("id", "observation_id")
 
 
 def fact_hits(index: Index, owners: DataFrame, queries: DataFrame, limit: int, over_fetch: int = 20) -> DataFrame:
-    """Observations by their best sentence, each seen once."""
-    pool = ranked(bm25(index, queries), limit * over_fetch).join(owners, "id")
+    """Observations by their best sentence, each seen once. queries: (qid, text); interrogatives don't have to occur, and a
+    question of nothing else has no list."""
+    asked = queries.select("qid", key_terms(F.col("text")).alias("terms"))
+    pool = ranked(bm25(index, asked), limit * over_fetch, F.round("score", 9).desc(), F.asc("id")).join(owners, "id")
     first = pool.groupBy("qid", F.col("observation_id").alias("id")).agg(F.min("position").alias("at"), F.max("score").alias("score"))
     return ranked(first, limit, F.asc("at"), F.asc("id")).drop("at")
 
@@ -154,6 +173,27 @@ def relaxed(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     return ranked(kept, limit)
 
 
+def relaxed_tiers(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+    """qid, id, score, position, tier of queries (qid, text): rows with all words (0), where there are none with all content
+    words (1), else with any of them (2). The last two apply only if a query has both content words and others."""
+    words = queries.select("qid", F.array_distinct(terms(F.col("text"))).alias("words"), search_terms(F.col("text")).alias("content"))
+    mixed = (F.size("content") > 0) & (F.size("content") < F.size("words"))
+    found = bm25(index, words.select("qid", F.col("words").alias("terms"))).withColumn("tier", F.lit(0))
+    for tier, every in ((1, True), (2, False)):
+        left = words.where(mixed).join(found.select("qid").distinct(), "qid", "left_anti").select("qid", F.col("content").alias("terms"))
+        found = found.unionByName(bm25(index, left, all_terms=every).withColumn("tier", F.lit(tier)))
+    return ranked(found, limit, F.round("score", 9).desc(), F.asc("id"))
+
+
+def with_synonyms(index: Index, queries: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """The hits, and for queries (qid, text) without any the rows with any of their corrected words or their synonyms; a
+    query that has alternatives or quotes of its own is left alone."""
+    free = queries.where(~F.lower("text").contains(" or ") & ~F.col("text").contains('"')).join(hits.select("qid").distinct(), "qid", "left_anti")
+    wider = free.select("qid", F.array_distinct(terms(F.regexp_replace(expanded_query(F.col("text")), " or ", " "))).alias("terms"))
+    more = ranked(bm25(index, wider, all_terms=False), limit, F.round("score", 9).desc(), F.asc("id"))
+    return hits.select("qid", "id", "score", "position").unionByName(more.select("qid", "id", "score", "position"))
+
+
 def neighbours(hits: DataFrame, edges: DataFrame, *, top: int = 5, dead: tuple[str, ...] = ("deprecated", "superseded")) -> DataFrame:
     """qid, id: neighbours of the first hits over live edges, both ways, without the hits themselves."""
     live = (edges.where(~F.col("fact_state").isin(*dead)) if dead else edges).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))

@@ -36,29 +36,46 @@ def keyword_search(index: lexical.Index, facts: tuple[lexical.Index, DataFrame],
     return fusion.recency_importance(fused, obs, scores, now).where(F.col("position") <= limit)
 
 
-def adaptive_search(lexical_hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, obs: DataFrame, nodes: DataFrame, edges: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
-    """qid, id, score, position, tier: direct queries keep the lexical list, global ones favour summaries, semantic ones fall back on vectors, multi-hop ones add graph rank and notes."""
-    tiers = asked.select("qid", "tier", "speculative")
-    hits = lexical_hits.join(tiers, "qid")
-    direct = hits.where("tier = 'direct_factual'").select("qid", "id", "score")
-    wide = hits.where("tier = 'architectural_global'").join(obs.select("id", "type"), "id").select("qid", "id", (F.col("score") + F.when(F.col("type").isin(*BOOSTED), 2.5).otherwise(0.0)).alias("score"))
+def adaptive_search(lexical_hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, obs: DataFrame, nodes: DataFrame, edges: DataFrame, asked: DataFrame, limit: int = 10, *, dynamic: bool = False) -> DataFrame:
+    """qid, id, score, position, tier, confidence: what each query's tier makes of its lexical hits (qid, id, score,
+    position; twice the limit are used).
+
+    Direct queries keep the list. Global ones keep twice the limit, summaries, patterns and decisions raised. Semantic ones
+    without a hit take the dense list, if one of its passages bears an answer. Multi-hop ones add the rank that their
+    passages and the concepts they name give to hits in the graph, keep what is recognised, and fuse it with the dense list
+    and the order of the notes read from both (from the recognised alone for speculative queries). Scores below the floor
+    go, and the rest is graded."""
+    tiers = asked.select("qid", "text", "tier", "speculative")
+    hits = lexical_hits.select("qid", "id", "score", "position").join(tiers, "qid")
+    texts = obs.select("id", F.concat_ws(" ", "title", "topic_key", "content").alias("content"))
+    columns = ["qid", "id", "score", "position"]
+    direct = hits.where((F.col("tier").isin("direct_factual", "semantic_hybrid")) & (F.col("position") <= limit)).select(*columns)
+    raised = F.col("score") + F.when(F.col("type").isin(*BOOSTED), 2.5).otherwise(0.0)
+    wide = hits.where((F.col("tier") == "architectural_global") & (F.col("position") <= 2 * limit)).join(obs.select("id", "type"), "id").select("qid", "id", raised.alias("score"), "position")
     dense = vector.exact_topk(vectors, query_vectors, 2 * limit)
-    semantic = hits.where("tier = 'semantic_hybrid'").select("qid", "id", "score")
-    without = tiers.where("tier = 'semantic_hybrid' AND NOT speculative").join(semantic.select("qid").distinct(), "qid", "left_anti")
-    fallback = dense.join(without, "qid", "left_semi").select("qid", "id", "score")
-    multi = hits.where("tier = 'multi_hop_graph'")
-    boosted = multi.select("qid", "id", "score")
-    if not multi.isEmpty():
-        seeds = graph.hippo_seeds(dense.join(tiers.where("tier = 'multi_hop_graph'"), "qid", "left_semi"), multi)
-        ranks = graph.pagerank_each(edges, seeds.join(nodes.select("id"), "id", "left_semi")).select("qid", F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("id"), F.col("score").alias("ppr"))
+    without = tiers.where("tier = 'semantic_hybrid' AND NOT speculative").join(hits.select("qid").distinct(), "qid", "left_anti")
+    offered = dense.where(F.col("position") <= limit).join(without.select("qid"), "qid", "left_semi")
+    bearing = rerank.notes(offered.select("qid", "id").join(texts, "id"), asked).where("answers").select("qid").distinct()
+    fallback = offered.join(bearing, "qid", "left_semi").select(*columns)
+    every = direct.unionByName(wide).unionByName(fallback)
+    multi = hits.where((F.col("tier") == "multi_hop_graph") & (F.col("position") <= 2 * limit))
+    deep = tiers.where("tier = 'multi_hop_graph'")
+    if not deep.isEmpty():
+        near = dense.join(deep.select("qid"), "qid", "left_semi")
+        seeds = graph.hippo_seeds(near, multi).join(nodes.select("id"), "id", "left_semi").select("qid", "id", "weight")
+        seeds = seeds.unionByName(graph.concepts_named(deep, nodes)).groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
+        ranks = graph.pagerank_each(edges, seeds).select("qid", F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("id"), F.col("score").alias("ppr"))
         ranks = ranks.groupBy("qid", "id").agg(F.max("ppr").alias("ppr"))
-        boosted = boosted.join(ranks, ["qid", "id"], "left").select("qid", "id", (F.col("score") + PAGERANK_BOOST * F.coalesce("ppr", F.lit(0.0))).alias("score"))
-    kept = fusion.recognised(boosted, 2 * limit)
-    noted = rerank.notes(kept.select("qid", "id").join(obs.select("id", "content"), "id"), asked)
-    lists = kept.select("qid", F.lit("lexical").alias("list"), "position", "id").unionByName(dense.join(multi.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit("vector").alias("list"), "position", "id")).unionByName(noted.where("answers").select("qid", F.lit("notes").alias("list"), "position", "id"))
-    hops = fusion.weighted_rrf(lists.withColumn("weight", F.lit(1.0))).select("qid", "id", "score")
-    every = direct.unionByName(wide).unionByName(semantic).unionByName(fallback).unionByName(hops)
-    return lexical.ranked(every, limit).join(tiers.select("qid", "tier"), "qid")
+        boosted = multi.join(ranks, ["qid", "id"], "left").select("qid", "id", (F.col("score") + PAGERANK_BOOST * F.coalesce("ppr", F.lit(0.0))).alias("score"))
+        kept = fusion.recognised(boosted, limit).select("qid", "id", "position")
+        read = kept.select("qid", "id").unionByName(near.join(deep.where("NOT speculative").select("qid"), "qid", "left_semi").select("qid", "id")).distinct()
+        noted = rerank.notes(read.join(texts, "id"), asked)
+        lists = [kept.withColumn("list", F.lit("lexical")), near.withColumn("list", F.lit("vector")), noted.withColumn("list", F.lit("notes"))]
+        lists = [x.select("qid", "list", "position", "id", F.lit(1.0).alias("weight")) for x in lists]
+        every = every.unionByName(fusion.weighted_rrf(lists[0].unionByName(lists[1]).unionByName(lists[2]), pool=limit).select(*columns))
+    grades = fusion.dynamic_grade(every).select("qid", F.col("grade").alias("confidence")) if dynamic else fusion.grade(every).select("qid", F.col("grade").alias("confidence"))
+    placed = lexical.ranked(every.where(F.col("score") >= fusion.FLOOR), None, F.asc("position"), F.asc("id"))
+    return placed.join(tiers.select("qid", "tier"), "qid").join(grades, "qid")
 
 
 def graph_stage(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -103,6 +103,32 @@ def fact_keys(spark, sf_dir):
     return lexical.fact_hits(index, owners, asked(spark), 10).select("qid", "id", F.round("score", 6).alias("score"), "position")
 
 
+WORDED = BM25.replace("FROM asked),", "FROM (SELECT qid, list_distinct({}) AS terms FROM asked)),".format(TERMS.format("text")), 1)
+
+
+@register("relaxed_tiers", query("""SELECT qid, id, round(score, 6) AS score, tier, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS position FROM (
+ SELECT qid, id, score, 0 AS tier FROM ranked UNION ALL SELECT qid, id, score, CASE WHEN held THEN 1 ELSE 2 END FROM (SELECT *, max(full_match) OVER (PARTITION BY qid) AS held FROM (
+  SELECT e.qid, p.id, sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))) AS score, count(*) = max(e.n_terms) AS full_match
+  FROM (SELECT qid, len(terms) AS n_terms, unnest(terms) AS term FROM asked) e JOIN postings p ON p.term = e.term JOIN frequency f ON f.term = p.term JOIN lengths l ON l.id = p.id, corpus
+  WHERE e.qid NOT IN (SELECT qid FROM ranked) AND e.qid IN (SELECT qid FROM asked WHERE len(terms) > 0 AND len(terms) < len(list_distinct({words}))) GROUP BY e.qid, p.id)) WHERE full_match OR NOT held)) WHERE position <= 10""".format(words=TERMS.format("text")), LIVE, ASKED, WORDED))
+def relaxed_tiers(spark, sf_dir):
+    words = asked(spark).withColumn("terms", text_functions.terms(F.col("text")))
+    index = lexical.build(adapters.observations(spark, sf_dir, live=True), queries=words)
+    return lexical.relaxed_tiers(index, asked(spark), 10).select("qid", "id", F.round("score", 6).alias("score"), "tier", "position")
+
+
+LOST = "asked AS (SELECT * FROM (VALUES (1, ['the', 'qqzz']), (2, ['qqzz', 'error']), (3, ['la', 'mcp', 'protocolo', 'herramientas', 'zz'])) AS v(qid, terms))"
+
+
+@register("synonym_rescue", query("SELECT qid, id, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS position FROM hits) WHERE position <= 10", LIVE, LOST, BM25))
+def synonym_rescue(spark, sf_dir):
+    lost = spark.createDataFrame([(1, "the qqzz"), (2, "qqzz: erro?"), (3, "la mcp zz")], "qid int, text string")
+    words = lost.withColumn("terms", text_functions.terms(text_functions.expanded_query(F.col("text"))))
+    index = lexical.build(adapters.observations(spark, sf_dir, live=True), queries=words)
+    none = spark.createDataFrame([], "qid int, id long, score double, position int")
+    return lexical.with_synonyms(index, lost, none, 10).withColumn("score", F.round("score", 6))
+
+
 @register("prf_hits")
 def prf_hits(spark, sf_dir):
     live = adapters.observations(spark, sf_dir, live=True)

@@ -129,5 +129,5 @@ def test_adaptive(spark, store):
     vectors = store.vectors.where("id < 20").select("id", "embedding")
     asked_vectors = asked.join(store.vectors.select(F.col("id").alias("qid"), F.col("embedding").alias("vector")), "qid").select("qid", "vector")
     got = adaptive.adaptive_search(hits, vectors, asked_vectors, store.observations, nodes, edges, asked).collect()
-    assert {r.qid for r in got} == {1, 2, 3}
+    assert {r.qid for r in got} == {1, 2}  # no passage bears an answer to the third
     assert adaptive.refined_text("a b", ["b c d"]) == "a b c d"
