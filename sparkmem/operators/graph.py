@@ -360,3 +360,68 @@ def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, most_nodes: int
     kept = cut(near.orderBy("hop", "id").limit(most_nodes))
     inside = edges.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
     return kept, inside
+
+
+def typed_subgraph(related: DataFrame, obs: DataFrame, edges: DataFrame, entities: DataFrame, most_nodes: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The typed nodes around many roots, at most so many for each, and the edges between them.
+
+    related: (root, id, hop) with the root itself at 0; entities: (id, kind, key, value) of observations. Observations come
+    first, by hop and id, then entities by kind and key, then who made them, their sessions and projects, by observation.
+    What is beyond the budget is left out with its edges. nodes: root, node, kind, subtype, label, hop, place; edges: root,
+    source, target, type."""
+    most_nodes = most_nodes if 0 < most_nodes <= 200 else 100
+    rank = lambda *order: F.row_number().over(Window.partitionBy("root").orderBy(*order))
+    held = related.groupBy("root", "id").agg(F.least(F.min("hop"), F.lit(1)).alias("hop"), F.min("hop").alias("far")).join(obs, "id")
+    held = held.withColumn("place", rank("far", "id")).where(F.col("place") <= most_nodes)
+    held = cut(held.select("root", "id", "hop", "place", "type", "title", "project", F.col("session_id").cast("string").alias("session"), (F.col("created_by") if "created_by" in obs.columns else F.lit(None)).cast("string").alias("actor")))
+    name = lambda kind, x: F.concat(F.lit(kind + ":"), F.col(x).cast("string"))
+    seen = held.select("root", name("observation", "id").alias("node"), F.lit("observation").alias("kind"), F.col("type").alias("subtype"), F.col("title").alias("label"), "hop", F.struct(F.lit(0).alias("stage"), F.col("place").alias("at"), F.lit("").alias("a"), F.lit("").alias("b")).alias("order"))
+    named = held.select("root", "id", "hop", "place").join(entities.select("id", F.col("kind").alias("subtype"), "key", F.col("value").alias("label")), "id")
+    named = named.select("root", "id", F.concat_ws(":", F.lit("entity"), "key").alias("node"), "subtype", "label", (F.col("hop") + 1).alias("hop"), F.struct(F.lit(1).alias("stage"), F.lit(0).alias("at"), F.col("subtype").alias("a"), F.col("key").alias("b")).alias("order"))
+    parts = (("actor", "actor", "created_by", 1), ("session", "session", "produced_in", 2), ("project", "project", "belongs_to", 3))
+    made = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.nullif(F.col(x), F.lit("")).alias("value"), F.lit(how).alias("type"), F.lit(n).alias("n")) for kind, x, how, n in parts)))
+    made = held.select("root", "id", "place", made.alias("m")).where("m.value is not null")
+    made = made.select("root", "id", F.concat_ws(":", "m.kind", "m.value").alias("node"), F.col("m.kind").alias("kind"), F.col("m.value").alias("label"), F.col("m.type").alias("type"), F.struct(F.lit(2).alias("stage"), (F.col("place") * 4 + F.col("m.n")).alias("at"), F.lit("").alias("a"), F.lit("").alias("b")).alias("order"))
+    first = lambda df, kind, subtype, label, hop: df.groupBy("root", "node").agg(F.min(F.struct("order", kind.alias("kind"), subtype.alias("subtype"), label.alias("label"), hop.alias("hop"))).alias("f")).select("root", "node", "f.kind", "f.subtype", "f.label", "f.hop", "f.order")
+    none = F.lit(None).cast("string")
+    every = seen.unionByName(first(named, F.lit("entity"), F.col("subtype"), F.col("label"), F.col("hop")))
+    every = every.unionByName(first(made, F.col("kind"), none, F.col("label"), F.lit(None).cast("int")))
+    kept = cut(every.withColumn("place", rank("order.stage", "order.at", "order.a", "order.b")).where(F.col("place") <= most_nodes))
+    nodes = kept.select("root", "node")
+    semantic = edges.join(held.select("root", F.col("id").alias("from_id")), "from_id").join(held.select("root", F.col("id").alias("to_id")), ["root", "to_id"])
+    links = semantic.select("root", name("observation", "from_id").alias("source"), name("observation", "to_id").alias("target"), F.col("relation").alias("type"))
+    links = links.unionByName(named.select("root", name("observation", "id").alias("source"), F.col("node").alias("target"), F.lit("mentions").alias("type")))
+    links = links.unionByName(made.select("root", name("observation", "id").alias("source"), F.col("node").alias("target"), "type"))
+    return kept.drop("order"), links.join(nodes.withColumnRenamed("node", "target"), ["root", "target"], "left_semi").select("root", "source", "target", "type")
+
+
+def project_graph(seeds: DataFrame, obs: DataFrame, edges: DataFrame, project: str | None = None, depth: int = 2, most_nodes: int = 100) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes (id, hop, place) and edges (id, from_id, to_id) of a walk from seeds (id, place) level by level, and whether the budget ended it.
+
+    A level meets the edges of its nodes in the order of the nodes and of the edges' ids; a neighbour of another project
+    is passed over with its edge. The first neighbour beyond the budget ends the walk, and no edge from there on is taken."""
+    depth, most_nodes = (2 if depth < 1 else min(depth, 10)), (100 if most_nodes < 1 else min(most_nodes, 200))
+    own = obs.select("id") if project is None else obs.where(F.col("project") == project).select("id")
+    both = edges.select("id", "from_id", "to_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.select("id", "from_id", "to_id", F.col("to_id").alias("a"), F.col("from_id").alias("b"))).where("a != b")
+    front = cut(seeds.groupBy("id").agg(F.min("place").alias("place")).orderBy("place").limit(most_nodes + 1).withColumn("hop", F.lit(0)))
+    ended = front.count() > most_nodes
+    front = cut(front.orderBy("place").limit(most_nodes)) if ended else front
+    known, taken = front, None
+    for level in range(1, depth + 1):
+        if ended or front.isEmpty():
+            break
+        met = both.join(front.select(F.col("id").alias("a"), F.col("place").alias("at")), "a").join(own.withColumnRenamed("id", "b"), "b", "left_semi")
+        met = cut(met.select("id", "from_id", "to_id", "b", F.struct("at", F.col("id").cast("string").alias("edge")).alias("order")))
+        new = met.join(known.select(F.col("id").alias("b")), "b", "left_anti").groupBy("b").agg(F.min("order").alias("order"))
+        n = known.count()
+        new = cut(new.orderBy("order").limit(most_nodes - n + 1).withColumn("place", F.row_number().over(Window.orderBy("order")) + n))  # the budget's rows
+        over = new.where(F.col("place") > most_nodes).select("order").first()
+        ended = over is not None
+        if ended:
+            end = F.struct(F.lit(over["order"]["at"]).alias("at"), F.lit(over["order"]["edge"]).alias("edge"))
+            met, new = met.where(F.col("order") < end), new.where(F.col("place") <= most_nodes)
+        taken = met.select("id", "from_id", "to_id") if taken is None else taken.unionByName(met.select("id", "from_id", "to_id"))
+        front = cut(new.select(F.col("b").alias("id"), F.col("place").cast(known.schema["place"].dataType).alias("place"), F.lit(level).alias("hop")))
+        known = cut(known.unionByName(front))
+    none = edges.select("id", "from_id", "to_id").limit(0)
+    return known.select("id", "hop", "place"), (none if taken is None else taken.distinct()), ended

@@ -988,3 +988,22 @@ def strong_components(spark, sf_dir):
     links = n.where("n_nationkey % 5 <> 4").select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("int").alias("target"))
     links = links.unionByName(c.where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 25).cast("int").alias("target")))
     return graph.strong_components(links)
+
+
+AROUND = """roots AS (SELECT id AS root FROM live WHERE id % 100 = 1), near AS (SELECT root, root AS id, 0 AS hop FROM roots UNION SELECT root, e.to_id, 1 FROM roots JOIN edges e ON e.from_id = root UNION SELECT root, e.from_id, 1 FROM roots JOIN edges e ON e.to_id = root),
+around AS (SELECT * FROM (SELECT root, id, n.hop, row_number() OVER (PARTITION BY root ORDER BY n.hop, id) AS place, topic_key, type, title, project, session_id FROM (SELECT root, id, min(hop) AS hop FROM near GROUP BY root, id) n JOIN live USING (id)) WHERE place <= 20),
+every AS (SELECT root, 'observation:' || id AS node, 'observation' AS kind, hop, 0 AS stage, place AS pos, '' AS a, '' AS b FROM around
+ UNION ALL SELECT root, 'entity:' || topic_key, 'entity', hop + 1, 1, 0, 'topic', topic_key FROM (SELECT root, topic_key, min(hop) AS hop FROM around GROUP BY root, topic_key)
+ UNION ALL SELECT root, 'session:' || session_id, 'session', NULL, 2, min(place) * 4 + 2, '', '' FROM around GROUP BY root, session_id
+ UNION ALL SELECT root, 'project:' || project, 'project', NULL, 2, min(place) * 4 + 3, '', '' FROM around GROUP BY root, project)"""
+
+
+@register("typed_subgraph", query("SELECT root, node, kind, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY stage, pos, a, b) AS place FROM every) WHERE place <= 20", LIVE, EDGES, AROUND))
+def typed_subgraph(spark, sf_dir):
+    """The observations, topics, sessions and projects around every hundredth observation, twenty nodes each."""
+    obs, edges = adapters.observations(spark, sf_dir, live=True), adapters.edges(spark, sf_dir).select("from_id", "to_id", "relation")
+    roots = obs.where("id % 100 = 1").select(F.col("id").alias("root"))
+    both = edges.select(F.col("from_id").alias("root"), F.col("to_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("root"), F.col("from_id").alias("id")))
+    related = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hop")).unionByName(both.join(roots, "root", "left_semi").select("root", "id", F.lit(1).alias("hop")))
+    topics = obs.select("id", F.lit("topic").alias("kind"), F.col("topic_key").alias("key"), F.col("topic_key").alias("value"))
+    return graph.typed_subgraph(related, obs, edges, topics, 20)[0].select("root", "node", "kind", "hop", "place")
