@@ -156,11 +156,12 @@ def feedback_terms(hits: DataFrame, df: DataFrame, queries: DataFrame, *, top: i
 
 
 def with_feedback(index: Index, df: DataFrame, queries: DataFrame, limit: int, first: DataFrame | None = None) -> DataFrame:
-    """What the query with its feedback terms finds beyond the first list."""
-    first = ranked(bm25(index, queries)) if first is None else first
+    """What the query with its feedback terms finds beyond the first list, which is three times the limit long."""
+    best = (F.round("score", 9).desc(), F.asc("id"))
+    first = ranked(bm25(index, queries), 3 * limit, *best) if first is None else first
     more = feedback_terms(first, df, queries).groupBy("qid").agg(F.collect_list("term").alias("more"))
     wider = queries.join(more, "qid").select("qid", F.concat("terms", "more").alias("terms"))
-    found = ranked(bm25(index, wider), limit)
+    found = ranked(bm25(index, wider), limit, *best)
     return found.join(first.select("qid", "id"), ["qid", "id"], "left_anti")
 
 

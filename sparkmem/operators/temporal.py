@@ -103,7 +103,8 @@ def revisions(snapshots: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def one_current(facts: DataFrame, keys: tuple[str, ...] = ("to_id", "relation")) -> DataFrame:
-    """Keys with more than one current fact."""
+    """Keys with more than one current fact; tenants and workspaces, where facts have them, are kept apart."""
+    keys = (*keys, *(c for c in ("tenant", "workspace") if c in facts.columns and c not in keys))
     return current(facts).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 

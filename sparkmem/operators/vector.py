@@ -205,8 +205,8 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK)
             yield pd.DataFrame({"id": held["id"].to_numpy(), "centre": home, "ring": (at[np.arange(len(home)), home] / width).astype(np.int64)})
 
     homes = cut(vectors.mapInPandas(own, "id long, centre int, ring int"))
-    rings = cut(homes.groupBy("centre", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
-    rings_sent = spark.sparkContext.broadcast({(r["centre"], r["ring"]): r["parts"] for r in rings.collect()})  # centres x rings at most
+    rings = homes.groupBy("centre", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).persist()  # centres x rings at most
+    rings_sent = spark.sparkContext.broadcast({(r["centre"], r["ring"]): r["parts"] for r in rings.collect()})
 
     def visits(batches):
         by_centre: dict[int, list] = {}

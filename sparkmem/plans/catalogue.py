@@ -129,7 +129,16 @@ def synonym_rescue(spark, sf_dir):
     return lexical.with_synonyms(index, lost, none, 10).withColumn("score", F.round("score", 6))
 
 
-@register("prf_hits")
+FEEDBACK = f"""firsts AS (SELECT * FROM ranked WHERE position <= 30), used AS (SELECT qid, term, count(*) AS n FROM (SELECT r.qid, unnest({TERMS.format("substr(title || ' ' || content, 1, 300)")}) AS term FROM firsts r JOIN live ON live.id = r.id
+ WHERE position <= 3 AND r.qid IN (SELECT qid FROM firsts GROUP BY qid HAVING count(*) >= 2)) WHERE length(term) >= 3 GROUP BY qid, term HAVING count(*) >= 2),
+more AS (SELECT qid, term FROM (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY n DESC, term) AS nth FROM used u WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.qid = u.qid AND list_contains(a.terms, u.term))) WHERE nth <= 3),
+wide AS (SELECT qid, unnest(terms) AS term FROM asked WHERE qid IN (SELECT qid FROM more) UNION SELECT qid, term FROM more),
+again AS (SELECT w.qid, p.id, sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))) AS score
+ FROM wide w JOIN postings p ON p.term = w.term JOIN frequency f ON f.term = p.term JOIN lengths l ON l.id = p.id, corpus GROUP BY w.qid, p.id HAVING count(*) = (SELECT count(*) FROM wide x WHERE x.qid = w.qid))"""
+
+
+@register("prf_hits", query("""SELECT qid, id, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS position FROM again) a
+ WHERE position <= 10 AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.qid = a.qid AND f.id = a.id)""", LIVE, ASKED, BM25, FEEDBACK))
 def prf_hits(spark, sf_dir):
     live = adapters.observations(spark, sf_dir, live=True)
     return lexical.with_feedback(lexical.build(live), live, asked(spark), 10).select("qid", "id", F.round("score", 6).alias("score"), "position")
@@ -589,13 +598,16 @@ def entities(spark, sf_dir):
     return p.where(F.col("kind").isin("url", "symbol", "endpoint")).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-@register("time_range", """SELECT qid, low, high FROM (VALUES (1, TIMESTAMP '2024-03-15', TIMESTAMP '2024-03-16'), (2, TIMESTAMP '2024-03-01', TIMESTAMP '2024-04-01'), (3, TIMESTAMP '2025-06-15', TIMESTAMP '2025-06-16'), (4, TIMESTAMP '2025-06-14', TIMESTAMP '2025-06-15'),
- (5, TIMESTAMP '2025-06-16', TIMESTAMP '2025-06-17'), (6, TIMESTAMP '2025-06-08 12:30:00', TIMESTAMP '2025-06-15 12:30:00'), (7, TIMESTAMP '2023-01-01', TIMESTAMP '2024-01-01'), (8, NULL, NULL)) AS v(qid, low, high)""")
+@register("time_range", """SELECT id, CASE k WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d) WHEN 2 THEN d WHEN 3 THEN d - INTERVAL 1 DAY WHEN 4 THEN d + INTERVAL 1 DAY WHEN 5 THEN d + INTERVAL 750 MINUTE - INTERVAL 7 DAY WHEN 6 THEN date_trunc('year', d) END AS low,
+ CASE k WHEN 0 THEN d + INTERVAL 1 DAY WHEN 1 THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 2 THEN d + INTERVAL 1 DAY WHEN 3 THEN d WHEN 4 THEN d + INTERVAL 2 DAY WHEN 5 THEN d + INTERVAL 750 MINUTE WHEN 6 THEN date_trunc('year', d) + INTERVAL 1 YEAR END AS high
+ FROM (SELECT o_orderkey AS id, o_orderkey % 8 AS k, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) AS d FROM orders)""")
 def time_range(spark, sf_dir):
-    texts = ["update from 2024-03-15", "notes from March 2024", "what about today", "summarize yesterday", "plan for tomorrow", "last week report", "deploy logs from 2023", "plain keyword query"]
-    rows = spark.createDataFrame(list(enumerate(texts, 1)), "qid int, text string")
-    r = timerange.time_range(F.col("text"), F.lit("2025-06-15 12:30:00").cast("timestamp"))
-    return rows.select("qid", r["low"].alias("low"), r["high"].alias("high"))
+    """A question about each order's time, asked at half past twelve of its day."""
+    o = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
+    asked_ = [F.concat(F.lit("update from "), F.date_format("d", "yyyy-MM-dd")), F.concat(F.lit("notes from "), F.date_format("d", "MMMM yyyy")), "what about today", "summarize yesterday", "plan for tomorrow", "last week report", F.concat(F.lit("deploy logs from "), F.date_format("d", "yyyy")), "plain keyword query"]
+    text = F.coalesce(*(F.when(F.col("id") % 8 == k, x) for k, x in enumerate(asked_)))
+    r = timerange.time_range(text, F.col("d").cast("timestamp") + F.expr("interval 750 minutes"))
+    return o.select("id", r["low"].alias("low"), r["high"].alias("high"))
 
 
 @register("content_hash_dedup", query(r"SELECT hash, min(id) AS first, count(*) AS n FROM (SELECT id, sha256(lower(trim(regexp_replace(content, '\s+', ' ', 'g')))) AS hash FROM live) GROUP BY hash HAVING count(*) > 1", LIVE))

@@ -63,7 +63,8 @@ def export_chunks(df: DataFrame, manifest: DataFrame | None, path: str, rows: in
 
 
 def import_chunks(spark: SparkSession, path: str, schema: str, known: DataFrame | None = None) -> DataFrame:
-    raw = spark.read.text(path)
+    """Rows of chunks that aren't known yet; a chunk's id is text, whatever it looks like."""
+    raw = spark.read.schema("value string, chunk string").text(path)
     if known is not None:
         raw = raw.join(known.select("chunk"), "chunk", "left_anti")
     return raw.select("chunk", F.from_json("value", schema).alias("r")).select("chunk", "r.*")
