@@ -37,6 +37,65 @@ def as_of_many(facts: DataFrame, asks: DataFrame) -> DataFrame:
     return met.select("qid", *facts.columns)
 
 
+#: Microseconds of a day, an hour, a minute, a second, a millisecond and one.
+TICKS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1000, 1)
+
+
+def as_of_totals(facts: DataFrame, asks: DataFrame, value: str = "id") -> DataFrame:
+    """The columns of asks (qid, valid, system), n and total (of a long column of the facts) of as_of_many(), without its pairs.
+
+    A fact is a rectangle of valid and system time. What covers a point is a sum over corners that don't exceed it, with
+    signs, and that is a sum over buckets of powers of two, of which a point's past has one a level and axis at most.
+    Corners meet asks only there, summed up by bucket, so the cost is that of the corners times the levels (the bits of the
+    asked range in the largest unit, of a day to a microsecond, that all asked times are multiples of), not of the pairs."""
+    axes = {"valid": ("valid_from", "valid_until"), "system": ("tx_from", "tx_until")}
+    asks = asks.where("valid is not null and system is not null")
+    bounds = asks.agg(*(f(F.unix_micros(c)) for c in axes for f in (F.min, F.max)), *(F.max(F.pmod(F.unix_micros(c), F.lit(t))).alias(f"{c}_{t}") for c in axes for t in TICKS)).first()
+    grid = {}
+    for c, (low, high) in zip(axes, (bounds[0:2], bounds[2:4]), strict=True):
+        tick = next(t for t in TICKS if not bounds[f"{c}_{t}"])
+        low, high = low or 0, high or 0
+        grid[c] = low, tick, (high - low) // tick
+    kept = facts.where("(valid_from is null or valid_until is null or valid_from < valid_until) and (tx_from is null or tx_until is null or tx_from < tx_until)")
+
+    def place(c: str, edge: str) -> Column:
+        """The first tick at or behind a time, from 0; ticks behind the last asked one are beyond all."""
+        low, tick, _ = grid[c]
+        behind = F.ceil((F.unix_micros(edge) - low).cast("decimal(20,0)") / F.lit(tick).cast("decimal(20,0)")).cast("long")
+        return F.when(F.col(edge).isNotNull(), F.greatest(behind, F.lit(0)))
+
+    def ends(c: str) -> Column:
+        start, stop = axes[c]
+        at = lambda p, sign: F.struct(p.alias("at"), F.lit(sign).alias("sign"))
+        return F.filter(F.array(at(F.coalesce(place(c, start), F.lit(0)), 1), at(place(c, stop), -1)), lambda x: x["at"] <= grid[c][2])
+
+    corners = kept.select(F.col(value).cast("long").alias("v"), ends("valid").alias("x"), F.explode(ends("system")).alias("y")).select("v", F.explode("x").alias("x"), "y")
+    sign = F.col("x.sign") * F.col("y.sign")
+    sums = lambda rows, *by: rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    cells = sums(corners.select(F.col("x.at").alias("valid"), F.col("y.at").alias("system"), sign.alias("n"), (sign * F.col("v").cast("decimal(38,0)")).cast("decimal(38,0)").alias("total")), "valid", "system")
+    right = lambda x, level: F.call_function("shiftright", x, level)
+
+    def buckets(c: str, past: bool) -> Column:
+        """(level, bucket) of a tick: those that can be of a past, or those that make up its past."""
+        x = F.col(c) + 1 if past else F.col(c)
+        levels = F.sequence(F.lit(0), F.lit((grid[c][2] + 1).bit_length()))
+        found = F.transform(levels, lambda i: F.struct(i.alias(f"{c}_level"), (right(x, i) - 1 if past else right(x, i)).alias(f"{c}_bucket")))
+        return F.explode(F.filter(found, lambda b: b[f"{c}_bucket"] % 2 == 0))  # the bit of the past's end is set
+
+    on = []
+    for c in axes:
+        split = [*on, *(x for x in axes if x != c and f"{x}_level" not in on)]
+        cells = sums(cells.select(*split, "n", "total", buckets(c, False).alias("b")).select(*split, "n", "total", "b.*"), *split, f"{c}_level", f"{c}_bucket")
+        on += [f"{c}_level", f"{c}_bucket"]
+    times = asks.select("valid", "system").distinct()
+    tick = lambda c: F.expr(f"(unix_micros({c}) - {grid[c][0]}L) div {grid[c][1]}L").alias(c)
+    past = times.select(F.col("valid").alias("v"), F.col("system").alias("s"), tick("valid"), tick("system"))
+    for c in axes:
+        past = past.withColumn("b", buckets(c, True)).select("*", "b.*").drop("b")
+    met = past.join(cells, on).groupBy(F.col("v").alias("valid"), F.col("s").alias("system")).agg(F.sum("n").alias("n"), F.sum("total").cast("long").alias("total")).where("n > 0")
+    return asks.join(met, ["valid", "system"]).select(*asks.columns, "n", "total")
+
+
 def valid_at(facts: DataFrame, at: Column, *, end_included: bool = False) -> DataFrame:
     end = F.col("invalid_at") >= at if end_included else F.col("invalid_at") > at
     return facts.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("invalid_at").isNull() | end))
