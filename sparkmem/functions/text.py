@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -404,6 +408,7 @@ def speculative(query: Column) -> Column:
     return F.lower(query).rlike(r"\b(would|might|likely|probably)\b")
 
 
+@lru_cache(1 << 18)
 def stem_of(word: str) -> str:
     """Porter's suffix stripping, steps by table of (suffix, replacement, least measure)."""
     vowel = lambda w, i: w[i] in "aeiou" or (w[i] == "y" and i > 0 and not vowel(w, i - 1))
@@ -458,6 +463,11 @@ _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda x: None if x is None else [stem_of(t) for t in x])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pa.Array) -> pa.Array:
+    """Stems of each row's tokens; of a batch, each distinct word is looked at once."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([w and stem_of(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(starts, stems, mask=tokens.is_null())
