@@ -28,6 +28,9 @@ class Index:
     def __init__(self, postings: DataFrame, corpus: DataFrame):
         self.postings, self.corpus = postings, corpus
 
+    def of(self, queries: DataFrame) -> Index:
+        return self
+
     def persist(self) -> Index:
         for x in (self.postings, self.corpus):
             x.persist()
@@ -64,12 +67,28 @@ def build(df: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     only = asked_terms(queries) if queries is not None else None
     rows = analysed(indexed(df) if weights is None else df, weights or WEIGHTS, id_col, analyser, only)
     if only is not None:
-        rows = cut(rows)
+        return _reduced(rows if only else rows.limit(0))
     words = rows.select("id", "length", F.explode("words").alias("x")).select("id", "length", "x.*")
     postings = words.groupBy("term", "id", "length").agg(F.sum("w").alias("tf"))
     return Index(postings, rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")))
 
 
+def _reduced(rows: DataFrame) -> Index:
+    """An index of rows whose words are few: each row counts once, without an id, beside its words, so that one scan yields both tables."""
+    own = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))), "words")
+    words = rows.select("id", "length", F.explode(own).alias("x"))
+    counted = cut(words.groupBy("x.term", F.when(F.col("x.term").isNotNull(), F.col("id")).alias("id"), "length").agg(F.sum("x.w").alias("tf"), F.count("*").alias("n")))
+    corpus = counted.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), (F.sum(F.col("n") * F.col("length")) / F.sum("n")).alias("mean_length"))
+    return Index(counted.where("term is not null").select("term", "id", "length", "tf"), corpus)
+
+
+class Scanned:
+    """Rows that have no index: each group of queries makes one of its own terms, in one scan, as build() does."""
+
+    def __init__(self, df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "id", analyser: Callable[[Column], Column] = terms):
+        self.of = lambda queries: build(df, weights, id_col, analyser, queries)
+
+
 def idf(docs: Column, df: Column) -> Column:
     return F.greatest(F.log((docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
@@ -79,8 +98,9 @@ def saturated(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
-def bm25(index: Index, queries: DataFrame, *, all_terms: bool = True) -> DataFrame:
+def bm25(index: Index | Scanned, queries: DataFrame, *, all_terms: bool = True) -> DataFrame:
     """qid, id, score (larger is better): rows that hold all distinct terms of the query, or any of them."""
+    index = index.of(queries)
     asked = queries.select("qid", F.array_distinct("terms").alias("terms")).select("qid", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     hits = index.postings.join(asked, "term")
     df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -128,17 +148,23 @@ def facts_of(df: DataFrame) -> DataFrame:
     return short.unionByName(cut_up).select("observation_id", F.posexplode("facts").alias("n", "fact"))
 
 
-def fact_index(df: DataFrame) -> tuple[Index, DataFrame]:
-    """An index of sentences, and the observation of each sentence."""
-    facts = facts_of(df).select((F.col("observation_id").cast("decimal(28,0)") * (1 << 31) + F.col("n")).alias("id"), "observation_id", "fact")
+FACTS = 1 << 31  # more than an observation has sentences
+
+
+def fact_index(df: DataFrame, *, scanned: bool = False) -> tuple[Index | Scanned, DataFrame]:
+    """An index of sentences, or scans of them, and the observation of each sentence."""
+    facts = facts_of(df).select((F.col("observation_id").cast("decimal(28,0)") * FACTS + F.col("n")).alias("id"), "observation_id", "fact")
+    if scanned:  # the id tells the observation
+        return Scanned(facts, {"fact": 1.0}), None
     return build(facts, {"fact": 1.0}), facts.select("id", "observation_id")
 
 
-def fact_hits(index: Index, owners: DataFrame, queries: DataFrame, limit: int, over_fetch: int = 20) -> DataFrame:
+def fact_hits(index: Index | Scanned, owners: DataFrame | None, queries: DataFrame, limit: int, over_fetch: int = 20) -> DataFrame:
     """Observations by their best sentence, each seen once. queries: (qid, text); interrogatives don't have to occur, and a
     question of nothing else has no list."""
     asked = queries.select("qid", key_terms(F.col("text")).alias("terms"))
-    pool = ranked(bm25(index, asked), limit * over_fetch, F.round("score", 9).desc(), F.asc("id")).join(owners, "id")
+    pool = ranked(bm25(index, asked), limit * over_fetch, F.round("score", 9).desc(), F.asc("id"))
+    pool = pool.withColumn("observation_id", F.floor((F.col("id") - F.pmod("id", F.lit(FACTS).cast("decimal(28,0)"))) / FACTS).cast("long")) if owners is None else pool.join(owners, "id")
     first = pool.groupBy("qid", F.col("observation_id").alias("id")).agg(F.min("position").alias("at"), F.max("score").alias("score"))
     return ranked(first, limit, F.asc("at"), F.asc("id")).drop("at")
 
@@ -147,7 +173,8 @@ def feedback_terms(hits: DataFrame, df: DataFrame, queries: DataFrame, *, top: i
     """qid, term: the new terms that the first hits of a query use at least twice."""
     first = hits.where(F.col("position") <= top)
     enough = first.groupBy("qid").agg(F.count("*").alias("n")).where("n >= 2").select("qid")
-    texts = first.join(enough, "qid", "left_semi").join(df, "id").select("qid", F.substring(F.concat_ws(" ", "title", "content"), 1, head).alias("text"))
+    heads = df.select("id", F.substring(F.concat_ws(" ", "title", "content"), 1, head).alias("text"))  # no more of a text is moved
+    texts = first.join(enough, "qid", "left_semi").join(heads, "id").select("qid", "text")
     used = texts.select("qid", F.explode(terms(F.col("text"))).alias("term")).where(F.char_length("term") >= 3)
     counts = used.groupBy("qid", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     new = counts.join(queries.select("qid", F.explode("terms").alias("term")), ["qid", "term"], "left_anti")
@@ -155,18 +182,19 @@ def feedback_terms(hits: DataFrame, df: DataFrame, queries: DataFrame, *, top: i
     return new.withColumn("nth", place).where(F.col("nth") <= most_terms).select("qid", "term", "n", "nth")
 
 
-def with_feedback(index: Index, df: DataFrame, queries: DataFrame, limit: int, first: DataFrame | None = None) -> DataFrame:
+def with_feedback(index: Index | Scanned, df: DataFrame, queries: DataFrame, limit: int, first: DataFrame | None = None) -> DataFrame:
     """What the query with its feedback terms finds beyond the first list, which is three times the limit long."""
     best = (F.round("score", 9).desc(), F.asc("id"))
-    first = ranked(bm25(index, queries), 3 * limit, *best) if first is None else first
+    first = cut(ranked(bm25(index, queries), 3 * limit, *best)) if first is None else first
     more = feedback_terms(first, df, queries).groupBy("qid").agg(F.collect_list("term").alias("more"))
-    wider = queries.join(more, "qid").select("qid", F.concat("terms", "more").alias("terms"))
+    wider = cut(queries.join(more, "qid").select("qid", F.concat("terms", "more").alias("terms")))
     found = ranked(bm25(index, wider), limit, *best)
     return found.join(first.select("qid", "id"), ["qid", "id"], "left_anti")
 
 
-def relaxed(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+def relaxed(index: Index | Scanned, queries: DataFrame, limit: int) -> DataFrame:
     """The strict list of each query, or where it is empty the list of any term."""
+    index = index.of(queries)
     strict = bm25(index, queries).withColumn("tier", F.lit(0))
     loose = bm25(index, queries, all_terms=False).withColumn("tier", F.lit(1))
     both = strict.unionByName(loose)
@@ -174,7 +202,7 @@ def relaxed(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     return ranked(kept, limit)
 
 
-def relaxed_tiers(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+def relaxed_tiers(index: Index | Scanned, queries: DataFrame, limit: int) -> DataFrame:
     """qid, id, score, position, tier of queries (qid, text): rows with all words (0), where there are none with all content
     words (1), else with any of them (2). The last two apply only if a query has both content words and others."""
     words = queries.select("qid", F.array_distinct(terms(F.col("text"))).alias("words"), search_terms(F.col("text")).alias("content"))
@@ -186,7 +214,7 @@ def relaxed_tiers(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     return ranked(found, limit, F.round("score", 9).desc(), F.asc("id"))
 
 
-def with_synonyms(index: Index, queries: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+def with_synonyms(index: Index | Scanned, queries: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     """The hits, and for queries (qid, text) without any the rows with any of their corrected words or their synonyms; a
     query that has alternatives or quotes of its own is left alone."""
     free = queries.where(~F.lower("text").contains(" or ") & ~F.col("text").contains('"')).join(hits.select("qid").distinct(), "qid", "left_anti")

@@ -18,10 +18,10 @@ def queries(df: DataFrame) -> DataFrame:
     return out.where(F.size("terms") > 0)
 
 
-def keyword_search(index: lexical.Index, facts: tuple[lexical.Index, DataFrame], obs: DataFrame, edges: DataFrame, asked: DataFrame, scores: DataFrame, now: Column, limit: int = 10) -> DataFrame:
+def keyword_search(index: lexical.Index | lexical.Scanned, facts: tuple[lexical.Index | lexical.Scanned, DataFrame | None], obs: DataFrame, edges: DataFrame, asked: DataFrame, scores: DataFrame, now: Column, limit: int = 10) -> DataFrame:
     """The routed lexical search: keys or expansion, feedback, graph and sentence lists, fused and re-ranked; loose terms only where all lists are empty."""
     pool = 3 * limit
-    strict = lexical.ranked(lexical.bm25(index, asked), pool).persist()  # at most pool rows a query
+    strict = graph.cut(lexical.ranked(lexical.bm25(index, asked), pool))  # at most pool rows a query
     lists = [("keyword", strict), ("topic_exact", lexical.topic_exact(obs, asked.where(F.col("text").contains("/"))))]
     free = asked.where(~F.col("text").contains("/"))
     near = lexical.ranked(lexical.neighbours(strict, edges).join(obs.select("id", "updated_at"), "id").withColumn("score", F.lit(0.0)), pool, F.desc("updated_at"), F.asc("id"))
@@ -30,6 +30,7 @@ def keyword_search(index: lexical.Index, facts: tuple[lexical.Index, DataFrame],
     for name, found in lists:
         own = found.where(F.col("position") <= pool).select("qid", F.lit(name).alias("list"), "position", "id")
         every = own if every is None else every.unionByName(own)
+    every = graph.cut(every)  # at most pool rows a list
     empty = asked.join(every.select("qid").distinct(), "qid", "left_anti")
     rescued = lexical.relaxed(index, empty, pool).select("qid", F.lit("rescue").alias("list"), "position", "id")
     fused = fusion.rrf(every.unionByName(rescued), pool=pool)

@@ -30,7 +30,7 @@ class MemoryStore:
         obs = self._live(filters)
         asked = adaptive.queries(self.spark.createDataFrame(list(enumerate(texts)), "qid long, text string"))
         scores = self.scores if self.scores is not None else self.spark.createDataFrame([], "observation_id long, score double")
-        return adaptive.keyword_search(lexical.build(obs), lexical.fact_index(obs), obs, self.edges, asked, scores, self.now, relational.clamp_limit(limit))
+        return adaptive.keyword_search(lexical.Scanned(obs), lexical.fact_index(obs, scanned=True), obs, self.edges, asked, scores, self.now, relational.clamp_limit(limit))
 
     def search_vectors(self, queries: DataFrame, limit: int = 10, threshold: float | None = 0.3, **filters) -> DataFrame:
         held = self.vectors.join(self._live(filters).select("id"), "id", "left_semi") if filters else self.vectors
