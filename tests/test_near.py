@@ -51,3 +51,28 @@ def test_odd_rows(spark):
     assert sorted((r.id, r.duplicate_of, round(r.confidence, 6)) for r in vector.near_duplicates(df).collect()) == [(1, 2, 1.0), (2, 1, 1.0)]
     assert vector.near_duplicates(df.limit(0)).count() == 0
     assert vector.near_duplicates(df, -1.0).where("id = 7").first().confidence in (0.0, -0.0)
+
+
+def test_shelves_hold_all_pairs(spark):
+    rows = fixture(30, 12, 0.12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(m @ m.T >= 0.95), strict=True) if i != j}
+    for shelf in (40, 200, 10_000):
+        pairs, tested = vector.near_pairs(df, 0.95, block=16, shelf=shelf)
+        found = [(r.id, r.near) for r in pairs.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    best = {r.id for r in vector.near_pairs(df, 0.95, block=16, shelf=40, best=True)[0].collect()}
+    assert best == {a for a, _ in want}
+
+
+def test_vectors_that_do_not_cluster_move_little(spark):
+    """Far vectors can't be pruned; each moves once a shelf, not once for every ring of every centre."""
+    draw = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, draw.normal(size=24).tolist()) for i in range(3000)], "id long, embedding array<double>")
+    pairs, tested = vector.near_pairs(df, 0.95, block=64, shelf=1000, best=True)
+    moved = tested.select("x", "y").distinct().count() * 2 * 1000
+    assert moved <= 3000 * 8 and pairs.count() == 0
+    done = tested.agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    assert done <= 3000 * 3000 * 0.6
