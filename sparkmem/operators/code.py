@@ -164,6 +164,32 @@ def import_targets(imps: DataFrame, syms: DataFrame) -> DataFrame:
     return met.join(best, ["n", "parts"]).select("file", "local", "imported", "target_file").distinct()
 
 
+def _places(files: DataFrame) -> DataFrame:
+    """file, kind, place: keys by which imports find a file: itself without its ending and its folder, whole or an ending of them."""
+    bare, folder = F.regexp_replace("file", r"\.[^./]+$", ""), F.regexp_extract("file", r"^(.*)/[^/]+$", 1)
+    whole = files.select("file", F.explode(F.array_distinct(F.array(bare, folder))).alias("place")).where("place != ''")
+    ends = whole.select("file", _endings(F.col("place")).alias("e")).select("file", F.lit("ending").alias("kind"), F.col("e.key").alias("place")).distinct()
+    return ends.unionByName(whole.select("file", F.lit("whole").alias("kind"), "place"))
+
+
+def _import_places(imps: DataFrame, places: DataFrame) -> DataFrame:
+    """file, local, imported, kind, place of imports: the places of import_targets(), not each of the files there.
+
+    A place counts if it has a file other than the importing one."""
+    asked = imps.withColumn("n", F.xxhash64("file", "module", "imported", "local")).select("n", "file", "local", "imported", "module", "near").distinct()
+    names = F.array_compact(F.array("module", F.when(~F.col("imported").isin("*", "default"), F.concat_ws("/", F.nullif("module", F.lit("")), "imported"))))
+    asked = asked.select("n", "file", "local", "imported", "near", F.explode(names).alias("module")).where("module != ''")
+    columns = ["n", "file", "local", "imported", "kind", "place", "parts"]
+    parts = F.size(F.split("module", "/")).alias("parts")
+    direct = asked.select("n", "file", "local", "imported", F.when(F.col("near"), "whole").otherwise("ending").alias("kind"), F.col("module").alias("place"), parts)
+    above = asked.where("not near").select("n", "file", "local", "imported", _endings(F.col("module")).alias("e")).where("e.parts > 1")
+    above = above.select("n", "file", "local", "imported", F.lit("whole").alias("kind"), F.col("e.key").alias("place"), F.col("e.parts").alias("parts"))
+    held = places.groupBy("kind", "place").agg(F.min("file").alias("low"), F.max("file").alias("high"))
+    met = direct.select(*columns).unionByName(above.select(*columns)).join(held, ["kind", "place"]).where("low != high or low != file").select(*columns).distinct()
+    best = met.groupBy("n").agg(F.max("parts").alias("parts"))
+    return met.join(best, ["n", "parts"]).select("file", "local", "imported", "kind", "place").distinct()
+
+
 def symbol_id(project: Column, kind: Column, name: Column, file: Column, line: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit("sym"), project, kind, name, file, line.cast("string")), 256), 1, 32)
 
@@ -188,13 +214,18 @@ def resolve(syms: DataFrame, rels: DataFrame, imps: DataFrame | None = None) ->
     for table, on in ((in_file, ["file", "name"]), (in_package, ["package", "name"]), (anywhere, ["name"])):
         ends = ends.join(table, on, "left")
     if imps is not None:
-        led = import_targets(imps, syms)
+        places = _places(s.select("file").distinct())
+        led = _import_places(imps, places)
         mine = ends.select("file", "name", "called").distinct()
         by_name = mine.join(led.where("local != '*'").withColumnRenamed("local", "called"), ["file", "called"]).withColumn("wanted", F.when((F.col("name") == F.col("called")) & ~F.col("imported").isin("*", "default"), F.col("imported")).otherwise(F.col("name")))
         by_all = mine.join(led.where("local = '*'").drop("local"), "file").withColumn("wanted", F.col("name"))
-        found = by_name.select("file", "name", "called", "target_file", "wanted").unionByName(by_all.select("file", "name", "called", "target_file", "wanted"))
-        held = in_file.select(F.col("file").alias("target_file"), F.col("name").alias("wanted"), F.col("in_file").alias("at"))
-        found = found.join(held, ["target_file", "wanted"]).groupBy("file", "name", "called").agg(F.min(F.struct("target_file", "at"))["at"].alias("imported"))
+        columns = ["file", "name", "called", "kind", "place", "wanted"]
+        found = by_name.select(*columns).unionByName(by_all.select(*columns)).distinct()
+        # of a name at a place, the first two files: one of them is not the importing one
+        nth = F.row_number().over(Window.partitionBy("kind", "place", "wanted").orderBy("target_file"))
+        held = in_file.select(F.col("file").alias("target_file"), F.col("name").alias("wanted"), F.col("in_file").alias("at")).join(places.withColumnRenamed("file", "target_file"), "target_file")
+        held = held.withColumn("nth", nth).where("nth <= 2").drop("nth")
+        found = found.join(held, ["kind", "place", "wanted"]).where("target_file != file").groupBy("file", "name", "called").agg(F.min(F.struct("target_file", "at"))["at"].alias("imported"))
         ends = ends.join(found, ["file", "name", "called"], "left")
     else:
         ends = ends.withColumn("imported", F.lit(None).cast("string"))
