@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def porter(text: Column) -> Column:
     return stemmed(terms(text))
 
 
+def counted(words: pa.Array) -> pa.Array:
+    """The terms of each row (term, w) with the sum of their weights; a row's words lie together, so nothing has to be moved."""
+    own = words.flatten()
+    sizes = np.asarray(words.value_lengths().fill_null(0))
+    rows = np.repeat(np.arange(len(words)), sizes)
+    table = pa.table({"row": rows, "term": own.field("term"), "w": own.field("w")})
+    sums = table.group_by(["row", "term"], use_threads=False).aggregate([("w", "sum")]).sort_by("row")
+    starts = np.searchsorted(sums["row"].to_numpy(), np.arange(len(words) + 1)).astype(np.int32)
+    each = pa.StructArray.from_arrays([sums["term"].combine_chunks(), sums["w_sum"].combine_chunks().cast(pa.float64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(starts), each)
+
+
+def _counted_rows(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("length"), counted(batch.column("words"))], names=["id", "length", "words"])
+
+
 class StoredIndex:
     """An index in a folder that driver and executors share. weights and analyser stay the same for its life."""
 
@@ -93,14 +112,13 @@ class StoredIndex:
         if number <= state["batch"]:
             return
         seg = state["version"] + 1
-        if "updated_at" in batch.columns:
+        if "updated_at" in batch.columns and not batch.groupBy("id").count().where("count > 1").isEmpty():  # whole rows move only if they must
             batch = batch.groupBy("id").agg(F.max_by(F.struct("*"), "updated_at").alias("r")).select("r.*")
         held = batch.where("deleted_at is null") if "deleted_at" in batch.columns else batch
         made = lexical.analysed(lexical.indexed(held) if self.weights is None else held, self.weights or lexical.WEIGHTS, "id", self.analyser)
-        counted = made.select("id", "length", F.explode_outer("words").alias("x")).groupBy("id", "length", "x.term").agg(F.sum("x.w").alias("tf"))
-        rows = counted.groupBy("id", "length").agg(F.filter(F.collect_list(F.struct("term", "tf")), lambda x: x["term"].isNotNull()).cast(_WORDS).alias("words"))
+        rows = made.select(F.col("id").cast("long"), "length", "words").mapInArrow(_counted_rows, f"id long, length long, words {_WORDS}")
         batch.select(F.col("id").cast("long")).distinct().write.mode("overwrite").parquet(f"{self.path}/dead/seg={seg}")
-        rows.select(F.col("id").cast("long"), "length", "words").write.mode("overwrite").parquet(f"{self.path}/rows/seg={seg}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/seg={seg}")
         new = self._read("rows", [seg], f"id long, length long, words {_WORDS}")
         gone = self._rows(state["segments"]).join(self._read("dead", [seg], "id long").select("id"), "id", "left_semi")
         changed = new.withColumn("by", F.lit(1)).unionByName(gone.withColumn("by", F.lit(-1)))
@@ -122,10 +140,11 @@ class StoredIndex:
             parts = {0: (0, 1)}
         from_, of = (F.create_map(*(F.lit(x) for k, v in parts.items() for x in (k, v[i])))[kind] for i in (0, 1))
         part = (from_ + F.pmod(F.xxhash64("id"), of)).cast("long")
-        each = rows.select("id", "length", part.alias("part"), F.explode("words").alias("x")).select("id", "length", "part", "x.*")
+        each = rows.select("id", "length", part.alias("part"), F.explode("words").alias("x")).select("id", "length", "part", "x.*").withColumn("folder", _folder(F.col("term")))
+        each = each.repartition("folder", "part")  # the only time that postings move
         posting = F.sort_array(F.collect_list(F.struct("id", "tf", "length")))  # one part's rows at most
-        blocks = each.groupBy("term", "part").agg(F.count("*").alias("n"), F.max(lexical.saturated(F.col("tf"), F.col("length"), F.lit(float(mean or 1)))).alias("most"), F.lit(float(mean or 1)).alias("mean"), posting.alias("postings"))
-        laid = blocks.withColumn("folder", _folder(F.col("term"))).repartition("folder", "part").sortWithinPartitions("folder", "term", "part")
+        blocks = each.groupBy("folder", "term", "part").agg(F.count("*").alias("n"), F.max(lexical.saturated(F.col("tf"), F.col("length"), F.lit(float(mean or 1)))).alias("most"), F.lit(float(mean or 1)).alias("mean"), posting.alias("postings"))
+        laid = blocks.sortWithinPartitions("folder", "term", "part")
         laid.write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/blocks/seg={seg}")
 
     def merge(self) -> None:
