@@ -93,3 +93,12 @@ def test_cycles_stop_early(spark):
     assert sorted(tuple(r.cycle) for r in graph.cycles(df).collect()) == [(0, 1, 2, 3, 4, 5), (0, 10)]
     assert [tuple(r.cycle) for r in graph.cycles(df, enough=lambda found: found.count() >= 1).collect()] == [(0, 10)]
     assert graph.cycles(df.limit(0)).count() == 0
+
+
+def test_labels_met_in_a_batch():
+    import pandas as pd
+
+    batch = pd.DataFrame({"id": [1, 2, 3], "text": ["a needle 😀b", "nee dle", "zz"]})
+    labels = [(0, "needle", "eed"), (1, "zz", "zz"), (2, "😀b", "😀b"), (3, "need", "nee")]
+    got = {tuple(r) for part in containment._met(labels)([batch]) for r in part.itertuples(index=False)}
+    assert got == {(1, 0), (1, 2), (1, 3), (3, 1)}
