@@ -2,8 +2,8 @@
 
 An id enters as the sum of a vector of its class and, if it is frequent, one of its own. One head of masked attention over a
 window of ids, a residual path and a table for the class before give the probabilities of the class of the next word's
-first id; classes are made of ids by the documents they occur in, the most frequent ids being classes of their own.
-What stands within a class follows the corpus counts (see lm.py)."""
+first id; classes are made of ids by the frequent ids beside them, the most frequent ids being classes of their own.
+What stands within a class follows the corpus counts (see lm.py). Only the scored positions ask; all others answer."""
 
 from __future__ import annotations
 
@@ -14,25 +14,19 @@ import numpy as np
 UNITS, WIDTH, WINDOW, STRIDE = 64, 16, 32, 24
 #: Frequent ids with a vector of their own.
 OWN = 8192
-#: Documents that classes and first weights are fitted on, at most.
-FIT_DOCS = 1500
-#: Of all training windows, one in so many refines the weights.
-REFINE_SHARE = 16
-BATCH = 128
+#: Frequent ids whose neighbourhood to an id tells its class.
+BESIDE = 64
+BATCH = 256
 _MASK = np.triu(np.full((WINDOW, WINDOW), np.float32(-1e9)), 1)
 
 
-def unit_map(counts: np.ndarray, sample: list[np.ndarray], end_id: int, alone: int, seed: int = 1) -> np.ndarray:
-    """The unit of each id: 0 for the end, the most frequent ids alone, classes by document for the others."""
+def unit_map(counts: np.ndarray, beside: np.ndarray, end_id: int, alone: int, seed: int = 1) -> np.ndarray:
+    """The unit of each id: 0 for the end, the most frequent ids alone, classes by neighbours for the others.
+
+    beside: of each id, how often each of some frequent ids stands beside it."""
     rng = np.random.default_rng(seed)
     size, topics = len(counts), UNITS - 1 - alone
-    docs = np.zeros((size, min(256, max(1, len(sample)))), np.float32)
-    for k, ids in enumerate(sample):
-        docs[:, k % docs.shape[1]] += np.bincount(ids, minlength=size)
-    share = docs  # in place, as the table is large
-    share /= np.maximum(docs.sum(axis=0, keepdims=True), 1)
-    np.sqrt(share, out=share)
-    share /= np.maximum(np.sqrt(np.einsum("ij,ij->i", share, share))[:, None], 1e-9)
+    share = np.sqrt(beside / np.maximum(beside.sum(axis=1, keepdims=True), 1), dtype=np.float32)
     busy = np.argsort(-counts, kind="stable")[: min(size, 4000)]
     basis = np.linalg.svd(share[busy], full_matrices=False)[2][:16]
     place = share @ basis.T
@@ -67,17 +61,17 @@ def initial(seed: int = 2) -> dict[str, np.ndarray]:
     return {"embed": draw(UNITS, WIDTH), "own": zeros(OWN + 1, WIDTH), "place": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "out": draw(WIDTH, UNITS), "pair": zeros(UNITS, UNITS)}
 
 
-def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(bounds: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Start in the flat ids, and size and number of scored positions (the last ones), of each window over each document.
 
     Each id is scored once: the first window of a document scores all it holds, later ones their new ids."""
     n = np.diff(bounds)
-    k = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+    k = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // stride)), 0)
     doc = np.repeat(np.arange(len(n)), k)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
-    ends = np.minimum(WINDOW + STRIDE * nth, n[doc])
+    ends = np.minimum(WINDOW + stride * nth, n[doc])
     begins = np.maximum(ends - WINDOW, 0)
-    before = np.where(nth > 0, np.minimum(WINDOW + STRIDE * (nth - 1), n[doc]), 0)
+    before = np.where(nth > 0, np.minimum(WINDOW + stride * (nth - 1), n[doc]), 0)
     return bounds[:-1][doc] + begins, np.stack((ends - begins, ends - before), axis=1)
 
 
@@ -89,13 +83,13 @@ def gathered(starts: np.ndarray, shape: np.ndarray, opens: np.ndarray) -> tuple[
     return at, inside & (np.arange(WINDOW) >= (shape[:, 0] - shape[:, 1])[:, None]) & opens[at]
 
 
-def _attend(q, k, v):
+def _attend(q, k, v, mask=_MASK):
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH**-0.5)
-    a += _MASK
+    a += mask
     a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (a @ np.ones(a.shape[2], a.dtype))[..., None]
     return a, a @ v
 
 
@@ -112,17 +106,34 @@ def prepared(p, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (p["embed"][unit] + p["own"][own]) @ each, p["place"] @ each
 
 
-def log_probs(p, table: tuple[np.ndarray, np.ndarray], before: np.ndarray, before_unit: np.ndarray, goal: np.ndarray, opens: np.ndarray, bounds: np.ndarray, chunk: int = 1024) -> np.ndarray:
-    """Natural log probability, at each flat position where a word or end begins, of the unit there (0 elsewhere)."""
+def _asked(scored: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The scored places of each window side by side (the last place fills up), and rows with slots and rows with places of the scored ones."""
+    row, place = np.nonzero(scored)
+    counts = np.bincount(row, minlength=len(scored))
+    slot = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    places = np.full((len(scored), max(1, int(counts.max(initial=0)))), WINDOW - 1)
+    places[row, slot] = place
+    return places, (row, slot), (row, place)
+
+
+def log_probs(p, table: tuple[np.ndarray, np.ndarray], before: np.ndarray, before_unit: np.ndarray, goal: np.ndarray, opens: np.ndarray, bounds: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """Natural log probability, at each flat position where a word or end begins, of the unit there (0 elsewhere).
+
+    Only these positions ask; windows with like numbers of them go together."""
     out = np.zeros(len(before), np.float32)
     starts, shape = windows(bounds)
+    at_all, scored_all = gathered(starts, shape, opens)
+    by_size = np.argsort(scored_all.sum(axis=1).astype(np.uint8), kind="stable")
     for low in range(0, len(starts), chunk):
-        at, scored = gathered(starts[low : low + chunk], shape[low : low + chunk], opens)
-        hqkv = table[0][before[at]] + table[1]
-        h, q, k, v = (hqkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
-        z = _attend(q, k, v)[1]
-        where = at[scored]
-        logits = (h[scored] + z[scored] @ p["o"]) @ p["out"]
+        pick = by_size[low : low + chunk]
+        at, scored = at_all[pick], scored_all[pick]
+        places, (row, slot), (_, place) = _asked(scored)
+        hqkv = table[0][before[at]]
+        hqkv += table[1]
+        asked = hqkv[np.arange(len(at))[:, None], places, : 2 * WIDTH]
+        z = _attend(asked[..., WIDTH:], hqkv[..., 2 * WIDTH : 3 * WIDTH], hqkv[..., 3 * WIDTH :], _MASK[places])[1]
+        where = at[row, place]
+        logits = (asked[row, slot, :WIDTH] + z[row, slot] @ p["o"]) @ p["out"]
         logits += p["pair"][before_unit[where]]
         logits -= logits.max(axis=1, keepdims=True)
         found = logits[np.arange(len(logits)), goal[where]].copy()
@@ -158,26 +169,42 @@ def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def gradients(p, x, own, goal, scored):
-    h, q, k, v, a, z, top = _forward(p, x, own)
-    t = top[scored]
-    d = t @ p["out"] + p["pair"][x[scored]]
+    """Gradients of the mean log loss of the scored positions, which alone ask."""
+    places, at, (row, place) = _asked(scored)
+    each = np.arange(len(x))[:, None]
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    h = p["embed"][x] + p["own"][own] + p["place"]
+    asked = h[each, places]
+    q = asked @ p["q"]
+    kv = np.concatenate((p["k"], p["v"]), axis=1)
+    both = (flat(h) @ kv).reshape(*h.shape[:2], -1)
+    k, v = both[..., :WIDTH], both[..., WIDTH:]
+    a, z = _attend(q, k, v, _MASK[places].astype(h.dtype, copy=False))
+    t = asked[at] + z[at] @ p["o"]
+    d = t @ p["out"] + p["pair"][x[row, place]]
     d -= d.max(axis=1, keepdims=True)
     np.exp(d, out=d)
     d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(d)), goal[scored]] -= 1
+    d[np.arange(len(d)), goal[row, place]] -= 1
     d /= max(1, len(d))
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": t.T @ d, "pair": _summed(x[scored], d, UNITS)}
-    dtop = np.zeros_like(top)
-    dtop[scored] = d @ p["out"].T
-    g["o"] = flat(z).T @ flat(dtop)
+    g = {"out": t.T @ d, "pair": _summed(x[row, place], d, UNITS)}
+    dtop = np.zeros_like(asked)
+    dtop[at] = dt = d @ p["out"].T
+    g["o"] = z[at].T @ dt
     dz = dtop @ p["o"].T
     da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g |= {"q": flat(h).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
-    dh = dtop + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    dboth = np.empty_like(both)
+    dboth[..., WIDTH:] = a.transpose(0, 2, 1) @ dz
+    da -= ((da * a) @ np.ones(a.shape[2], a.dtype))[..., None]
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
+    dq = da @ k
+    dboth[..., :WIDTH] = da.transpose(0, 2, 1) @ q
+    g["q"] = flat(asked).T @ flat(dq)
+    gkv = flat(h).T @ flat(dboth)
+    g["k"], g["v"] = gkv[:, :WIDTH], gkv[:, WIDTH:]
+    dh = (flat(dboth) @ kv.T).reshape(h.shape)
+    dh[row, place] += (dtop + dq @ p["q"].T)[at]
     g["place"] = dh.sum(axis=0)
     g["embed"] = _summed(x.ravel(), flat(dh), UNITS)
     g["own"] = _summed(own.ravel(), flat(dh), OWN + 1)

@@ -1,9 +1,10 @@
 """Language-model scores of whole texts, beside a unigram base.
 
 Texts become lower-case words and an end. Word counts of all learning documents give the base score. The model is
-causal self-attention over subword ids (see attention.py): classes and first weights come from a bounded sample; then one
-window in REFINE_SHARE of all learning documents, drawn by a hash of document and window, refines the weights in one pass
-on every executor, and the results are averaged by the windows seen. A word's probability is that of the class of its
+causal self-attention over subword ids (see attention.py). Texts are turned into ids once; classes come from counts of all
+neighbouring ids of all learning documents, and every window of these documents trains the weights. This takes two rounds:
+a share of the windows, drawn by a hash of document and window, gives the weights that the others start from; in each round all tasks
+train on what they read, and their results are averaged by the windows seen. A word's probability is that of the class of its
 first id, given the ids before it in the window, times its share of the learning words of that class, smoothed as the base
 is: by 0.1 for each known word and for one unknown word of the class. Scoring runs over overlapping
 windows, in which each word is scored once. The most frequent words travel as a table of bounded size; the others are
@@ -34,7 +35,10 @@ from .packing import encoder
 TOP_WORDS = 300_000
 IDS = 50_257
 END_ID = 50_256
-INIT_STEPS, INIT_RATE, REFINE_RATE = 500, 0.01, 0.002
+#: Rates of the rounds; of all windows, one in so many takes part in the first round, the others in the second.
+RATES, FIRST_SHARE = (0.01, 0.003), 4
+#: With fewer windows than this, each is trained on several times, but at most so often.
+LEAST_WINDOWS, MOST_TURNS = 100_000, 40
 #: Windows that a task gathers before it trains on them.
 GATHER = 8192
 
@@ -84,33 +88,23 @@ class Table:
         self.at = np.concatenate(([0], np.cumsum(self.sizes)))
         self.flat = np.array([i for x in ids for i in x], np.uint16)
         self.known: dict[bytes, np.ndarray] = {}
+        self.logs = np.log10(self.counts + 0.1)
         del self.words
-        return self.fitted() if self.weights else self
+        return self
 
     def fitted(self):
         self.table = attention.prepared(self.weights, self.units[0], self.units[2])
         words, kinds = self.class_sizes
         self.below = np.log10(words + 0.1 * (kinds + 1))  # of each class: what a smoothed count is divided by
-        self.logs = np.log10(self.counts + 0.1)
         return self
 
-    def inputs(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The id before each position; the end id where a document begins."""
-        before = np.concatenate(([END_ID], flat[:-1])).astype(np.uint16) if len(flat) else flat
-        before[bounds[:-1]] = END_ID
-        return before
-
-    def log_scores(self, flat, bounds, begins, number, text_of) -> np.ndarray:
-        """Log10 probability of each text, without the smoothed counts of words that the table lacks."""
-        opens = np.zeros(len(flat), bool)
-        opens[begins] = True
-        opens[bounds[1:] - 1] = True
-        before, goal = self.inputs(flat, bounds), self.units[1][flat]
+    def log_scores(self, flat, opens, bounds) -> np.ndarray:
+        """Log10 probability of each text, without the smoothed counts of its words."""
+        before, goal = inputs(flat, bounds), self.units[1][flat]
         found = attention.log_probs(self.weights, self.table, before, self.units[0][before], goal, opens, bounds) / np.log(10)
-        word = found[begins] - self.below[goal[begins]]
-        if len(self.logs):
-            word += np.where(number >= 0, self.logs[number], 0.0)
-        return np.bincount(text_of, word, len(bounds) - 1) + found[bounds[1:] - 1]
+        at = np.flatnonzero(opens)
+        word = found[at] - self.below[goal[at]] * (flat[at] != END_ID)
+        return np.bincount(np.searchsorted(bounds, at, side="right") - 1, word, len(bounds) - 1)
 
     def ids_of(self, texts: list[bytes]):
         """Flat ids of the texts with an end each, bounds; of each word its begin in them, number if frequent and text; and the other words with their numbers among all."""
@@ -156,6 +150,75 @@ def _table(sent, key: str) -> Table:
     return _held[key]
 
 
+def _send(spark, table: Table):
+    sent = spark.sparkContext.broadcast(pickle.dumps(table))
+    return sent, f"table-{id(sent)}-{table.total}-{table.distinct}-{np.random.randint(1 << 60)}"
+
+
+def inputs(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The id before each position; the end id where a document begins."""
+    before = np.concatenate(([END_ID], flat[:-1])).astype(np.uint16) if len(flat) else flat
+    before[bounds[:-1]] = END_ID
+    return before
+
+
+def _binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _packed(opens: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The marks of each text as bits, in bytes of its own."""
+    n = np.diff(bounds)
+    begin = np.concatenate(([0], np.cumsum(-(-n // 8))))
+    bits = np.zeros(8 * int(begin[-1]), bool)
+    bits[np.arange(len(opens)) + np.repeat(8 * begin[:-1] - bounds[:-1], n)] = opens
+    return _binaries(np.packbits(bits), begin)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat ids of a batch of encoded texts, where a word or end begins, and bounds."""
+    ids, marks = batch.column("ids").to_pylist(), batch.column("opens").to_pylist()
+    n = np.array([len(x) // 2 for x in ids], np.int64)
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in marks])))
+    bits = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8)).view(bool)
+    return np.frombuffer(b"".join(ids), np.uint16), bits[np.arange(int(n.sum())) + np.repeat(8 * begin[:-1] - bounds[:-1], n)], bounds
+
+
+def encoded(rows: DataFrame, table: Table) -> DataFrame:
+    """Of each row (doc_id, learn, text) the ids with marks where words begin, the number of training windows, what the table's words give to the scores, and the other words; written down."""
+    sent, key = _send(rows.sparkSession, table)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches):
+        table = _table(sent, key)
+        under = float(np.log10(table.total + 0.1 * (table.distinct + 1)))
+        end = float(np.log10(table.ends + 0.1)) - under
+        number_of, part = 0, TaskContext.get().partitionId() << 36
+        for batch in slices(batches, 256):
+            texts = texts_of(batch, "text")
+            flat, bounds, begins, number, text_of, rare_at, rare_words = table.ids_of(texts)
+            opens = np.zeros(len(flat), bool)
+            opens[begins] = opens[bounds[1:] - 1] = True
+            common = number >= 0
+            size = np.bincount(text_of, minlength=len(texts))
+            logs = np.bincount(text_of[common], table.logs[number[common]], len(texts)) if len(table.logs) else np.zeros(len(texts))
+            known = np.bincount(text_of[common], minlength=len(texts)) + (table.ends > 0)
+            cuts = np.searchsorted(text_of[rare_at], np.arange(len(texts) + 1))
+            rare = [[{"word": w.decode(), "n": n} for w, n in Counter(rare_words[a:b]).items()] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(number_of, number_of + len(texts)) + part), batch.column("doc_id"), batch.column("learn"), pa.array(size + 1), pa.array(known.astype(np.int64)),
+                    pa.array(logs - under * size + end), pa.array(logs), pa.array(-(-np.diff(bounds) // attention.WINDOW)), _binaries(flat, 2 * bounds), _packed(opens, bounds),
+                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
+                ],
+                names=["row", "doc_id", "learn", "n_tokens", "known", "base", "logs", "windows", "ids", "opens", "rare"],
+            )
+            number_of += len(texts)
+
+    return cut(rows.mapInArrow(encode, f"row long, doc_id {kind}, learn boolean, n_tokens long, known long, base double, logs double, windows long, ids binary, opens binary, rare array<struct<word:string,n:long>>"))
+
+
 def _top(counts: DataFrame, limit: int) -> DataFrame:
     """The most frequent words, limit at most: all words whose counts reach a bound."""
     size = F.floor(F.log2("c") * 8)
@@ -168,173 +231,165 @@ def _top(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("c") >= least)
 
 
+def _rows(documents: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
+
+
 def fit(documents: DataFrame, learn: Column, tokenizer: str, *, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Table, DataFrame]:
     """The model, and the counts of all learning words; learn: which documents to learn from."""
-    spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
+    return _fit(_rows(documents, learn, id_col, text_col), tokenizer, top_words)[:2]
+
+
+def _fit(rows: DataFrame, tokenizer: str, top_words: int) -> tuple[Table, DataFrame, DataFrame]:
+    """The model, the counts of all learning words, and all rows as ids."""
     taught = rows.where("learn")
     ends = taught.count()
     counts = cut(taught.select("text").mapInArrow(_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     top = _top(counts, top_words).orderBy("word").toPandas()
+    table = Table(top["word"].tolist(), top["c"].to_numpy(np.int64), total, distinct, ends, tokenizer)
+    held = encoded(rows, table)
 
     def subwords(batches):
-        seen = np.zeros(IDS, np.int64)
+        seen = np.zeros((3, IDS), np.int64)  # of each id: how often in words, how often first in a word, in how many words first
         for batch in slices(batches, 4096):
             ids = _encode(batch.column("word").to_pylist(), tokenizer)
-            c = np.repeat(batch.column("c").to_numpy(), [len(x) for x in ids])
-            seen += np.bincount(np.array([i for x in ids for i in x], np.int64), c, IDS).astype(np.int64)
+            c = batch.column("c").to_numpy()
+            first = np.array([x[0] for x in ids], np.int64)
+            seen[0] += np.bincount(np.array([i for x in ids for i in x], np.int64), np.repeat(c, [len(x) for x in ids]), IDS).astype(np.int64)
+            seen[1] += np.bincount(first, c, IDS).astype(np.int64)
+            seen[2] += np.bincount(first, minlength=IDS)
+        at = np.flatnonzero(seen[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in seen)], names=["id", "c", "first", "kinds"])
+
+    id_counts = np.zeros((3, IDS), np.float64)
+    for r in counts.mapInArrow(subwords, "id int, c long, first long, kinds long").groupBy("id").agg(*(F.sum(x).alias(x) for x in ("c", "first", "kinds"))).toLocalIterator():  # at most IDS rows
+        id_counts[:, r["id"]] = r["c"], r["first"], r["kinds"]
+    words, kinds = id_counts[1].copy(), id_counts[2]
+    id_counts[:2, END_ID] = ends
+
+    column = np.full(IDS, attention.BESIDE, np.int64)
+    column[np.argsort(-id_counts[0], kind="stable")[: attention.BESIDE]] = np.arange(attention.BESIDE)
+
+    def beside(batches):
+        """How often each id stands before, and each first id of a word behind, each of the frequent ids."""
+        wide = IDS * (attention.BESIDE + 1)
+        seen = np.zeros(2 * wide, np.int64)
+        for batch in slices(batches, 4096):
+            flat, opens, bounds = _unpacked(batch)
+            before = inputs(flat, bounds).astype(np.int64) * (attention.BESIDE + 1) + column[flat]
+            behind = flat[opens].astype(np.int64) * (attention.BESIDE + 1) + column[inputs(flat, bounds)[opens]]
+            for low, keys in ((0, before), (wide, behind)):
+                seen[low : low + wide] += np.bincount(keys, minlength=wide)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["id", "c"])
-
-    id_counts = np.zeros(IDS, np.float64)
-    for r in counts.mapInArrow(subwords, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toLocalIterator():  # at most IDS rows
-        id_counts[r["id"]] = r["c"]
-    id_counts[END_ID] = ends
-
-    share = min(1.0, attention.FIT_DOCS / max(1, ends))
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))
-    words, top_counts = top["word"].tolist(), top["c"].to_numpy(np.int64)
-    table = Table(words, top_counts, total, distinct, ends, tokenizer)
-    local = pickle.loads(pickle.dumps(table)).ready()
-    sample = [(r["text"] or "").encode() for r in taught.where(pick).select("text").limit(2 * attention.FIT_DOCS).collect()]  # a bounded sample for the classes and first weights
-    flat, bounds, begins, *_ = local.ids_of(sample) if sample else (np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64))
-    per_doc = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    first_counts = np.bincount(np.concatenate((flat[begins], flat[bounds[1:] - 1])), minlength=IDS) if sample else np.zeros(IDS, np.int64)
-    firsts = [x[np.isin(x, np.flatnonzero(first_counts))] for x in per_doc]
-    plain = np.zeros(IDS, np.uint8)
-    table.units = (attention.unit_map(id_counts, per_doc, END_ID, 31), attention.unit_map(first_counts.astype(float), firsts, END_ID, 39), attention.own_rows(id_counts)) if sample else (plain, plain, attention.own_rows(id_counts))
+        at = at[at % (attention.BESIDE + 1) < attention.BESIDE]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["at", "n"])
+
+    learnt = held.where("learn")
+    pairs = learnt.select("ids", "opens").mapInArrow(beside, "at int, n long").groupBy("at").agg(F.sum("n").cast("float").alias("n")).toPandas()  # a number for each id and frequent id, at most
+    near = np.zeros(2 * IDS * (attention.BESIDE + 1), np.float32)
+    near[pairs["at"].to_numpy()] = pairs["n"].to_numpy()
+    del pairs
+    near = near.reshape(2, IDS, -1)[:, :, : attention.BESIDE]
+    table.units = (attention.unit_map(id_counts[0], near[0], END_ID, 31), attention.unit_map(id_counts[1], near[1], END_ID, 39), attention.own_rows(id_counts[0]))
+    table.class_sizes = tuple(np.bincount(table.units[1], x, attention.UNITS) for x in (words, kinds))
+    del near
     table.weights = attention.initial()
-
-    def gathered(held: Table, texts: list[bytes], draws=None):
-        """Windows of the texts as training input; draws: of each text a hash that picks the windows."""
-        flat, bounds, begins, *_ = held.ids_of(texts)
-        opens = np.zeros(len(flat), bool)
-        opens[begins] = opens[bounds[1:] - 1] = True
-        before = held.inputs(flat, bounds)
-        starts, shape = attention.windows(bounds)
-        if draws is not None:
-            doc = np.searchsorted(bounds, starts, side="right") - 1
-            pick = mix(draws.view(np.uint64)[doc] + mix((starts - bounds[doc]).astype(np.uint64))) >> np.uint64(32)
-            chosen = pick < np.uint64((1 << 32) // attention.REFINE_SHARE)
-            starts, shape = starts[chosen], shape[chosen]
-        at, scored = attention.gathered(starts, shape, opens)
-        return held.units[0][before][at], held.units[2][before][at], held.units[1][flat][at], scored
-
-    if sample:
-        local.units = table.units
-        windows = gathered(local, sample)
-        trainer, rng = attention.Trainer(table.weights, INIT_RATE), np.random.default_rng(3)
-        for step in range(INIT_STEPS):
-            at = rng.integers(0, len(windows[0]), attention.BATCH)
-            trainer.step(*(x[at] for x in windows), share=min(1.0, 2 * (1 - step / INIT_STEPS)))
-        table.weights = trainer.p
-    del local
-    out_unit = table.units[1]
-
-    def by_class(batches):
-        n, kinds = np.zeros(attention.UNITS, np.int64), np.zeros(attention.UNITS, np.int64)
-        for batch in slices(batches, 4096):
-            unit = out_unit[[x[0] for x in _encode(batch.column("word").to_pylist(), tokenizer)]]
-            n += np.bincount(unit, batch.column("c").to_numpy(), attention.UNITS).astype(np.int64)
-            kinds += np.bincount(unit, minlength=attention.UNITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.UNITS), pa.int32()), pa.array(n), pa.array(kinds)], names=["unit", "n", "kinds"])
-
-    sizes = np.zeros((2, attention.UNITS))
-    for r in counts.mapInArrow(by_class, "unit int, n long, kinds long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():  # a row for each class
-        sizes[:, r["unit"]] = r["n"], r["kinds"]
-    table.class_sizes = (sizes[0], sizes[1])
-
-    def send(table: Table):
-        sent = spark.sparkContext.broadcast(pickle.dumps(table))
-        return sent, f"table-{id(sent)}-{total}-{distinct}-{np.random.randint(1 << 60)}"
-
-    if ends:
-        sent, key = send(table)
-
-        def refine(batches):
-            held = _table(sent, key)
-            trainer, rest, seen = attention.Trainer(held.weights, REFINE_RATE), [], 0
-
-            def learn() -> int:
-                joined = [np.concatenate(x) for x in zip(*rest, strict=True)]
-                order = np.random.default_rng(seen).permutation(len(joined[0]))
-                for low in range(0, len(order), attention.BATCH):
-                    trainer.step(*(x[order[low : low + attention.BATCH]] for x in joined))
-                rest.clear()
-                return len(order)
-
-            size = 0
-            for batch in slices(batches):
-                rest.append(gathered(held, texts_of(batch, "text"), batch.column("draw").to_numpy()))
-                size += len(rest[-1][0])
-                if size >= GATHER:
-                    seen, size = seen + learn(), 0
-            if size:
-                seen += learn()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([float(seen)]), pa.array([pickle.dumps(trainer.p)], pa.binary())], names=["g", "n", "w"])
-
-        def mean(group: pa.Table) -> pa.Table:
-            n = np.array(group.column("n").to_pylist())
-            w = [pickle.loads(x) for x in group.column("w").to_pylist()]
-            out = {k: (sum(m * x[k].astype(np.float64) for m, x in zip(n, w, strict=True)) / n.sum()).astype(np.float32) for k in w[0]}
-            return pa.table({"g": pa.array([0], pa.int32()), "n": pa.array([n.sum()]), "w": pa.array([pickle.dumps(out)], pa.binary())})
-
-        drawn = taught.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)).alias("draw"), "text")
-        tuned = drawn.mapInArrow(refine, "g int, n double, w binary").groupBy("g").applyInArrow(mean, "g int, n double, w binary").collect()  # at most 16 rows
-        if tuned:
-            n = np.array([r["n"] for r in tuned])
-            w = [pickle.loads(bytes(r["w"])) for r in tuned]
-            table.weights = {k: (sum(m * x[k] for m, x in zip(n, w, strict=True)) / n.sum()).astype(np.float32) for k in w[0]}
-    return table, counts
+    windows = learnt.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    turns = min(MOST_TURNS, -(-LEAST_WINDOWS // max(1, windows)))
+    if windows:
+        for number, rate in enumerate(RATES):
+            table.weights = _trained(learnt, table.weights, table.units, number, rate, turns)
+    return table, counts, held
+
+
+def drawn(draws: np.ndarray, number: int, starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which windows take part in a round; draws: of each text a hash. Each window takes part in one round."""
+    doc = np.searchsorted(bounds, starts, side="right") - 1
+    pick = mix(draws.view(np.uint64)[doc] + mix((starts - bounds[doc]).astype(np.uint64))) >> np.uint64(32)
+    return (pick < np.uint64((1 << 32) // FIRST_SHARE)) == (number == 0)
+
+
+def _trained(learnt: DataFrame, weights: dict, units: tuple, number: int, rate: float, turns: int) -> dict:
+    """The weights after a round over its windows of all learning documents."""
+    sent = learnt.sparkSession.sparkContext.broadcast(pickle.dumps((weights, units)))
+    names, shapes = list(weights), [x.shape for x in weights.values()]
+
+    def train(batches):
+        weights, units = pickle.loads(sent.value)
+        own = units[2].astype(np.uint16)
+        trainer, rest, seen, size = attention.Trainer(weights, rate), [], 0, 0
+
+        def learn() -> int:
+            x = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            rest.clear()
+            rng = np.random.default_rng(seen)
+            for _ in range(turns):
+                order = rng.permutation(len(x[0]))
+                order = order[np.argsort(x[3][order].sum(axis=1).astype(np.uint8), kind="stable")]  # like numbers of words together
+                for low in rng.permutation(np.arange(0, len(order), attention.BATCH)).tolist():
+                    trainer.step(*(y[order[low : low + attention.BATCH]] for y in x))
+            return len(x[0])
+
+        for batch in slices(batches):
+            flat, opens, bounds = _unpacked(batch)
+            before = inputs(flat, bounds)
+            starts, shape = attention.windows(bounds, attention.WINDOW)
+            chosen = drawn(batch.column("draw").to_numpy(), number, starts, bounds)
+            at, scored = attention.gathered(starts[chosen], shape[chosen], opens)
+            rest.append((units[0][before][at], own[before][at], units[1][flat][at], scored))
+            size += len(at)
+            if size >= GATHER:
+                seen, size = seen + learn(), 0
+        if size:
+            seen += learn()
+        if seen:
+            flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([float(seen)]), pa.array([(flat * seen).tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    def total(batches):  # one result after the other
+        n, w = 0.0, 0.0
+        for batch in slices(batches, 1):
+            n, w = n + batch.column("n")[0].as_py(), w + np.frombuffer(batch.column("w")[0].as_py(), np.float64)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([w.tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    found = learnt.select("ids", "opens", F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)).alias("draw")).mapInArrow(train, "g int, n double, w binary").repartition(16, "g").mapInArrow(total, "g int, n double, w binary").collect()  # at most 16 rows
+    if not found:
+        return weights
+    mean = sum(np.frombuffer(bytes(r["w"]), np.float64) for r in found) / sum(r["n"] for r in found)
+    parts = np.split(mean, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    return {k: x.reshape(s).astype(np.float32) for k, x, s in zip(names, parts, shapes, strict=True)}
 
 
 def lm_scores(documents: DataFrame, learn: Column, tokenizer: str, *, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score for each document; learn: which documents to learn from."""
-    return score(documents, *fit(documents, learn, tokenizer, top_words=top_words, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
+    return _score(*_fit(_rows(documents, learn, id_col, text_col), tokenizer, top_words), id_col)
 
 
 def score(documents: DataFrame, table: Table, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    spark = documents.sparkSession
-    kind = documents.schema[id_col].dataType.simpleString()
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total, distinct = table.total, table.distinct
-    sent2 = spark.sparkContext.broadcast(pickle.dumps(table))
-    key2 = f"table-{id(sent2)}-{total}-{distinct}-{np.random.randint(1 << 60)}"
-    below = total + 0.1 * (distinct + 1)
+    return _score(table, counts, encoded(_rows(documents, F.lit(False), id_col, text_col), table), id_col)
+
+
+def _score(table: Table, counts: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
+    kind = held.schema["doc_id"].dataType.simpleString()
+    model = Table([], np.zeros(0, np.int64), table.total, table.distinct, table.ends, table.tokenizer)
+    model.units, model.weights, model.class_sizes = table.units, table.weights, table.class_sizes
+    sent = held.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def scored(batches):
-        table = _table(sent2, key2)
-        under = float(np.log10(below))
-        end = float(np.log10(table.ends + 0.1)) - under
-        number_of, part = 0, TaskContext.get().partitionId() << 36
+        table = pickle.loads(sent.value).fitted()
         for batch in slices(batches, 256):
-            texts = texts_of(batch, "text")
-            flat, bounds, begins, number, text_of, rare_at, rare_words = table.ids_of(texts)
-            scores = table.log_scores(flat, bounds, begins, number, text_of)
-            common = number >= 0
-            size = np.bincount(text_of, minlength=len(texts))
-            base = (np.bincount(text_of[common], table.logs[number[common]], len(texts)) if len(table.logs) else 0) - under * size + end
-            known = np.bincount(text_of[common], minlength=len(texts)) + (table.ends > 0)
-            cuts = np.searchsorted(text_of[rare_at], np.arange(len(texts) + 1))
-            rare = [[{"word": w.decode(), "n": n} for w, n in Counter(rare_words[a:b]).items()] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(number_of, number_of + len(texts)) + part), batch.column("doc_id"), pa.array(size + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-                ],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
-            )
-            number_of += len(texts)
+            scores = table.log_scores(*_unpacked(batch)) + batch.column("logs").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "n_tokens", "known", "base")), pa.array(scores)], names=["row", "doc_id", "n_tokens", "known", "base", "score"])
 
-    found = cut(rows.mapInArrow(scored, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rare array<struct<word:string,n:long>>"))
-    rare = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    found = held.select("row", "doc_id", "n_tokens", "known", "base", "logs", "ids", "opens").mapInArrow(scored, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double")
+    rare = held.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     c = F.coalesce(F.col("c"), F.lit(0))
     sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    whole = found.drop("rare").join(sums, "row", "left")
+    whole = found.join(sums, "row", "left")
     return whole.select(
-        F.col("doc_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.col("doc_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(table.total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_logs", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare_logs", F.lit(0.0))).alias("score"),
     )
