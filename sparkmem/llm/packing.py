@@ -258,9 +258,9 @@ def fill_up(left: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
 def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Columns and how many sequences use each; together they hold every piece exactly once.
 
-    Whole parts of the program's shares are taken first; what is left is packed by columns of what is left, the longest piece
-    first. Many lengths of few pieces leave the shares few whole parts, so the same without the program and best fit are
-    tried too, and the fewest sequences taken."""
+    The program is always solved. Whole parts of its shares are taken first; what is left is packed by columns of what is
+    left, the longest piece first. Many lengths of few pieces leave the shares few whole parts, so the same without the program
+    and best fit are compared afterwards, and taken only where they use fewer sequences."""
     left = np.zeros(size + 1, np.int64)
     for n, k in counts.items():
         left[n] = k
@@ -270,19 +270,18 @@ def columns_for(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> list
         left[size] = 0
     used = lambda columns: sum(times for _, times in columns)
     volume = -(-int(left @ np.arange(size + 1)) // size)
-    found = [best_fit(left, size)]
+    whole = left.copy()
+    solved: list[tuple[dict[int, int], int]] = []
+    shares, _ = linear_program(left.astype(float), size, rounds)
+    for name, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+        times = min(int(share + 1e-9), min(int(left[n]) // k for n, k in name))
+        if times:
+            solved.append((dict(name), times))
+            for n, k in name:
+                left[n] -= k * times
+    found = [solved + fill_up(left, size)]
     if used(found[0]) > volume:
-        found.append(fill_up(left, size))
-    if min(map(used, found)) > volume:
-        solved: list[tuple[dict[int, int], int]] = []
-        shares, _ = linear_program(left.astype(float), size, rounds)
-        for name, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-            times = min(int(share + 1e-9), min(int(left[n]) // k for n, k in name))
-            if times:
-                solved.append((dict(name), times))
-                for n, k in name:
-                    left[n] -= k * times
-        found.append(solved + fill_up(left, size))
+        found += [fill_up(whole, size), best_fit(whole, size)]
     return out + min(found, key=used)
 
 
