@@ -120,8 +120,8 @@ def _range_rows(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(parts, pa.binary())], schema=_RANGES)
 
 
-def _parts(texts: list[bytes], most: int = 4_000_000):
-    """Runs of texts of a few MB."""
+def _parts(texts: list[bytes], most: int = 200_000):
+    """Runs of texts whose arrays fit a processor's cache, as far as single texts do."""
     at = 0
     while at < len(texts):
         end, size = at, 0

@@ -69,18 +69,22 @@ def types(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _eights(text: np.ndarray, depth: int) -> np.ndarray:
+    """A view of the eight bytes from each position on as one number; zeros follow the text."""
+    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
+    return np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+
+
 def _start_order(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """The starting suffixes in order of their first depth values at least (ties in any order).
 
     Eight values make a key; suffixes that tie in it are ordered by the next eight, and so on."""
-    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
+    eights = _eights(text, depth)
     order = starts.copy()
     group = np.zeros(len(order), np.int64)  # entries of one number tie so far
     open_ = np.arange(len(order))
     for at in range(0, depth, 8):
-        key = np.zeros(len(open_), np.uint64)
-        for k in range(8):
-            key = (key << np.uint64(8)) | padded[order[open_] + at + k]
+        key = eights[order[open_] + at].astype(np.uint64)
         rank = np.lexsort((key, group[open_])) if at else np.argsort(key, kind="stable")
         order[open_], key = order[open_][rank], key[rank]
         own = group[open_]
@@ -96,18 +100,26 @@ def _start_order(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of suffix pairs, at most depth."""
-    out = np.zeros(len(a), np.int32)
+    if len(a) == 1:
+        x, y = text[a[0] : a[0] + depth], text[b[0] : b[0] + depth]
+        n = min(len(x), len(y))
+        other = x[:n] != y[:n]
+        return np.array([int(other.argmax()) if other.any() else n], np.int32)
+    out = np.full(len(a), depth, np.int32)
     open_ = np.arange(len(a))
-    n = len(text)
-    for k in range(depth):
-        x, y = a[open_] + k, b[open_] + k
-        same = (x < n) & (y < n)
-        same[same] = text[x[same]] == text[y[same]]
-        open_ = open_[same]
+    eights = _eights(text, depth)
+    for at in range(0, depth, 8):
+        x, y = (eights[p[open_] + at].astype(np.uint64) for p in (a, b))
+        differ = np.flatnonzero(x != y)
+        rest = (x ^ y)[differ]
+        own = np.zeros(len(differ), np.int32)  # equal bytes in front of the first other one
+        for k in range(7, 0, -1):
+            own += rest < np.uint64(1 << 8 * k)
+        out[open_[differ]] = at + own
+        open_ = open_[x == y]
         if not len(open_):
             break
-        out[open_] = k + 1
-    return out
+    return np.minimum(out, np.minimum(depth, len(text) - np.maximum(a, b))).astype(np.int32)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
