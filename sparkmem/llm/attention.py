@@ -100,26 +100,71 @@ def _forward(p, x, own):
     return h, q, k, v, a, z, h + z @ p["o"]
 
 
-def prepared(p, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vector, query, key and value of each id, and what each place adds to them."""
-    each = np.concatenate((np.eye(WIDTH, dtype=np.float32), p["q"], p["k"], p["v"]), axis=1)
-    return (p["embed"][unit] + p["own"][own]) @ each, p["place"] @ each
+def prepared(p, unit: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The vector of each id."""
+    return np.take(p["embed"], unit, axis=0) + np.take(p["own"], own, axis=0)
 
 
-def _asked(scored: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The scored places of each window side by side (the last place fills up), and rows with slots and rows with places of the scored ones."""
-    row, place = np.nonzero(scored)
-    counts = np.bincount(row, minlength=len(scored))
-    slot = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    places = np.full((len(scored), max(1, int(counts.max(initial=0)))), WINDOW - 1)
-    places[row, slot] = place
-    return places, (row, slot), (row, place)
+def keyed(unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """A key of each id, the same for ids that enter the same, and of each key the row of its own vector and its unit."""
+    key = np.where(own > 0, own, OWN + 1 + unit.astype(np.int64))
+    units = np.concatenate((np.zeros(OWN + 1), np.arange(UNITS))).astype(np.uint8)
+    units[key] = unit
+    return key.astype(np.uint16), (np.concatenate((np.arange(OWN + 1), np.zeros(UNITS, np.int64))), units)
+
+
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
 
 
-def log_probs(p, table: tuple[np.ndarray, np.ndarray], before: np.ndarray, before_unit: np.ndarray, goal: np.ndarray, opens: np.ndarray, bounds: np.ndarray, chunk: int = 256) -> np.ndarray:
+def _asked(scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The scored places of each window side by side (the last place fills up), and of the scored ones the flat slots there and the flat positions."""
+    at = np.flatnonzero(scored)
+    row = at // WINDOW
+    counts = np.bincount(row, minlength=len(scored))
+    most = max(1, int(counts.max(initial=0)))
+    slot = np.arange(len(at)) + np.repeat(most * np.arange(len(scored)) - (np.cumsum(counts) - counts), counts)
+    places = np.full(len(scored) * most, WINDOW - 1)
+    places[slot] = at - row * WINDOW
+    return places.reshape(len(scored), most), slot, at
+
+
+def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the rows less a shift, their sums, and the shift: one for all, as long as no row gets lost beside it."""
+    ones, top = np.ones(a.shape[1], a.dtype), a.max()
+    e = np.exp(a - top)
+    sums = e @ ones
+    if not sums.min() > 1e-30:
+        top = a.max(axis=1)
+        e = np.exp(a - top[:, None])
+        sums = e @ ones
+    return e, sums, top
+
+
+def _products(p) -> tuple[np.ndarray, np.ndarray]:
+    """What turns an asking vector into one that meets the vectors of the window themselves, and their mean into the answer."""
+    return (p["q"] @ p["k"].T) * np.float32(WIDTH**-0.5), p["v"] @ p["o"]
+
+
+def _answers(p, h: np.ndarray, places: np.ndarray):
+    """Flat positions that ask, their vectors, what they ask for, attention, means and results; only the places that ask cost a query, and keys and values never exist."""
+    into, outof = _products(p)
+    asks = (WINDOW * np.arange(len(h))[:, None] + places).ravel()
+    asked = np.take(_flat(h), asks, axis=0)
+    sought = (asked @ into).reshape(*places.shape, WIDTH)
+    a = sought @ h.transpose(0, 2, 1)
+    a += np.take(_MASK, places, axis=0)
+    a, sums, _ = _exps(_flat(a))
+    a /= sums[:, None]
+    a = a.reshape(*places.shape, WINDOW)
+    mean = _flat(a @ h)
+    return asks, asked, sought, a, mean, asked + mean @ outof
+
+
+def log_probs(p, table: np.ndarray, units: tuple, before: np.ndarray, flat: np.ndarray, opens: np.ndarray, bounds: np.ndarray, chunk: int = 256) -> np.ndarray:
     """Natural log probability, at each flat position where a word or end begins, of the unit there (0 elsewhere).
 
-    Only these positions ask; windows with like numbers of them go together."""
+    table: the vectors of ids; units: of each id as input and as output. Only these positions ask; windows with like numbers of them go together."""
     out = np.zeros(len(before), np.float32)
     starts, shape = windows(bounds)
     at_all, scored_all = gathered(starts, shape, opens)
@@ -127,86 +172,108 @@ def log_probs(p, table: tuple[np.ndarray, np.ndarray], before: np.ndarray, befor
     for low in range(0, len(starts), chunk):
         pick = by_size[low : low + chunk]
         at, scored = at_all[pick], scored_all[pick]
-        places, (row, slot), (_, place) = _asked(scored)
-        hqkv = table[0][before[at]]
-        hqkv += table[1]
-        asked = hqkv[np.arange(len(at))[:, None], places, : 2 * WIDTH]
-        z = _attend(asked[..., WIDTH:], hqkv[..., 2 * WIDTH : 3 * WIDTH], hqkv[..., 3 * WIDTH :], _MASK[places])[1]
-        where = at[row, place]
-        logits = (asked[row, slot, :WIDTH] + z[row, slot] @ p["o"]) @ p["out"]
-        logits += p["pair"][before_unit[where]]
-        logits -= logits.max(axis=1, keepdims=True)
-        found = logits[np.arange(len(logits)), goal[where]].copy()
-        np.exp(logits, out=logits)
-        out[where] = found - np.log(logits.sum(axis=1))
+        places, slot, place = _asked(scored)
+        h = np.take(table, np.take(before, at), axis=0)
+        h += p["place"]
+        logits = np.take(_answers(p, h, places)[-1], slot, axis=0) @ p["out"]
+        if not len(logits):
+            continue
+        where = np.take(at, place)
+        logits += np.take(p["pair"], np.take(units[0], before[where]), axis=0)
+        found = logits[np.arange(len(logits)), np.take(units[1], flat[where])]
+        _, sums, top = _exps(logits)
+        out[where] = found - top - np.log(sums)
     return out
 
 
 class Trainer:
-    """Adam on the mean log loss of the scored positions."""
+    """Adam on the mean log loss of the scored positions.
+
+    kinds: of each key that windows are made of, the row of its own vector and its unit; but for 0, a row has one key."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.steps = {k: v.copy() for k, v in p.items()}, rate, 0
+    def __init__(self, p: dict[str, np.ndarray], rate: float, kinds: tuple[np.ndarray, np.ndarray]):
+        self.p, self.rate, self.kinds, self.steps = {k: v.copy() for k, v in p.items()}, rate, kinds, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def step(self, x, own, goal, scored, share: float = 1.0) -> None:
+    def step(self, key, goal, scored) -> None:
         self.steps += 1
-        g = gradients(self.p, x, own, goal, scored)
-        for k in self.p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.s[k] += 0.01 * (g[k] ** 2 - self.s[k])
-            self.p[k] -= (self.rate * share * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-
-
-def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        rows, sums, g = _gradients(self.p, key, self.kinds, goal, scored)
+        own = self.kinds[0][rows]
+        g["own"], touched = sums[own > 0], own[own > 0]
+        fade, wane = 1 - 0.9**self.steps, (1 - 0.99**self.steps) ** 0.5
+        for k, p in self.p.items():
+            m, s, at = self.m[k], self.s[k], touched if k == "own" else slice(None)  # own vectors that a batch lacks have no gradient
+            m *= 0.9
+            s *= 0.99
+            m[at] += 0.1 * g[k]
+            s[at] += 0.01 * g[k] ** 2
+            change = np.sqrt(s)
+            change += 1e-8 * wane
+            np.divide(m, change, out=change)
+            change *= self.rate * wane / fade
+            p -= change
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    held = rows[order]
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(held)), bool), held[1:] != held[:-1])))
+    if not len(held):
+        return held, values
+    pairs = np.take(values, order, axis=0).view(np.result_type(values, np.complex64))  # two columns are added at once
+    return held[begins], np.add.reduceat(pairs, begins, axis=0).view(values.dtype)
+
+
+def _spread(size: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros((size, values.shape[1]), values.dtype)
-    if len(rows):
-        order = np.argsort(rows, kind="stable")
-        kinds, begins = np.unique(rows[order], return_index=True)
-        out[kinds] = np.add.reduceat(values[order], begins, axis=0)
+    rows, values = _summed(rows, values)
+    out[rows] = values
     return out
 
 
 def gradients(p, x, own, goal, scored):
     """Gradients of the mean log loss of the scored positions, which alone ask."""
-    places, at, (row, place) = _asked(scored)
-    each = np.arange(len(x))[:, None]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    h = p["embed"][x] + p["own"][own] + p["place"]
-    asked = h[each, places]
-    q = asked @ p["q"]
-    kv = np.concatenate((p["k"], p["v"]), axis=1)
-    both = (flat(h) @ kv).reshape(*h.shape[:2], -1)
-    k, v = both[..., :WIDTH], both[..., WIDTH:]
-    a, z = _attend(q, k, v, _MASK[places].astype(h.dtype, copy=False))
-    t = asked[at] + z[at] @ p["o"]
-    d = t @ p["out"] + p["pair"][x[row, place]]
-    d -= d.max(axis=1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(d)), goal[row, place]] -= 1
-    d /= max(1, len(d))
-    g = {"out": t.T @ d, "pair": _summed(x[row, place], d, UNITS)}
-    dtop = np.zeros_like(asked)
-    dtop[at] = dt = d @ p["out"].T
-    g["o"] = z[at].T @ dt
-    dz = dtop @ p["o"].T
-    da = dz @ v.transpose(0, 2, 1)
-    dboth = np.empty_like(both)
-    dboth[..., WIDTH:] = a.transpose(0, 2, 1) @ dz
-    da -= ((da * a) @ np.ones(a.shape[2], a.dtype))[..., None]
-    da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq = da @ k
-    dboth[..., :WIDTH] = da.transpose(0, 2, 1) @ q
-    g["q"] = flat(asked).T @ flat(dq)
-    gkv = flat(h).T @ flat(dboth)
-    g["k"], g["v"] = gkv[:, :WIDTH], gkv[:, WIDTH:]
-    dh = (flat(dboth) @ kv.T).reshape(h.shape)
-    dh[row, place] += (dtop + dq @ p["q"].T)[at]
-    g["place"] = dh.sum(axis=0)
-    g["embed"] = _summed(x.ravel(), flat(dh), UNITS)
-    g["own"] = _summed(own.ravel(), flat(dh), OWN + 1)
+    both, key = np.unique(own.astype(np.int64) * UNITS + x, return_inverse=True)
+    kinds = both // UNITS, both % UNITS
+    rows, sums, g = _gradients(p, key.reshape(x.shape), kinds, goal, scored)
+    g["own"] = _spread(OWN + 1, kinds[0][rows], sums)
     g["own"][0] = 0
     return g
+
+
+def _gradients(p, key, kinds, goal, scored):
+    """The keys that occur with the gradients of their vectors, and those of all weights but the own vectors."""
+    places, slot, at = _asked(scored)
+    into, outof = _products(p)
+    h = np.take(prepared(p, kinds[1], kinds[0]), key, axis=0)
+    h += p["place"]
+    asks, asked, sought, a, mean, top = _answers(p, h, places)
+    unit = np.take(kinds[1], np.take(key, asks))
+    d = top @ p["out"]
+    d += np.take(p["pair"], unit, axis=0)
+    d, sums, _ = _exps(d)
+    share = np.zeros_like(sums)
+    share[slot] = 1 / max(1, len(slot))
+    d *= (share / sums)[:, None]
+    d[slot, np.take(goal, at)] -= 1 / max(1, len(slot))
+    g = {"out": top.T @ d, "pair": _spread(UNITS, unit, d)}
+    dtop = d @ p["out"].T
+    doutof = mean.T @ dtop
+    g["v"], g["o"] = doutof @ p["o"].T, p["v"].T @ doutof
+    dmean = (dtop @ outof.T).reshape(*places.shape, WIDTH)
+    da = dmean @ h.transpose(0, 2, 1)
+    da -= (_flat(a * da) @ np.ones(WINDOW, a.dtype)).reshape(*places.shape, 1)
+    da *= a
+    dsought = _flat(da @ h)
+    dinto = (asked.T @ dsought) * np.float32(WIDTH**-0.5)
+    g["q"], g["k"] = dinto @ p["k"], dinto.T @ p["q"]
+    dh = np.concatenate((a, da), axis=1).transpose(0, 2, 1) @ np.concatenate((dmean, sought), axis=1)
+    dtop += dsought @ into.T
+    flat = _flat(dh)
+    flat[at] += np.take(dtop, slot, axis=0)
+    g["place"] = (np.ones(len(dh), dh.dtype) @ dh.reshape(len(dh), -1)).reshape(WINDOW, WIDTH)
+    rows, sums = _summed(key.ravel(), flat)
+    g["embed"] = _spread(UNITS, kinds[1][rows], sums)
+    return rows, sums, g

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ def _counts(batches):
     seen: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
     ends = 0
     for batch in slices(batches):
@@ -62,9 +63,34 @@ def _counts(batches):
         yield out()
 
 
-def _encode(words: list[str], tokenizer: str) -> list[list[int]]:
-    model = encoder(tokenizer)
-    return [model.encode_ordinary(" " + w) for w in words]
+@lru_cache(maxsize=2)
+def _opening(tokenizer: str) -> np.ndarray:
+    """Which ids begin with a blank."""
+    plain, out = encoder(tokenizer).plain, np.zeros(IDS, bool)
+    out[[plain.encode_single_token(x) for x in plain.token_byte_values() if x.startswith(b" ")]] = True
+    return out
+
+
+def _encode(words: list[bytes], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of the words, each behind a blank, and how many each has.
+
+    Words without white space of any kind are encoded side by side: no piece of the vocabulary reaches over the blank before a word."""
+    if not words:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    model, text = encoder(tokenizer), b" ".join(words).decode()
+    apart = text.split(" ")
+    odd = [] if apart == text.split() else [i for i, w in enumerate(apart) if w.split() != [w]]
+    if odd:
+        text = " ".join(np.delete(np.array(apart, object), odd).tolist())
+    flat = model.plain.encode_to_numpy(" " + text, disallowed_special=()).astype(np.uint16) if len(odd) < len(apart) else np.zeros(0, np.uint16)
+    begin = np.flatnonzero(_opening(tokenizer)[flat])
+    sizes = np.diff(begin, append=len(flat))
+    if odd:
+        alone = [model.encode_ordinary(" " + apart[i]) for i in odd]
+        place = np.array(odd) - np.arange(len(odd))  # among the others
+        flat = np.insert(flat, np.repeat(np.append(begin, len(flat))[place], [len(x) for x in alone]), np.array([i for x in alone for i in x], np.uint16))
+        sizes = np.insert(sizes, place, [len(x) for x in alone])
+    return flat, sizes
 
 
 class Table:
@@ -83,11 +109,8 @@ class Table:
         buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         starts, ends = blank_words(buffer)
         self.index = pd.Index(word_hashes(buffer, starts, ends))
-        ids = _encode(self.words, self.tokenizer)
-        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.flat, self.sizes = _encode(raw, self.tokenizer)
         self.at = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.flat = np.array([i for x in ids for i in x], np.uint16)
-        self.known: dict[bytes, np.ndarray] = {}
         self.logs = np.log10(self.counts + 0.1)
         del self.words
         return self
@@ -100,42 +123,32 @@ class Table:
 
     def log_scores(self, flat, opens, bounds) -> np.ndarray:
         """Log10 probability of each text, without the smoothed counts of its words."""
-        before, goal = inputs(flat, bounds), self.units[1][flat]
-        found = attention.log_probs(self.weights, self.table, before, self.units[0][before], goal, opens, bounds) / np.log(10)
+        found = attention.log_probs(self.weights, self.table, self.units, inputs(flat, bounds), flat, opens, bounds) / np.log(10)
         at = np.flatnonzero(opens)
-        word = found[at] - self.below[goal[at]] * (flat[at] != END_ID)
+        word = found[at] - self.below[self.units[1][flat[at]]] * (flat[at] != END_ID)
         return np.bincount(np.searchsorted(bounds, at, side="right") - 1, word, len(bounds) - 1)
 
     def ids_of(self, texts: list[bytes]):
         """Flat ids of the texts with an end each, bounds; of each word its begin in them, number if frequent and text; and the other words with their numbers among all."""
-        buffer = np.frombuffer(lower_ascii(b"\n".join(texts)) + b"\n", np.uint8)
+        data = lower_ascii(b"\n".join(texts)) + b"\n"
+        buffer = np.frombuffer(data, np.uint8)
         starts, ends = blank_words(buffer)
         number = self.index.get_indexer(word_hashes(buffer, starts, ends)) if len(self.index) else np.full(len(starts), -1)
         word_bounds = np.concatenate(([0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))))
         rare_at = np.flatnonzero(number < 0)
-        rare_words = [buffer[a:b].tobytes() for a, b in zip(starts[rare_at].tolist(), ends[rare_at].tolist(), strict=True)]
-        if len(self.known) > 300_000:
-            self.known.clear()
-        model = encoder(self.tokenizer)
-        rare_ids = []
-        for w in rare_words:
-            if (x := self.known.get(w)) is None:
-                x = self.known[w] = np.array(model.encode_ordinary(" " + w.decode()), np.uint16)
-            rare_ids.append(x)
+        rare_words = [data[a:b] for a, b in zip(starts[rare_at].tolist(), ends[rare_at].tolist(), strict=True)]
+        rare_ids, rare_sizes = _encode(rare_words, self.tokenizer)
         sizes = np.where(number < 0, 0, self.sizes[number]) if len(self.sizes) else np.zeros(len(number), np.int64)
-        sizes[rare_at] = [len(x) for x in rare_ids]
+        sizes[rare_at] = rare_sizes
         place = np.concatenate(([0], np.cumsum(sizes)))  # without ends
         text_of = np.repeat(np.arange(len(texts)), np.diff(word_bounds))
         flat = np.full(place[-1] + len(texts), END_ID, np.uint16)
         begin = place[:-1] + text_of
         common = np.flatnonzero(number >= 0)
-        n = sizes[common]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        flat[np.repeat(begin[common], n) + inner] = self.flat[np.repeat(self.at[number[common]], n) + inner]
-        if rare_ids:
-            n = sizes[rare_at]
+        for at, source, source_at in ((common, self.flat, self.at[number[common]]), (rare_at, rare_ids, np.cumsum(rare_sizes) - rare_sizes)):
+            n = sizes[at]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            flat[np.repeat(begin[rare_at], n) + inner] = np.concatenate(rare_ids)
+            flat[np.repeat(begin[at], n) + inner] = np.take(source, np.repeat(source_at, n) + inner)
         bounds = place[word_bounds] + np.arange(len(texts) + 1)
         return flat, bounds, begin, number, text_of, rare_at, rare_words
 
@@ -205,18 +218,18 @@ def encoded(rows: DataFrame, table: Table) -> DataFrame:
             logs = np.bincount(text_of[common], table.logs[number[common]], len(texts)) if len(table.logs) else np.zeros(len(texts))
             known = np.bincount(text_of[common], minlength=len(texts)) + (table.ends > 0)
             cuts = np.searchsorted(text_of[rare_at], np.arange(len(texts) + 1))
-            rare = [[{"word": w.decode(), "n": n} for w, n in Counter(rare_words[a:b]).items()] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            rare = _binaries(np.frombuffer(b"".join(rare_words), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in rare_words]))))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(number_of, number_of + len(texts)) + part), batch.column("doc_id"), batch.column("learn"), pa.array(size + 1), pa.array(known.astype(np.int64)),
                     pa.array(logs - under * size + end), pa.array(logs), pa.array(-(-np.diff(bounds) // attention.WINDOW)), _binaries(flat, 2 * bounds), _packed(opens, bounds),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare.cast(pa.string())),
                 ],
                 names=["row", "doc_id", "learn", "n_tokens", "known", "base", "logs", "windows", "ids", "opens", "rare"],
             )
             number_of += len(texts)
 
-    return cut(rows.mapInArrow(encode, f"row long, doc_id {kind}, learn boolean, n_tokens long, known long, base double, logs double, windows long, ids binary, opens binary, rare array<struct<word:string,n:long>>"))
+    return cut(rows.mapInArrow(encode, f"row long, doc_id {kind}, learn boolean, n_tokens long, known long, base double, logs double, windows long, ids binary, opens binary, rare array<string>"))
 
 
 def _top(counts: DataFrame, limit: int) -> DataFrame:
@@ -254,10 +267,10 @@ def _fit(rows: DataFrame, tokenizer: str, top_words: int) -> tuple[Table, DataFr
     def subwords(batches):
         seen = np.zeros((3, IDS), np.int64)  # of each id: how often in words, how often first in a word, in how many words first
         for batch in slices(batches, 4096):
-            ids = _encode(batch.column("word").to_pylist(), tokenizer)
+            ids, sizes = _encode(texts_of(batch, "word"), tokenizer)
             c = batch.column("c").to_numpy()
-            first = np.array([x[0] for x in ids], np.int64)
-            seen[0] += np.bincount(np.array([i for x in ids for i in x], np.int64), np.repeat(c, [len(x) for x in ids]), IDS).astype(np.int64)
+            first = ids[np.cumsum(sizes) - sizes]
+            seen[0] += np.bincount(ids, np.repeat(c, sizes), IDS).astype(np.int64)
             seen[1] += np.bincount(first, c, IDS).astype(np.int64)
             seen[2] += np.bincount(first, minlength=IDS)
         at = np.flatnonzero(seen[0])
@@ -318,8 +331,8 @@ def _trained(learnt: DataFrame, weights: dict, units: tuple, number: int, rate:
 
     def train(batches):
         weights, units = pickle.loads(sent.value)
-        own = units[2].astype(np.uint16)
-        trainer, rest, seen, size = attention.Trainer(weights, rate), [], 0, 0
+        key, kinds = attention.keyed(units[0], units[2])
+        trainer, rest, seen, size = attention.Trainer(weights, rate, kinds), [], 0, 0
 
         def learn() -> int:
             x = [np.concatenate(x) for x in zip(*rest, strict=True)]
@@ -327,7 +340,7 @@ def _trained(learnt: DataFrame, weights: dict, units: tuple, number: int, rate:
             rng = np.random.default_rng(seen)
             for _ in range(turns):
                 order = rng.permutation(len(x[0]))
-                order = order[np.argsort(x[3][order].sum(axis=1).astype(np.uint8), kind="stable")]  # like numbers of words together
+                order = order[np.argsort(x[2][order].sum(axis=1).astype(np.uint8), kind="stable")]  # like numbers of words together
                 for low in rng.permutation(np.arange(0, len(order), attention.BATCH)).tolist():
                     trainer.step(*(y[order[low : low + attention.BATCH]] for y in x))
             return len(x[0])
@@ -338,7 +351,7 @@ def _trained(learnt: DataFrame, weights: dict, units: tuple, number: int, rate:
             starts, shape = attention.windows(bounds, attention.WINDOW)
             chosen = drawn(batch.column("draw").to_numpy(), number, starts, bounds)
             at, scored = attention.gathered(starts[chosen], shape[chosen], opens)
-            rest.append((units[0][before][at], own[before][at], units[1][flat][at], scored))
+            rest.append((np.take(key, before[at]), np.take(units[1], flat[at]), scored))
             size += len(at)
             if size >= GATHER:
                 seen, size = seen + learn(), 0
@@ -385,9 +398,9 @@ def _score(table: Table, counts: DataFrame, held: DataFrame, id_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "n_tokens", "known", "base")), pa.array(scores)], names=["row", "doc_id", "n_tokens", "known", "base", "score"])
 
     found = held.select("row", "doc_id", "n_tokens", "known", "base", "logs", "ids", "opens").mapInArrow(scored, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double")
-    rare = held.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    rare = held.select("row", F.explode("rare").alias("word"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 0.1)).alias("rare_logs"), F.count_if(c > 0).alias("rare_known"))
     whole = found.join(sums, "row", "left")
     return whole.select(
         F.col("doc_id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(table.total)).cast("long").alias("train_tokens"),
