@@ -132,7 +132,8 @@ def _asked(scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of the rows less a shift, their sums, and the shift: one for all, as long as no row gets lost beside it."""
     ones, top = np.ones(a.shape[1], a.dtype), a.max()
-    e = np.exp(a - top)
+    e = a - top
+    np.exp(e, out=e)
     sums = e @ ones
     if not sums.min() > 1e-30:
         top = a.max(axis=1)
@@ -171,7 +172,7 @@ def log_probs(p, table: np.ndarray, units: tuple, before: np.ndarray, flat: np.n
     by_size = np.argsort(scored_all.sum(axis=1).astype(np.uint8), kind="stable")
     for low in range(0, len(starts), chunk):
         pick = by_size[low : low + chunk]
-        at, scored = at_all[pick], scored_all[pick]
+        at, scored = np.take(at_all, pick, axis=0), np.take(scored_all, pick, axis=0)
         places, slot, place = _asked(scored)
         h = np.take(table, np.take(before, at), axis=0)
         h += p["place"]
@@ -192,23 +193,26 @@ class Trainer:
     kinds: of each key that windows are made of, the row of its own vector and its unit; but for 0, a row has one key."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float, kinds: tuple[np.ndarray, np.ndarray]):
-        self.p, self.rate, self.kinds, self.steps = {k: v.copy() for k, v in p.items()}, rate, kinds, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.rate, self.kinds, self.steps = rate, kinds, 0
+        self.names = [k for k in p if k != "own"]
+        rest = np.concatenate([p[k].ravel() for k in self.names])
+        parts = np.split(rest, np.cumsum([p[k].size for k in self.names])[:-1])  # of the same memory
+        self.both = rest, p["own"].copy()
+        self.p = {k: x.reshape(p[k].shape) for k, x in zip(self.names, parts, strict=True)} | {"own": self.both[1]}
+        self.state = [tuple(np.zeros_like(x) for _ in range(3)) for x in self.both]
 
     def step(self, key, goal, scored) -> None:
         self.steps += 1
         rows, sums, g = _gradients(self.p, key, self.kinds, goal, scored)
         own = self.kinds[0][rows]
-        g["own"], touched = sums[own > 0], own[own > 0]
         fade, wane = 1 - 0.9**self.steps, (1 - 0.99**self.steps) ** 0.5
-        for k, p in self.p.items():
-            m, s, at = self.m[k], self.s[k], touched if k == "own" else slice(None)  # own vectors that a batch lacks have no gradient
+        found = ((slice(None), np.concatenate([g[k].ravel() for k in self.names])), (own[own > 0], sums[own > 0]))  # own vectors that a batch lacks have no gradient
+        for p, (m, s, change), (at, slope) in zip(self.both, self.state, found, strict=True):
             m *= 0.9
             s *= 0.99
-            m[at] += 0.1 * g[k]
-            s[at] += 0.01 * g[k] ** 2
-            change = np.sqrt(s)
+            m[at] += 0.1 * slope
+            s[at] += 0.01 * slope**2
+            np.sqrt(s, out=change)
             change += 1e-8 * wane
             np.divide(m, change, out=change)
             change *= self.rate * wane / fade

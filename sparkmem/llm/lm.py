@@ -18,12 +18,12 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +46,26 @@ GATHER = 8192
 
 def _counts(batches):
     """Words with their counts, as far as a task has come each time its table is full."""
-    seen: Counter = Counter()
+    held: list[pa.Table] = []
+    rows, limit = 0, 1_000_000
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+    def merged() -> pa.Table:
+        return pa.TableGroupBy(pa.concat_tables(held), "word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
-    ends = 0
     for batch in slices(batches):
-        for text in texts_of(batch, "text"):
-            seen.update(lower_ascii(text).split())
-            ends += 1
-        if len(seen) > 200_000:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
+        words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").cast(pa.string()))))
+        found = pc.value_counts(words)
+        new = pa.table([found.field(0), found.field(1)], names=["word", "c"])
+        held.append(new.filter(pc.not_equal(new["word"], "")))  # white space at an end of a text, or no word
+        rows += held[-1].num_rows
+        if rows > limit:
+            held = [merged()]
+            rows = held[0].num_rows
+            if rows > limit // 2:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if rows:
+        yield from merged().to_batches()
 
 
 @lru_cache(maxsize=2)
@@ -342,7 +347,7 @@ def _trained(learnt: DataFrame, weights: dict, units: tuple, number: int, rate:
                 order = rng.permutation(len(x[0]))
                 order = order[np.argsort(x[2][order].sum(axis=1).astype(np.uint8), kind="stable")]  # like numbers of words together
                 for low in rng.permutation(np.arange(0, len(order), attention.BATCH)).tolist():
-                    trainer.step(*(y[order[low : low + attention.BATCH]] for y in x))
+                    trainer.step(*(np.take(y, order[low : low + attention.BATCH], axis=0) for y in x))
             return len(x[0])
 
         for batch in slices(batches):

@@ -53,3 +53,11 @@ def test_no_row_gets_lost():
     want = a.astype(float) - a.max(axis=1, keepdims=True)
     want = want - np.log(np.exp(want).sum(axis=1, keepdims=True))
     assert np.allclose(e / sums[:, None], np.exp(want), atol=1e-6) and np.allclose(a - (top + np.log(sums))[:, None], want, rtol=1e-5, atol=1e-5)
+
+
+def test_counts():
+    texts = ["", "  A\x1cb\x0bc\x0c d\x85 ", None, "É é　x\xa0y\tZ\r\n", "a a\nb"]
+    rows = lm.pa.record_batch([lm.pa.array(texts, lm.pa.string())], names=["text"])
+    got = {w: c for r in lm._counts([rows]) for w, c in zip(r.column("word").to_pylist(), r.column("c").to_pylist(), strict=True)}
+    assert got == {"a\x1cb": 1, "c": 1, "d\x85": 1, "É": 1, "é　x\xa0y": 1, "z": 1, "a": 2, "b": 1}
+    assert not list(lm._counts([rows.slice(0, 1), rows.slice(2, 1)]))
